@@ -1,0 +1,4 @@
+"""The registered queries of the library and their DuckDB SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}

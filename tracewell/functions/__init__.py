@@ -1,0 +1 @@
+"""See the README for what this subpackage holds."""
