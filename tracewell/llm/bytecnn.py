@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import held_out, of_bytes, text_of
 
@@ -175,7 +176,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability(network, texts))], [*batch.schema.names, "score"])
 
     plain = docs.drop("score")
-    return plain.mapInArrow(run, plain.schema.add("score", "double"))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

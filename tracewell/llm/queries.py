@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, neardup, outliers, secrets
-from .shared import table
+from . import bytecnn, decontam, linededup, neardup, outliers, packing, secrets
+from .shared import table, vocabulary
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +26,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_line_dedup, op7_quality_rules, op9_secret_scans)}
-SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(packing.VOCABULARY))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op5_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_secret_scans, op10_packing)
+}
+SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op8_benchmark_decontamination": decontam.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, which every machine has at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def held_out(id_column: Column, parts: int, part: int) -> Column:
     """True for ids whose crc32 as text leaves the remainder; false for null ids, which therefore count as training rows."""
     return F.coalesce(F.crc32(id_column.cast("string")) % parts == part, F.lit(False))
