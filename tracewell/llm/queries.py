@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, decontam, linededup, neardup, outliers, packing, secrets
+from . import bytecnn, decontam, htmltext, linededup, lm, neardup, outliers, packing, secrets, trietokens
 from .shared import table, vocabulary
 
 
@@ -18,10 +18,22 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trietokens.count(table(spark, sf_dir, "documents"), vocabulary(trietokens.VOCABULARY))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexities(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -40,6 +52,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op5_line_dedup, op7_quality_rules, op8_benchmark_decontamination, op9_secret_scans, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_line_dedup,
+        op6_lm_scoring, op7_quality_rules, op8_benchmark_decontamination, op9_secret_scans, op10_packing,
+    )
 }
 SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op8_benchmark_decontamination": decontam.SQL}
