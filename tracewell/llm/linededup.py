@@ -10,30 +10,38 @@ Texts and their lines stay inside their rows: only the hashes of runs and the co
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_BREAK
+from .shared import cut, let
 
 #: Lines of a window.
 WINDOW = 3
+BLANKS = " \t\n\x0b\f\r"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _runs(lines: Column, window: int) -> Column:
-    """Array of (pos, a, b): two independent hashes of each run of lines that has a word."""
-    joined = lambda i: F.array_join(F.slice(lines, i + 1, window), "\n")
-    run = lambda i: F.struct(i.alias("pos"), F.xxhash64(joined(i)).alias("a"), F.xxhash64(F.lit("second"), joined(i)).alias("b"), joined(i).rlike(r"[^\x20\x09-\x0D]").alias("has_word"))
-    runs = F.transform(F.sequence(F.lit(0), F.size(lines) - window), run)
-    return F.when(F.size(lines) >= window, F.filter(runs, lambda r: r["has_word"]))
+def _runs(text: Column, window: int) -> Column:
+    """Array of (pos, a, b, has_word): two independent hashes of each run of lines. A line is hashed once, a run from its lines' hashes."""
+    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), (F.ltrim(x, F.lit(BLANKS)) != "").alias("w"))
+
+    def runs(h: Column) -> Column:
+        of = lambda i, field: [F.get(h, i + j)[field] for j in range(window)]
+        run = lambda i: F.struct(i.alias("pos"), F.xxhash64(*of(i, "a")).alias("a"), F.xxhash64(*of(i, "b")).alias("b"), reduce(Column.__or__, of(i, "w")).alias("has_word"))
+        return F.when(F.size(h) >= window, F.transform(F.sequence(F.lit(0), F.size(h) - window), run))
+
+    return let(F.transform(lines_of(text), line), runs)
 
 
 def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, covered: the sorted line numbers (from 0) that a later copy of a repeated run covers."""
-    runs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(_runs(lines_of(F.col("text")), window)).alias("r")).select("doc_id", "r.pos", "r.a", "r.b")
+    runs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(_runs(F.col("text"), window)).alias("r")).where("r.has_word").select("doc_id", "r.pos", "r.a", "r.b")
+    runs = cut(runs, "runs")  # some bytes a line, so that texts are read once for them
     first = runs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("a", "b", "first")
     later = runs.join(first, ["a", "b"]).where(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos")
     lines = later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + (window - 1))).alias("line"))
@@ -51,11 +59,12 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     covered = covered_lines(docs, window).withColumnRenamed("doc_id", "__of")
     lines = lines_of(F.col("text"))
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("covered"), i), x)), lambda x: x.isNotNull())
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
+    kept = let(lines, lambda each: F.transform(left, lambda i: F.get(each, i)))
     order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = docs.select(*order).join(covered, F.col("doc_id") == F.col("__of"), "left")
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    n_removed = F.when(F.col("text").isNull() | F.col("covered").isNull(), 0).otherwise(F.size(F.filter("covered", lambda i: i < n_lines)))
+    n_removed = F.when(F.col("text").isNull() | F.col("covered").isNull(), 0).otherwise(F.size(lines) - F.size(left))
     out = out.withColumns({"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")})
     text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.withColumn("text", text).select(*order, "n_lines", "n_removed")
