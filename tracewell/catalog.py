@@ -1,4 +1,601 @@
 """The registered queries of the library and their DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators import coverage as cov
+from .operators import delegation as dag
+from .operators import logs, scan
+from .operators import sessions as ses
+from .plans import rules
+from .sources import adapters as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers the function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- requirements over spans -------------------------------------------------------------------------------------------
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(spans, applicable rules with scores, evidence fields, coverage)."""
+    spans = src.event_spans(spark, sf_dir)
+    fields = rules.evidence_fields(spark)
+    covered = cov.coverage(spans, [(f, c) for _, _, f, _, c in rules.parsed()[1]])
+    return spans, cov.scored(rules.applicable(rules.requirements(spark)), fields, covered), fields, covered
+
+
+_FIELDS = {f for _, _, f, _, _ in rules.parsed()[1]}
+_SPAN_SQL = {f: f for f in ("operation", "provider", "model_used", "model_requested", "input_tokens", "output_tokens", "duration_ms", "error_type", "span_id", "parent_span_id", "start_time", "end_time")} | {"finish_reasons": "finish_reason"}
+
+
+def _count_sql(field: str, check: str) -> str:
+    column = _SPAN_SQL.get(field)
+    if check == "present":
+        return "count(*)"
+    if column is None:
+        return "CAST(0 AS BIGINT)"
+    return f"count(*) FILTER (WHERE {column} IS NOT NULL" + (f" AND length({column}) > 0)" if check == "non_empty" else ")")
+
+
+_PAIRS = sorted({(f, c) for _, _, f, _, c in rules.parsed()[1]})
+_COVERED = ",\ncovered AS (" + "\nUNION ALL ".join(f"SELECT '{f}' AS field, '{c}' AS check_type, count(*) AS population, {_count_sql(f, c)} AS present_count FROM spans" for f, c in _PAIRS) + ")"
+_SCORED = """,
+cover AS (SELECT *, CASE WHEN population > 0 THEN present_count / population ELSE 0.0 END AS coverage FROM covered),
+sums AS (SELECT f.rule_id, sum(coverage * weight) / sum(weight) AS score FROM fields f JOIN cover c ON f.field = c.field AND f.check_type = c.check_type GROUP BY f.rule_id),
+scored AS (SELECT r.*, coalesce(s.score, 1.0) AS score FROM rules r LEFT JOIN sums s ON r.rule_id = s.rule_id WHERE list_contains(applies_to, 'high_risk') OR list_contains(applies_to, 'all')),
+audited AS (SELECT *, CASE WHEN score >= 0.95 THEN 'satisfied' WHEN score >= 0.25 THEN 'partial' ELSE 'missing' END AS status FROM scored),
+gaps AS (SELECT a.rule_id, a.regulation, a.score, f.field_ord, 'spans[].' || f.field AS field_path, CASE WHEN c.present_count = 0 THEN 'Not logging: ' ELSE 'Incomplete: ' END || replace(f.field, '_', ' ') AS description,
+  round_even(c.coverage * 100, 1) AS coverage_pct, c.present_count, c.population FROM audited a JOIN fields f ON a.rule_id = f.rule_id JOIN cover c ON f.field = c.field AND f.check_type = c.check_type WHERE c.coverage < 0.95)
+"""
+_AUDIT = f"WITH {rules.sql_values()},{src.EVENT_SPANS_SQL}{_COVERED}{_SCORED}"
+
+
+@query(f"{_AUDIT} SELECT field, check_type, population, present_count, round(coverage, 9) AS coverage FROM cover")
+def field_coverage(spark, sf_dir):
+    return _measured(spark, sf_dir)[3].withColumn("coverage", F.round("coverage", 9))
+
+
+@query(f"{_AUDIT} SELECT rule_id, regulation, severity, round(score, 6) AS score, status FROM audited")
+def requirement_audit(spark, sf_dir):
+    return _measured(spark, sf_dir)[1].select("rule_id", "regulation", "severity", F.round("score", 6).alias("score"), "status")
+
+
+@query(f"{_AUDIT} SELECT rule_id, regulation, field_path, description, coverage_pct, present_count, population FROM gaps")
+def gap_list(spark, sf_dir):
+    _, scored, fields, covered = _measured(spark, sf_dir)
+    return cov.gaps(scored, fields, covered).drop("field_ord")
+
+
+@query(f"{_AUDIT} SELECT rule_id, field_path, description, round(score, 6) AS score FROM gaps ORDER BY gaps.score, description DESC, rule_id, field_ord LIMIT 5")
+def top_gaps(spark, sf_dir):
+    _, scored, fields, covered = _measured(spark, sf_dir)
+    return cov.top_gaps(scored, cov.gaps(scored, fields, covered)).withColumn("score", F.round("score", 6))
+
+
+@query(f"{_AUDIT} SELECT tier, round(avg(score), 6) AS tier_score, count(*) AS n_rules, count(*) FILTER (WHERE status = 'satisfied') AS n_satisfied, count(*) FILTER (WHERE status <> 'satisfied') AS n_gaps FROM audited WHERE tier IS NOT NULL GROUP BY tier")
+def tiered_scores(spark, sf_dir):
+    return cov.tiers(_measured(spark, sf_dir)[1]).withColumn("tier_score", F.round("tier_score", 6))
+
+
+@query(f"{_AUDIT} SELECT count(*) AS n_rules, count(*) FILTER (WHERE status = 'satisfied') AS n_satisfied, count(*) FILTER (WHERE status = 'partial') AS n_partial, count(*) FILTER (WHERE status = 'missing') AS n_missing, round(avg(score), 6) AS overall_score FROM audited")
+def audit_summary(spark, sf_dir):
+    return cov.summary(_measured(spark, sf_dir)[1]).withColumn("overall_score", F.round("overall_score", 6))
+
+
+@query(f"WITH {rules.sql_values()} SELECT rule_id, regulation, severity FROM rules WHERE (list_contains(applies_to, 'financial_institution') OR list_contains(applies_to, 'all')) AND regulation IN ('EU AI Act', 'ISO 42001')")
+def applicable_rules(spark, sf_dir):
+    return rules.applicable(rules.requirements(spark), "financial_institution", ["EU AI Act", "ISO 42001"]).select("rule_id", "regulation", "severity")
+
+
+@query(f"WITH {rules.sql_values()} SELECT r.regulation, r.severity, count(DISTINCT r.rule_id) AS n_rules, count(f.field) AS n_fields FROM rules r LEFT JOIN fields f ON r.rule_id = f.rule_id GROUP BY r.regulation, r.severity")
+def rule_catalogue(spark, sf_dir):
+    r = rules.requirements(spark).join(rules.evidence_fields(spark), "rule_id", "left")
+    return r.groupBy("regulation", "severity").agg(F.countDistinct("rule_id").alias("n_rules"), F.count("field").alias("n_fields"))
+
+
+@query(f"WITH {src.EVENT_SPANS_SQL}, firsts AS (SELECT model_used AS sample, min((trace_id, span_ord)) AS first_at FROM spans WHERE model_used IS NOT NULL GROUP BY model_used) SELECT row_number() OVER (ORDER BY first_at) AS sample_ord, sample FROM firsts ORDER BY first_at LIMIT 5")
+def coverage_samples(spark, sf_dir):
+    return cov.samples(src.event_spans(spark, sf_dir), "model_used")
+
+
+@query(
+    f"WITH {src.EVENT_SPANS_SQL} SELECT trace_id, count(*) AS n_spans, count(DISTINCT nullif(agent_id, '')) AS n_agents, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, "
+    "string_agg(DISTINCT coalesce(model_used, model_requested, 'unknown'), ',' ORDER BY coalesce(model_used, model_requested, 'unknown')) AS models, min(start_time) AS first_time, max(start_time) AS last_time, count(DISTINCT nullif(agent_id, '')) > 1 AS is_multi_agent FROM spans GROUP BY trace_id"
+)
+def trace_summary(spark, sf_dir):
+    return cov.trace_totals(src.event_spans(spark, sf_dir))
+
+
+# --- delegation ----------------------------------------------------------------------------------------------------------
+
+_SPANS = f"WITH RECURSIVE {src.EVENT_SPANS_SQL}"
+_WALK = """,
+walk AS (SELECT trace_id, span_id, 0 AS depth, [agent_id] AS chain FROM spans WHERE parent_span_id IS NULL
+  UNION ALL SELECT s.trace_id, s.span_id, w.depth + 1, list_append(list_filter(w.chain, lambda x: x <> s.agent_id), s.agent_id) FROM walk w JOIN spans s ON s.trace_id = w.trace_id AND s.parent_span_id = w.span_id)"""
+_AGENTS = """,
+agents AS (SELECT s.trace_id, s.agent_id AS agent, count(*) AS n_spans, min_by(s.agent_name, s.span_ord) AS agent_name,
+  bool_or(lower(s.operation) IN ('human_review', 'human_approval', 'human_oversight', 'approval') OR coalesce(s.span_kind, '') IN ('human_review', 'human_approval', 'human_oversight', 'approval')) AS has_oversight, max(w.depth) AS max_depth
+  FROM spans s JOIN walk w ON s.trace_id = w.trace_id AND s.span_id = w.span_id GROUP BY s.trace_id, s.agent_id)"""
+
+
+@query(f"{_SPANS} SELECT trace_id, parent_span_id AS parent_id, span_id AS child_id, span_ord AS child_ord FROM spans WHERE parent_span_id IS NOT NULL")
+def span_edges(spark, sf_dir):
+    return dag.edges(src.event_spans(spark, sf_dir))
+
+
+@query(f"{_SPANS} SELECT trace_id, span_id FROM spans WHERE parent_span_id IS NULL")
+def root_spans(spark, sf_dir):
+    return dag.roots(src.event_spans(spark, sf_dir))
+
+
+@query(f"{_SPANS}{_WALK} SELECT trace_id, span_id, depth FROM walk")
+def delegation_depth(spark, sf_dir):
+    return dag.depths(src.event_spans(spark, sf_dir))
+
+
+@query(f"{_SPANS}{_WALK} SELECT trace_id, span_id, array_to_string(chain, '>') AS delegation_path FROM walk")
+def delegation_paths(spark, sf_dir):
+    return dag.paths(src.event_spans(spark, sf_dir)).withColumn("delegation_path", F.array_join("delegation_path", ">"))
+
+
+@query(f"{_SPANS}{_WALK}{_AGENTS} SELECT * FROM agents")
+def agent_summary(spark, sf_dir):
+    return dag.agent_summary(src.event_spans(spark, sf_dir))
+
+
+@query(f"{_SPANS}{_WALK}{_AGENTS} SELECT trace_id, agent FROM agents WHERE NOT has_oversight")
+def unsupervised_agents(spark, sf_dir):
+    return dag.unsupervised(dag.agent_summary(src.event_spans(spark, sf_dir)))
+
+
+@query(f"{_SPANS} SELECT DISTINCT s.trace_id, p.agent_id AS from_agent, s.agent_id AS to_agent FROM spans s JOIN spans p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.agent_id <> s.agent_id")
+def agent_edges(spark, sf_dir):
+    return dag.agent_edges(src.event_spans(spark, sf_dir))
+
+
+def _twisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of which every tenth trace's root hangs on the trace's last span: cycles to find."""
+    spans = src.event_spans(spark, sf_dir)
+    last = spans.groupBy("trace_id").agg(F.max_by("span_id", "span_ord").alias("last"))
+    turn = (F.col("span_ord") == 1) & (F.col("user_id") % 10 == 0)
+    return spans.join(last, "trace_id").withColumn("parent_span_id", F.when(turn, F.col("last")).otherwise(F.col("parent_span_id")))
+
+
+@query(
+    f"""{_SPANS}, lasts AS (SELECT trace_id, max_by(span_id, span_ord) AS last FROM spans GROUP BY trace_id),
+e AS (SELECT s.trace_id, s.span_id AS a, CASE WHEN s.span_ord = 1 AND s.user_id % 10 = 0 THEN l.last ELSE s.parent_span_id END AS b FROM spans s JOIN lasts l ON s.trace_id = l.trace_id),
+walk AS (SELECT trace_id, a AS first_a, b AS now_at, [a] AS way FROM e WHERE b IS NOT NULL
+  UNION ALL SELECT w.trace_id, w.first_a, e.b, list_append(w.way, w.now_at) FROM walk w JOIN e ON w.trace_id = e.trace_id AND w.now_at = e.a WHERE w.now_at <> w.first_a AND e.b IS NOT NULL AND NOT list_contains(w.way, w.now_at))
+SELECT DISTINCT trace_id, array_to_string(way, '>') AS cycle FROM walk WHERE now_at = first_a AND first_a = list_min(way)"""
+)
+def cycle_check(spark, sf_dir):
+    return dag.cycles(_twisted(spark, sf_dir)).withColumn("cycle", F.array_join("cycle", ">"))
+
+
+def _agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own scores are an agent's share of spans without error in its trace; penalties go up the delegations that lead from a lower agent id to a higher."""
+    spans = src.event_spans(spark, sf_dir)
+    own = spans.groupBy("trace_id", F.col("agent_id").alias("agent")).agg((F.count_if(F.col("error_type").isNull()) / F.count(F.lit(1))).alias("own_score"), F.count(F.lit(1)).alias("n_spans"))
+    solved = dag.penalties(own, dag.agent_edges(spans).where("from_agent < to_agent"))
+    return solved.join(own.select("trace_id", "agent", "n_spans"), ["trace_id", "agent"])
+
+
+_PENALTY = """,
+own AS (SELECT trace_id, agent_id AS agent, count(*) FILTER (WHERE error_type IS NULL) / count(*) AS own_score, count(*) AS n_spans FROM spans GROUP BY trace_id, agent_id),
+dl AS (SELECT DISTINCT s.trace_id, p.agent_id AS f, s.agent_id AS t FROM spans s JOIN spans p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.agent_id < s.agent_id),
+leaf AS (SELECT trace_id, agent, own_score, n_spans, 0.0::DOUBLE AS penalty FROM own WHERE agent = 'a2'),
+mid AS (SELECT o.trace_id, o.agent, o.own_score, o.n_spans, coalesce(sum(CASE WHEN l.agent IS NOT NULL AND greatest(0.0, l.own_score - l.penalty) < 0.95 THEN 0.5 * (1 - greatest(0.0, l.own_score - l.penalty)) ELSE 0.0 END), 0.0) AS penalty
+  FROM own o LEFT JOIN dl ON o.trace_id = dl.trace_id AND dl.f = o.agent LEFT JOIN leaf l ON l.trace_id = dl.trace_id AND l.agent = dl.t WHERE o.agent = 'a1' GROUP BY ALL),
+below AS (SELECT * FROM leaf UNION ALL SELECT * FROM mid),
+top AS (SELECT o.trace_id, o.agent, o.own_score, o.n_spans, coalesce(sum(CASE WHEN l.agent IS NOT NULL AND greatest(0.0, l.own_score - l.penalty) < 0.95 THEN 0.5 * (1 - greatest(0.0, l.own_score - l.penalty)) ELSE 0.0 END), 0.0) AS penalty
+  FROM own o LEFT JOIN dl ON o.trace_id = dl.trace_id AND dl.f = o.agent LEFT JOIN below l ON l.trace_id = dl.trace_id AND l.agent = dl.t WHERE o.agent = 'a0' GROUP BY ALL),
+solved AS (SELECT trace_id, agent, own_score, n_spans, penalty, least(1.0, greatest(0.0, own_score - penalty)) AS final_score FROM (SELECT * FROM below UNION ALL SELECT * FROM top))"""
+
+
+@query(f"{_SPANS}{_PENALTY} SELECT trace_id, agent, n_spans, round(own_score, 6) AS own_score, round(penalty, 6) AS penalty, round(final_score, 6) AS final_score FROM solved")
+def agent_scores(spark, sf_dir):
+    r = lambda c: F.round(c, 6).alias(c)
+    return _agent_scores(spark, sf_dir).select("trace_id", "agent", "n_spans", r("own_score"), r("penalty"), r("final_score"))
+
+
+@query(f"{_SPANS}{_PENALTY} SELECT trace_id, round(sum(final_score * n_spans) / sum(n_spans), 3) AS system_score FROM solved GROUP BY trace_id")
+def system_score(spark, sf_dir):
+    scores = _agent_scores(spark, sf_dir)
+    return scores.groupBy("trace_id").agg(F.round(F.sum(F.col("final_score") * F.col("n_spans")) / F.sum("n_spans"), 3).alias("system_score"))
+
+
+@query(
+    f"{_SPANS}, per AS (SELECT trace_id, string_agg(DISTINCT model_used, ', ' ORDER BY model_used) AS models, string_agg(DISTINCT agent_framework, ', ' ORDER BY agent_framework) AS frameworks, count(DISTINCT model_used) AS nm, count(DISTINCT agent_framework) AS nf FROM spans GROUP BY trace_id) "
+    "SELECT trace_id, coalesce(models, '') AS models, coalesce(frameworks, '') AS frameworks, nm > 1 AS several_models, nf > 1 AS several_frameworks FROM per WHERE nm > 1 OR nf > 1"
+)
+def liability_shift(spark, sf_dir):
+    return dag.liability_shifts(src.event_spans(spark, sf_dir))
+
+
+# --- sessions ------------------------------------------------------------------------------------------------------------
+
+_CALLS = f"WITH {src.LOG_CALLS_SQL}"
+_SUMS = "CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_create) AS BIGINT) AS cache_create"
+_COST = "({fresh}) / 1e6 * 15.0 + cache_create / 1e6 * 18.75 + cache_read / 1e6 * 1.5 + output_tokens / 1e6 * 75.0"
+_WITH_CACHE = _COST.format(fresh="input_tokens - cache_read - cache_create")
+_WITH_CACHE_FLOOR = _COST.format(fresh="greatest(0, input_tokens - cache_read - cache_create)")
+
+
+@query(
+    f"""{_CALLS}, tools AS (SELECT session_id, tool, count(*) AS n, min(ord) AS f FROM calls GROUP BY session_id, tool),
+tops AS (SELECT session_id, arg_min(tool, (-n, f)) AS top_tool, CAST(sum(n) AS BIGINT) AS tool_calls FROM tools GROUP BY session_id)
+SELECT c.session_id, strftime(min(ts), '%Y-%m-%d') AS day, count(*) AS ai_calls, {_SUMS}, any_value(t.tool_calls) AS tool_calls, any_value(t.top_tool) AS top_tool,
+  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS duration_hours, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM calls c JOIN tops t ON c.session_id = t.session_id GROUP BY c.session_id"""
+)
+def session_summary(spark, sf_dir):
+    return ses.session_summary(src.log_calls(spark, sf_dir))
+
+
+@query(f"{_CALLS}, t AS (SELECT {_SUMS} FROM calls) SELECT *, input_tokens - cache_read - cache_create AS fresh_input, round(cache_read / input_tokens * 100, 6) AS cache_read_pct, round(input_tokens / 1e6 * 15.0 + output_tokens / 1e6 * 75.0, 6) AS cost_no_cache, round({_WITH_CACHE}, 6) AS cost_with_cache FROM t")
+def cost_breakdown(spark, sf_dir):
+    return ses.cost_breakdown(src.log_calls(spark, sf_dir))
+
+
+def _counter_sql(column: str, most: int) -> str:
+    return f"{_CALLS}, c AS (SELECT {column} AS value, count(*) AS n, min(ord) AS f FROM calls WHERE {column} IS NOT NULL GROUP BY {column}) SELECT value, n, round(n / sum(n) OVER () * 100, 6) AS pct FROM c ORDER BY n DESC, f LIMIT {most}"
+
+
+@query(_counter_sql("tool", 20))
+def tool_usage(spark, sf_dir):
+    return ses.counter(src.log_calls(spark, sf_dir), "tool", 20)
+
+
+@query(_counter_sql("stop_reason", 15))
+def top_counters(spark, sf_dir):
+    return ses.counter(src.log_calls(spark, sf_dir), "stop_reason", 15)
+
+
+@query(_counter_sql("split_part(trim(command), ' ', 1)", 15))
+def bash_commands(spark, sf_dir):
+    calls = src.log_calls(spark, sf_dir).withColumn("word", F.element_at(F.split(F.trim("command"), r"\s+"), 1))
+    return ses.counter(calls, "word", 15)
+
+
+@query(f"{_CALLS} SELECT file, count(*) FILTER (WHERE tool = 'Read') AS reads, count(*) FILTER (WHERE tool = 'Edit') AS edits, count(*) FILTER (WHERE tool = 'Write') AS writes, count(*) AS total FROM calls WHERE file IS NOT NULL GROUP BY file ORDER BY total DESC, file LIMIT 15")
+def file_hotspots(spark, sf_dir):
+    return ses.file_hotspots(src.log_calls(spark, sf_dir))
+
+
+@query(f"{_CALLS}, h AS (SELECT hour(ts + INTERVAL 330 MINUTE) AS hour, count(*) AS n FROM calls GROUP BY 1) SELECT CAST(r.range AS INTEGER) AS hour, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER () * 100, 6) AS pct FROM range(24) r LEFT JOIN h ON r.range = h.hour")
+def hourly_activity(spark, sf_dir):
+    return ses.hourly(src.log_calls(spark, sf_dir), 5.5)
+
+
+_DAYS = f"{_CALLS}, d AS (SELECT day, count(*) AS calls, {_SUMS} FROM calls GROUP BY day), days AS (SELECT *, {_WITH_CACHE_FLOOR} AS est_cost FROM d)"
+
+
+@query(f"{_DAYS} SELECT day, calls, input_tokens, output_tokens, cache_read, cache_create, round(est_cost, 6) AS est_cost FROM days")
+def daily_cost(spark, sf_dir):
+    return ses.daily_cost(src.log_calls(spark, sf_dir)).withColumn("est_cost", F.round("est_cost", 6))
+
+
+@query(
+    f"""{_DAYS}, nd AS (SELECT *, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM days),
+o AS (SELECT max(n) AS active_days, greatest(1, date_diff('day', CAST(min(day) AS DATE), CAST(max(day) AS DATE)) + 1) AS total_days, sum(est_cost) AS total,
+  coalesce(sum(est_cost) FILTER (WHERE i <= n // 2), 0) AS h1, coalesce(sum(est_cost) FILTER (WHERE i > n // 2 AND n // 2 > 0), 0) AS h2, avg(est_cost) FILTER (WHERE i > n - 7) AS recent,
+  arg_max(day, (est_cost, -i)) AS busiest_day, arg_min(day, (est_cost, i)) AS quietest_day FROM nd),
+t AS (SELECT *, CASE WHEN h1 > 0 THEN (h2 - h1) / h1 * 100 ELSE 0 END AS trend_raw FROM o)
+SELECT total_days, active_days, round(total / total_days, 6) AS avg_daily_cost, round(total / active_days, 6) AS avg_active_day_cost, CASE WHEN trend_raw > 20 THEN 'increasing' WHEN trend_raw < -20 THEN 'decreasing' ELSE 'stable' END AS trend,
+  round(trend_raw, 4) AS trend_pct, round(recent * 7 * (active_days / total_days), 6) AS forecast_7d, round(recent * 30 * (active_days / total_days), 6) AS forecast_30d, busiest_day, quietest_day FROM t"""
+)
+def cost_forecast(spark, sf_dir):
+    return ses.forecast(ses.daily_cost(src.log_calls(spark, sf_dir)))
+
+
+_PRESSURE = f"""{_CALLS}, nc AS (SELECT session_id, input_tokens AS inp, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM calls),
+s AS (SELECT session_id, max(n) AS n, max(inp) AS max_input, CAST(sum(inp) AS BIGINT) AS cumulative_input, CASE WHEN max(inp) > 0 THEN arg_min(i, (-inp, i)) ELSE 0 END AS peak_call,
+  coalesce(sum(inp) FILTER (WHERE i <= 5), 0) AS f5, coalesce(sum(inp) FILTER (WHERE i > n - 5), 0) AS l5, coalesce(sum(inp) FILTER (WHERE i > n // 3 AND i <= 2 * n // 3), 0) AS mid,
+  coalesce(sum(inp) FILTER (WHERE i > n - CAST(ceil(n / 5) AS BIGINT)), 0) AS late FROM nc WHERE n >= 5 GROUP BY session_id),
+pressure AS (SELECT session_id, n AS total_calls, max_input, cumulative_input, peak_call, round(CASE WHEN n >= 10 AND f5 > 0 THEN (l5 / 5 - f5 / 5) / (f5 / 5) ELSE 0.0 END, 6) AS input_growth,
+  n >= 20 AND mid / greatest(1, n // 3) > 0 AND late / greatest(1, n // 5) < mid / greatest(1, n // 3) * CAST(0.7 AS DOUBLE) AS likely_compressed FROM s)"""
+
+
+@query(f"{_PRESSURE} SELECT * FROM pressure")
+def context_pressure(spark, sf_dir):
+    return ses.context_pressure(src.log_calls(spark, sf_dir))
+
+
+@query(f"{_PRESSURE} SELECT count(*) AS sessions, count(*) FILTER (WHERE likely_compressed) AS compressed, round(count(*) FILTER (WHERE likely_compressed) / count(*), 6) AS rate, round(avg(cumulative_input), 6) AS avg_cumulative, max(cumulative_input) AS max_cumulative FROM pressure")
+def pressure_rollup(spark, sf_dir):
+    return ses.pressure_rollup(ses.context_pressure(src.log_calls(spark, sf_dir)))
+
+
+_EFFICIENCY = f"""{_CALLS}, e AS (SELECT session_id, file, count(*) AS n FROM calls WHERE tool = 'Edit' AND file IS NOT NULL GROUP BY session_id, file),
+p AS (SELECT session_id, count(*) AS files_edited, avg(n) AS avg_edits, count(*) FILTER (WHERE n >= 5) AS churn_files FROM e GROUP BY session_id),
+eff AS (SELECT c.session_id, round(CASE WHEN sum(input_tokens) > 0 THEN sum(output_tokens) / sum(input_tokens) ELSE 0.0 END, 9) AS token_ratio, 1.0::DOUBLE AS tool_success, coalesce(any_value(files_edited), 0) AS files_edited,
+  round(coalesce(any_value(avg_edits), 0.0), 6) AS avg_edits_per_file, coalesce(any_value(churn_files), 0) AS churn_files, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS duration_hours FROM calls c LEFT JOIN p ON c.session_id = p.session_id GROUP BY c.session_id)"""
+_BUCKETS = """, lab AS (SELECT *, CASE WHEN duration_hours < 0.5 THEN 0 WHEN duration_hours < 1 THEN 1 WHEN duration_hours < 2 THEN 2 WHEN duration_hours < 4 THEN 3 WHEN duration_hours < 8 THEN 4 WHEN duration_hours < 999 THEN 5 END AS bucket FROM eff),
+buckets AS (SELECT bucket, ['< 30min', '30min-1h', '1-2h', '2-4h', '4-8h', '8h+'][bucket + 1] AS label, count(*) AS sessions, round(avg(token_ratio), 9) AS avg_token_ratio, round(avg(tool_success), 6) AS avg_tool_success, round(avg(avg_edits_per_file), 6) AS avg_edits_per_file FROM lab WHERE bucket IS NOT NULL GROUP BY bucket)"""
+
+
+@query(f"{_EFFICIENCY} SELECT * FROM eff")
+def conversation_efficiency(spark, sf_dir):
+    return ses.efficiency(src.log_calls(spark, sf_dir))
+
+
+def _by_day(calls: DataFrame) -> DataFrame:
+    """Sessions of a user's day, which are of all lengths."""
+    return calls.withColumn("session_id", F.concat(F.col("session_id").cast("string"), F.lit("-"), "day"))
+
+
+_DAY_EFFICIENCY = _EFFICIENCY.replace("SELECT user_id AS session_id,", "SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,")
+
+
+@query(f"{_DAY_EFFICIENCY}{_BUCKETS} SELECT label, sessions, avg_token_ratio, avg_tool_success, avg_edits_per_file FROM buckets")
+def length_buckets(spark, sf_dir):
+    return ses.length_buckets(ses.efficiency(_by_day(src.log_calls(spark, sf_dir)))).drop("bucket")
+
+
+@query(f"{_DAY_EFFICIENCY}{_BUCKETS} SELECT coalesce((SELECT label FROM buckets WHERE sessions >= 2 AND avg_token_ratio * 1000 + avg_tool_success > 0 ORDER BY avg_token_ratio * 1000 + avg_tool_success DESC, bucket LIMIT 1), (SELECT label FROM buckets ORDER BY bucket LIMIT 1), 'Not enough data') AS optimal_length")
+def optimal_length(spark, sf_dir):
+    return ses.optimal_length(ses.length_buckets(ses.efficiency(_by_day(src.log_calls(spark, sf_dir)))))
+
+
+@query(f"{_CALLS}, p AS (SELECT file, session_id, count(*) FILTER (WHERE tool = 'Edit') AS e, count(*) FILTER (WHERE tool = 'Read') AS r FROM calls WHERE tool IN ('Edit', 'Read') GROUP BY file, session_id), f AS (SELECT file, CAST(sum(e) AS BIGINT) AS total_edits, count(*) FILTER (WHERE e > 0) AS sessions, max(e) AS max_edits, CAST(sum(r) AS BIGINT) AS total_reads FROM p GROUP BY file HAVING sum(e) >= 5) SELECT file, total_edits, sessions, round(total_edits / sessions, 6) AS avg_edits, max_edits, total_reads, round(total_reads / total_edits, 6) AS read_edit_ratio FROM f ORDER BY total_edits DESC, file LIMIT 15")
+def file_churn(spark, sf_dir):
+    return ses.file_churn(src.log_calls(spark, sf_dir))
+
+
+@query(f"{_CALLS} SELECT file, count(*) AS reads, count(DISTINCT session_id) AS sessions FROM calls WHERE tool = 'Read' GROUP BY file HAVING count(*) >= 10 AND count(DISTINCT session_id) >= 3 ORDER BY reads DESC, file LIMIT 10")
+def frequent_files(spark, sf_dir):
+    return ses.frequent_files(src.log_calls(spark, sf_dir))
+
+
+@query(
+    f"""WITH {src.PROMPTS_SQL}, l AS (SELECT *, length(prompt) AS n, row_number() OVER (ORDER BY length(prompt)) AS i, count(*) OVER () AS m FROM prompts)
+SELECT count(*) AS prompts, round(avg(n), 6) AS avg_length, max(n) FILTER (WHERE i = m // 2 + 1) AS median_length, count(*) FILTER (WHERE n < 50) AS short, count(*) FILTER (WHERE n >= 50 AND n < 200) AS medium, count(*) FILTER (WHERE n >= 200) AS long,
+  count(*) FILTER (WHERE contains(prompt, '?')) AS questions, count(*) FILTER (WHERE regexp_matches(trim(prompt), '{ses.COMMAND.replace("'", "''")}')) AS commands, count(*) FILTER (WHERE regexp_matches(prompt, '{ses.CORRECTION.replace("'", "''")}')) AS corrections,
+  round(count(*) FILTER (WHERE regexp_matches(prompt, '{ses.CORRECTION.replace("'", "''")}')) / count(*), 6) AS correction_ratio FROM l"""
+)
+def prompt_stats(spark, sf_dir):
+    return ses.prompt_stats(src.prompts(spark, sf_dir))
+
+
+@query(
+    f"{_CALLS}, p AS (SELECT CASE WHEN grouping(session_id % 10) = 1 THEN 'total' ELSE 'p' || (session_id % 10) END AS project, count(DISTINCT session_id) AS sessions, count(*) AS ai_calls, {_SUMS}, min(day) AS first_day, max(day) AS last_day FROM calls GROUP BY ROLLUP (session_id % 10)) "
+    f"SELECT project, sessions, ai_calls, input_tokens, output_tokens, first_day, last_day, round({_WITH_CACHE}, 6) AS est_cost FROM p"
+)
+def project_rollup(spark, sf_dir):
+    return ses.project_rollup(src.log_calls(spark, sf_dir))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations WHERE role IN ('user', 'assistant')),
+u AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, g ORDER BY turn ROWS UNBOUNDED PRECEDING) AS nth, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id, g) AS ut FROM t)
+SELECT conv_id, turn, CASE WHEN nth = 1 THEN ut END AS user_turn FROM u WHERE role = 'assistant'"""
+)
+def turn_pairing(spark, sf_dir):
+    return ses.turn_pairing(src.table(spark, sf_dir, "conversations"))
+
+
+# --- debug logs ----------------------------------------------------------------------------------------------------------
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_LOGS = f"""WITH {src.LOG_LINES_SQL},
+parsed AS (SELECT session_id, line_no, regexp_extract(line, {_q(logs.LINE)}, 1) AS t, regexp_extract(line, {_q(logs.LINE)}, 2) AS level, regexp_extract(line, {_q(logs.LINE)}, 3) AS m FROM lines WHERE regexp_matches(line, {_q(logs.LINE)})),
+kinds AS (SELECT *, CASE WHEN regexp_matches(m, {_q(logs.TOOL_ERROR)}) THEN 'tool_error' WHEN regexp_matches(m, {_q(logs.STALL)}) THEN 'stall' WHEN regexp_matches(m, {_q(logs.API_ERROR)}) THEN 'api_error'
+  WHEN regexp_matches(m, {_q(logs.MCP)}) THEN CASE WHEN level = 'ERROR' THEN 'mcp_error' WHEN regexp_matches(m, {_q(logs.MCP_FAILED)}) THEN 'mcp_failed' WHEN regexp_matches(m, {_q(logs.MCP_CONNECTED)}) THEN 'mcp_connected' ELSE 'mcp_info' END
+  WHEN regexp_matches(m, {_q(logs.PERMISSION)}) THEN 'permission' WHEN regexp_matches(m, {_q(logs.STARTUP)}) THEN 'startup' ELSE 'other' END AS kind FROM parsed),
+found AS (SELECT session_id, line_no, CAST(replace(t, 'Z', '') AS TIMESTAMP) AS ts, level, kind,
+  CASE kind WHEN 'tool_error' THEN regexp_extract(m, {_q(logs.TOOL_ERROR)}, 1) WHEN 'api_error' THEN left(regexp_extract(m, {_q(logs.API_ERROR)}, 3), 80) WHEN 'permission' THEN regexp_extract(m, {_q(logs.PERMISSION)}, 2) WHEN 'startup' THEN regexp_extract(m, {_q(logs.STARTUP)}, 1)
+    ELSE CASE WHEN kind LIKE 'mcp%' THEN regexp_extract(m, {_q(logs.MCP)}, 1) END END AS name,
+  CASE kind WHEN 'tool_error' THEN CAST(regexp_extract(m, {_q(logs.TOOL_ERROR)}, 2) AS DOUBLE) WHEN 'stall' THEN CAST(regexp_extract(m, {_q(logs.STALL)}, 1) AS DOUBLE) WHEN 'permission' THEN CAST(regexp_extract(m, {_q(logs.PERMISSION)}, 1) AS DOUBLE) WHEN 'startup' THEN CAST(regexp_extract(m, {_q(logs.STARTUP)}, 2) AS DOUBLE) END AS amount FROM kinds),
+lasts AS (SELECT session_id, kind, name, max_by(amount, line_no) AS amount FROM found WHERE kind IN ('permission', 'startup') GROUP BY session_id, kind, name),
+extra AS (SELECT session_id, sum(amount) FILTER (WHERE kind = 'permission') AS allow_rules, sum(amount) FILTER (WHERE kind = 'startup') AS boot_ms FROM lasts GROUP BY session_id),
+summary AS (SELECT f.session_id, count(*) FILTER (WHERE level = 'DEBUG') AS n_debug, count(*) FILTER (WHERE level = 'INFO') AS n_info, count(*) FILTER (WHERE level = 'WARN') AS n_warn, count(*) FILTER (WHERE level = 'ERROR') AS n_error,
+  count(*) FILTER (WHERE kind = 'tool_error') AS tool_errors, count(*) FILTER (WHERE kind = 'stall') AS stalls, coalesce(sum(amount) FILTER (WHERE kind = 'stall'), 0.0) AS stall_seconds,
+  CAST(coalesce(sum(CASE WHEN amount > 200 THEN 15 WHEN amount > 100 THEN 10 WHEN amount > 50 THEN 5 ELSE 2 END) FILTER (WHERE kind = 'stall'), 0) AS BIGINT) AS stall_points, count(*) FILTER (WHERE kind = 'api_error') AS api_errors,
+  count(*) FILTER (WHERE kind IN ('mcp_failed', 'mcp_error')) AS mcp_failures, CAST(coalesce(any_value(x.allow_rules), 0) AS BIGINT) AS allow_rules, coalesce(any_value(x.boot_ms), 0.0) AS boot_ms,
+  round((epoch_us(max_by(ts, line_no)) - epoch_us(min_by(ts, line_no))) / 3.6e9, 6) AS duration_hours FROM found f LEFT JOIN extra x ON f.session_id = x.session_id GROUP BY f.session_id),
+parts AS (SELECT session_id, greatest(0, 100 - 8 * tool_errors) AS tool_reliability, greatest(0, 100 - stall_points) AS streaming_stability, greatest(0, 100 - 15 * api_errors) AS api_reliability,
+  CAST(CASE WHEN boot_ms > 5000 THEN 50 WHEN boot_ms > 2000 THEN 75 WHEN boot_ms > 1000 THEN 90 ELSE 100 END AS BIGINT) AS startup_speed, greatest(0, 100 - 20 * mcp_failures) AS mcp_health, tool_errors, api_errors, stalls, stall_seconds, boot_ms FROM summary),
+scored AS (SELECT *, CAST(round_even((tool_reliability * 30 + streaming_stability * 20 + api_reliability * 25 + startup_speed * 10 + mcp_health * 15) / 100, 0) AS BIGINT) AS score FROM parts),
+health AS (SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM scored)"""
+
+
+def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.events(src.log_lines(spark, sf_dir))
+
+
+@query(f"{_LOGS} SELECT * FROM summary")
+def log_summary(spark, sf_dir):
+    return logs.log_summary(_log_events(spark, sf_dir))
+
+
+@query(f"{_LOGS} SELECT * FROM health")
+def session_health(spark, sf_dir):
+    return logs.health(logs.log_summary(_log_events(spark, sf_dir)))
+
+
+@query(
+    f"""{_LOGS} SELECT session_id, 'tool_error' AS category, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n, name AS what FROM found WHERE kind = 'tool_error' GROUP BY session_id, name
+UNION ALL SELECT session_id, 'api_error', 'high', count(*), name FROM found WHERE kind = 'api_error' GROUP BY session_id, name
+UNION ALL SELECT session_id, 'mcp_failure', CASE WHEN count(*) < 3 THEN 'medium' ELSE 'high' END, count(*), name FROM found WHERE kind IN ('mcp_failed', 'mcp_error') GROUP BY session_id, name
+UNION ALL SELECT session_id, 'streaming_stall', CASE WHEN stall_seconds / stalls > 120 THEN 'high' ELSE 'medium' END, stalls, 'stalls' FROM summary WHERE stalls > 0
+UNION ALL SELECT session_id, 'startup', 'medium', 1, 'startup' FROM summary WHERE boot_ms > 5000"""
+)
+def friction(spark, sf_dir):
+    found = _log_events(spark, sf_dir)
+    return logs.friction(found, logs.log_summary(found))
+
+
+@query(
+    f"{_LOGS} SELECT count(*) AS sessions, round_even(avg(score), 1) AS avg_score, min(score) AS min_score, max(score) AS max_score, "
+    + ", ".join(f"count(*) FILTER (WHERE grade = '{g}') AS grade_{g.lower()}" for g in "ABCDF")
+    + ", CAST(sum(tool_errors) AS BIGINT) AS tool_errors, CAST(sum(api_errors) AS BIGINT) AS api_errors, round(sum(stall_seconds), 6) AS stall_seconds FROM health"
+)
+def health_rollup(spark, sf_dir):
+    return logs.rollup(logs.health(logs.log_summary(_log_events(spark, sf_dir))))
+
+
+# --- source files and documents ------------------------------------------------------------------------------------------
+
+_MODULES = ["openai", "google.cloud.aiplatform.v1", "langchain_core.messages", "json", "transformers", "os.path", "cohere", "anthropic", "langchain", "mistralai.client"]
+_NAMES = ["gpt-4o-mini", "claude-3-opus.", "llama-3-8b", "notes", "gpt-3.5-turbo", "embed-english-v3.0"]
+
+
+def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small source file for each part: an import, a model name, a call and an address."""
+    m = F.element_at(F.array(*map(F.lit, _MODULES)), (F.col("p_partkey") % len(_MODULES) + 1).cast("int"))
+    n = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    text = F.concat(
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("import "), m)).otherwise(F.concat(F.lit("from "), m, F.lit(" import x"))), F.lit("\nmodel = '"), n, F.lit("'\nx = pd.read_csv('"), F.col("p_name"), F.lit("')\ny = client('"),
+        F.when(F.col("p_size") % 2 == 0, "s3").otherwise("sqs"), F.lit("')\nz = 'https://"), F.when(F.col("p_size") % 3 == 0, "example.com").otherwise("api.vendor.io:443"), F.lit("/v1'"),
+    )
+    return src.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey")).alias("path"), text.alias("text"))
+
+
+def _list(xs: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+_FILES = f"""WITH files AS (SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'import ' || m ELSE 'from ' || m || ' import x' END || chr(10) || 'model = ''' || n || '''' || chr(10) || 'x = pd.read_csv(''' || p_name || ''')' || chr(10) || 'y = client(''' ||
+    CASE WHEN p_size % 2 = 0 THEN 's3' ELSE 'sqs' END || ''')' || chr(10) || 'z = ''https://' || CASE WHEN p_size % 3 = 0 THEN 'example.com' ELSE 'api.vendor.io:443' END || '/v1''' AS text
+  FROM (SELECT *, ({_list(_MODULES)})[p_partkey % {len(_MODULES)} + 1] AS m, ({_list(_NAMES)})[p_partkey % {len(_NAMES)} + 1] AS n FROM part)),
+lines AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM files),
+imported AS (SELECT path, line_no, coalesce(nullif(regexp_extract(line, '^\\s*from\\s+([\\w.]+)\\s+import\\b', 1), ''), nullif(regexp_extract(line, '^\\s*import\\s+([\\w.]+)', 1), '')) AS module FROM lines),
+dim(rank, library, module) AS (VALUES {", ".join(f"({i}, '{lib}', '{m}')" for i, (lib, m) in enumerate((lib, m) for lib, ms in scan.IMPORTS.items() for m in ms))}),
+matched AS (SELECT i.path, i.line_no, i.module, min_by(d.library, d.rank) AS library FROM imported i JOIN dim d ON i.module = d.module OR starts_with(i.module, d.module || '.') WHERE i.module IS NOT NULL GROUP BY i.path, i.line_no, i.module)"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.match_modules(scan.imports(scan.lines(_source_files(spark, sf_dir))), scan.dimension(spark, scan.IMPORTS))
+
+
+@query(f"{_FILES} SELECT path, line_no, module, library FROM matched")
+def import_match(spark, sf_dir):
+    return _matched(spark, sf_dir)
+
+
+@query(
+    f"{_FILES}, hit AS (SELECT path, line_no, regexp_replace(coalesce({', '.join(f'nullif(regexp_extract(line, {_q(p)}), {chr(39) * 2})' for p in scan.MODELS)}), '[.\\-_]+$', '') AS model FROM lines) "
+    "SELECT model, min_by(path, (path, line_no)) AS path, min_by(line_no, (path, line_no)) AS line_no, count(*) AS n FROM hit WHERE model IS NOT NULL GROUP BY model"
+)
+def model_refs(spark, sf_dir):
+    return scan.model_refs(scan.lines(_source_files(spark, sf_dir)))
+
+
+@query(
+    f"""{_FILES} SELECT path, line_no, 'training_data' AS kind, regexp_extract(line, {_q('(' + scan.TRAINING + ')')}, 1) AS what FROM lines WHERE regexp_matches(line, {_q(scan.TRAINING)})
+UNION ALL SELECT path, line_no, 'aws', regexp_extract(line, {_q(scan.AWS)}, 1) FROM lines WHERE regexp_matches(line, {_q(scan.AWS)})
+UNION ALL SELECT path, line_no, 'url', regexp_extract(regexp_extract(line, {_q(scan.URL)}, 1), '^(?:https?://)?([^/:]*)', 1) FROM lines WHERE regexp_matches(line, {_q(scan.URL)}) AND NOT contains(line, 'example.com')"""
+)
+def code_calls(spark, sf_dir):
+    return scan.code_calls(scan.lines(_source_files(spark, sf_dir)))
+
+
+@query(f"{_FILES}, f AS (SELECT library, min_by(path, (path, line_no)) AS source FROM matched GROUP BY library), svc(library, destination, role) AS (VALUES {', '.join(f'({_q(k)}, {_q(a)}, {_q(b)})' for k, (a, b) in scan.PROVIDERS.items())}) SELECT f.source, s.destination, f.library, s.role FROM f JOIN svc s ON f.library = s.library")
+def service_flows(spark, sf_dir):
+    return scan.service_flows(_matched(spark, sf_dir))
+
+
+_GUIDE_WORDS = ["Article 13 and Annex IV", "inform users of it", "# Article 50", "training data is listed", "# Scope", "retain logs for 6 months", "kept 10 years", "this is not to the provider or deployer", "providers are processor by default", "article 50(2) for the deployer", "Article 12 applies", "plain"]
+
+
+def _guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guide for each customer order: its line items pick the lines."""
+    word = F.element_at(F.array(*map(F.lit, _GUIDE_WORDS)), (F.col("l_partkey") % len(_GUIDE_WORDS) + 1).cast("int"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.row_number().over(order).alias("line_no"), word.alias("line"))
+
+
+def _any(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@query(
+    f"""WITH g AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS line_no, ({_list(_GUIDE_WORDS)})[l_partkey % {len(_GUIDE_WORDS)} + 1] AS line FROM lineitem),
+e AS (SELECT *, lower(line) AS low, CASE WHEN contains(lower(line), 'article 13') AND (contains(line, '#') OR starts_with(trim(lower(line)), 'article 13')) THEN '13'
+  WHEN contains(lower(line), 'article 50') AND (contains(line, '#') OR starts_with(trim(lower(line)), 'article 50')) THEN '50' WHEN starts_with(line, '#') AND NOT contains(lower(line), 'article') THEN '' END AS ev FROM g),
+s AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section, string_agg(low, ' ') OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS around,
+  max(contains(low, 'article 12')) OVER (PARTITION BY path) AS art12, max({_any('low', scan.SCOPE)}) OVER (PARTITION BY path) AS scoped FROM e)
+SELECT path, line_no, 'CG-001' AS rule_id, 'error' AS severity FROM s WHERE {_any('low', scan.DISCLOSURE)} AND (contains(low, 'article 13') OR section = '13')
+UNION ALL SELECT path, line_no, 'CG-001', 'error' FROM s WHERE {_any('low', scan.TECHNICAL)} AND (contains(low, 'article 50') OR section = '50')
+UNION ALL SELECT path, line_no, 'CG-002', 'error' FROM s WHERE {_any('low', scan.RETENTION)} AND contains(low, '6 month') AND NOT contains(around, '10 year') AND NOT contains(around, '10-year')
+UNION ALL SELECT path, line_no, 'CG-003', 'error' FROM s WHERE line_no = 1 AND art12 AND NOT scoped
+UNION ALL SELECT path, line_no, 'CG-004', 'warning' FROM s WHERE contains(low, 'not to') AND contains(low, 'provider') AND contains(low, 'deployer')
+UNION ALL SELECT path, line_no, 'CG-004', 'error' FROM s WHERE contains(low, 'provider') AND contains(low, 'processor') AND contains(low, 'by default')
+UNION ALL SELECT path, line_no, 'CG-006', 'warning' FROM s WHERE contains(low, 'article 50(2)') AND contains(low, 'deployer')"""
+)
+def lint_lines(spark, sf_dir):
+    return scan.lint(_guides(spark, sf_dir))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+
+
+_CHECKS = """WITH d AS (SELECT doc_id AS path, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+m AS (SELECT path, length(t) AS size, greatest(0, coalesce(list_position(list_transform(l, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '---') AND NOT starts_with(trim(x), '<!--')), true), 0) - 1) AS f,
+  len(list_filter(l, lambda x: regexp_matches(x, '^# [^#]'))) AS h1, len(list_filter(l, lambda x: regexp_matches(x, '^## [^#]'))) AS h2, len(list_filter(l, lambda x: regexp_matches(x, '^### [^#]'))) AS h3,
+  len(list_filter(l, lambda x: starts_with(x, '```'))) AS fences, len(list_filter(l, lambda x: length(x) > 500)) AS long FROM d),
+checks AS (SELECT path, 'AF-01' AS check_id, CASE WHEN size <= 50000 THEN 'pass' WHEN size <= 100000 THEN 'warn' ELSE 'fail' END AS status FROM m
+UNION ALL SELECT path, 'AF-02', CASE WHEN f <= 5 THEN 'pass' WHEN f <= 20 THEN 'warn' ELSE 'fail' END FROM m
+UNION ALL SELECT path, 'AF-03', CASE WHEN h1 + h2 + h3 = 0 THEN 'fail' WHEN h2 >= 5 AND h1 <= 2 THEN 'pass' ELSE 'warn' END FROM m
+UNION ALL SELECT path, 'AF-04', CASE WHEN fences % 2 <> 0 THEN 'fail' ELSE 'pass' END FROM m
+UNION ALL SELECT path, 'AF-09', CASE WHEN long = 0 THEN 'pass' WHEN long <= 3 THEN 'warn' ELSE 'fail' END FROM m)"""
+
+
+@query(f"{_CHECKS} SELECT * FROM checks")
+def document_checks(spark, sf_dir):
+    return scan.document_checks(_documents(spark, sf_dir))
+
+
+@query(f"{_CHECKS} SELECT path, round(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0.0 END) * 100, 4) AS score FROM checks GROUP BY path")
+def check_scores(spark, sf_dir):
+    return scan.check_scores(scan.document_checks(_documents(spark, sf_dir)))
+
+
+_NORMAL = "trim(regexp_replace(nfc_normalize({}), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH q AS (SELECT item_id AS quote_id, {_NORMAL.format("text")} AS quote FROM benchmark), s AS (SELECT doc_id, {_NORMAL.format("text")} AS text FROM documents),
+n AS (SELECT quote_id, count(*) AS n FROM q JOIN s ON contains(s.text, q.quote) WHERE len(string_split(quote, ' ')) >= 8 GROUP BY quote_id)
+SELECT q.quote_id, coalesce(n.n, 0) AS n_sources, CASE WHEN coalesce(quote, '') = '' THEN 'missing-exact-quote' WHEN n.n IS NULL THEN 'exact-quote-not-in-source' ELSE 'ok' END AS finding FROM q LEFT JOIN n ON q.quote_id = n.quote_id"""
+)
+def quote_findings(spark, sf_dir):
+    quotes = src.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return scan.quote_findings(quotes, src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(?:https?://)?([^/:]*)', 1) AS domain FROM pages")
+def page_domains(spark, sf_dir):
+    return src.table(spark, sf_dir, "pages").select("page_id", scan.domain(F.col("url")).alias("domain"))
+
+
+@query(
+    """WITH p AS (SELECT o_custkey AS path, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT path, CAST(n AS INTEGER) AS n_steps, CASE WHEN n <= 3 THEN 'simple' WHEN n <= 8 THEN 'medium' ELSE 'complex' END AS complexity FROM p"""
+)
+def plan_steps(spark, sf_dir):
+    """A plan for each customer: their orders are its steps, under a heading."""
+    steps = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("1. do "), k.cast("string")))
+    plans = src.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.concat(F.lit("# Plan\n"), F.array_join(steps, "\n")).alias("text"))
+    return scan.plan_steps(plans)

@@ -1,0 +1,111 @@
+"""Field coverage of spans and what is scored on it: requirements, tiers, gaps.
+
+All (field, check) pairs that the rules name are measured in one aggregate over the spans, whatever their number; the result is a
+row for each pair, and everything after it is small.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SATISFIED, PARTIAL = 0.95, 0.25
+SAMPLES, SAMPLE_CHARS = 5, 80
+
+
+def field_column(spans: DataFrame, field: str) -> Column | None:
+    """The column that a field path names; None if spans have none, which counts as null everywhere. `finish_reasons` may come as one reason."""
+    name = field.removeprefix("spans[].")
+    if name == "trace_id":  # an attribute of the trace, not of its spans
+        return None
+    if name in spans.columns:
+        return F.col(name)
+    return F.col("finish_reason") if name == "finish_reasons" and "finish_reason" in spans.columns else None
+
+
+def is_present(column: Column | None, kind: T.DataType | None, check: str) -> Column:
+    """`present` holds always; `non_empty` asks strings, arrays and maps for a length; any other check, retention too, asks for a value."""
+    if check == "present":
+        return F.lit(True)
+    if column is None:
+        return F.lit(False)
+    if check == "non_empty" and isinstance(kind, T.StringType):
+        return F.coalesce(F.length(column) > 0, F.lit(False))
+    if check == "non_empty" and isinstance(kind, T.ArrayType | T.MapType):
+        return F.coalesce(F.size(column) > 0, F.lit(False))
+    return column.isNotNull()
+
+
+def coverage(spans: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """field, check_type, population, present_count, coverage for each of the distinct pairs, from one pass over spans."""
+    pairs = sorted(set(pairs))
+    kinds = {f.name: f.dataType for f in spans.schema.fields}
+    counts = []
+    for i, (field, check) in enumerate(pairs):
+        column = field_column(spans, field)
+        kind = None if column is None else kinds.get("finish_reason" if field == "finish_reasons" and field not in kinds else field)
+        counts.append(F.count_if(is_present(column, kind, check)).alias(f"c{i}"))
+    one = spans.agg(F.count(F.lit(1)).alias("population"), *counts)
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(c).alias("check_type"), F.col(f"c{i}").alias("present_count")) for i, (f, c) in enumerate(pairs))))
+    out = one.select("population", rows.alias("r")).select("r.field", "r.check_type", "population", "r.present_count")
+    return out.withColumn("coverage", F.when(F.col("population") > 0, F.col("present_count") / F.col("population")).otherwise(F.lit(0.0)))
+
+
+def samples(spans: DataFrame, field: str, most: int = SAMPLES) -> DataFrame:
+    """sample_ord, sample: the first distinct values of a field in the order of trace and span, cut to 80 characters."""
+    column = field_column(spans, field)
+    if column is None:
+        return spans.limit(0).select(F.lit(0).alias("sample_ord"), F.lit("").alias("sample"))
+    text = column.cast("string")
+    short = F.when(F.length(text) > SAMPLE_CHARS, F.concat(F.substring(text, 1, SAMPLE_CHARS), F.lit("..."))).otherwise(text)
+    first = spans.where(column.isNotNull()).groupBy(short.alias("sample")).agg(F.min(F.struct("trace_id", "span_ord")).alias("at"))
+    top = first.orderBy("at").limit(most)  # five rows, so numbering them in one task is no matter
+    return top.select(F.row_number().over(Window.orderBy("at")).alias("sample_ord"), "sample")
+
+
+def scored(rules: DataFrame, fields: DataFrame, covered: DataFrame) -> DataFrame:
+    """rules with score and status: the weighted mean coverage of their fields; 1.0 without fields."""
+    each = fields.join(covered, ["field", "check_type"], "left")
+    sums = each.groupBy("rule_id").agg((F.sum(F.coalesce("coverage", F.lit(0.0)) * F.col("weight")) / F.sum("weight")).alias("score"))
+    out = rules.join(sums, "rule_id", "left").withColumn("score", F.coalesce("score", F.lit(1.0)))
+    return out.withColumn("status", status(F.col("score")))
+
+
+def status(score: Column) -> Column:
+    return F.when(score >= SATISFIED, "satisfied").when(score >= PARTIAL, "partial").otherwise("missing")
+
+
+def gaps(rules: DataFrame, fields: DataFrame, covered: DataFrame) -> DataFrame:
+    """A row for each field of a rule whose coverage is below 0.95, with a description and the coverage in per cent, rounded half to even."""
+    each = fields.join(rules.select("rule_id", "regulation"), "rule_id").join(covered, ["field", "check_type"]).where(F.col("coverage") < SATISFIED)
+    said = F.regexp_replace("field", "_", " ")
+    pct = F.bround(F.col("coverage") * 100, 1)
+    text = F.when(F.col("present_count") == 0, F.concat(F.lit("Not logging: "), said)).otherwise(F.concat(F.lit("Incomplete: "), said))
+    return each.select("rule_id", "regulation", "field_ord", F.concat(F.lit("spans[]."), "field").alias("field_path"), text.alias("description"), pct.alias("coverage_pct"), "present_count", "population")
+
+
+def top_gaps(rules_scored: DataFrame, all_gaps: DataFrame, most: int = 5) -> DataFrame:
+    """The gaps of the lowest-scored rules, by score and then description, both from the far end."""
+    ranked = all_gaps.join(rules_scored.select("rule_id", "score"), "rule_id")
+    return ranked.orderBy(F.col("score").asc(), F.col("description").desc(), "rule_id", "field_ord").limit(most).select("rule_id", "field_path", "description", "score")
+
+
+def tiers(rules_scored: DataFrame) -> DataFrame:
+    """Mean score and counts of each tier that has rules; rules without a tier belong to none."""
+    return rules_scored.where(F.col("tier").isNotNull()).groupBy("tier").agg(F.avg("score").alias("tier_score"), F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("status") == "satisfied").alias("n_satisfied"), F.count_if(F.col("status") != "satisfied").alias("n_gaps"))
+
+
+def summary(rules_scored: DataFrame) -> DataFrame:
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    return rules_scored.agg(F.count(F.lit(1)).alias("n_rules"), n("satisfied"), n("partial"), n("missing"), F.avg("score").alias("overall_score"))
+
+
+def trace_totals(spans: DataFrame) -> DataFrame:
+    """Of each trace: spans, agents, whether several, tokens, models and time bounds."""
+    return spans.groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("n_spans"), F.countDistinct(F.nullif(F.col("agent_id"), F.lit(""))).alias("n_agents"),
+        F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("model_used", "model_requested", F.lit("unknown")))), ",").alias("models"),
+        F.min("start_time").alias("first_time"), F.max("start_time").alias("last_time"),
+    ).withColumn("is_multi_agent", F.col("n_agents") > 1)
