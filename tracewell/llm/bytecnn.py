@@ -46,16 +46,17 @@ class Network:
 
 def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows of so many bytes, each followed by WIDTH - 1 zeros: first position of each half chunk, its length, and half chunks a row."""
-    positions = np.maximum(sizes, 1)
-    halves = -(-positions // HALF)
+    halves = -(-sizes // HALF)
     row = np.repeat(np.arange(len(sizes)), halves)
     number = np.arange(len(row)) - np.repeat(np.cumsum(halves) - halves, halves)
     begins = np.cumsum(sizes + WIDTH - 1) - (sizes + WIDTH - 1)
-    return begins[row] + number * HALF, np.minimum(HALF, positions[row] - number * HALF), halves
+    return begins[row] + number * HALF, np.minimum(HALF, sizes[row] - number * HALF), halves
 
 
 def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as one array, each followed by WIDTH - 1 zeros, and their sizes; an empty text is one zero."""
     gap = bytes(WIDTH - 1)
+    texts = [x or b"\0" for x in texts]
     return np.frombuffer(gap.join([*texts, b""]) or gap, dtype=np.uint8), np.array([len(x) for x in texts])
 
 

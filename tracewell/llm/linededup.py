@@ -48,6 +48,19 @@ def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("covered"))
 
 
+def _deduped(docs: DataFrame, window: int) -> DataFrame:
+    """docs with their text cut and __n_lines, __n_removed."""
+    covered = covered_lines(docs, window).select(F.col("doc_id").alias("__of"), F.col("covered").alias("__covered"))
+    lines = lines_of(F.col("text"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered"))
+    kept = let(lines, lambda each: F.transform(left, lambda i: F.get(each, i)))
+    out = docs.join(covered, F.col("doc_id") == F.col("__of"), "left")
+    n_removed = F.when(F.col("text").isNull() | F.col("__covered").isNull(), 0).otherwise(F.size(lines) - F.size(left))
+    out = out.withColumns({"__n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "__n_removed": n_removed.cast("long")})
+    text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.withColumn("text", text).drop("__of", "__covered")
+
+
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with text cut to the lines that are not covered, and n_lines, n_removed.
 
@@ -57,23 +70,13 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     a repeated row loses what its twin loses; runs at the same doc_id and line count as one place. Columns beyond
     doc_id and text pass through; own columns named n_lines or n_removed are replaced.
     """
-    covered = covered_lines(docs, window).withColumnRenamed("doc_id", "__of")
-    lines = lines_of(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
-    kept = let(lines, lambda each: F.transform(left, lambda i: F.get(each, i)))
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*order).join(covered, F.col("doc_id") == F.col("__of"), "left")
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    n_removed = F.when(F.col("text").isNull() | F.col("covered").isNull(), 0).otherwise(F.size(lines) - F.size(left))
-    out = out.withColumns({"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")})
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn("text", text).select(*order, "n_lines", "n_removed")
+    return _deduped(docs.drop("n_lines", "n_removed"), window).withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The columns of docs with the lines that are left. A document of which only blanks are left goes; one that had no words before stays."""
+    """The columns of docs with the lines that are left. A document of which only blanks are left goes; one that lost nothing stays."""
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return dedup_lines(docs).where((F.col("n_removed") == 0) | has_word).select(*docs.columns)
+    return _deduped(docs, WINDOW).where((F.col("__n_removed") == 0) | has_word).select(*docs.columns)
 
 
 SQL = f"""

@@ -9,6 +9,7 @@ a word's count is stored where it ends. Counts of words are remembered, up to a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,12 @@ class Model:
         return out
 
 
+@cache
+def remembered(path: str) -> tuple[Model, dict[int, int]]:
+    """A worker's model and the counts of words that it has met, kept from task to task."""
+    return Model.of(path), {}
+
+
 def count(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens, one row for each row of docs.
 
@@ -111,13 +118,12 @@ def count(docs: DataFrame, vocabulary: str) -> DataFrame:
     not read; a repeated row is counted as often as it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(vocabulary)
-        known: dict[int, int] = {}
+        model, known = remembered(vocabulary)
         for batch in of_bytes(batches, "text", SLICE):
             w = words(text_of(batch), fold=False)
             keys, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
             if len(known) > REMEMBERED:
-                known = {}
+                known.clear()
             listed = keys.tolist()
             new = [i for i, k in enumerate(listed) if k not in known]
             if new:
