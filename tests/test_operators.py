@@ -1,0 +1,86 @@
+"""Operators on small tables made by hand: the cases that tables of the driver do not hold."""
+
+from pyspark.sql import functions as F
+
+from tracewell.operators import coverage, delegation, logs, scan, sessions
+
+SPANS = "trace_id string, span_ord long, span_id string, parent_span_id string, agent_id string, agent_name string, model_used string, agent_framework string, operation string, span_kind string, finish_reason string"
+
+
+def spans(spark, *rows):
+    return spark.createDataFrame([("t", i + 1, s, p, a, None, m, None, op, None, None) for i, (s, p, a, m, op) in enumerate(rows)], SPANS)
+
+
+def test_presence(spark):
+    df = spans(spark, ("a", None, "x", "", ""), ("b", "a", None, "m", "chat"))
+    pairs = [("operation", "non_empty"), ("model_used", "non_null"), ("nowhere", "present"), ("nowhere", "non_null"), ("trace_id", "non_null"), ("agent_id", "retention")]
+    got = {(r["field"], r["check_type"]): r["present_count"] for r in coverage.coverage(df, pairs).collect()}
+    assert got == {("operation", "non_empty"): 1, ("model_used", "non_null"): 2, ("nowhere", "present"): 2, ("nowhere", "non_null"): 0, ("trace_id", "non_null"): 0, ("agent_id", "retention"): 1}
+    assert [r["coverage"] for r in coverage.coverage(df.limit(0), pairs).collect()] == [0.0] * 6
+
+
+def test_graph_cases(spark):
+    chain = spans(spark, ("a", None, "A", "m", "chat"), ("b", "a", "B", "m", "chat"), ("c", "b", "A", "m", "chat"), ("d", "lost", "C", "m", "human_review"), ("e", "f", "E", "m", "x"), ("f", "e", "F", "m", "x"), ("g", "g", "G", "m", "x"))
+    depth = {r["span_id"]: r["depth"] for r in delegation.depths(chain).collect()}
+    assert depth == {"a": 0, "b": 1, "c": 2, "d": 0, "e": -1, "f": -1, "g": -1}
+    path = {r["span_id"]: r["delegation_path"] for r in delegation.paths(chain).collect()}
+    assert path["c"] == ["B", "A"] and path["b"] == ["A", "B"] and path["d"] == ["C"] and set(path["e"]) == {"E", "F"}
+    assert sorted(r["cycle"] for r in delegation.cycles(chain).collect()) == [["e", "f"], ["g"]]
+    assert sorted(r["span_id"] for r in delegation.roots(chain).collect()) == ["a", "d"]
+    assert {r["agent"] for r in delegation.unsupervised(delegation.agent_summary(chain)).collect()} == {"A", "B", "E", "F", "G"}
+
+
+def test_penalties_go_up(spark):
+    agents = lambda own: spark.createDataFrame([("t", a, own) for a in "abc"], "trace_id string, agent string, own_score double")
+    down = spark.createDataFrame([("t", "a", "b"), ("t", "b", "c")], "trace_id string, from_agent string, to_agent string")
+    final = lambda own: {r["agent"]: (r["penalty"], r["final_score"]) for r in delegation.penalties(agents(own), down).collect()}
+    assert final(0.0) == {"c": (0.0, 0.0), "b": (0.5, 0.0), "a": (0.5, 0.0)}
+    assert {k: (round(p, 6), f) for k, (p, f) in final(0.3).items()} == {"c": (0.0, 0.3), "b": (0.35, 0.0), "a": (0.5, 0.0)}
+    ring = spark.createDataFrame([("t", "a", "b"), ("t", "b", "a")], "trace_id string, from_agent string, to_agent string")
+    assert delegation.penalties(agents(0.5), ring).count() == 3
+
+
+def test_log_lines(spark):
+    head = "2024-01-01T00:00:0{}.000Z [{}] "
+    lines = [
+        (head + "Bash tool error (5ms): API error (attempt 1/2): x").format(1, "ERROR"), (head + 'MCP server "s": connected after 5ms').format(2, "ERROR"), (head + 'MCP server "s": connected after 5ms').format(3, "DEBUG"),
+        (head + "Applying permission update: Adding 3 allow rule(s) to destination 'd'").format(4, "INFO"), (head + "Applying permission update: Adding 8 allow rule(s) to destination 'd'").format(0, "INFO"), "garbage",
+        (head + "[STARTUP] MCP configs loaded in 6000ms").format(5, "WARN"),
+    ]
+    found = logs.events(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session_id string, line_no int, line string"))
+    assert [r["kind"] for r in found.orderBy("line_no").collect()] == ["tool_error", "mcp_error", "mcp_connected", "permission", "permission", "startup"]
+    one = logs.log_summary(found).first()
+    assert (one["allow_rules"], one["boot_ms"], one["mcp_failures"], one["tool_errors"], round(one["duration_hours"] * 3600, 2)) == (8, 6000.0, 1, 1, 4.0)
+    score = logs.health(logs.log_summary(found)).first()
+    assert (score["tool_reliability"], score["startup_speed"], score["mcp_health"], score["grade"]) == (92, 50, 80, "A" if score["score"] >= 90 else "B")
+
+
+def test_prompts_and_pairing(spark):
+    prompts = spark.createDataFrame([("fix it",), ("no, instead do that?",), ("x" * 60,), ("y" * 250,)], "prompt string")
+    one = sessions.prompt_stats(prompts).first()
+    assert (one["prompts"], one["median_length"], one["short"], one["medium"], one["long"], one["questions"], one["commands"], one["corrections"]) == (4, 60, 2, 1, 1, 1, 1, 1)
+    turns = spark.createDataFrame([(1, 1, "user"), (1, 2, "user"), (1, 3, "assistant"), (1, 4, "assistant"), (2, 1, "assistant")], "conv_id int, turn int, role string")
+    assert sorted((r["conv_id"], r["turn"], r["user_turn"]) for r in sessions.turn_pairing(turns).collect() if r["user_turn"]) == [(1, 3, 2)]
+
+
+def test_quotes_in_sources(spark):
+    sources = spark.createDataFrame([(1, "Providers shall keep the logs that their high-\nrisk systems  make for ten years “at least”."), (2, None)], "source_id int, text string")
+    quotes = spark.createDataFrame([(1, 'keep the logs that their highrisk systems make for ten years "at least"'), (2, "keep the logs that their systems make for ten whole years"), (3, "")], "quote_id int, quote string")
+    assert {r["quote_id"]: r["finding"] for r in scan.quote_findings(quotes, sources).collect()} == {1: "ok", 2: "exact-quote-not-in-source", 3: "missing-exact-quote"}
+
+
+def test_imports_and_guides(spark):
+    text = "from langchain_core.messages import x\nimport openairlines\nimport google.cloud.aiplatform.v1\n# model o3-mini-.\nx = 'https://a.b:80/c'\ny = 'http://localhost/x'"
+    each = scan.lines(spark.createDataFrame([("f", text)], "path string, text string"))
+    found = scan.match_modules(scan.imports(each), scan.dimension(spark, scan.IMPORTS))
+    assert sorted((r["line_no"], r["library"]) for r in found.collect()) == [(1, "langchain"), (3, "google_genai")]
+    assert [r["model"] for r in scan.model_refs(each).collect()] == ["o3-mini"]
+    assert [(r["kind"], r["what"]) for r in scan.code_calls(each).collect()] == [("url", "a.b")]
+    guide = "# Article 13\nwe inform users\n# Else\nwe inform users\n```mermaid\nclass A processor\n```\nrole depends on use; keep logs 6 months\n\n\n10 years"
+    issues = scan.lint(scan.lines(spark.createDataFrame([("g", guide)], "path string, text string")))
+    assert sorted((r["line_no"], r["rule_id"]) for r in issues.collect()) == [(2, "CG-001"), (6, "CG-007")]
+
+
+def test_flows_have_one_row_a_service(spark):
+    found = spark.createDataFrame([("b", 1, "openai"), ("a", 9, "openai"), ("c", 1, "faiss")], "path string, line_no int, library string").withColumn("module", F.col("library"))
+    assert [tuple(r) for r in scan.service_flows(found).collect()] == [("a", "OpenAI API", "openai", "processor")]

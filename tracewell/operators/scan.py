@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Module names by library, in order of precedence.
 IMPORTS = {
@@ -169,7 +170,7 @@ def check_scores(checks: DataFrame) -> DataFrame:
     return checks.groupBy("path").agg(F.round(F.avg(value) * 100, 4).alias("score"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
 
