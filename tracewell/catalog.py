@@ -13,6 +13,7 @@ from .operators import logs, scan
 from .operators import sessions as ses
 from .plans import rules
 from .sources import adapters as src
+from .sources import traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -599,3 +600,118 @@ def plan_steps(spark, sf_dir):
     steps = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("1. do "), k.cast("string")))
     plans = src.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.concat(F.lit("# Plan\n"), F.array_join(steps, "\n")).alias("text"))
     return scan.plan_steps(plans)
+
+
+# --- more of sessions ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""{_CALLS}, p AS (SELECT session_id, count(*) AS n, bool_or(coalesce(tool = 'Read' AND file = 'f5', false)) AS reads_it, sum(input_tokens) AS i, sum(output_tokens) AS o, count(*) FILTER (WHERE tool = 'Edit') AS edits, count(DISTINCT CASE WHEN tool = 'Edit' THEN file END) AS files FROM calls GROUP BY session_id HAVING count(*) >= 3)
+SELECT reads_it, count(*) AS sessions, round(avg(CASE WHEN i > 0 THEN o / i ELSE 0.0 END), 9) AS token_ratio, round(avg(CASE WHEN files > 0 THEN edits / files ELSE 0.0 END), 6) AS edits_per_file FROM p GROUP BY reads_it"""
+)
+def doc_read_effect(spark, sf_dir):
+    return ses.document_effect(src.log_calls(spark, sf_dir), "f5")
+
+
+@query(
+    f"""{_CALLS}, h AS (SELECT hour(ts) AS h, count(*) AS n FROM calls GROUP BY 1), hh AS (SELECT arg_min(h, (-n, h)) AS peak, coalesce(sum(n) FILTER (WHERE h < 6), 0) / sum(n) * 100 AS night FROM h),
+s AS (SELECT session_id, count(*) AS n FROM calls GROUP BY 1), ss AS (SELECT max(n) AS heaviest FROM s), f AS (SELECT file, count(*) FILTER (WHERE tool = 'Edit') AS e FROM calls WHERE file IS NOT NULL GROUP BY file), ff AS (SELECT max(e) AS edits, arg_min(file, (-e, file)) AS edited FROM f),
+t AS (SELECT tool, count(*) AS n, min(ord) AS o FROM calls WHERE tool IS NOT NULL GROUP BY tool), tt AS (SELECT arg_min(tool, (-n, o)) AS tool FROM t),
+c AS (SELECT count(tool) / count(*) * 100 AS share, sum(cache_read) / sum(input_tokens) * 100 AS cache, count(*) FILTER (WHERE tool = 'Read') / count(*) FILTER (WHERE tool = 'Edit') AS ratio FROM calls),
+one AS (SELECT * FROM hh, ss, ff, tt, c)
+SELECT 'style' AS pattern, CASE WHEN share > 60 THEN 'builder' WHEN share > 40 THEN 'hybrid' ELSE 'advisor' END AS value FROM one
+UNION ALL SELECT 'cache', CASE WHEN cache > 90 THEN 'high' ELSE 'moderate' END FROM one WHERE cache > 50 UNION ALL SELECT 'intensity', CAST(heaviest AS VARCHAR) FROM one UNION ALL SELECT 'iteration', edited FROM one WHERE edits > 20
+UNION ALL SELECT 'peak_hour', CAST(peak AS VARCHAR) FROM one UNION ALL SELECT 'night', printf('%.1f', night) FROM one WHERE night > 20 UNION ALL SELECT 'tool', tool FROM one
+UNION ALL SELECT 'read_heavy', printf('%.1f', ratio) FROM one WHERE ratio > 1.5 UNION ALL SELECT 'edit_heavy', printf('%.1f', ratio) FROM one WHERE ratio < 0.5"""
+)
+def workflow_patterns(spark, sf_dir):
+    return ses.workflow_patterns(src.log_calls(spark, sf_dir))
+
+
+@query(
+    f"{_CALLS} SELECT coalesce(CASE WHEN ord % 3 = 0 THEN NULL ELSE 'type' || (ord % 4) END, 'general-purpose') AS agent_type, count(*) AS n, count(DISTINCT session_id) AS sessions, round(avg(length(stop_reason || model)), 6) AS avg_prompt, CAST(max(length(stop_reason || model)) AS INTEGER) AS max_prompt FROM calls WHERE tool = 'Agent' GROUP BY 1"
+)
+def delegation_stats(spark, sf_dir):
+    calls = src.log_calls(spark, sf_dir).withColumns({"agent_type": F.when(F.col("ord") % 3 != 0, F.concat(F.lit("type"), (F.col("ord") % 4).cast("string"))), "prompt": F.concat("stop_reason", "model")})
+    return ses.delegation_calls(calls)
+
+
+@query(
+    """WITH m AS (SELECT conv_id % 7 AS inbox, role AS sender, conv_id * 1000 + turn AS ord, conv_id AS ts FROM conversations), s AS (SELECT inbox, sender, count(*) AS n, min(ord) AS f FROM m GROUP BY inbox, sender),
+t AS (SELECT inbox, arg_min(sender, (-n, f)) AS top_sender, count(*) AS senders FROM s GROUP BY inbox)
+SELECT m.inbox, count(*) AS messages, any_value(t.senders) AS senders, any_value(t.top_sender) AS top_sender, arg_min(ts, ord) AS first_time, arg_max(ts, ord) AS last_time FROM m JOIN t ON m.inbox = t.inbox GROUP BY m.inbox"""
+)
+def inbox_stats(spark, sf_dir):
+    m = src.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("inbox"), F.col("role").alias("sender"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("conv_id").alias("ts"))
+    return ses.inboxes(m)
+
+
+# --- formats of traces: JSON made of events and read back ----------------------------------------------------------------
+
+
+def _with_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
+_K = "WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+@query(
+    f"""{_K}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ev)
+SELECT 't' || user_id AS trace_id, CAST(event_id AS VARCHAR) AS span_id, CASE WHEN k % 2 = 0 THEN 'chat' ELSE 'unknown' END AS operation, 'acme' || (k % 3) AS provider, CASE WHEN k % 2 = 0 THEN 'm' || (k % 4) END AS model_used, CAST(k * 2 AS DOUBLE) AS duration_ms,
+  CASE WHEN k % 2 = 0 THEN k END AS input_tokens, CASE WHEN event_type = 'error' THEN 'otel_error' END AS error_type, CASE WHEN k % 2 = 0 THEN 'llm_generation' WHEN k % 3 = 0 THEN 'tool_call' END AS span_kind FROM r"""
+)
+def otel_ingest(spark, sf_dir):
+    """An OTLP export for each event."""
+    text = F.format_string(
+        '{"resourceSpans":[{"resource":{"attributes":[]},"scopeSpans":[{"spans":[{"traceId":"t%d","spanId":"%d","startTimeUnixNano":"%d000000","endTimeUnixNano":%d000000,"status":{"code":%d},"attributes":[{"key":"gen_ai.system","value":{"stringValue":"acme%d"}}%s%s]}]}]}]}',
+        "user_id", "event_id", F.lit(1_700_000_000_000).cast("long"), F.lit(1_700_000_000_000).cast("long") + F.col("k") * 2, F.when(F.col("event_type") == "error", 2).otherwise(1), F.col("k") % 3,
+        F.when(F.col("k") % 2 == 0, F.format_string(',{"key":"gen_ai.operation.name","value":{"stringValue":"chat"}},{"key":"gen_ai.response.model","value":{"stringValue":"m%d"}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"%d"}}', F.col("k") % 4, F.col("k"))).otherwise(""),
+        F.when((F.col("k") % 2 != 0) & (F.col("k") % 3 == 0), ',{"key":"gen_ai.tool.name","value":{"stringValue":"search"}}').otherwise(""),
+    )
+    entries = _with_k(spark, sf_dir).select(F.col("event_id").cast("string").alias("file"), F.lit(0).alias("ord"), text.alias("entry"))
+    return traces.otel(entries).select("trace_id", "span_id", "operation", "provider", "model_used", "duration_ms", "input_tokens", "error_type", "span_kind")
+
+
+@query(
+    f"""{_K} SELECT 't' || user_id AS trace_id, CAST(event_id AS VARCHAR) AS span_id, CASE WHEN k % 2 = 0 THEN 'chat' ELSE 'agent' END AS operation, CASE WHEN k % 3 = 0 THEN 'openai' WHEN k % 3 = 1 THEN 'anthropic' END AS provider, CASE WHEN k = 0 THEN NULL ELSE k END AS input_tokens,
+  CASE WHEN event_type = 'error' THEN 'error' END AS error_type, CAST(value * 1000 AS DOUBLE) AS duration_ms, CASE WHEN k % 2 = 0 THEN 'llm_generation' WHEN k % 5 = 0 THEN 'agent_handoff' END AS span_kind FROM ev"""
+)
+def observation_ingest(spark, sf_dir):
+    """An observation export for each event."""
+    o = F.struct(
+        F.col("event_id").cast("string").alias("id"), F.when(F.col("k") % 2 == 0, "GENERATION").otherwise("SPAN").alias("type"), F.when(F.col("k") % 5 == 0, "Delegate work").otherwise("work").alias("name"), F.element_at(F.array(F.lit("gpt-x"), F.lit("claude-x"), F.lit("other")), (F.col("k") % 3 + 1).cast("int")).alias("model"),
+        F.col("k").alias("inputTokens"), F.when(F.col("event_type") == "error", "ERROR").alias("level"), F.col("value").alias("latency"),
+    )
+    entry = F.to_json(F.struct(F.concat(F.lit("t"), F.col("user_id")).alias("id"), F.array(o).alias("observations")))
+    entries = _with_k(spark, sf_dir).select(F.col("event_id").cast("string").alias("file"), F.lit(0).alias("ord"), entry.alias("entry"))
+    return traces.observations(entries).select("trace_id", "span_id", "operation", "provider", "input_tokens", "error_type", "duration_ms", "span_kind")
+
+
+@query(
+    f"""{_K} SELECT 't' || event_id AS trace_id, 'acme' AS provider, 'm' || (k % 4) AS model_requested, CASE WHEN k % 2 = 0 THEN 'r' || (k % 4) ELSE 'm' || (k % 4) END AS model_used, CASE WHEN k % 2 = 0 THEN k END AS input_tokens, CASE WHEN event_type = 'error' THEN CASE WHEN k % 3 = 0 THEN 'rate_limit' ELSE 'api_error' END END AS error_type,
+  CASE WHEN k % 2 = 0 THEN 'stop' END AS finish_reason, value AS duration_ms FROM ev"""
+)
+def api_log_ingest(spark, sf_dir):
+    """An entry of an API log for each event."""
+    k, even = F.col("k"), F.col("k") % 2 == 0
+    response = F.struct(F.concat(F.lit("r"), k % 4).alias("model"), F.array(F.struct(F.lit("stop").alias("finish_reason"))).alias("choices"), F.struct(k.alias("prompt_tokens")).alias("usage"))
+    error = F.struct(F.when(k % 3 == 0, "rate_limit").alias("type"), F.lit("said").alias("message"))
+    entry = F.to_json(F.struct(F.concat(F.lit("t"), F.col("event_id")).alias("trace_id"), F.lit("acme").alias("provider"), F.struct(F.concat(F.lit("m"), k % 4).alias("model")).alias("request"), F.when(even, response).alias("response"), F.when(F.col("event_type") == "error", error).alias("error"), F.col("value").alias("latency_ms")))
+    entries = _with_k(spark, sf_dir).select(F.col("event_id").cast("string").alias("file"), F.lit(0).alias("ord"), entry.alias("entry"))
+    return traces.api_log(entries).select("trace_id", "provider", "model_requested", "model_used", "input_tokens", "error_type", F.get("finish_reasons", 0).alias("finish_reason"), "duration_ms")
+
+
+@query(
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations WHERE role IN ('user', 'assistant')),
+u AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, g ORDER BY turn ROWS UNBOUNDED PRECEDING) AS nth, first_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id, g ORDER BY turn ROWS UNBOUNDED PRECEDING) AS said FROM t)
+SELECT 'c' || conv_id AS trace_id, 'u' || conv_id || '-' || turn AS span_id, length(CASE WHEN nth = 1 THEN said END) AS n_input, turn + 10 AS input_tokens, turn + 10 + length(text) AS total_tokens FROM u WHERE role = 'assistant'"""
+)
+def conversation_ingest(spark, sf_dir):
+    """A conversation log for each conversation, an entry for each turn."""
+    c = src.table(spark, sf_dir, "conversations")
+    usage = F.struct(F.col("turn").alias("input_tokens"), F.lit(10).alias("cache_read_input_tokens"), F.length("text").alias("output_tokens"))
+    message = F.struct(F.when(F.col("role") == "assistant", "message").alias("type"), F.col("text").alias("content"), F.when(F.col("role") == "assistant", usage).alias("usage"))
+    entry = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), F.col("conv_id")).alias("sessionId"), F.concat(F.lit("u"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("uuid"), message.alias("message")))
+    entries = c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").cast("int").alias("ord"), entry.alias("entry"))
+    return traces.conversations(entries).select("trace_id", "span_id", F.length("input_messages").alias("n_input"), "input_tokens", "total_tokens")

@@ -173,3 +173,47 @@ def turn_pairing(turns: DataFrame) -> DataFrame:
     nth = F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).over(in_group.rowsBetween(Window.unboundedPreceding, 0))
     user = F.first(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(in_group.rowsBetween(Window.unboundedPreceding, 0))
     return grouped.withColumn("nth", nth).withColumn("u", user).where("role = 'assistant'").select("conv_id", "turn", F.when(F.col("nth") == 1, F.col("u")).alias("user_turn"))
+
+
+def document_effect(calls: DataFrame, document: str, least_calls: int = 3) -> DataFrame:
+    """Sessions of at least three calls, split by whether they read the document: number, mean output over input, mean edits a file."""
+    per = calls.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce((F.col("tool") == "Read") & (F.col("file") == document), F.lit(False))).alias("reads_it"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"),
+        F.count_if(F.col("tool") == "Edit").alias("edits"), F.countDistinct(F.when(F.col("tool") == "Edit", F.col("file"))).alias("files"),
+    ).where(F.col("n") >= least_calls)
+    ratio = F.when(F.col("i") > 0, F.col("o") / F.col("i")).otherwise(F.lit(0.0))
+    edits = F.when(F.col("files") > 0, F.col("edits") / F.col("files")).otherwise(F.lit(0.0))
+    return per.groupBy("reads_it").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg(ratio), 9).alias("token_ratio"), F.round(F.avg(edits), 6).alias("edits_per_file"))
+
+
+def workflow_patterns(calls: DataFrame) -> DataFrame:
+    """pattern, value: style, cache use, intensity, most edited file, peak hour, night share, preferred tool, reads over edits; only those whose rule holds."""
+    hour = F.hour("ts")
+    by_hour = calls.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("h", F.struct(-F.col("n"), F.col("h"))).alias("peak"), (F.sum(F.when(F.col("h") < 6, F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("night"))
+    by_session = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("heaviest"), F.count(F.lit(1)).alias("sessions"))
+    by_file = file_hotspots(calls, 1_000_000).agg(F.max("edits").alias("edits"), F.min_by("file", F.struct(-F.col("edits"), F.col("file"))).alias("edited"))
+    by_tool = counter(calls, "tool", 1).select(F.col("value").alias("tool"))
+    sums = calls.agg(F.count(F.lit(1)).alias("calls"), F.count("tool").alias("tools"), F.sum("input_tokens").alias("i"), F.sum("cache_read").alias("r"), F.count_if(F.col("tool") == "Read").alias("reads"), F.count_if(F.col("tool") == "Edit").alias("edit_calls"))
+    # Each of the five is one row; laid under each other and folded, they are one.
+    parts = by_hour.unionByName(by_session, True).unionByName(by_file, True).unionByName(by_tool, True).unionByName(sums, True)
+    one = parts.agg(*(F.max(c).alias(c) for c in parts.columns))
+    share, cache, ratio = F.col("tools") / F.col("calls") * 100, F.col("r") / F.col("i") * 100, F.try_divide("reads", "edit_calls")
+    is_ = lambda name, cond, value: F.when(cond, F.struct(F.lit(name).alias("pattern"), value.cast("string").alias("value")))
+    two = lambda c: F.format_string("%.1f", c)
+    found = F.array(
+        is_("style", F.lit(True), F.when(share > 60, "builder").when(share > 40, "hybrid").otherwise("advisor")), is_("cache", cache > 50, F.when(cache > 90, "high").otherwise("moderate")),
+        is_("intensity", F.col("sessions") > 0, F.col("heaviest")), is_("iteration", F.col("edits") > 20, F.col("edited")), is_("peak_hour", F.lit(True), F.col("peak")), is_("night", F.col("night") > 20, two(F.col("night"))),
+        is_("tool", F.col("tool").isNotNull(), F.col("tool")), is_("read_heavy", ratio > 1.5, two(ratio)), is_("edit_heavy", ratio < 0.5, two(ratio)),
+    )
+    return one.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def delegation_calls(calls: DataFrame) -> DataFrame:
+    """Calls of agents by type: how many, in how many sessions."""
+    return calls.where(F.col("tool") == "Agent").groupBy(F.coalesce("agent_type", F.lit("general-purpose")).alias("agent_type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("sessions"), F.round(F.avg(F.length("prompt")), 6).alias("avg_prompt"), F.max(F.length("prompt")).alias("max_prompt"))
+
+
+def inboxes(messages: DataFrame) -> DataFrame:
+    """Of each inbox: messages, senders, the most frequent sender (of equals the first), first and last time in order."""
+    sent = messages.groupBy("inbox", "sender").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.min_by("ts", "ord").alias("a"), F.max_by("ts", "ord").alias("b"), F.max("ord").alias("last_ord"))
+    return sent.groupBy("inbox").agg(F.sum("n").alias("messages"), F.count(F.lit(1)).alias("senders"), F.min_by("sender", F.struct(-F.col("n"), F.col("first_ord"))).alias("top_sender"), F.min_by("a", "first_ord").alias("first_time"), F.max_by("b", "last_ord").alias("last_time"))
