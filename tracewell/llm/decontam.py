@@ -77,14 +77,19 @@ class Block:
             by_class[c] = (values[order], owners[order])
         return cls(ids, shingle_sets, by_class)
 
-    def bits(self) -> np.ndarray:
-        out = np.zeros(_FILTER, dtype=bool)
-        for values, _ in self.by_class.values():
-            out[(values & U(_FILTER - 1)).astype(np.int64)] = True
-        return out
+    def __post_init__(self) -> None:
+        self.values = np.unique(np.concatenate([v for v, _ in self.by_class.values()]))
+        self.bits = np.zeros(_FILTER, dtype=bool)
+        self.bits[(self.values & U(_FILTER - 1)).astype(np.int64)] = True
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places whose hash is a value of some signature: by a table of bits first, then for certain."""
+        maybe = np.flatnonzero(self.bits[(hashes & U(_FILTER - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.values, hashes[maybe]), len(self.values) - 1)
+        return maybe[self.values[at] == hashes[maybe]]
 
     def candidates(self, hashes: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        """Items that share a signature value with a window of the document. hits: places in hashes whose value may be one of a signature:
+        """Items that share a signature value with a window of the document. hits: places in hashes whose value is one of a signature:
         only windows around them can share one."""
         found = []
         for c, (values, owners) in self.by_class.items():
@@ -148,18 +153,17 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Dat
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            bits = block.bits()
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
             for batch in of_bytes(batches, "text", SLICE):
                 w = words(text_of(batch))
                 every, n = shingles(w.hashes, w.counts, SHINGLE, short=False)
                 ends = np.cumsum(n)
-                maybe = np.flatnonzero(bits[(every & U(_FILTER - 1)).astype(np.int64)])
-                row = np.searchsorted(ends, maybe, "right")
+                hits = block.hits(every)
+                row = np.searchsorted(ends, hits, "right")
                 found = batch.column(batch.schema.get_field_index("found")).to_pylist()
                 for r in np.unique(row).tolist():
                     begin = int(ends[r] - n[r])
-                    more = block.contained(every[begin : int(ends[r])], maybe[row == r] - begin, threshold)
+                    more = block.contained(every[begin : int(ends[r])], hits[row == r] - begin, threshold)
                     found[r] = sorted([*found[r], *({"item_id": i, "containment": c} for i, c in more)], key=lambda x: (x["item_id"], x["containment"]))
                 columns = [pa.array(found, kind) if name == "found" else column for name, column in zip(batch.schema.names, batch.columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

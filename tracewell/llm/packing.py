@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,14 @@ from .words import words
 SEQUENCE, END = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens of the pieces that one group packs, about.
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 1 << 20
 #: Words whose ids a worker remembers, and text that it takes at a time.
 REMEMBERED, SLICE = 400_000, 1 << 20
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that splits at white space: words are encoded once and remembered."""
+    """Ids of texts by a tokenizer that ignores case and splits at white space and between letters or digits and what else there is: words are
+    encoded once, a full stop or comma at their end apart, and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,7 +59,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids of each row)."""
-        w = words(texts, fold=False)
+        w = words(texts, tails=True)
         keys, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         if len(self.place) > REMEMBERED:
             self.forget()
@@ -74,13 +76,19 @@ class Encoder:
         return self.ids[places], np.diff(ends)
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker, which keeps what it has learnt from task to task."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids): each document cut into full sequences and a rest. A null text is an empty one, whose only id is the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        coder = encoder(vocabulary)
         for batch in of_bytes(batches, "text", SLICE):
-            ids, sizes = encoder.encode(text_of(batch))
+            ids, sizes = coder.encode(text_of(batch))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, np.uint32(end)).astype("<u4")
             sizes = sizes + 1

@@ -13,6 +13,10 @@ U = np.uint64
 PIECE = 1 << 20
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[0x20, *range(0x09, 0x0E)]] = True
+_TAIL = np.zeros(256, dtype=bool)
+_TAIL[[0x2C, 0x2E]] = True
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -52,8 +56,8 @@ class Words(NamedTuple):
     data: np.ndarray  # all bytes of the batch
 
 
-def words(texts: pa.Array, fold: bool = True) -> Words:
-    """Words of all rows in order; null texts have none. fold: A-Z count as a-z."""
+def words(texts: pa.Array, fold: bool = True, tails: bool = False) -> Words:
+    """Words of all rows in order; null texts have none. fold: A-Z count as a-z. tails: a full stop or comma that ends a word after an ASCII letter or digit is a word of its own."""
     column = pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -72,6 +76,12 @@ def words(texts: pa.Array, fold: bool = True) -> Words:
         before, after = np.empty(len(piece), dtype=bool), np.empty(len(piece), dtype=bool)
         before[0] = after[-1] = True
         before[1:], after[:-1] = gap[:-1], gap[1:]
+        if tails and len(piece) > 1:
+            tail = np.flatnonzero(_TAIL[piece[1:]] & _ALNUM[piece[:-1]]) + 1
+            last_byte = np.concatenate([gap[1:], [True]])
+            last_byte[cuts[cuts > 0] - 1] = True
+            tail = tail[last_byte[tail]]
+            before[tail] = after[tail - 1] = True
         before[cuts] = True
         after[cuts[cuts > 0] - 1] = True
         first, last = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
