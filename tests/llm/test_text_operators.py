@@ -154,6 +154,40 @@ def test_components_of_chains_and_stars(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_duplicates_of_a_base_of_middle_id(spark):
+    """1000 copies edited independently: like their base, unlike each other, so that the base alone joins them. Other texts share much of it, but too little."""
+    rng = random.Random(5)
+    base = prose(rng, 300, 10**6).split()
+
+    def edited(n):
+        words = list(base)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = f"new{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    texts = [edited(6 if i % 8 else 14) for i in range(1000)]
+    texts.insert(500, " ".join(base))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                linked += a != 500 != b
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    got = by_id(neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert linked < 100 and len({top(i) for i in range(len(sets))}) > 100
+    assert {i: r["class_id"] for i, r in got.items()} == {i: top(i) for i in range(len(sets))}
+
+
 def test_near_duplicates_odd_cases(spark, odd, empty, clashing):
     got = by_id(neardup.classes(odd))
     assert set(got) == set(range(1, 13))

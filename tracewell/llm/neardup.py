@@ -8,7 +8,9 @@ similarity decides. Classes are the connected components of the links.
 
 Exact copies are folded first, so a group of copies costs one document. A band of any size gives one comparison a member, with
 its centre, never all pairs. Members that this does not join to their centre's class are compared again in finer bands (of 8 and of
-16 coordinates, so the more alike two texts are the more of the small bands they share), with two centres each.
+16 coordinates, so the more alike two texts are the more of the small bands they share), with two centres each. These rounds only save work:
+in each coarse band whose members are then still of several classes, all members of different classes are compared, block by block,
+so every two texts that share a band are in one class, or were compared.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ FINE = ((2, 72), (4, 144))
 #: log2 of the lowest rank cell's width.
 _LOW = -8
 SLICE = 2 << 20
+#: What a block of a band's members holds, in shingles, and what a member costs beside its shingles.
+BLOCK, MEMBER = 1 << 18, 256
+#: Cells of a matrix of members and elements.
+CELLS = 4 << 20
 
 
 @cache
@@ -229,8 +235,85 @@ def _star_pairs(members: DataFrame, threshold: float, both_ends: bool = False) -
     return hung.where(fits).select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct()
 
 
+def _overlaps(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How many elements each set of a shares with each set of b; a, b: the sets' distinct elements in order, na, nb: their sizes."""
+    at = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    at_a, at_b = at[: len(a)], at[len(a) :]
+    number = np.zeros(int(at.max(initial=-1)) + 1, dtype=bool)
+    number[at_a] = True
+    both = np.flatnonzero(number[at_b])
+    shared = np.unique(at_b[both])
+    number[:] = False
+    number[shared] = True
+    sides = []
+    for at, n in ((at_a, na), (at_b, nb)):
+        row, keep = rows_of(n), number[at]
+        column = np.searchsorted(shared, at[keep])
+        order = np.argsort(column, kind="stable")
+        sides.append((row[keep][order], column[order]))
+    out = np.zeros((len(na), len(nb)))
+    step = max(1, CELLS // max(1, len(na), len(nb)))
+    for low in range(0, len(shared), step):
+        cells = []
+        for (row, column), n in zip(sides, (na, nb), strict=True):
+            begin, end = np.searchsorted(column, (low, low + step))
+            cells.append(np.zeros((len(n), min(step, len(shared) - low)), dtype=np.float32))
+            cells[-1][row[begin:end], column[begin:end] - low] = 1
+        out += cells[0] @ cells[1].T
+    return out
+
+
+def _joins_of(threshold: float):
+    """Of one pair of blocks: a, b, the classes of which a member of the one block is similar to a member of the other."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        sides = []
+        for number in (0, 1) if side.any() else (0, 0):
+            mine = table.filter(pa.array(side == number)).combine_chunks()
+            elements = mine.column("elements").combine_chunks()
+            n = elements.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            sides.append((mine.column("root").to_numpy(), n, elements.flatten().to_numpy()))
+        (root_a, na, a), (root_b, nb, b) = sides
+        ends_a, found = np.cumsum(na), []
+        for low in range(0, len(na), 1024):
+            strip = slice(low, low + 1024)
+            begin, end = ends_a[low] - na[low], ends_a[strip][-1]
+            shared = _overlaps(a[begin:end], na[strip], b, nb)
+            i, j = np.nonzero((shared >= threshold * (na[strip, None] + nb - shared) - 1e-6) & (root_a[strip, None] != root_b))
+            exact = shared[i, j] / (na[strip][i] + nb[j] - shared[i, j]) >= threshold
+            x, y = root_a[strip][i[exact]], root_b[j[exact]]
+            found.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+        once = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": once[:, 0], "b": once[:, 1]})
+
+    return compare
+
+
+def _rest(each: DataFrame, elements: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """a, b: classes (by their roots) that similar members of a band join. each: doc_id, n_shingles, band; roots: node, root of the classes so far.
+
+    The members of a band that has several classes are dealt to blocks: those of a large class to blocks of that class alone, the others
+    by class. Every two blocks are compared, except two of one class."""
+    weight = F.col("n_shingles") + MEMBER
+    member = each.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "band", F.coalesce("root", "doc_id").alias("root"), weight.alias("weight"))
+    per = cut(member.groupBy("band", "root").agg(F.sum("weight").alias("c")), "per")
+    bands = per.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))).alias("small")).where("k > 1")
+    large = F.col("c") > BLOCK
+    blocks = F.ceil(F.when(large, F.col("c")).otherwise(F.col("small")) / BLOCK)
+    dealt = per.join(bands, "band").select("band", "root", large.alias("large"), blocks.alias("blocks"))
+    place = F.struct("large", F.when(F.col("large"), F.col("root")).otherwise(0).alias("of"), F.pmod(F.xxhash64(F.when(F.col("large"), F.col("doc_id")).otherwise(F.col("root"))), "blocks").alias("i"))
+    placed = cut(member.join(dealt, ["band", "root"]).select("doc_id", "band", "root", place.alias("block")), "placed")
+    x, y = (placed.select("band", F.col("block").alias(c)).distinct() for c in "xy")
+    pairs = x.join(y, "band").where("x <= y AND NOT (x.large AND y.large AND x.of = y.of)")
+    pairs = cut(pairs.withColumn("g", F.monotonically_increasing_id()), "blocks")
+    sides = pairs.select("g", "band", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("x != y").select("g", "band", F.col("y").alias("block"), F.lit(1).alias("side")))
+    rows = placed.join(sides, ["band", "block"]).join(elements, "doc_id").select("g", "side", "root", "elements")
+    return cut(rows.groupBy("g").applyInArrow(_joins_of(threshold), "a long, b long").distinct(), "links")
+
+
 def links(docs: DataFrame, signed_docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: links between different texts. docs and signed_docs have one row for each distinct text."""
+    """a, b: links between different texts, enough to join the classes of all similar texts that share a band. docs and signed_docs have one row for each distinct text."""
     each = signed_docs.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     pairs = cut(_star_pairs(each, threshold), "pairs")
     # Only documents that share a band with another go on.
@@ -246,7 +329,9 @@ def links(docs: DataFrame, signed_docs: DataFrame, threshold: float = THRESHOLD)
     for c in ("a", "b"):
         more = more.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
     more = cut(more.where(root("a") != root("b")).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(close(more))
+    tree = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(tree(roots).unionByName(close(more)))
+    return tree(roots).unionByName(_rest(each.join(shared, "doc_id", "left_semi"), elements, roots, threshold))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
