@@ -30,6 +30,15 @@ def test_graph_cases(spark):
     assert {r["agent"] for r in delegation.unsupervised(delegation.agent_summary(chain)).collect()} == {"A", "B", "E", "F", "G"}
 
 
+def test_paths_of_any_depth(spark):
+    """A chain of 300 spans, each of an agent of its own, and a cycle of 200 with a tail."""
+    chain = [(f"s{i}", f"s{i - 1}" if i else None, f"a{i}", "m", "x") for i in range(300)]
+    ring = [(f"r{i}", f"r{(i - 1) % 200}", f"b{i}", "m", "x") for i in range(200)] + [("tail", "r0", "c", "m", "x")]
+    path = {r["span_id"]: r["delegation_path"] for r in delegation.paths(spans(spark, *chain, *ring)).collect()}
+    assert all(path[f"s{i}"] == [f"a{j}" for j in range(i + 1)] for i in range(300))
+    assert path["tail"] == [f"b{i}" for i in range(1, 200)] + ["b0", "c"] and all(len(path[f"r{i}"]) == 200 for i in range(200))
+
+
 def test_penalties_go_up(spark):
     agents = lambda own: spark.createDataFrame([("t", a, own) for a in "abc"], "trace_id string, agent string, own_score double")
     down = spark.createDataFrame([("t", "a", "b"), ("t", "b", "c")], "trace_id string, from_agent string, to_agent string")

@@ -43,17 +43,24 @@ def depths(spans: DataFrame, most: int = 10_000) -> DataFrame:
     return spans.select("trace_id", "span_id").distinct().join(reached, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
-def paths(spans: DataFrame, rounds: int = 7) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, kept in the checkpoint folder where one is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def paths(spans: DataFrame) -> DataFrame:
     """trace_id, span_id, delegation_path: agents from the root down, each where it stands nearest the span.
 
-    The ancestors of a span are gathered by walking up, in joins of which each doubles the known part of the way: seven reach 128 ancestors. A cycle's way comes
-    round to agents that it knows. All joins are by trace, on the partitioning of the first."""
+    The ancestors of a span are gathered by walking up, in joins of which each doubles the known part of the way, until every way has ended. A cycle's way
+    comes round to agents that it knows; it is whole when it is as long as its trace has spans. All joins are by trace, on the partitioning of the first."""
     own = spans.select("trace_id", "span_id", F.when(F.col("agent_id") != "", F.col("agent_id")).alias("agent"), "parent_span_id")
-    way = own.select("trace_id", "span_id", F.filter(F.array("agent"), lambda x: x.isNotNull()).alias("chain"), F.col("parent_span_id").alias("next"))
-    for _ in range(rounds):
+    way = _cut(own.select("trace_id", "span_id", F.filter(F.array("agent"), lambda x: x.isNotNull()).alias("chain"), F.col("parent_span_id").alias("next")))
+    sizes, reach = way.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")), 1
+    while way.where("next IS NOT NULL").join(sizes.where(F.col("n") > reach), "trace_id", "left_semi").limit(1).count():
         ahead = way.select("trace_id", F.col("span_id").alias("next"), F.col("chain").alias("more"), F.col("next").alias("then"))
         chain = F.array_distinct(F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))))
-        way = way.join(ahead, ["trace_id", "next"], "left").select("trace_id", "span_id", chain.alias("chain"), F.col("then").alias("next"))
+        way = _cut(way.join(ahead, ["trace_id", "next"], "left").select("trace_id", "span_id", chain.alias("chain"), F.col("then").alias("next")))
+        reach *= 2
     return way.select("trace_id", "span_id", F.reverse("chain").alias("delegation_path"))
 
 
