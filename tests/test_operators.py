@@ -90,6 +90,20 @@ def test_imports_and_guides(spark):
     assert sorted((r["line_no"], r["rule_id"]) for r in issues.collect()) == [(2, "CG-001"), (6, "CG-007")]
 
 
+def test_lines_with_several_hits(spark):
+    text = """import os, openai as o, cohere; from anthropic import x
+u, v = 'http://example.com/a', 'https://a.b/c'; w = "https://c.d:1/e"
+a, b = client('s3'), resource("dynamodb")
+m = ["gpt-4o", 'claude-3-opus', "gpt-4o"]  # or o3-mini"""
+    each = scan.lines(spark.createDataFrame([("f", text)], "path string, text string"))
+    found = scan.match_modules(scan.imports(each), scan.dimension(spark, scan.IMPORTS))
+    assert sorted(r["library"] for r in found.collect()) == ["anthropic", "cohere", "openai"]
+    assert sorted(r["module"] for r in scan.imports(each).collect()) == ["anthropic", "cohere", "openai", "os"]
+    assert sorted(r["destination"] for r in scan.service_flows(found).collect()) == ["Anthropic API", "Cohere API", "OpenAI API"]
+    assert sorted((r["line_no"], r["kind"], r["what"]) for r in scan.code_calls(each).collect()) == [(2, "url", "a.b"), (2, "url", "c.d"), (3, "aws", "dynamodb"), (3, "aws", "s3")]
+    assert sorted((r["model"], r["n"]) for r in scan.model_refs(each).collect()) == [("claude-3-opus", 1), ("gpt-4o", 2), ("o3-mini", 1)]
+
+
 def test_flows_have_one_row_a_service(spark):
     found = spark.createDataFrame([("b", 1, "openai"), ("a", 9, "openai"), ("c", 1, "faiss")], "path string, line_no int, library string").withColumn("module", F.col("library"))
     assert [tuple(r) for r in scan.service_flows(found).collect()] == [("a", "OpenAI API", "openai", "processor")]

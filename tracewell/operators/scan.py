@@ -33,6 +33,10 @@ WRITES = r"\.to_csv\s*\(|\.to_json\s*\(|\.to_parquet\s*\(|\.save\s*\(|\.write\s*
 READS = r"open\s*\(.*['\"]r['\"]|\.read\s*\(|json\.load\s*\(|pickle\.load\s*\(|torch\.load\s*\("
 AWS = r"(?:client|resource)\s*\(\s*['\"](s3|bedrock|bedrock-runtime|sagemaker|lambda|dynamodb)['\"]"
 URL = r"['\"](https?://[^'\"]+)['\"]"
+QUOTED = r"\"[^\"]*\"|'[^']*'"
+# Statements of import, of which a line may hold several; the second form takes several names.
+FROM_IMPORT = r"(?:^|;)\s*from\s+([\w.]+)\s+import\b"
+IMPORT = r"(?:^|;)\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)"
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "example.com", "schema.org")
 # What a service that a library talks to means for data protection: name, role.
 PROVIDERS = {"anthropic": ("Anthropic API", "processor"), "openai": ("OpenAI API", "processor"), "google_genai": ("Google AI", "processor"), "cohere": ("Cohere API", "processor"), "mistral": ("Mistral API", "processor")}
@@ -49,9 +53,11 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def imports(each_line: DataFrame) -> DataFrame:
-    """path, line_no, module of lines that import one."""
-    module = F.coalesce(F.nullif(F.regexp_extract("line", r"^\s*from\s+([\w.]+)\s+import\b", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"^\s*import\s+([\w.]+)", 1), F.lit("")))
-    return each_line.select("path", "line_no", module.alias("module")).where(F.col("module").isNotNull())
+    """path, line_no, module: every module that a line imports, once."""
+    every = lambda p: F.regexp_extract_all("line", F.lit(p), 1)
+    listed = F.flatten(F.transform(every(IMPORT), lambda names: F.split(names, r"\s*,\s*")))
+    named = F.transform(listed, lambda name: F.regexp_extract(name, r"^[\w.]+", 0))
+    return each_line.select("path", "line_no", F.explode(F.array_distinct(F.concat(every(FROM_IMPORT), named))).alias("module"))
 
 
 def match_modules(found: DataFrame, dim: DataFrame) -> DataFrame:
@@ -63,15 +69,18 @@ def match_modules(found: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def model_refs(each_line: DataFrame) -> DataFrame:
-    """Distinct model names (without trailing dots and dashes, and not names of files) with their first place."""
-    hit = F.coalesce(*(F.nullif(F.regexp_extract("line", f"({p})", 1), F.lit("")) for p in MODELS))
-    named = each_line.withColumn("model", F.regexp_replace(hit, r"[.\-_]+$", "")).where(F.col("model").isNotNull() & ~F.col("model").rlike(r"\.(py|js|ts|json|yaml|yml|md|txt|toml)"))
+    """Distinct model names (without trailing dots and dashes, and not names of files) with their first place. Each quoted text of a line names a model, and so does what is not quoted."""
+    parts = F.concat(F.array(F.regexp_replace("line", QUOTED, " ")), F.regexp_extract_all("line", F.lit(QUOTED), 0))
+    hit = lambda part: F.coalesce(*(F.nullif(F.regexp_extract(part, f"({p})", 1), F.lit("")) for p in MODELS))
+    named = each_line.select("path", "line_no", F.explode(F.transform(parts, hit)).alias("hit")).withColumn("model", F.regexp_replace("hit", r"[.\-_]+$", "")).where(F.col("model").isNotNull() & ~F.col("model").rlike(r"\.(py|js|ts|json|yaml|yml|md|txt|toml)"))
     return named.groupBy("model").agg(F.min(F.struct("path", "line_no")).alias("at"), F.count(F.lit(1)).alias("n")).select("model", "at.path", "at.line_no", "n")
 
 
 def code_calls(each_line: DataFrame) -> DataFrame:
-    """path, line_no, kind, what: data loading, file writes and reads, service clients and quoted addresses of other hosts."""
-    url = F.regexp_extract("line", URL, 1)
+    """path, line_no, kind, what: data loading, file writes and reads (one of each a line), each service with a client and each quoted address of another host."""
+    every = lambda p: F.regexp_extract_all("line", F.lit(p), 1)
+    local = "|".join(h.replace(".", r"\.") for h in LOCAL_HOSTS)
+    several = lambda name, whats: F.transform(whats, lambda what: F.struct(F.lit(name).alias("kind"), what.alias("what")))
     kind = lambda cond, name, what: F.when(cond, F.struct(F.lit(name).alias("kind"), what.alias("what")))
     said = lambda p: F.regexp_extract("line", f"({p})", 1)
     line = F.col("line")
@@ -79,9 +88,8 @@ def code_calls(each_line: DataFrame) -> DataFrame:
         kind(line.rlike(TRAINING), "training_data", said(TRAINING)),
         kind(line.rlike(WRITES), "file_write", said(WRITES)),
         kind(line.rlike(READS), "file_read", said(READS)),
-        kind(line.rlike(AWS), "aws", F.regexp_extract("line", AWS, 1)),
-        kind((url != "") & ~url.rlike("|".join(h.replace(".", r"\.") for h in LOCAL_HOSTS)), "url", domain(url)),
-    )
+    )
+    kinds = F.concat(kinds, several("aws", F.array_distinct(every(AWS))), several("url", F.transform(F.filter(every(URL), lambda url: ~url.rlike(local)), domain)))
     return each_line.select("path", "line_no", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("path", "line_no", "k.kind", "k.what")
 
 
