@@ -1,9 +1,12 @@
 """Operators against brute force, and their results in odd cases."""
 
 import hashlib
+import html
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,9 +17,9 @@ from conftest_llm import SCHEMA, odd_rows, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewell.llm import bytecnn, decontam, htmltext, linededup, lm, neardup, outliers, packing, secrets, trietokens
+from tracewell.llm import bytecnn, decontam, htmlpages, htmltext, linededup, lm, neardup, outliers, packing, secrets, trietokens
 from tracewell.llm import words as W
-from tracewell.llm.shared import vocabulary
+from tracewell.llm.shared import Files, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,6 +97,15 @@ def test_classifier_odd_cases(spark, odd, empty, clashing):
     assert bytecnn.stage(clashing, labels).columns == clashing.columns
 
 
+def test_training_rows_are_bounded_but_whole(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 10 else 200_000)) for i in range(200)] + [(900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    every = [len(r["text"]) for r in bytecnn.training_rows(docs, labels).collect()]
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200)) and every.count(200_000) > 5
+    some = [len(r["text"]) for r in bytecnn.training_rows(docs, labels, most=60, most_bytes=500_000).collect()]
+    assert some == every[: len(some)] and sum(some[:-1]) < 500_000 <= sum(some)
+
+
 # --- 2 near-duplicates
 
 
@@ -203,11 +215,122 @@ def test_near_duplicates_odd_cases(spark, odd, empty, clashing):
 # --- 3 main text
 
 
-def test_labelled_pages_come_back():
-    for page in htmltext.LABELLED:
-        main = re.search(r"\{\{(.*)\}\}", page, re.S)[1]
-        want = [" ".join(re.sub(r"<[^>]*>", "", b).split()) for b in re.split(r"</?(?:p|h\d|div|br|li|ol|ul|tr|table|blockquote)[^>]*>", re.sub(r"</?t[dh]>", " ", main))]
-        assert htmltext.main_text(re.sub(r"\{\{|\}\}", "", page)) == "\n".join(x for x in want if x)
+def found_words(text, known=None):
+    """(words found and wanted, words found, words wanted) of a labelled page."""
+    main = " ".join(re.sub(r"<[^>]*>", " ", x) for x in re.findall(f"{htmlpages.IN}(.*?){htmlpages.OUT}", text, re.S))
+    want, got = Counter(html.unescape(main).split()), Counter(htmltext.main_text(re.sub(f"[{htmlpages.IN}{htmlpages.OUT}]", "", text), known).split())
+    return (want & got).total(), got.total(), want.total()
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_held_out_pages(names):
+    """Pages that were not learnt from; without class names, only elements, words, links and layout tell."""
+    both, got, want = map(sum, zip(*(found_words(p) for p in htmlpages.pages(80, seed=77, names=names)), strict=True))
+    assert both / got > 0.95 and both / want > 0.9
+
+
+def naive_features(page, i):
+    """An element's features by walking through its tokens."""
+    def unshown(of):
+        while of > 0:
+            if page.elements[of].name in htmltext.UNSHOWN:
+                return True
+            of = page.elements[of].parent
+        return False
+
+    words = [0 if name or unshown(of) else len(t.split()) for t, name, of in zip(page.texts, page.names, page.of, strict=True)]
+    linked = [n if link else 0 for n, link in zip(words, page.linked, strict=True)]
+    e = page.elements[i]
+    own = range(e.begin, e.end)
+    n, links = sum(words[t] for t in own), sum(linked[t] for t in own)
+    every = max(sum(words) - sum(linked), 1)
+    before = sum(words[t] - linked[t] for t in range(e.begin)) / every
+    after = 1 - (sum(words[t] - linked[t] for t in range(e.end))) / every
+    stops = sum(len(re.findall(r"[.,;:!?](?:\s|$)", page.texts[t])) for t in own if words[t])
+    steps = lambda x, *edges: sum(x > y for y in edges)
+    out = set(htmltext._labels(e.name, e.attributes))
+    out |= {f"links={steps(links / n, 0, 0.2, 0.5, 0.8)}", f"share={steps((n - links) / every, 0.02, 0.1, 0.25, 0.5, 0.75)}", f"size={steps(n, 5, 15, 40, 120)}", f"stops={steps(stops / n, 0, 0.04)}"}
+    out |= {f"before={steps(before, 0.001, 0.05, 0.5, 0.95)}", f"after={steps(after, 0.001, 0.05, 0.5, 0.95)}"}
+    if n - links <= 0.25 * every and e.name not in htmltext.TEXTUAL:
+        out.add(f"small={e.name}")
+    if any(page.names[t] in ("input", "button", "select", "textarea") for t in own):
+        out.add("controls")
+    up = e.parent
+    while up > 0:
+        if page.elements[up].name in ("article", "main"):
+            out.add("in_article")
+        up = page.elements[up].parent
+    passed = 0
+    for t in own:
+        if words[t] and words[t] <= 40:
+            for w in re.findall(r"©|[^\W\d_]+", html.unescape(page.texts[t]).lower()):
+                if page.linked[t]:
+                    out.add(f"linkword={w}")
+                elif n <= 40 or passed < 6:
+                    out.add(f"word={w}")
+        passed += words[t]
+    return out
+
+
+def test_extraction_is_that_of_a_plain_version():
+    known = htmltext.weights()
+    for text in htmlpages.pages(12, seed=5) + ["<p>x<div class=ad>buy <b>this</b></div>y", "<a href=1>a</a> b <ul><li>c"]:
+        text = re.sub(f"[{htmlpages.IN}{htmlpages.OUT}]", "", text)
+        page = htmltext.parse(text)
+        judged = htmltext.Judged(page, known.lexicon)
+        telling = lambda fs: {f for f in fs if f in known.features}
+        gone = [False] * len(page.elements)
+        for i, e in enumerate(page.elements[1:], 1):
+            gone[i] = gone[e.parent] or e.name in htmltext.UNSHOWN
+            if not gone[i] and i in set(judged.candidates()):
+                fs = naive_features(page, i)
+                assert telling(fs) == telling(judged.features(i))
+                plain = e.name in htmltext.TEXTUAL and not e.attributes
+                if judged.share(i) > htmltext.ALWAYS:
+                    continue
+                if not plain or ("in_article" not in fs and any(f.startswith(("word=", "linkword=")) for f in telling(fs))):
+                    gone[i] = known.features[""] + sum(known.features[f] for f in telling(fs)) > 0
+        scores = [0.0 if gone[of] else known.tokens.get(htmltext._kind(page, t), -0.05) * (1 if page.names[t] else len(page.texts[t].split())) for t, of in enumerate(page.of)]
+        sums = np.concatenate([[0], np.cumsum(scores)])
+        out, begin, end = htmltext.region(page, known)
+        assert out == [gone[of] for of in page.of]
+        assert math.isclose(sums[end] - sums[begin], max(0.0, (sums[None, :] - sums[:, None])[np.triu_indices(len(sums))].max()), abs_tol=1e-6)
+
+
+STORY = [" ".join(htmlpages.Maker(i).sentence() for _ in range(4)) for i in range(10)]
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "has-sidebar", "page no-comments", "post share-enabled", "menu-page", "layout ad-free"])
+def test_no_name_decides_alone(name):
+    page = f'<html><body><nav><a href="/">Home</a> <a href="/b">News</a></nav><div class="{name}">{"".join(f"<p>{x}</p>" for x in STORY)}</div><footer>© us</footer></body></html>'
+    assert htmltext.main_text(page) == "\n".join(" ".join(x.split()) for x in STORY)
+
+
+def test_article_goes_on_after_a_list_of_links():
+    links = "<ul>" + "".join(f'<li><a href="/x{i}">link number {i}</a></li>' for i in range(60)) + "</ul>"
+    got = htmltext.main_text(f"<body><div>{''.join(f'<p>{x}</p>' for x in STORY[:5])}{links}{''.join(f'<p>{x}</p>' for x in STORY[5:])}</div></body>").split("\n")
+    assert all(x in got for x in STORY)
+
+
+def test_comments_and_copyright_without_names():
+    tail = "<div>© 2023 Some Company. All rights reserved.</div><div><h3>3 Comments</h3><div><b>Anna</b> says<p>I liked this story.</p><a href=x>Reply</a></div></div>"
+    assert htmltext.main_text(f"<body><div>{''.join(f'<p>{x}</p>' for x in STORY)}</div>{tail}</body>") == "\n".join(STORY)
+
+
+def test_unclosed_elements_lose_nothing():
+    page = f"<body><article><p>{STORY[0]}</p><div class='ad'>{'<b>' * 520}buy now</div>{''.join(f'<p>{x}</p>' for x in STORY[1:])}</article></body>"
+    assert htmltext.main_text(page) == "\n".join(STORY)
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[", "<!--", "<a ", "<a '", "<a '>' ", "<p><b>", "<", "<a href='x", "<script>", "<div>", "</b>", "<li><p>", "</script <x"])
+def test_time_in_proportion(part):
+    def took(n):
+        began = time.process_time()
+        htmltext.main_text(part * n + '"')
+        return time.process_time() - began
+
+    htmltext.weights()
+    assert took(40_000) < 12 * took(5_000) + 0.5
 
 
 ARTICLE = "<article><h1>A &amp; B</h1><p>First  paragraph of the\nstory &lt;here&gt; goes on and on.</p>{}<p>Second one, with <b>bold</b>words, is the last of the story.</p></article>"
@@ -264,15 +387,58 @@ def test_trie_counts_are_the_cheapest_segmentations(texts):
     assert model.counts(texts).tolist() == [brute_tokens(model, t) for t in texts]
 
 
+def brute_pieces(model, text):
+    """The pieces of the cheapest segmentation."""
+    best = [(0, [])]
+    for j in range(1, len(text) + 1):
+        ways = [(best[j - 1][0] + len(text[j - 1].encode()) * model.byte_cost, best[j - 1][1])]
+        ways += [(best[i][0] + model.cost[text[i:j]], [*best[i][1], text[i:j]]) for i in range(max(0, j - 40), j) if text[i:j] in model.cost]
+        best.append(min(ways, key=lambda x: x[0]))
+    return best[-1][1]
+
+
+@given(st.dictionaries(st.text(alphabet="abcé😀", min_size=1, max_size=12), st.integers(1, 9), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_pieces_are_counted_as_in_the_cheapest_segmentations(words):
+    # unequal counts, so that no two segmentations cost the same
+    model = trietokens.Model(["a", "ab", "abc", "c", "bc", "cab", "é", "aa", "aaaa"], np.array([131, 71, 17, 97, 37, 7, 53, 29, 11]))
+    want = Counter()
+    for text, n in words.items():
+        for piece in brute_pieces(model, text):
+            want[piece] += n
+    got = model.piece_counts(list(words), np.array(list(words.values()), dtype=np.int64))
+    long = "abcé😀cabaa" * 40
+    assert model._alone(long) == (model._forward([long], None)[0][0], dict(Counter(brute_pieces(model, long))))
+    assert dict(zip(model.pieces, got.tolist(), strict=True)) == {p: want[p] for p in model.pieces}
+
+
 def test_token_counts(spark, odd, empty, clashing):
     path = vocabulary(trietokens.VOCABULARY)
-    model = trietokens.Model.of(path)
+    learnt, words = None, Counter(trietokens.MARK + w for _, t, *_ in odd_rows() for w in WORD.findall(t or ""))
+    assert {r["word"]: r["n"] for r in trietokens.word_counts(clashing).collect()} == words
+    for _ in range(trietokens.ROUNDS):
+        model = trietokens.Model.of(path, learnt)
+        learnt = model.piece_counts(list(words), np.array(list(words.values())))
+    assert (trietokens.estimated(clashing, path) == learnt).all()
+    model = trietokens.Model.of(path, learnt)
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_tokens"]) for r in trietokens.count(clashing, path).collect())
-    want = sorted((i or 0, len(WORD.findall(t or "")), sum(brute_tokens(model, trietokens.MARK + w) for w in WORD.findall(t or ""))) for i, t, *_ in odd_rows() if i != 8)
+    tokens = {w: brute_tokens(model, w) for w in words if len(w) < 100}
+    want = sorted((i or 0, len(WORD.findall(t or "")), sum(tokens[trietokens.MARK + w] for w in WORD.findall(t or ""))) for i, t, *_ in odd_rows() if i != 8)
     assert [x for x in got if x[0] != 8] == want
     assert trietokens.count(empty, path).count() == 0
 
 
+def test_estimated_pieces_cost_less_than_equal_ones(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(("the", "theory", "there", "other", "bother", "them")) for _ in range(40))) for i in range(30)], "doc_id long, text string")
+    path = vocabulary(trietokens.VOCABULARY)
+    counts = trietokens.estimated(docs, path)
+    share = (counts + trietokens.LEAST) / (counts + trietokens.LEAST).sum()
+    cost = lambda p, c: -(c * np.log(p)).sum()
+    first = trietokens.estimated(docs, path, rounds=1)
+    assert cost(share, counts) < cost(np.full(len(share), 1 / len(share)), first) / 2 and counts.sum() <= first.sum() * 1.5
+
+
 # --- 5 line dedup
 
 
@@ -310,49 +476,74 @@ def test_line_dedup_odd_cases(spark, odd, empty, clashing):
 # --- 6 language model
 
 
-def brute_model(train):
-    words, pairs = Counter(), Counter()
+def brute_model(train, order):
+    """(counts of words, probability of a word after order - 1 others)."""
+    words, grams = Counter(), {k: Counter() for k in range(1, order + 1)}
     for t in train:
         w = [*WORD.findall(fold(t or "")), "\0end"]
         words.update(w)
-        pairs.update(zip(["\0start", *w[:-1]], w, strict=True))
-    after, kinds, before = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (a, b), n in pairs.items():
-        after[a] += n
-        kinds[a][min(n, 3) - 1] += 1
-        before[b] += 1
-    count = lambda c: lm.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
-    d, e = count(pairs), count(before)
+        padded = ["\0start"] * (order - 1) + w
+        grams[order].update(tuple(padded[i : i + order]) for i in range(len(w)))
+    for k in range(order - 1, 0, -1):
+        grams[k].update(g[1:] for g in grams[k + 1])
+    after, kinds = {k: Counter() for k in grams}, {k: defaultdict(lambda: [0, 0, 0]) for k in grams}
+    for k, counted in grams.items():
+        for g, n in counted.items():
+            after[k][g[:-1]] += n
+            kinds[k][g[:-1]][min(n, 3) - 1] += 1
+    d = {k: lm.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for k, c in grams.items()}
     off = lambda n, x: 0 if not n else x[min(n, 3) - 1]
-    total = max(len(pairs), 1)
-    mass = sum(off(n, e) for n in before.values()) / total if pairs else 1.0
 
-    def probability(a, b):
-        low = max(before[b] - off(before[b], e), 0) / total + mass / (len(words) + 1)
-        if not after[a]:
+    def probability(gram):
+        k = len(gram)
+        low = probability(gram[1:]) if k > 1 else 1 / (len(words) + 1)
+        total = after[k][gram[:-1]]
+        if not total:
             return low
-        return max(pairs[a, b] - off(pairs[a, b], d), 0) / after[a] + sum(x * k for x, k in zip(d, kinds[a], strict=True)) / after[a] * low
+        return max(grams[k][gram] - off(grams[k][gram], d[k]), 0) / total + sum(x * n for x, n in zip(d[k], kinds[k][gram[:-1]], strict=True)) / total * low
 
     return words, probability
 
 
-@pytest.mark.parametrize("frequent", [3, 10**9])
-def test_model_is_kneser_ney(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "order"), [(3, 2), (10**9, 2), (3, 3), (10**9, 4)])
+def test_model_is_kneser_ney(spark, monkeypatch, frequent, order):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     monkeypatch.setattr(lm, "SHARD", 60)
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(40), 6)) for i in range(60)] + [(60, "same " * 600), (61, None), (62, ""), (63, "Never SEEN words")]
-    got = by_id(lm.perplexities(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = by_id(lm.perplexities(spark.createDataFrame(rows, "doc_id long, text string"), order))
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
-    words, p = brute_model([t for i, t in rows if not held[i]])
+    words, p = brute_model([t for i, t in rows if not held[i]], order)
     n, v = words.total(), len(words)
-    assert abs(sum(p("\0start", w) for w in [*words, "\0unknown"]) - 1) < 1e-9 and abs(sum(p("same", w) for w in [*words, "\0unknown"]) - 1) < 1e-9
+    for context in (["\0start"] * (order - 1), ["same"] * (order - 1)):
+        assert abs(sum(p((*context, w)) for w in [*words, "\0unknown"]) - 1) < 1e-9
     for i, t in rows:
         w = [*WORD.findall(fold(t or "")), "\0end"]
+        padded = ["\0start"] * (order - 1) + w
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w), sum(words[x] > 0 for x in w), n)
         assert math.isclose(r["base_score"], sum(math.log10((words[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, b)) for a, b in zip(["\0start", *w[:-1]], w, strict=True)), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(padded[j : j + order]))) for j in range(len(w))), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_more_shards_than_files_may_be_open(tmp_path):
+    """1500 shards in a process that may have 256 files open."""
+    import resource
+
+    files = Files(f"file://{tmp_path}/lm", most=100)
+    keys = np.sort(W.mix(np.arange(20_000, dtype=np.uint64)))
+    shard = (W.mix(keys) % W.U(1500)).astype(np.int64)
+    for s in range(1500):
+        mine = keys[shard == s]
+        lm._write(files, f"known-{s}", mine, np.concatenate([(mine % W.U(1000)).astype(np.uint32), np.zeros(5 * len(mine), np.uint32)]))
+    model = lm.Model(files, 2, 1500, np.zeros(1, W.U), 1, 1, 1, {2: (0.5, 0.5, 0.5)}, (0.5, 0.5, 0.5), 1.0)
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, before[1]))
+    try:
+        assert all((model.known(keys)[0] == (keys % W.U(1000)).astype(np.int64)).all() for _ in range(2)) and len(files.opened) <= 100
+        assert files.read("nothing") is None
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
 
 
 def test_model_odd_cases(spark, odd, empty, clashing):
@@ -438,8 +629,12 @@ def test_decontamination_is_that_of_brute_force(spark):
         at = rng.randrange(len(w) + 1)
         docs.append((i, " ".join(w[:at] + item + w[at:])))
     docs.append((60, " ".join(t for _, t in items if t)))
-    sh = lambda t: {tuple(w[i : i + 5]) for w in [WORD.findall(fold(t or ""))] for i in range(len(w) - 4)}
-    want = {d: sorted(i for i, t in items if i is not None and sh(t) and len(sh(t) & sh(x)) / len(sh(t)) >= 0.8) for d, x in docs}
+    docs += [(61 + j, f"{x} and {y}" if x else y) for j, (x, y) in enumerate(itertools.product(("", "before"), ("lone", "Two words", "three SHORT words", "three short", items[9][1], items[9][1].upper() + " after")))]
+    items += [(30, "lone"), (31, "two words"), (32, "three short words")]
+    runs = lambda t, k: {tuple(w[i : i + k]) for w in [WORD.findall(fold(t or ""))] for i in range(len(w) - k + 1)}
+    size = lambda t: min(5, len(WORD.findall(t or "")))
+    sh = lambda t: runs(t, size(t)) if size(t) else set()
+    want = {d: sorted(i for i, t in items if i is not None and sh(t) and len(sh(t) & runs(x, size(t))) / len(sh(t)) >= 0.8) for d, x in docs}
     got = by_id(decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
     assert {d: r["item_ids"] for d, r in got.items()} == want and sum(map(len, want.values())) > 20
     assert all(r["contaminated"] == bool(r["item_ids"]) for r in got.values())
@@ -450,7 +645,9 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(rng, 30)) for i in range(40)], "item_id long, text string")
     docs = spark.createDataFrame([(i, prose(rng, 50) + " " + r["text"]) for i, r in enumerate(items.collect())], "doc_id long, text string")
     one = sorted(map(str, decontam.report(docs, items).collect()))
-    monkeypatch.setattr(decontam, "BLOCK", 200)
+    monkeypatch.setattr(decontam, "BLOCK", 400)
+    assert sorted(map(str, decontam.report(docs, items).collect())) == one
+    monkeypatch.setattr(decontam, "BLOCK", 100)  # more blocks than are broadcast
     assert sorted(map(str, decontam.report(docs, items).collect())) == one
 
 

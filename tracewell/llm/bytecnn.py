@@ -13,15 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import held_out, of_bytes, text_of
 
 FILTERS, WIDTH, HALF = 16, 6, 128
-#: Training: most labelled rows, most bytes of a training text, passes, rows of a step, step size.
-SAMPLE, LONGEST, PASSES, STEP_ROWS, RATE = 3000, 65536, 8, 24, 0.02
+#: Training: most labelled rows, most bytes of their texts together, passes, rows of a step, step size.
+SAMPLE, BYTES, PASSES, STEP_ROWS, RATE = 3000, 32 << 20, 8, 24, 0.02
 #: A document is good from this score on.
 GOOD = 0.7
 SLICE = 1 << 19
@@ -153,14 +153,19 @@ def _gradients(net: Network, texts: list[bytes], error: np.ndarray, begin: np.nd
     return [filters, bias]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """text, label of at most `most` labelled documents that are not held out, the first by a hash of their ids.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = BYTES) -> DataFrame:
+    """text, label of labelled documents that are not held out, in the order of a hash of their ids: the first `most` rows, as far as their texts have
+    `most_bytes` together; the text that reaches the bound is the last.
 
-    Rows with a null label, id or text are not taken, nor texts beyond LONGEST bytes; a document labelled twice is taken twice."""
+    Texts of any length are taken whole. Rows with a null label or id are not taken; a document labelled twice is taken twice; one with a null text takes its
+    place and teaches nothing."""
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__label"))
-    chosen = ids.orderBy(F.xxhash64("__id"), "__id", "__label").limit(2 * most)
-    texts = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    return texts.orderBy(F.xxhash64("__id"), "__id", "__label", "text").limit(most).select("text", F.col("__label").alias("label"))
+    there = docs.select(F.col("doc_id").alias("__id"))
+    order = (F.xxhash64("__id"), F.col("__id"), F.col("__label"))
+    chosen = ids.join(there, "__id", "left_semi").orderBy(*order).limit(most)  # so many small rows: broadcast
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).orderBy(*order, "text").limit(most)
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1))  # of `most` rows at most
+    return texts.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) < most_bytes).select("text", F.col("__label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network:

@@ -1,9 +1,16 @@
 """Main text of HTML pages as the maximum-scoring run of their tokens.
 
-A page is a sequence of words and tags. Each has a weight: the logarithm of how much more often its kind stands in the
-main text than outside, counted over labelled pages; words in running text come out positive, tags and words of links and
-lists negative. One linear scan finds the run of tokens with the highest sum, the content region. Parts that are by their
-element not content (scripts, menus, forms, adverts, comments, ...) weigh nothing in the scan and give no text.
+A page is a sequence of words and tags. Words score positive and tags negative, words of links and lists less than those of running
+text; how much, is counted over labelled pages: the logarithm of how much more often a kind stands in the main text than outside. One
+linear scan finds the run of tokens with the highest sum, the content region.
+
+Parts that are no article (menus, adverts, notices, comments, ...) may stand in the region or between its halves. Each element is
+judged by a logistic model learnt from the same pages: its name, the parts of its classes, ids and roles, its share of the page's words, its size,
+its share of links, its punctuation, its place, and some of its words. No feature decides alone: an element that holds most of
+the page's words that are no links (ALWAYS of them) stays whatever it is called. A part that goes gives no text and weighs nothing in the scan.
+
+What is not shown as text (scripts, styles, templates, controls) is left out by its element. All steps take time in
+proportion to the page.
 """
 
 from __future__ import annotations
@@ -11,160 +18,343 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .htmlpages import IN, OUT, pages
 from .shared import of_bytes, text_of
 
 SLICE = 2 << 20
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*>|[^<]+|<",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Labelled pages that are learnt from, and parts that a word has to stand in to tell them.
+LABELLED, TELLING = 600, 20
+#: Share of a page's words outside links from which an element is never a part.
+ALWAYS = 0.75
+#: How much dearer it is to lose an element of the article than to keep another part, and the decay of features' weights.
+DEAR, DECAY = 4.0, 2e-5
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is not markup: all up to their end tag belongs to them.
-RAW = ("script", "style", "template", "noscript", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
+RAW = frozenset("script style template noscript textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never part of an article's text.
-OUTSIDE = frozenset("head script style template noscript textarea title iframe noembed noframes nav aside form button select option datalist dialog menu svg canvas object applet audio video math map".split())
-#: These are outside unless they stand in an article, where they may hold its heading; a footer is always outside.
-PAGE_PARTS = frozenset(("header",))
+#: Elements that show no text of an article, whatever they hold.
+UNSHOWN = frozenset("head script style template noscript textarea title iframe noembed noframes button select option datalist svg canvas object applet audio video map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CELLS = frozenset(("td", "th"))
-#: An open p ends where one of these begins; and each of these ends the open one of its own kind.
+#: Elements of running text. Without attributes they are parts of their own only where a telling word stands in them, and never in an article element.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th blockquote pre figcaption figure caption center hr address".split())
+#: An open p ends where a block begins, unless one of these is more inner; and each of the keys ends the open one of its own kind.
+P_SCOPE = ("article", "aside", "blockquote", "button", "div", "footer", "form", "header", "li", "main", "nav", "section", "table", "td", "th", "body")
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Parts of class names and ids, between hyphens, underscores and changes of case, that mark a part outside the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav header footer masthead toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus respond reply replies share sharing social related recommended recommendations widget pagination pager copyright skip".split()
-)
-ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Names that hold an article whatever their other parts say.
-ARTICLES = frozenset(("article", "main", "body", "html"))
-
-#: Pages with their main text between the marks {{ and }}: the labelled pages from which weights are counted.
-LABELLED = (
-    '<html><head><title>Harbour</title></head><body><div id="top"><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a></div><div id="story">{{<h1>Old harbour opens again</h1><p>The old harbour opened again on Monday after two years of work on its walls and gates.</p><p>Boats of up to nine metres may now moor there, the town said, and a new path leads along the <a href="/q">north quay</a> to the lighthouse.</p><p>Entry is free for the first month.</p>}}</div><div id="more"><ul><li><a href="/1">Ferry times</a></li><li><a href="/2">Weather</a></li><li><a href="/3">Tide tables</a></li></ul></div><div>All rights reserved</div></body></html>',
-    '<html><body><table><tr><td><a href="/a">Index</a></td><td><a href="/b">Contact</a></td></tr></table>{{<h2>How bread rises</h2><p>Yeast eats sugar and gives off gas, and the dough holds the gas in small bubbles.</p><p>Warmth speeds this up. <b>Salt</b> slows it down, which is why bakers weigh it with care.</p><blockquote>Good bread takes its time.</blockquote><ol><li>Mix flour, water and yeast, and let them rest for an hour.</li><li>Fold the dough, shape it and let it rise once more before baking.</li></ol>}}<p><a href="/n">Next</a> | <a href="/p">Previous</a></p></body></html>',
-    '<html><body><div><ul><li><a href="/x">Start</a></li><li><a href="/y">Archive</a></li><li><a href="/z">About us</a></li></ul></div><div>{{<h1>Notes from the observatory</h1><div>Clouds kept us inside for most of the week, but on Thursday the sky cleared shortly after ten.</div><div>We saw the comet low in the west, fainter than hoped and with hardly any tail.<br>Pictures will follow as soon as they are calibrated.</div>}}</div><div><a href="/t1">stars</a> <a href="/t2">comets</a> <a href="/t3">telescopes</a></div></body></html>',
-    '<html><body><p><a href="/">Front page</a></p>{{<h1>Council vote postponed</h1><p>The vote on the new tram line was put off until March because two members were ill.</p><table><tr><th>Line</th><th>Cost</th></tr><tr><td>North</td><td>12 million</td></tr></table><p>Supporters said that they still expect a majority, while others asked for a new survey of the riverside route.</p><ul><li>Work would begin in two years at the earliest.</li><li>Buses would go on running until then.</li></ul>}}<ul><li><a href="/r1">Tram history</a></li><li><a href="/r2">Town plan</a></li></ul><p>Terms of use</p></body></html>',
-)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_LEXICAL = re.compile(r"©|[^\W\d_]+")
+_STOPS = re.compile(r"[.,;:!?](?:\s|$)")
 
 
-def _outside(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether the element with these attributes is a part outside the article."""
-    if name in OUTSIDE or (name in PAGE_PARTS and not in_article) or name == "footer":
-        return True
-    if not attrs or name in ARTICLES:
-        return False
-    for key, a, b, c in _ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), a or b or c
-        if key in ("class", "id") and any(part.lower() in MARKS for part in _PART.findall(value)):
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
-
-
-def _group(name: str) -> str:
-    if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return "heading"
-    if name in ("ul", "ol", "li", "dl", "dt", "dd", "menu"):
-        return "list"
-    if name in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
-        return "table"
-    return name if name in ("a", "p", "br", "blockquote") else "block" if name in BLOCKS else "inline"
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """(kind, text, outside, name): words of a text node come together as kind word:context; tags as kind tag:group. Markers {{ }} pass as they are."""
-    stack: list[tuple[str, bool]] = []  # open elements: name, whether it begins a part outside
-    outside = articles = links = lists = at = 0
-
-    def push(name: str, out: bool) -> None:
-        nonlocal outside, articles, links, lists
-        stack.append((name, out))
-        outside += out
-        articles += name in ("article", "main")
-        links += name == "a"
-        lists += name in ("ul", "ol", "dl")
-
-    def pop() -> None:
-        nonlocal outside, articles, links, lists
-        name, out = stack.pop()
-        outside -= out
-        articles -= name in ("article", "main")
-        links -= name == "a"
-        lists -= name in ("ul", "ol", "dl")
-
-    def close(name: str, within: tuple[str, ...] = ()) -> None:
+@dataclass
+class Element:
+    name: str
+    attributes: str
+    parent: int
+    begin: int  # its first token
+    end: int = 0  # one past its last
+
+
+@dataclass
+class Page:
+    """Tokens in order: texts, and tags with the name "" for a text. of: the element that a token lies in (for a start tag the element itself)."""
+
+    texts: list[str] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
+    of: list[int] = field(default_factory=list)
+    linked: list[bool] = field(default_factory=list)
+    listed: list[bool] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=lambda: [Element("", "", -1, 0)])
+
+
+def parse(page: str) -> Page:
+    """Broken markup is read as far as it goes: what is left open ends with the page, an end tag without a start is a tag alone."""
+    out = Page()
+    stack, open_at, elements = [0], {}, out.elements
+    at, size, quotes = 0, len(page), True  # quotes: whether attributes may hold ">" in quotes; after one that never ends they may not
+    lower = None
+
+    def add(text: str, name: str, of: int) -> None:
+        out.texts.append(text)
+        out.names.append(name)
+        out.of.append(of)
+        out.linked.append(bool(open_at.get("a")))
+        out.listed.append(bool(open_at.get("li") or open_at.get("dd") or open_at.get("dt")))
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            e = elements[stack.pop()]
+            e.end = len(out.texts)
+            open_at[e.name].pop()
+
+    def close(name: str, within: tuple[str, ...] = ()) -> bool:
         """Closes the innermost open element of the name, and what is open in it, unless one of `within` is more inner."""
-        for i in range(len(stack) - 1, max(-1, len(stack) - 513), -1):
-            if stack[i][0] == name:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in within:
-                return
-
-    while at < len(page):
-        found = _TOKEN.match(page, at)
-        at = found.end()
-        name = found["name"]
-        if name is None:
-            text = found[0]
-            if text[0] != "<" or text == "<":
-                context = "link" if links else "list" if lists else "text"
-                yield f"word:{context}", text, outside > 0, ""
-            elif text.startswith("<![CDATA["):
-                yield "word:text", entities.escape(text[9:-3]), outside > 0, ""
+        mine = open_at.get(name)
+        if not mine or any(open_at.get(w) and open_at[w][-1] > mine[-1] for w in within):
+            return False
+        pop_to(mine[-1])
+        return True
+
+    while at < size:
+        less = page.find("<", at)
+        if less < 0:
+            less = size
+        if less > at:
+            add(page[at:less], "", stack[-1])
+            at = less
             continue
-        name = name.lower()
-        if found["close"]:
-            if name == "p" and all(x != "p" for x, _ in stack[-64:]):
-                yield "tag:p", "", outside > 0, name
-                continue
-            was = outside
-            close(name)
-            yield f"tag:{_group(name)}", "", max(was, outside) > 0, name
+        follows = page[at + 1 : at + 2]
+        if follows == "!":
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                at = size if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at) and (end := page.find("]]>", at)) >= 0:
+                add(entities.escape(page[at + 9 : end]), "", stack[-1])
+                at = end + 3
+            elif page.startswith("<![CDATA[", at):  # it takes all that is left
+                add(entities.escape(page[at + 9 :]), "", stack[-1])
+                at = size
+            else:
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            continue
+        closing = follows == "/"
+        found = _NAME.match(page, at + 1 + closing)
+        if not found:
+            if follows in ("?", "/") and (end := page.find(">", at)) >= 0:
+                at = end + 1
+            else:
+                add("<", "", stack[-1])
+                at += 1
+            continue
+        name = found[0].lower()
+        begin = found.end()
+        end = _ATTRIBUTES.match(page, begin).end() if quotes else page.find(">", begin)
+        if quotes and end < size and page[end] != ">":  # a quote that never ends
+            quotes, end = False, page.find(">", begin)
+        end = size if end < 0 else end
+        attributes = page[begin:end]
+        at = end + 1
+        if closing:
+            if name in open_at and open_at[name]:
+                e = stack[open_at[name][-1]]
+                add("", name, e)
+                close(name)
+            else:
+                add("", name, stack[-1])
             continue
         if name in BLOCKS and name != "br":
-            close("p", ("article", "aside", "blockquote", "button", "div", "footer", "form", "header", "li", "main", "nav", "section", "table", "td", "th", "body"))
+            close("p", P_SCOPE)
         if name in SELF_CLOSING:
             close(name, SELF_CLOSING[name])
-        out = _outside(name, found["attrs"], articles > 0)
-        yield f"tag:{_group(name)}", "", outside > 0 or out, name
+        if name in VOID or attributes.endswith("/"):
+            add(attributes if name == "input" else "", name, stack[-1])
+            continue
+        elements.append(Element(name, attributes, stack[-1], len(out.texts)))
+        add("", name, len(elements) - 1)
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(len(elements) - 1)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not found[0].endswith("/>"):
-            push(name, out)
+            lower = lower or page.lower()
+            if len(lower) != size:  # some letters have another number of characters in lower case
+                lower = page
+            stop = lower.find(f"</{name}", at)
+            if stop < 0:
+                at = size
+            else:
+                end = page.find(">", stop)
+                at = size if end < 0 else end + 1
+            pop_to(len(stack) - 1)
+    pop_to(1)
+    elements[0].end = len(out.texts)
+    return out
 
 
-@cache
-def weights() -> dict[str, float]:
-    """log of (share of a kind among tokens inside / share outside), with one half added to each count; tags at most -0.05, words of running text at least 0.5."""
+def _bin(x: float, *edges: float) -> int:
+    return sum(x > e for e in edges)
+
+
+def _labels(name: str, attributes: str) -> list[str]:
+    """Features of an element's own tag."""
+    out = [f"tag={name}"]
+    if attributes:
+        for key, a, b, c in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), a or b or c
+            if key in ("class", "id"):
+                out += {f"part={p.lower()}" for p in _PART.findall(value)}
+            elif key == "role":
+                out.append(f"role={value.lower()}")
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                out.append("hidden")
+    return out
+
+
+class Judged:
+    """Counts over a page's tokens, from which an element's features follow by differences."""
+
+    def __init__(self, page: Page, lexicon: frozenset[str] | None):
+        """lexicon: the words that count as features; None: all."""
+        self.page = page
+        unshown = np.zeros(len(page.elements), dtype=bool)
+        for i, e in enumerate(page.elements):
+            unshown[i] = e.name in UNSHOWN or (e.parent >= 0 and unshown[e.parent])
+        self.unshown = unshown
+        self.in_article = [False] * len(page.elements)
+        for i, e in enumerate(page.elements[1:], 1):
+            self.in_article[i] = self.in_article[e.parent] or page.elements[e.parent].name in ("article", "main")
+        n = len(page.texts)
+        self.words, self.link_words, stops, controls = (np.zeros(n + 1, dtype=np.int64) for _ in range(4))
+        self.said: dict[str, list[int]] = {}
+        self.links_said: dict[str, list[int]] = {}
+        for i, (text, name, of) in enumerate(zip(page.texts, page.names, page.of, strict=True)):
+            if name:
+                controls[i + 1] = name in ("input", "button", "select", "textarea")
+            elif not unshown[of]:
+                k = len(text.split())
+                self.words[i + 1] = k
+                if page.linked[i]:
+                    self.link_words[i + 1] = k
+                if k:
+                    stops[i + 1] = len(_STOPS.findall(text))
+                    if k <= 40:  # texts that are longer are prose
+                        held = self.links_said if page.linked[i] else self.said
+                        for w in _LEXICAL.findall(entities.unescape(text).lower() if "&" in text else text.lower()):
+                            if lexicon is None or w in lexicon:
+                                held.setdefault(w, []).append(i)
+        self.all_words = self.words
+        self.words, self.link_words, self.stops, self.controls = (np.cumsum(x).tolist() for x in (self.words, self.link_words, stops, controls))
+
+    def candidates(self) -> Iterator[int]:
+        """Elements that may be parts: blocks, cells, and inline elements with attributes, if they have words and are shown."""
+        for i, e in enumerate(self.page.elements[1:], 1):
+            if e.name in ("html", "body", "tbody", "br") or self.unshown[i] or self.words[e.end] == self.words[e.begin]:
+                continue
+            if e.name in BLOCKS or e.name in CELLS or (e.attributes and e.name != "a"):
+                yield i
+
+    def share(self, i: int) -> float:
+        """Of the page's words outside links."""
+        e = self.page.elements[i]
+        return (self.words[e.end] - self.link_words[e.end] - self.words[e.begin] + self.link_words[e.begin]) / max(self.words[-1] - self.link_words[-1], 1)
+
+    def features(self, i: int) -> list[str]:
+        e = self.page.elements[i]
+        n = self.words[e.end] - self.words[e.begin]
+        linked = self.link_words[e.end] - self.link_words[e.begin]
+        plain, every = n - linked, max(self.words[-1] - self.link_words[-1], 1)
+        before = (self.words[e.begin] - self.link_words[e.begin]) / every
+        after = 1 - (self.words[e.end] - self.link_words[e.end]) / every
+        stops = self.stops[e.end] - self.stops[e.begin]
+        out = _labels(e.name, e.attributes)
+        out += [f"links={_bin(linked / n, 0, 0.2, 0.5, 0.8)}", f"share={_bin(plain / every, 0.02, 0.1, 0.25, 0.5, 0.75)}", f"size={_bin(n, 5, 15, 40, 120)}", f"stops={_bin(stops / n, 0, 0.04)}"]
+        out += [f"before={_bin(before, 0.001, 0.05, 0.5, 0.95)}", f"after={_bin(after, 0.001, 0.05, 0.5, 0.95)}"]
+        if plain <= 0.25 * every and e.name not in TEXTUAL:
+            out.append(f"small={e.name}")
+        if self.controls[e.end] > self.controls[e.begin]:
+            out.append("controls")
+        if self.in_article[i]:
+            out.append("in_article")
+        within = lambda held: [w for w, at in held.items() if (k := bisect_left(at, e.begin)) < len(at) and at[k] < e.end]
+        out += [f"linkword={w}" for w in within(self.links_said)]
+        first = bisect_left(self.words, self.words[e.begin] + 1, e.begin, e.end + 1)  # its first text with a word
+        lead = self.words[e.begin] + 6
+        for w, at in self.said.items():
+            k = bisect_left(at, e.begin)
+            if k < len(at) and at[k] < e.end and (n <= 40 or (at[k] >= first - 1 and self.words[at[k]] < lead)):
+                out.append(f"word={w}")
+        return out
+
+
+@dataclass
+class Weights:
+    features: dict[str, float]
+    tokens: dict[str, float]
+    lexicon: frozenset[str]
+
+
+def _kind(page: Page, i: int) -> str:
+    """The kind of a token, which its score follows from."""
+    if name := page.names[i]:
+        if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            return "tag:heading"
+        if name in ("ul", "ol", "li", "dl", "dt", "dd", "menu"):
+            return "tag:list"
+        if name in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
+            return "tag:table"
+        return f"tag:{name}" if name in ("a", "p", "br", "blockquote") else "tag:block" if name in BLOCKS else "tag:inline"
+    return "word:link" if page.linked[i] else "word:list" if page.listed[i] else "word:text"
+
+
+def learn(labelled: list[str], rounds: int = 400, least: int = 4) -> Weights:
+    """Weights from pages with their main text between IN and OUT: of tokens, by counting; of features, by logistic regression. A feature of fewer than `least`
+    elements does not count, nor a word of fewer than TELLING parts, or of which one in twenty elements is no part."""
     inside, out = Counter(), Counter()
-    for page in LABELLED:
-        into = False
-        for kind, text, _, _ in tokens(page):
-            for part in re.split(r"(\{\{|\}\})", text) if text else [""]:
-                if part in ("{{", "}}"):
-                    into = part == "{{"
+    rows, marks = [], []
+    for text in labelled:
+        marked = parse(text)
+        main, within = [], False
+        for i, t in enumerate(marked.texts):
+            kept = []
+            for part in re.split(f"([{IN}{OUT}])", t):
+                if part in (IN, OUT):
+                    within = part == IN
                 else:
-                    (inside if into else out)[kind] += len(part.split()) if kind.startswith("word") else 1
+                    kept.append(part)
+                    if not marked.names[i] and part.strip():
+                        (inside if within else out)[_kind(marked, i)] += len(part.split())
+            main.append(within or IN in t)
+            marked.texts[i] = "".join(kept)
+            if marked.names[i]:
+                (inside if within else out)[_kind(marked, i)] += 1
+        judged = Judged(marked, None)
+        words = np.diff(judged.words)
+        good = np.concatenate([[0], np.cumsum(words * np.array(main, dtype=bool))])
+        for i in judged.candidates():
+            e = marked.elements[i]
+            rows.append(judged.features(i))
+            marks.append(good[e.end] == good[e.begin])
+    seen = Counter(f for r in rows for f in r)
+    parts = Counter(f for r, mark in zip(rows, marks, strict=True) if mark for f in r)
+    told = lambda f, n: n >= least if not f.startswith(("word=", "linkword=")) else n >= TELLING and parts[f] >= 0.95 * n
+    listed = sorted(f for f, n in seen.items() if told(f, n))
+    number = {f: k for k, f in enumerate(listed)}
+    x = np.zeros((len(rows), len(listed) + 1))
+    x[:, -1] = 1
+    for r, fs in enumerate(rows):
+        x[r, [number[f] for f in fs if f in number]] = 1
+    y, w = np.array(marks, dtype=float), np.zeros(len(listed) + 1)
+    cost = np.where(y > 0, 1.0, DEAR)
+    cost /= cost.sum()
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        g = x.T @ (cost * (1 / (1 + np.exp(-(x @ w))) - y)) + DECAY * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     kinds = inside.keys() | out.keys()
     total_in, total_out = sum(inside.values()) + len(kinds) / 2, sum(out.values()) + len(kinds) / 2
     raw = {k: math.log((inside[k] + 0.5) / total_in) - math.log((out[k] + 0.5) / total_out) for k in kinds}
-    return {k: max(v, 0.5) if k == "word:text" else min(v, -0.05) if k.startswith("tag") else v for k, v in raw.items()}
+    tokens = {k: max(s, 0.05) if k == "word:text" else min(s, -0.05) if k.startswith("tag") else s for k, s in raw.items()}
+    lexicon = frozenset(f.split("=", 1)[1] for f in listed if f.startswith(("word=", "linkword=")))
+    return Weights({f: float(w[k]) for f, k in number.items()} | {"": float(w[-1])}, tokens, lexicon)
+
+
+@cache
+def weights() -> Weights:
+    return learn(pages(LABELLED))
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -179,38 +369,65 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
-def main_text(page: str | None) -> str:
+def left_out(judged: Judged, known: Weights) -> list[bool]:
+    """Of each element, whether it or one around it is a part that is no article, or not shown."""
+    page = judged.page
+    gone = judged.unshown.tolist()
+    bias, of = known.features[""], known.features.get
+    judge = set(judged.candidates())
+    for i, e in enumerate(page.elements[1:], 1):
+        if gone[e.parent]:
+            gone[i] = True
+        elif i in judge:
+            if judged.share(i) > ALWAYS:
+                continue
+            fs = judged.features(i)
+            if e.name not in TEXTUAL or e.attributes or (not judged.in_article[i] and any(f in known.features for f in fs if f.startswith(("word=", "linkword=")))):
+                gone[i] = bias + sum(of(f, 0.0) for f in fs) > 0
+    return gone
+
+
+def region(page: Page, known: Weights) -> tuple[list[bool], int, int]:
+    """(of each token, whether it is left out; first and one past the last token of the content region)."""
+    judged = Judged(page, known.lexicon)
+    gone = left_out(judged, known)
+    out = [gone[of] for of in page.of]
+    words = judged.all_words[1:].tolist()
+    scores = [0.0 if o else known.tokens.get(_kind(page, i), -0.05) * (1 if page.names[i] else words[i]) for i, o in enumerate(out)]
+    return out, *best_run(scores)
+
+
+def main_text(text: str | None, known: Weights | None = None) -> str:
     """The blocks of the content region, white space inside a block as one space, joined by line ends."""
-    if not page:
+    if not text:
         return ""
-    known = weights()
-    listed = list(tokens(page))
-    scores = [0.0 if out else known.get(kind, -0.05) * (len(text.split()) if kind.startswith("word") else 1) for kind, text, out, _ in listed]
-    begin, end = best_run(scores)
+    page = parse(text)
+    out, begin, end = region(page, known or weights())
     blocks, now = [], []
-    for kind, text, out, name in listed[begin:end]:
-        if kind.startswith("word"):
-            if not out:
-                now.append(text)
-        elif name in BLOCKS or out:
-            if name in BLOCKS:
-                blocks.append("".join(now))
-                now = []
-        elif name in CELLS:
+    for i in range(begin, end):
+        name = page.names[i]
+        if not name:
+            if not out[i]:
+                now.append(page.texts[i])
+        elif name in BLOCKS:
+            blocks.append("".join(now))
+            now = []
+        elif name in CELLS and not out[i]:
             now.append(" ")
     blocks.append("".join(now))
     clean = (" ".join(entities.unescape(x).split()) for x in blocks)
     return "\n".join(x for x in clean if x)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, one row for each row of pages. A null or empty page, or one without words outside of menus and the like, has the text "".
+def extract(table: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars, one row for each row of a table of pages. A null or empty page, or one without words outside of menus and the like, has the text "".
 
-    Whole pages are read; other columns are not. Broken markup is read as far as it goes: what is left open ends with the page."""
+    Whole pages are read; other columns are not. The weights are learnt once, on the driver, from LABELLED pages, whatever the table."""
+    known = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of_bytes(batches, "html", SLICE):
-            texts = [main_text(x) for x in text_of(batch, "html").to_pylist()]
+            texts = [main_text(x, known) for x in text_of(batch, "html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return table.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

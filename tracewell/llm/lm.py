@@ -1,93 +1,45 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped by the workers that score.
-
-Words and pairs are 64-bit hashes. Each task counts its pairs and sends them, as arrays, to shards by the hash of the pair's first
-word; frequent words are spread over all shards by the second. A shard sums its pairs, writes their sorted hashes and counts to
-the shared folder, and sends on what it knows of single words (tokens, followers, predecessors), which a second shuffle sums.
-The number of shards follows the number of tokens, so a shard holds a bounded part however large the corpus. Scoring workers map
-the files and look the distinct words and pairs of a slice of texts up at once.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped by the workers that score.
+
+Words and n-grams are 64-bit hashes. Each task counts its n-grams of the highest order and sends them, as arrays, to shards by the hash of their
+context; n-grams whose context is all of frequent words are spread over all shards. A shard sums its n-grams, writes their sorted hashes and counts to the
+shared folder, sends what it knows of contexts and of single words (tokens, followers, predecessors) on to be summed by a second
+shuffle, and sends the n-grams without their first word, with the number of first words, to the shards of the next lower order. The
+number of shards follows the number of tokens, and is the number of shuffle partitions at least, so a shard holds a bounded part however large the
+corpus. A shard is two files. Scoring workers map them, a bounded number at a time, and look the distinct words and n-grams of a slice of texts up at once.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from urllib.parse import urlparse
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, of_bytes, shared_folder, text_of
-from .words import U, lists, mix, signed, words
+from .shared import Files, cut, held_out, of_bytes, own_place, text_of
+from .words import U, mix, signed, words
 
-#: Tokens of a shard, pairs that a task gathers before it sends their counts, and tokens from which a word is spread over all shards.
-SHARD, GATHER, FREQUENT = 2_000_000, 2_000_000, 250_000
-SLICE = 2 << 20
+#: Words of the longest n-grams.
+ORDER = 2
+#: Tokens of a shard, n-grams that a task gathers before it sends their counts, tokens from which a word is frequent, and how many words can be: more tokens are asked for then.
+SHARD, GATHER, FREQUENT, MOST_FREQUENT = 2_000_000, 2_000_000, 250_000, 1_000_000
+#: Bytes of text scored at once, up to the second figure where a model has more files than may be open.
+SLICE, LARGE_SLICE = 2 << 20, 16 << 20
 START, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
-#: What is known of a word: tokens, kinds of words before it, tokens after it as a context, and kinds of words after it once, twice, more often.
+#: What is known of a word: tokens, and kinds of words before it; and of a context: tokens after it, and kinds of words after it once, twice, more often.
 COLUMNS = ("tokens", "before", "after", "once", "twice", "more")
-_ARRAYS = "keys array<long>, " + ", ".join(f"{c} array<long>" for c in COLUMNS)
-
-
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * U(0xA24BAED4963EE407) + second)
+#: What goes from task to task: n-grams (kind 1; cols are their words and counts) or what is known of words and contexts (kind 0; cols are keys and COLUMNS),
+#: and how many n-grams were seen once to four times.
+ROWS = "kind int, shard int, cols array<array<long>>, seen array<long>"
 
 
-@dataclass
-class Store:
-    """Arrays by name in a folder that driver and executors share."""
-
-    uri: str
-    opened: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {"uri": self.uri, "opened": {}}
-
-    def _local(self) -> str | None:
-        parsed = urlparse(self.uri)
-        return parsed.path if parsed.scheme in ("", "file") else None
-
-    def _remote(self):
-        from pyarrow.fs import FileSystem
-
-        return FileSystem.from_uri(self.uri)
-
-    def write(self, name: str, array: np.ndarray) -> None:
-        """Whole or not at all, so a task that runs twice does no harm."""
-        if folder := self._local():
-            os.makedirs(folder, exist_ok=True)
-            part = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"
-            np.save(part, array)
-            os.replace(part, f"{folder}/{name}.npy")
-            return
-        files, folder = self._remote()
-        part = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"
-        with files.open_output_stream(part) as out:
-            np.save(out, array)
-        files.move(part, f"{folder}/{name}.npy")
-
-    def read(self, name: str) -> np.ndarray | None:
-        """Memory-mapped; None if there is no such array. From a store without local paths the file is first copied to this machine, where it has no name and goes with the worker."""
-        if name not in self.opened:
-            if folder := self._local():
-                path = f"{folder}/{name}.npy"
-                self.opened[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-            else:
-                files, folder = self._remote()
-                if not files.get_file_info(f"{folder}/{name}.npy").is_file:
-                    self.opened[name] = None
-                    return None
-                with tempfile.NamedTemporaryFile(suffix=".npy") as copy, files.open_input_stream(f"{folder}/{name}.npy") as source:
-                    while block := source.read(1 << 20):
-                        copy.write(block)
-                    copy.flush()
-                    self.opened[name] = np.load(copy.name, mmap_mode="r")
-        return self.opened[name]
+def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """Of n-grams, from their words' hashes, one array a place; a single word keeps its own."""
+    return reduce(lambda h, w: mix(h * U(0xA24BAED4963EE407) + w), columns)
 
 
 def _sums(keys: list[np.ndarray], *columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -108,13 +60,14 @@ def _by_shard(shard: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[
         yield s, [c[at] for c in columns]
 
 
-def _texts_as_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token) of all tokens of all rows in order, and tokens of each row: its words and one end; the first context is the start."""
+def _texts_as_grams(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(n-grams of all tokens of all rows in order, one array a place, the token last; tokens of each row): its words and one end, before which stand order - 1 starts."""
     w = words(text_of(batch))
-    ends = np.cumsum(w.counts)
-    token = np.insert(w.hashes, ends, END)
-    context = np.insert(w.hashes, ends - w.counts, START)
-    return context, token, w.counts + 1
+    token = np.insert(w.hashes, np.cumsum(w.counts), END)
+    n = w.counts + 1
+    at = np.arange(len(token))
+    place = at - np.repeat(np.cumsum(n) - n, n)
+    return [np.where(place >= back, token[np.maximum(at - back, 0)], START) for back in range(order - 1, 0, -1)] + [token], n
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +78,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([signed(k), pa.array(c)], ["word", "tokens"])
 
     for batch in of_bytes(batches, "text", SLICE):
-        _, token, _ = _texts_as_pairs(batch)
+        (token,), _ = _texts_as_grams(batch, 1)
         k, c = np.unique(token, return_counts=True)
         keys.append(k)
         counts.append(c)
@@ -140,14 +93,6 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _sort_pairs(first: np.ndarray, second: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])[: len(first)])
-    n = np.diff(np.concatenate([new, [len(first)]])) if counts is None else np.add.reduceat(counts[order], new) if len(new) else counts
-    return first[new], second[new], n
-
-
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Chen and Goodman's three discounts from the numbers of n-grams seen once to four times; 0.75 where they leave one undefined."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -156,45 +101,71 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(x if 0 < x < k else 0.75 for k, x in enumerate(found, 1))
 
 
+def _write(files: Files, name: str, *arrays: np.ndarray) -> None:
+    """Arrays of one file: their number, then of each its dtype and shape, then their values, each at a multiple of eight bytes."""
+    heads = [np.frombuffer(a.dtype.str.encode().ljust(8), dtype=np.int64).tolist() + [a.shape[0] if a.ndim > 1 else 1, a.shape[-1]] for a in arrays]
+    parts = [np.array([len(arrays), *sum(heads, [])], dtype=np.int64).tobytes()]
+    for a in arrays:
+        parts += [np.ascontiguousarray(a).tobytes(), bytes(-a.nbytes % 8)]
+    files.write(name, parts)
+
+
+def _read(files: Files, name: str) -> list[np.ndarray] | None:
+    data = files.read(name)
+    if data is None:
+        return None
+    number = int(np.frombuffer(data, np.int64, 1)[0])
+    heads = np.frombuffer(data, np.int64, 3 * number, 8).reshape(-1, 3)
+    at, out = 8 + 24 * number, []
+    for kind, rows, columns in heads.tolist():
+        dtype = np.dtype(np.array([kind], dtype=np.int64).tobytes().decode().strip())
+        array = np.frombuffer(data, dtype, rows * columns, at)
+        out.append(array.reshape(rows, columns) if rows != 1 else array)
+        at += array.nbytes + -array.nbytes % 8
+    return out
+
+
+def _places(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is the key's) of each of the keys in a sorted array that is not empty."""
+    place = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return place, held[place] == keys
+
+
 @dataclass
 class Model:
-    store: Store
+    files: Files
+    order: int
     shards: int
     frequent: np.ndarray  # sorted hashes
     train_tokens: int
     vocabulary: int
     pairs: int  # distinct pairs
-    pair_discounts: tuple[float, float, float]
+    discounts: dict[int, tuple[float, float, float]]  # of n-grams of two words and more
     word_discounts: tuple[float, float, float]
     word_mass: float  # of the discounts, for the uniform distribution
 
-    def shard(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return _shard(first, second, self.frequent, self.shards)
-
     def known(self, keys: np.ndarray) -> np.ndarray:
-        """COLUMNS of each of the keys; zeros for words that the training texts do not have."""
+        """COLUMNS of each of the words or contexts; zeros for those that the training texts do not have."""
         out = np.zeros((len(COLUMNS), len(keys)), dtype=np.int64)
         for s, (at,) in _by_shard((mix(keys) % U(self.shards)).astype(np.int64), self.shards, [np.arange(len(keys))]):
-            held = self.store.read(f"words-{s}-keys")
-            if held is not None and len(held):
-                place = np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)
-                hit = held[place] == keys[at]
-                out[:, at[hit]] = self.store.read(f"words-{s}-counts")[:, place[hit]]
+            held = _read(self.files, f"known-{s}")
+            if held is not None and len(held[0]):
+                place, hit = _places(held[0], keys[at])
+                out[:, at[hit]] = held[1].reshape(len(COLUMNS), -1)[:, place[hit]]
         return out
 
-    def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(first), dtype=np.int64)
-        key = pair_hash(first, second)
-        for s, (at,) in _by_shard(self.shard(first, second), self.shards, [np.arange(len(first))]):
-            held = self.store.read(f"pairs-{s}-keys")
-            if held is not None and len(held):
-                place = np.minimum(np.searchsorted(held, key[at]), len(held) - 1)
-                hit = held[place] == key[at]
-                count = self.store.read(f"pairs-{s}-counts")[place[hit]].astype(np.int64)
+    def counts(self, columns: list[np.ndarray]) -> np.ndarray:
+        """How often each of the n-grams counts: in the highest order its occurrences, in lower ones the kinds of words before it."""
+        out = np.zeros(len(columns[0]), dtype=np.int64)
+        key = gram_hash(columns)
+        for s, (at,) in _by_shard(_shard(columns, self.frequent, self.shards), self.shards, [np.arange(len(key))]):
+            held = _read(self.files, f"grams{len(columns)}-{s}")
+            if held is not None and len(held[0]):
+                place, hit = _places(held[0], key[at])
+                count = held[1][place[hit]].astype(np.int64)
                 many = np.flatnonzero(count == 255)
                 if len(many):
-                    big = self.store.read(f"pairs-{s}-many")
-                    count[many] = big[1][np.searchsorted(big[0], key[at[hit]][many])].astype(np.int64)
+                    count[many] = held[3][np.searchsorted(held[2], key[at[hit]][many])]
                 out[at[hit]] = count
         return out
 
@@ -203,131 +174,161 @@ class Model:
         uniform = self.word_mass / (self.vocabulary + 1)
         return np.maximum(before - _discount(before, self.word_discounts), 0.0) / max(self.pairs, 1) + uniform
 
-    def scores(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability, log10 base probability, known) of each token."""
-        keys, which = np.unique(np.concatenate([context, token]), return_inverse=True)
+    def scores(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, log10 base probability, known) of each token, the last of its n-gram."""
+        keys, which = np.unique(columns[-1], return_inverse=True)
         known = self.known(keys)
-        c, t = which[: len(context)], which[len(context) :]
-        # Distinct pairs: their places in keys in one number.
-        pair, back = np.unique(c.astype(U) * U(len(keys)) + t.astype(U), return_inverse=True)
-        pc_, pt = (pair // U(len(keys))).astype(np.int64), (pair % U(len(keys))).astype(np.int64)
-        count = self.pair_counts(keys[pc_], keys[pt])
-        lower = self.word_probability(known[1].astype(np.float64))[pt]
-        after = known[2][pc_]
-        d1, d2, d3 = self.pair_discounts
-        mass = d1 * known[3] + d2 * known[4] + d3 * known[5]
-        seen = np.maximum(after, 1)
-        p = np.where(after > 0, np.maximum(count - _discount(count, self.pair_discounts), 0.0) / seen + mass[pc_] / seen * lower, lower)
+        p = self.word_probability(known[1].astype(np.float64))[which]
+        for k in range(2, self.order + 1):
+            mine = columns[-k:]
+            _, first, back = np.unique(gram_hash(mine), return_index=True, return_inverse=True)
+            mine = [c[first] for c in mine]
+            count, lower = self.counts(mine), p[first]
+            contexts, of = np.unique(gram_hash(mine[:-1]), return_inverse=True)
+            _, _, after, once, twice, more = self.known(contexts)
+            d1, d2, d3 = self.discounts[k]
+            seen = np.maximum(after, 1)
+            mass = (d1 * once + d2 * twice + d3 * more) / seen
+            p = np.where(after[of] > 0, np.maximum(count - _discount(count, self.discounts[k]), 0.0) / seen[of] + mass[of] * lower, lower)[back]
         base = np.log10((known[0] + 0.1) / (self.train_tokens + 0.1 * (self.vocabulary + 1)))
-        return np.log10(p)[back], base[t], known[0][t] > 0
+        return np.log10(p), base[which], (known[0] > 0)[which]
 
 
 def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, 3).astype(np.int64)]
 
 
-def _shard(first: np.ndarray, second: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
-    by = first
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, first), len(frequent) - 1)
-        by = np.where(frequent[at] == first, second + first, first)
-    return (mix(by) % U(shards)).astype(np.int64)
+def _shard(columns: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarray:
+    """By the context, or by the whole n-gram where all words of the context are frequent."""
+    spread = np.ones(len(columns[0]), dtype=bool)
+    for c in columns[:-1]:
+        spread &= _places(frequent, c)[1]
+    return (mix(np.where(spread, gram_hash(columns), gram_hash(columns[:-1]))) % U(shards)).astype(np.int64)
+
+
+def _rows(kind: int, shard: np.ndarray, shards: int, columns: list[np.ndarray], seen: list[int] | None = None) -> pa.Table:
+    """A row for each shard with its part of the columns; the first row tells what was seen."""
+    dealt = list(_by_shard(shard, shards, columns))
+    if not dealt and seen:
+        dealt = [(0, [c[:0] for c in columns])]
+    parts = [p.view(np.int64) for _, row in dealt for p in row]
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+    outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) + 1, len(columns), dtype=np.int32)), inner)
+    return pa.Table.from_arrays([pa.array(np.full(len(dealt), kind, np.int32)), pa.array([s for s, _ in dealt], pa.int32()), outer, pa.array([seen if i == 0 else None for i in range(len(dealt))], pa.list_(pa.int64()))], ["kind", "shard", "cols", "seen"])
+
 
+def _columns(group: pa.Table) -> list[np.ndarray]:
+    """The columns of all rows of a group, one row after the other."""
+    rows = [[np.asarray(c.values) for c in row] for batch in group.column("cols").chunks for row in batch]
+    return [np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*rows, strict=True)]
 
-def fit(texts: DataFrame) -> Model:
+
+def fit(texts: DataFrame, order: int = ORDER) -> Model:
     """A model of the rows of texts (null: empty). Each row is a document that counts as often as it occurs."""
     spark = texts.sparkSession
-    store = Store(f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}")
-    counts = texts.select("text").mapInArrow(_token_rows, "word long, tokens long").groupBy("word").agg(F.sum("tokens").alias("tokens"))
-    frequent_rows = counts.where(F.col("tokens") > FREQUENT).select("word").toArrow()  # at most one for each FREQUENT tokens
+    files = Files(own_place(spark, "lm"))
+    counts = cut(texts.select("text").mapInArrow(_token_rows, "word long, tokens long").groupBy("word").agg(F.sum("tokens").alias("tokens")), "words")
+    tokens = counts.agg(F.sum("tokens")).first()[0] or 0
+    least = max(FREQUENT, tokens // MOST_FREQUENT)
+    frequent_rows = counts.where(F.col("tokens") > least).select("word").toArrow()  # MOST_FREQUENT at most, which is 8 MB
     frequent = np.sort(np.array([*frequent_rows["word"].to_numpy(), START.astype(np.int64)]).view(U))
-    total = texts.select(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / 6 / SHARD))  # six characters a token, about
+    shards = max(1, math.ceil(tokens / SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, n = [], [], 0
+    def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a, b, c = _sort_pairs(np.concatenate(first), np.concatenate(second), None)
-            rows = list(_by_shard(_shard(a, b, frequent, shards), shards, [a, b, c]))
-            sizes = np.array([len(x[0]) for _, x in rows])
-            parts = [np.concatenate([x[i] for _, x in rows]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), lists(signed(parts[0]), sizes), lists(signed(parts[1]), sizes), lists(pa.array(parts[2].astype(np.int32)), sizes)], ["shard", "first", "second", "n"])
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            _, first, count = np.unique(gram_hash(columns), return_index=True, return_counts=True)
+            columns = [c[first] for c in columns]
+            yield from _rows(1, _shard(columns, frequent, shards), shards, [*columns, count]).to_batches()
 
         for batch in of_bytes(batches, "text", SLICE):
-            context, token, _ = _texts_as_pairs(batch)
-            first.append(context)
-            second.append(token)
-            n += len(token)
+            columns, _ = _texts_as_grams(batch, order)
+            held.append(columns)
+            n += len(columns[0])
             if n > GATHER:
                 yield from flush()
-                first, second, n = [], [], 0
+                held, n = [], 0
         if n:
             yield from flush()
 
-    def word_batch(shard: np.ndarray, keys: np.ndarray, columns: list[np.ndarray], cc: list[int]) -> pa.Table:
-        rows = list(_by_shard(shard, shards, [keys, *columns]))
-        sizes = np.array([len(x[0]) for _, x in rows], dtype=np.int64)
-        parts = [np.concatenate([np.zeros(0, np.int64), *(x[i].view(np.int64) for _, x in rows)]) for i in range(len(COLUMNS) + 1)]
-        marks = [cc if i == 0 else None for i in range(len(rows))]
-        return pa.Table.from_arrays([pa.array([s for s, _ in rows], pa.int32()), *(lists(pa.array(p), sizes) for p in parts), pa.array(marks, pa.list_(pa.int64()))], ["shard", "keys", *COLUMNS, "cc"])
-
-    def sum_pairs(group: pa.Table) -> pa.Table:
-        shard = group["shard"][0].as_py()
-        flat = lambda name: group[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        a, b, n = _sort_pairs(flat("first").view(U), flat("second").view(U), flat("n").astype(np.int64))
-        key = pair_hash(a, b)
-        order = np.argsort(key)
-        key, count = key[order], n[order]
-        store.write(f"pairs-{shard}-keys", key)
-        store.write(f"pairs-{shard}-counts", np.minimum(count, 255).astype(np.uint8))
-        many = count >= 255
-        store.write(f"pairs-{shard}-many", np.stack([key[many], count[many].astype(U)]))
-        one = np.ones(len(n), dtype=np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        contexts = [np.add.reduceat(x, begin) for x in (n, (n == 1) * one, (n == 2) * one, (n > 2) * one)]
-        zero = np.zeros(len(begin), dtype=np.int64)
-        followers, before = _sums([b], [one])
-        none = np.zeros(len(followers), dtype=np.int64)
-        keys, *columns = _sums([a[begin], followers], [zero, none], [zero, before], *([x, none] for x in contexts))
-        return word_batch((mix(keys) % U(shards)).astype(np.int64), keys, columns, [int((n == k).sum()) for k in (1, 2, 3, 4)])
+    def known_rows(keys: np.ndarray, columns: list[np.ndarray], seen: list[int] | None) -> pa.Table:
+        return _rows(0, (mix(keys) % U(shards)).astype(np.int64), shards, [keys, *columns], seen)
+
+    def sum_grams(k: int):
+        def run(group: pa.Table) -> pa.Table:
+            shard = group["shard"][0].as_py()
+            *columns, n = _columns(group)
+            columns = [c.view(U) for c in columns]
+            context, key = gram_hash(columns[:-1]), gram_hash(columns)
+            order = np.lexsort((key, context))
+            new = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
+            n = np.add.reduceat(n[order], np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])))
+            columns, context, key = [c[new] for c in columns], context[new], key[new]
+            by_key = np.argsort(key)
+            many = by_key[n[by_key] >= 255]
+            _write(files, f"grams{k}-{shard}", key[by_key], np.minimum(n[by_key], 255).astype(np.uint8), key[many], n[many])
+            one = np.ones(len(n), dtype=np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            of_context = [np.add.reduceat(x, begin) for x in (n, (n == 1) * one, (n == 2) * one, (n > 2) * one)]
+            zero = np.zeros(len(begin), dtype=np.int64)
+            seen = [k, *(int((n == i).sum()) for i in (1, 2, 3, 4))]
+            if k == 2:
+                followers, before = _sums([columns[1]], [one])
+                none = np.zeros(len(followers), dtype=np.int64)
+                keys, *known = _sums([context[begin], followers], [zero, none], [zero, before], *([x, none] for x in of_context))
+                return known_rows(keys, known, seen)
+            _, first, kinds = np.unique(gram_hash(columns[1:]), return_index=True, return_counts=True)
+            shorter = [c[first] for c in columns[1:]]
+            return pa.concat_tables([known_rows(context[begin], [zero, zero, *of_context], seen), _rows(1, _shard(shorter, frequent, shards), shards, [*shorter, kinds])])
+
+        return run
 
     def token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy().view(U)
             zero = np.zeros(len(keys), dtype=np.int64)
-            yield from word_batch((mix(keys) % U(shards)).astype(np.int64), keys, [batch.column(1).to_numpy(), *[zero] * 5], []).to_batches()
+            yield from known_rows(keys, [batch.column(1).to_numpy(), *[zero] * 5], None).to_batches()
 
-    def sum_words(group: pa.Table) -> pa.Table:
+    levels = range(2, order + 1)
+    names = ["tokens", "words", "pairs", *(f"w{i}" for i in (1, 2, 3, 4, 5)), *(f"n{k}_{i}" for k in levels for i in (1, 2, 3, 4))]
+
+    def sum_known(group: pa.Table) -> pa.Table:
         shard = group["shard"][0].as_py()
-        flat = lambda name: group[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        keys, *columns = _sums([flat("keys").view(U)], *([flat(c)] for c in COLUMNS))
+        keys, *columns = _columns(group)
+        keys, *columns = _sums([keys.view(U)], *([c] for c in columns))
         table = np.stack(columns)
-        store.write(f"words-{shard}-keys", keys)
-        store.write(f"words-{shard}-counts", table.astype(np.uint32) if table.max(initial=0) < 1 << 32 else table)
-        cc = [x for x in group["cc"].to_pylist() if x]
+        _write(files, f"known-{shard}", keys, (table.astype(np.uint32) if table.max(initial=0) < 1 << 32 else table).ravel())
+        seen = [x for x in group["seen"].to_pylist() if x]
         row = {"tokens": int(table[0].sum()), "words": int((table[0] > 0).sum()), "pairs": int(table[1].sum())}
-        row |= {f"w{k}": int((table[1] == k).sum()) for k in (1, 2, 3, 4)} | {"w5": int((table[1] > 2).sum())} | {f"p{k}": sum(x[k - 1] for x in cc) for k in (1, 2, 3, 4)} | {"shard": shard}
+        row |= {f"w{i}": int((table[1] == i).sum()) for i in (1, 2, 3, 4)} | {"w5": int((table[1] > 2).sum())}
+        row |= {f"n{k}_{i}": sum(x[i] for x in seen if x[0] == k) for k in levels for i in (1, 2, 3, 4)}
         return pa.Table.from_pylist([row])
 
-    schema = f"shard int, {_ARRAYS}, cc array<long>"
-    summed = texts.select("text").mapInArrow(pair_rows, "shard int, first array<long>, second array<long>, n array<int>").groupBy("shard").applyInArrow(sum_pairs, schema)
-    single = counts.mapInArrow(token_lists, schema)
-    names = ["tokens", "words", "pairs", *(f"w{k}" for k in (1, 2, 3, 4, 5)), *(f"p{k}" for k in (1, 2, 3, 4))]
-    files = summed.unionByName(single).groupBy("shard").applyInArrow(sum_words, ", ".join(f"{c} long" for c in [*names, "shard"]))
-    whole = files.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
-    word_discounts = discounts([whole[f"w{k}"] for k in (1, 2, 3, 4)])
+    level = texts.select("text").mapInArrow(gram_rows, ROWS)
+    known = counts.mapInArrow(token_lists, ROWS)
+    for k in reversed(levels):
+        level = level.where("kind = 1").groupBy("shard").applyInArrow(sum_grams(k), ROWS)
+        if k > 2:
+            level = cut(level, "grams")
+        known = known.unionByName(level.where("kind = 0"))
+    whole = known.groupBy("shard").applyInArrow(sum_known, ", ".join(f"{c} long" for c in names)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    word_discounts = discounts([whole[f"w{i}"] for i in (1, 2, 3, 4)])
     mass = word_discounts[0] * whole["w1"] + word_discounts[1] * whole["w2"] + word_discounts[2] * whole["w5"]
-    return Model(store, shards, frequent, whole["tokens"], whole["words"], whole["pairs"], discounts([whole[f"p{k}"] for k in (1, 2, 3, 4)]), word_discounts, mass / whole["pairs"] if whole["pairs"] else 1.0)
+    by_order = {k: discounts([whole[f"n{k}_{i}"] for i in (1, 2, 3, 4)]) for k in levels}
+    return Model(files, order, shards, frequent, whole["tokens"], whole["words"], whole["pairs"], by_order, word_discounts, mass / whole["pairs"] if whole["pairs"] else 1.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, one row for each row of docs. A null or empty text is one end token."""
+    size = min(LARGE_SLICE, SLICE * max(1, model.order * model.shards // model.files.most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in of_bytes(batches, "text", SLICE):
-            context, token, n = _texts_as_pairs(batch)
-            log, base, known = model.scores(context, token)
+        for batch in of_bytes(batches, "text", size):
+            columns, n = _texts_as_grams(batch, model.order)
+            log, base, known = model.scores(columns)
             begin = np.cumsum(n) - n
             add = lambda x: np.add.reduceat(x, begin) if len(begin) else x
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(log))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
@@ -335,11 +336,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def perplexities(docs: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity, one row for each row of docs.
 
     The model learns from the documents that are not held out; a null doc_id is not held out. Repeated rows count and are scored as often as
     they occur. If no document is left to learn from, every word is unknown. Columns beyond doc_id and text are not read."""
-    model = fit(docs.where(~held_out(F.col("doc_id"), 10, 0)))
+    model = fit(docs.where(~held_out(F.col("doc_id"), 10, 0)), order)
     scored = score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

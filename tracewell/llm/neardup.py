@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, of_bytes, text_of
+from .shared import cut, of_bytes, release, text_of
 from .words import U, lists, mix, powers, rows_of, shingles, signed, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -39,6 +39,8 @@ SLICE = 2 << 20
 BLOCK, MEMBER = 1 << 18, 256
 #: Cells of a matrix of members and elements.
 CELLS = 4 << 20
+#: Pairs of a centre for which it has a copy of its own.
+HOT = 200
 
 
 @cache
@@ -200,7 +202,7 @@ def _sign(docs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: connected components of links (a, b), root the lowest id of the component. Alternating large and small stars until nothing changes; every step is cut."""
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
+    before, last = None, None
     while True:
         # large star: neighbours above a node hang on its lowest neighbour
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -211,15 +213,24 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         pairs = cut(small.unionByName(low.select("u", F.col("low").alias("v"))).where("u != v").distinct(), "stars")
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if last is not None:
+            release(last)
+        last = pairs
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def _similar(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact weighted Jaccard similarity."""
+def _similar(pairs: DataFrame, elements: DataFrame, hot: int = HOT) -> DataFrame:
+    """pairs (a, b) with their exact weighted Jaccard similarity. A centre b of many pairs is copied, one copy for each `hot` of its pairs, so that no task gets them all."""
     e = elements.withColumn("n", F.size("elements"))
-    both = pairs.join(e.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"), F.col("n").alias("na")), "a").join(e.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"), F.col("n").alias("nb")), "b")
+    copies = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > hot).select("b", F.ceil(F.col("__k") / hot).cast("int").alias("__copies")), "hot")
+    few = copies.limit(100_001).count() <= 100_000
+    copied = lambda df: df.join(F.broadcast(copies) if few else copies, "b", "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
+    salted = copied(pairs).withColumn("__salt", F.pmod(F.xxhash64("a"), "__copies").cast("int"))
+    centres = copied(pairs.select("b").distinct()).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select("b", "__salt")
+    centres = centres.join(e.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"), F.col("n").alias("nb")), "b")
+    both = salted.join(e.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"), F.col("n").alias("na")), "a").join(centres, ["b", "__salt"])
     shared = F.size(F.array_intersect("ea", "eb"))
     return both.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity"))
 
@@ -357,7 +368,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose class has one of a lower doc_id. Rows with a null doc_id stay; of rows that share a doc_id, one stays."""
+    """docs without the documents whose class has one of a lower doc_id. Rows with a null doc_id stay; of rows that share a doc_id, one with the lowest
+    text stays, by which the document was compared."""
     doubled = classes(docs).where("doc_id != class_id").select("doc_id")
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    named = docs.where(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        named = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("__row")).select("__row.*")
     return named.join(doubled, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

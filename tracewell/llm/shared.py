@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import mmap
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -62,6 +66,64 @@ def release(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+@dataclass
+class Files:
+    """Files by name in a folder that driver and executors share. At most `most` of them are open at a time in a process: mapped where the folder has
+    a local path, else read into memory."""
+
+    uri: str
+    most: int = 512
+    opened: OrderedDict = field(default_factory=OrderedDict)
+
+    def __getstate__(self):
+        return {"uri": self.uri, "most": self.most, "opened": OrderedDict()}
+
+    def _local(self) -> str | None:
+        parsed = urlparse(self.uri)
+        return parsed.path if parsed.scheme in ("", "file") else None
+
+    def _remote(self):
+        from pyarrow.fs import FileSystem
+
+        return FileSystem.from_uri(self.uri)
+
+    def write(self, name: str, parts: Iterable) -> None:
+        """Buffers one after the other; whole or not at all, so a task that runs twice does no harm."""
+        part = f".{name}.{uuid.uuid4().hex}"
+        if folder := self._local():
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/{part}", "wb") as out:
+                for p in parts:
+                    out.write(p)
+            os.replace(f"{folder}/{part}", f"{folder}/{name}")
+            return
+        files, folder = self._remote()
+        files.create_dir(folder)
+        with files.open_output_stream(f"{folder}/{part}") as out:
+            for p in parts:
+                out.write(p)
+        files.move(f"{folder}/{part}", f"{folder}/{name}")
+
+    def read(self, name: str) -> memoryview | None:
+        """The bytes of a file; None if there is no such file."""
+        if name in self.opened:
+            self.opened.move_to_end(name)
+            return self.opened[name]
+        if folder := self._local():
+            try:
+                with open(f"{folder}/{name}", "rb") as source:
+                    found = memoryview(mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ)) if os.fstat(source.fileno()).st_size else memoryview(b"")
+            except FileNotFoundError:
+                found = None
+        else:
+            files, folder = self._remote()
+            found = memoryview(files.open_input_file(f"{folder}/{name}").read()) if files.get_file_info(f"{folder}/{name}").is_file else None
+        self.opened[name] = found
+        while len(self.opened) > (self.most if self._local() else max(1, self.most // 64)):
+            self.opened.popitem(last=False)
+        return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -128,6 +128,17 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = 5, short: bool
     return out, n
 
 
+def runs(hashes: np.ndarray, counts: np.ndarray, length: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `length` words of each row, and how many each row has; each is what `shingles` of `size` gives a row of just these words."""
+    n = np.maximum(counts - (length - 1), 0)
+    total = int(n.sum())
+    first = np.repeat(np.cumsum(counts) - counts - (np.cumsum(n) - n), n) + np.arange(total)
+    out = np.zeros(total, dtype=U)
+    for j in range(size):
+        out = mix(out * U(0xA24BAED4963EE407) + (hashes[first + j] if j < length else U(j + 1)))
+    return out, n
+
+
 def rows_of(counts: np.ndarray) -> np.ndarray:
     """The row number of each of the counted items."""
     return np.repeat(np.arange(len(counts)), counts)
