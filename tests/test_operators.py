@@ -1,5 +1,7 @@
 """Operators on small tables made by hand: the cases that tables of the driver do not hold."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tracewell.operators import coverage, delegation, logs, scan, sessions
@@ -39,14 +41,50 @@ def test_paths_of_any_depth(spark):
     assert path["tail"] == [f"b{i}" for i in range(1, 200)] + ["b0", "c"] and all(len(path[f"r{i}"]) == 200 for i in range(200))
 
 
+def test_depths_and_cycles_of_any_length(spark):
+    chain = [(f"s{i}", f"s{i - 1}" if i else None, "a", "m", "x") for i in range(200)]
+    ring = [(f"r{i:03}", f"r{(i + 1) % 91:03}", "b", "m", "x") for i in range(91)] + [("tail", "r050", "c", "m", "x")]
+    twice = [("d", "s3", "a", "m", "x"), ("d", "s150", "a", "m", "x")]  # one id, two parents
+    df = spans(spark, *chain, *ring, *twice)
+    depth = {r["span_id"]: r["depth"] for r in delegation.depths(df).collect()}
+    assert all(depth[f"s{i}"] == i for i in range(200)) and depth["d"] == 151 and all(depth[f"r{i:03}"] == -1 for i in range(91)) and depth["tail"] == -1
+    assert [r["cycle"] for r in delegation.cycles(df).collect()] == [[f"r{i:03}" for i in range(91)]]
+
+
+def brute_penalties(own, to):
+    """The same rule over dicts: solve what can be solved; of what is left, the highest id on or between cycles goes first."""
+    lost, edges = {}, {(a, d) for a, ds in to.items() for d in ds if d in own}
+    broken = set()
+    while len(lost) < len(own):
+        ready = [a for a in own if a not in lost and all(d in lost or (a, d) in broken for x, d in edges if x == a)]
+        if not ready:
+            stuck = set(own) - set(lost)
+            while (fewer := {d for a, d in edges if a in stuck and d in stuck}) != stuck:
+                stuck = fewer
+            broken |= {(a, d) for a, d in edges if a in stuck and d in stuck and d < a}
+            continue
+        found = {}
+        for a in ready:
+            finals = [max(0.0, own[d] - (0.0 if (a, d) in broken else lost[d])) for x, d in edges if x == a]
+            found[a] = sum(0.5 * (1 - f) for f in finals if f < 0.95)
+        lost |= found
+    return lost
+
+
 def test_penalties_go_up(spark):
-    agents = lambda own: spark.createDataFrame([("t", a, own) for a in "abc"], "trace_id string, agent string, own_score double")
-    down = spark.createDataFrame([("t", "a", "b"), ("t", "b", "c")], "trace_id string, from_agent string, to_agent string")
-    final = lambda own: {r["agent"]: (r["penalty"], r["final_score"]) for r in delegation.penalties(agents(own), down).collect()}
-    assert final(0.0) == {"c": (0.0, 0.0), "b": (0.5, 0.0), "a": (0.5, 0.0)}
-    assert {k: (round(p, 6), f) for k, (p, f) in final(0.3).items()} == {"c": (0.0, 0.3), "b": (0.35, 0.0), "a": (0.5, 0.0)}
-    ring = spark.createDataFrame([("t", "a", "b"), ("t", "b", "a")], "trace_id string, from_agent string, to_agent string")
-    assert delegation.penalties(agents(0.5), ring).count() == 3
+    rng = random.Random(5)
+    agents, edges, want = [], [], {}
+    for t in range(25):
+        names = [f"g{i}" for i in range(rng.randrange(1, 8))]
+        own = {a: rng.choice((0.0, 0.3, 0.6, 0.9, 0.97, 1.0)) for a in names}
+        to = {a: {d for d in names if d != a and rng.random() < 0.3} for a in names}
+        agents += [(f"t{t}", a, v) for a, v in own.items()]
+        edges += [(f"t{t}", a, d) for a, ds in to.items() for d in ds] + [(f"t{t}", names[0], "unknown")]
+        want |= {(f"t{t}", a): v for a, v in brute_penalties(own, to).items()}
+    got = delegation.penalties(spark.createDataFrame(agents, "trace_id string, agent string, own_score double"), spark.createDataFrame(edges, "trace_id string, from_agent string, to_agent string")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r["penalty"] - want[r["trace_id"], r["agent"]]) < 1e-9 and abs(r["final_score"] - min(1, max(0, r["own_score"] - r["penalty"]))) < 1e-9
 
 
 def test_log_lines(spark):
@@ -78,6 +116,29 @@ def test_quotes_in_sources(spark):
     assert {r["quote_id"]: r["finding"] for r in scan.quote_findings(quotes, sources).collect()} == {1: "ok", 2: "exact-quote-not-in-source", 3: "missing-exact-quote"}
 
 
+def test_short_quotes_in_sources(spark):
+    """The quotes of one to eight words that are in a source are found, also where their ends are parts of its words."""
+    text = "providers shall keep the logs for ten years at least"
+    sources = spark.createDataFrame([(1, text), (2, "other " + text), (3, "")], "source_id int, text string")
+    inside = ["logs", "og", "the logs", "ders sh", "keep the logs", "eep the logs fo", "shall keep the logs for", "providers shall keep the logs for ten", text]
+    quotes = spark.createDataFrame(list(enumerate([*inside, "log book", "keep logs", "keep the logs for a while at most", " "])), "quote_id int, quote string")
+    got = {r["quote_id"]: (r["n_sources"], r["finding"]) for r in scan.quote_findings(quotes, sources).collect()}
+    assert all(got[i] == (2, "ok") for i in range(len(inside))) and [got[len(inside) + i][1] for i in range(4)] == ["exact-quote-not-in-source"] * 3 + ["missing-exact-quote"]
+    assert scan.quote_findings(quotes.limit(0), sources).count() == 0
+
+
+def test_provenance_codes(spark):
+    files = spark.createDataFrame([("a", True, "law"), ("b", True, None), ("c", True, "gone"), ("d", False, "law")], "file string, verified boolean, source string")
+    sources = spark.createDataFrame([("law", "Providers shall keep the logs.")], "source string, text string")
+    rules = [("a", "r1", None, "shall keep"), ("a", "r2", None, None), ("a", "r3", None, "  "), ("a", "r4", "organizational", "made up"), ("b", "r5", None, "x"), ("d", "r6", None, "x"), ("a", "r7", None, "")]
+    fields = [("r1", "f1", True, None, None), ("r1", "f2", False, None, None), ("r1", "f3", True, "structural", None), ("r1", "f4", True, "direct", ""), ("r1", "f5", False, "direct", "never said"), ("r1", "f6", True, "direct", "the logs"), ("r4", "f7", True, None, None)]
+    got = scan.validate_quotes(files, spark.createDataFrame(rules, "file string, rule_id string, check_type string, exact_quote string"), spark.createDataFrame(fields, "rule_id string, field_path string, required boolean, legal_basis string, source_quote string"), sources)
+    assert sorted((r["file"], r["rule_id"] or "", r["field_path"] or "", r["code"]) for r in got.collect()) == sorted([
+        ("b", "", "", "verified-without-source"), ("c", "", "", "unknown-source"), ("a", "r2", "", "missing-exact-quote"), ("a", "r3", "", "empty-exact-quote"), ("a", "r4", "", "exact-quote-not-in-source"), ("a", "r7", "", "missing-exact-quote"), ("a", "r7", "", "empty-exact-quote"),
+        ("a", "r1", "f1", "missing-legal-basis"), ("a", "r1", "f3", "required-without-direct-basis"), ("a", "r1", "f4", "direct-basis-missing-source-quote"), ("a", "r1", "f5", "source-quote-not-in-source"),
+    ])
+
+
 def test_imports_and_guides(spark):
     text = "from langchain_core.messages import x\nimport openairlines\nimport google.cloud.aiplatform.v1\n# model o3-mini-.\nx = 'https://a.b:80/c'\ny = 'http://localhost/x'"
     each = scan.lines(spark.createDataFrame([("f", text)], "path string, text string"))

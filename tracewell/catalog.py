@@ -191,23 +191,33 @@ def cycle_check(spark, sf_dir):
 
 
 def _agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Own scores are an agent's share of spans without error in its trace; penalties go up the delegations that lead from a lower agent id to a higher."""
+    """Own scores are an agent's share of spans without error in its trace; penalties go up all delegations."""
     spans = src.event_spans(spark, sf_dir)
     own = spans.groupBy("trace_id", F.col("agent_id").alias("agent")).agg((F.count_if(F.col("error_type").isNull()) / F.count(F.lit(1))).alias("own_score"), F.count(F.lit(1)).alias("n_spans"))
-    solved = dag.penalties(own, dag.agent_edges(spans).where("from_agent < to_agent"))
+    solved = dag.penalties(own, dag.agent_edges(spans))
     return solved.join(own.select("trace_id", "agent", "n_spans"), ["trace_id", "agent"])
 
 
-_PENALTY = """,
+def _round_sql(before: str, graph: str) -> str:
+    """One round: agents are solved whose delegates all are."""
+    return f"""SELECT v.trace_id, v.agent, v.own_score, v.n_spans, coalesce(v.penalty, CASE WHEN g.f IS NULL THEN 0.0 WHEN g.missing = 0 THEN g.lost END)::DOUBLE AS penalty FROM {before} v LEFT JOIN
+  (SELECT trace_id, f, count(*) FILTER (WHERE final IS NULL) AS missing, sum(CASE WHEN final < 0.95 THEN 0.5 * (1 - final) ELSE 0.0 END) AS lost FROM (SELECT e.trace_id, e.f, CASE WHEN e.broken THEN greatest(0.0, t.own_score) WHEN t.penalty IS NOT NULL THEN greatest(0.0, t.own_score - t.penalty) END AS final
+    FROM {graph} e JOIN {before} t ON e.trace_id = t.trace_id AND e.t = t.agent) GROUP BY trace_id, f) g ON v.trace_id = g.trace_id AND v.agent = g.f"""
+
+
+# The tables have three agents a trace: three rounds solve what hangs on no cycle, three take away what leads to one, and three solve the rest.
+_PENALTY = (
+    """,
 own AS (SELECT trace_id, agent_id AS agent, count(*) FILTER (WHERE error_type IS NULL) / count(*) AS own_score, count(*) AS n_spans FROM spans GROUP BY trace_id, agent_id),
-dl AS (SELECT DISTINCT s.trace_id, p.agent_id AS f, s.agent_id AS t FROM spans s JOIN spans p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.agent_id < s.agent_id),
-leaf AS (SELECT trace_id, agent, own_score, n_spans, 0.0::DOUBLE AS penalty FROM own WHERE agent = 'a2'),
-mid AS (SELECT o.trace_id, o.agent, o.own_score, o.n_spans, coalesce(sum(CASE WHEN l.agent IS NOT NULL AND greatest(0.0, l.own_score - l.penalty) < 0.95 THEN 0.5 * (1 - greatest(0.0, l.own_score - l.penalty)) ELSE 0.0 END), 0.0) AS penalty
-  FROM own o LEFT JOIN dl ON o.trace_id = dl.trace_id AND dl.f = o.agent LEFT JOIN leaf l ON l.trace_id = dl.trace_id AND l.agent = dl.t WHERE o.agent = 'a1' GROUP BY ALL),
-below AS (SELECT * FROM leaf UNION ALL SELECT * FROM mid),
-top AS (SELECT o.trace_id, o.agent, o.own_score, o.n_spans, coalesce(sum(CASE WHEN l.agent IS NOT NULL AND greatest(0.0, l.own_score - l.penalty) < 0.95 THEN 0.5 * (1 - greatest(0.0, l.own_score - l.penalty)) ELSE 0.0 END), 0.0) AS penalty
-  FROM own o LEFT JOIN dl ON o.trace_id = dl.trace_id AND dl.f = o.agent LEFT JOIN below l ON l.trace_id = dl.trace_id AND l.agent = dl.t WHERE o.agent = 'a0' GROUP BY ALL),
-solved AS (SELECT trace_id, agent, own_score, n_spans, penalty, least(1.0, greatest(0.0, own_score - penalty)) AS final_score FROM (SELECT * FROM below UNION ALL SELECT * FROM top))"""
+g0 AS (SELECT DISTINCT s.trace_id, p.agent_id AS f, s.agent_id AS t, false AS broken FROM spans s JOIN spans p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.agent_id <> s.agent_id),
+v0 AS (SELECT *, NULL::DOUBLE AS penalty FROM own)"""
+    + "".join(f",\nv{i} AS ({_round_sql(f'v{i - 1}', 'g0')})" for i in (1, 2, 3))
+    + ",\nk0 AS (SELECT trace_id, agent FROM v3 WHERE penalty IS NULL)"
+    + "".join(f",\nk{i} AS (SELECT DISTINCT e.trace_id, e.t AS agent FROM g0 e JOIN k{i - 1} a ON e.trace_id = a.trace_id AND e.f = a.agent JOIN k{i - 1} b ON e.trace_id = b.trace_id AND e.t = b.agent)" for i in (1, 2, 3))
+    + ",\ng1 AS (SELECT e.trace_id, e.f, e.t, a.agent IS NOT NULL AND b.agent IS NOT NULL AND e.t < e.f AS broken FROM g0 e LEFT JOIN k3 a ON e.trace_id = a.trace_id AND e.f = a.agent LEFT JOIN k3 b ON e.trace_id = b.trace_id AND e.t = b.agent)"
+    + "".join(f",\nv{i} AS ({_round_sql(f'v{i - 1}', 'g1')})" for i in (4, 5, 6))
+    + ",\nsolved AS (SELECT *, least(1.0, greatest(0.0, own_score - penalty)) AS final_score FROM v6)"
+)
 
 
 @query(f"{_SPANS}{_PENALTY} SELECT trace_id, agent, n_spans, round(own_score, 6) AS own_score, round(penalty, 6) AS penalty, round(final_score, 6) AS final_score FROM solved")
@@ -216,10 +226,9 @@ def agent_scores(spark, sf_dir):
     return _agent_scores(spark, sf_dir).select("trace_id", "agent", "n_spans", r("own_score"), r("penalty"), r("final_score"))
 
 
-@query(f"{_SPANS}{_PENALTY} SELECT trace_id, round(sum(final_score * n_spans) / sum(n_spans), 3) AS system_score FROM solved GROUP BY trace_id")
+@query(f"{_SPANS}{_PENALTY} SELECT trace_id, round_even(sum(final_score * n_spans) / sum(n_spans), 4) AS system_score FROM solved GROUP BY trace_id")
 def system_score(spark, sf_dir):
-    scores = _agent_scores(spark, sf_dir)
-    return scores.groupBy("trace_id").agg(F.round(F.sum(F.col("final_score") * F.col("n_spans")) / F.sum("n_spans"), 3).alias("system_score"))
+    return dag.system_score(_agent_scores(spark, sf_dir))
 
 
 @query(
@@ -379,7 +388,8 @@ def prompt_stats(spark, sf_dir):
     f"SELECT project, sessions, ai_calls, input_tokens, output_tokens, first_day, last_day, round({_WITH_CACHE}, 6) AS est_cost FROM p"
 )
 def project_rollup(spark, sf_dir):
-    return ses.project_rollup(src.log_calls(spark, sf_dir))
+    """A session's project is the last digit of its id."""
+    return ses.project_rollup(src.log_calls(spark, sf_dir).withColumn("project", F.concat(F.lit("p"), (F.col("session_id") % 10).cast("string"))))
 
 
 @query(
@@ -516,7 +526,8 @@ def service_flows(spark, sf_dir):
     return scan.service_flows(_matched(spark, sf_dir))
 
 
-_GUIDE_WORDS = ["Article 13 and Annex IV", "inform users of it", "# Article 50", "training data is listed", "# Scope", "retain logs for 6 months", "kept 10 years", "this is not to the provider or deployer", "providers are processor by default", "article 50(2) for the deployer", "Article 12 applies", "plain"]
+_GUIDE_WORDS = ["Article 13 and Annex IV", "inform users of it", "# Article 50", "training data is listed", "# Scope", "retain logs for 6 months", "kept 10 years", "this is not to the provider or deployer", "providers are processor by default", "article 50(2) for the deployer", "Article 12 applies", "plain", "PIP install guide-tool to see"]
+_PROMOTION = (r"pip install guide-tool", r"guidetool\s+(run|check)")
 
 
 def _guides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,33 +553,58 @@ UNION ALL SELECT path, line_no, 'CG-002', 'error' FROM s WHERE {_any('low', scan
 UNION ALL SELECT path, line_no, 'CG-003', 'error' FROM s WHERE line_no = 1 AND art12 AND NOT scoped
 UNION ALL SELECT path, line_no, 'CG-004', 'warning' FROM s WHERE contains(low, 'not to') AND contains(low, 'provider') AND contains(low, 'deployer')
 UNION ALL SELECT path, line_no, 'CG-004', 'error' FROM s WHERE contains(low, 'provider') AND contains(low, 'processor') AND contains(low, 'by default')
+UNION ALL SELECT path, line_no, 'CG-005', 'error' FROM s WHERE contains(low, 'pip install guide-tool')
 UNION ALL SELECT path, line_no, 'CG-006', 'warning' FROM s WHERE contains(low, 'article 50(2)') AND contains(low, 'deployer')"""
 )
 def lint_lines(spark, sf_dir):
-    return scan.lint(_guides(spark, sf_dir))
+    return scan.lint(_guides(spark, sf_dir), _PROMOTION)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
 
 
-_CHECKS = """WITH d AS (SELECT doc_id AS path, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+def _matches_sql(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, {_q(pattern)}))"
+
+
+_CHECKS = f"""WITH d AS ({{documents}}),
 m AS (SELECT path, length(t) AS size, greatest(0, coalesce(list_position(list_transform(l, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '---') AND NOT starts_with(trim(x), '<!--')), true), 0) - 1) AS f,
   len(list_filter(l, lambda x: regexp_matches(x, '^# [^#]'))) AS h1, len(list_filter(l, lambda x: regexp_matches(x, '^## [^#]'))) AS h2, len(list_filter(l, lambda x: regexp_matches(x, '^### [^#]'))) AS h3,
-  len(list_filter(l, lambda x: starts_with(x, '```'))) AS fences, len(list_filter(l, lambda x: length(x) > 500)) AS long FROM d),
+  len(list_filter(l, lambda x: starts_with(x, '```'))) AS fences, len(list_filter(l, lambda x: length(x) > 500)) AS long, {_matches_sql(scan.TABLE_ROW)} AS table_rows, {_matches_sql(scan.TABLE_RULE)} AS table_rules, {_matches_sql(scan.LINK)} AS links, {_matches_sql(scan.BARE_URL)} AS urls,
+  len(list_filter(l, lambda x: regexp_matches(x, '\\S'))) AS filled, len(list_filter(l, lambda x: regexp_matches(x, {_q(scan.PLACEHOLDER)}))) AS open_lines,
+  len(list_filter(l, lambda x: regexp_matches(x, '\\S') AND NOT regexp_matches(regexp_replace(x, {_q(scan.EDGES)}, '', 'g'), {_q(scan.STRUCTURE)}))) AS told,
+  regexp_matches(t, {_q(scan.TITLE)}) AS titled, regexp_replace(regexp_extract(t, {_q(scan.AFTER_TITLE)}, 1), {_q(scan.EDGES)}, '', 'g') AS after FROM d),
 checks AS (SELECT path, 'AF-01' AS check_id, CASE WHEN size <= 50000 THEN 'pass' WHEN size <= 100000 THEN 'warn' ELSE 'fail' END AS status FROM m
 UNION ALL SELECT path, 'AF-02', CASE WHEN f <= 5 THEN 'pass' WHEN f <= 20 THEN 'warn' ELSE 'fail' END FROM m
 UNION ALL SELECT path, 'AF-03', CASE WHEN h1 + h2 + h3 = 0 THEN 'fail' WHEN h2 >= 5 AND h1 <= 2 THEN 'pass' ELSE 'warn' END FROM m
 UNION ALL SELECT path, 'AF-04', CASE WHEN fences % 2 <> 0 THEN 'fail' ELSE 'pass' END FROM m
-UNION ALL SELECT path, 'AF-09', CASE WHEN long = 0 THEN 'pass' WHEN long <= 3 THEN 'warn' ELSE 'fail' END FROM m)"""
-
-
-@query(f"{_CHECKS} SELECT * FROM checks")
+UNION ALL SELECT path, 'AF-05', CASE WHEN table_rows > 0 AND table_rules = 0 THEN 'fail' ELSE 'pass' END FROM m
+UNION ALL SELECT path, 'AF-06', CASE WHEN links > 0 AND urls > links THEN 'warn' ELSE 'pass' END FROM m
+UNION ALL SELECT path, 'AF-07', CASE WHEN filled = 0 THEN 'fail' WHEN open_lines * 100 <= 10 * filled THEN 'pass' WHEN open_lines * 100 <= 30 * filled THEN 'warn' ELSE 'fail' END FROM m
+UNION ALL SELECT path, 'AF-08', CASE WHEN filled = 0 THEN 'fail' WHEN told * 100 >= 50 * filled THEN 'pass' WHEN told * 100 >= 30 * filled THEN 'warn' ELSE 'fail' END FROM m
+UNION ALL SELECT path, 'AF-09', CASE WHEN long = 0 THEN 'pass' WHEN long <= 3 THEN 'warn' ELSE 'fail' END FROM m
+UNION ALL SELECT path, 'AF-10', CASE WHEN NOT titled THEN 'fail' WHEN regexp_matches(after, '(?m)^>') OR (after <> '' AND NOT starts_with(after, '#')) THEN 'pass' ELSE 'warn' END FROM m)"""
+_PLAIN_CHECKS = _CHECKS.replace("{documents}", "SELECT doc_id AS path, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents")
+# Documents that the tables' prose lacks: one for each order, of parts that its numbers pick.
+_MARKDOWN = ["# Title of it", "A summary that says what it is.", "> Quoted summary", "## Part", "| a | b |", "|---|---|", "| 1 | 2 |", "[text](https://a.example/x)", "see https://b.example/y for more", "[MANUAL INPUT REQUIRED]", "---", "```", "- ", "plain words here", "  "]
+_MARKDOWN_CHECKS = _CHECKS.replace("{documents}", f"SELECT path, t, string_split(t, chr(10)) AS l FROM (SELECT l_orderkey AS path, string_agg(({_list(_MARKDOWN)})[l_partkey % {len(_MARKDOWN)} + 1], chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS t FROM lineitem GROUP BY 1)")
+
+
+@query(f"{_MARKDOWN_CHECKS} SELECT * FROM checks")
+def markdown_checks(spark, sf_dir):
+    word = F.element_at(F.array(*map(F.lit, _MARKDOWN)), (F.col("l_partkey") % len(_MARKDOWN) + 1).cast("int"))
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", word.alias("line"))))
+    docs = src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+    return scan.document_checks(docs)
+
+
+@query(f"{_PLAIN_CHECKS} SELECT * FROM checks")
 def document_checks(spark, sf_dir):
     return scan.document_checks(_documents(spark, sf_dir))
 
 
-@query(f"{_CHECKS} SELECT path, round(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0.0 END) * 100, 4) AS score FROM checks GROUP BY path")
+@query(f"{_PLAIN_CHECKS} SELECT path, round(avg(CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0.0 END) * 100, 4) AS score FROM checks GROUP BY path")
 def check_scores(spark, sf_dir):
     return scan.check_scores(scan.document_checks(_documents(spark, sf_dir)))
 
@@ -577,15 +613,46 @@ _NORMAL = "trim(regexp_replace(nfc_normalize({}), '\\s+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH q AS (SELECT item_id AS quote_id, {_NORMAL.format("text")} AS quote FROM benchmark), s AS (SELECT doc_id, {_NORMAL.format("text")} AS text FROM documents),
-n AS (SELECT quote_id, count(*) AS n FROM q JOIN s ON contains(s.text, q.quote) WHERE len(string_split(quote, ' ')) >= 8 GROUP BY quote_id)
+    f"""WITH b AS (SELECT item_id * 2 AS quote_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(string_split(text, ' ')[2 : 1 + item_id % 12], ' ') FROM benchmark),
+q AS (SELECT quote_id, {_NORMAL.format("text")} AS quote FROM b), s AS (SELECT doc_id, {_NORMAL.format("text")} AS text FROM documents),
+n AS (SELECT quote_id, count(*) AS n FROM q JOIN s ON contains(s.text, q.quote) WHERE q.quote <> '' GROUP BY quote_id)
 SELECT q.quote_id, coalesce(n.n, 0) AS n_sources, CASE WHEN coalesce(quote, '') = '' THEN 'missing-exact-quote' WHEN n.n IS NULL THEN 'exact-quote-not-in-source' ELSE 'ok' END AS finding FROM q LEFT JOIN n ON q.quote_id = n.quote_id"""
 )
 def quote_findings(spark, sf_dir):
-    quotes = src.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    """Every item of the benchmark as a quote, and its words 2 to 1 + (its id mod 12) as another, so quotes have any number of words from none on."""
+    items = src.table(spark, sf_dir, "benchmark")
+    part = F.array_join(F.slice(F.split("text", " "), F.lit(2), (F.col("item_id") % 12).cast("int")), " ")
+    quotes = items.select(F.explode(F.array(F.struct((F.col("item_id") * 2).alias("quote_id"), F.col("text").alias("quote")), F.struct((F.col("item_id") * 2 + 1).alias("quote_id"), part.alias("quote")))).alias("q")).select("q.*")
     return scan.quote_findings(quotes, src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
 
 
+_PROVENANCE = """WITH b AS (SELECT *, 'f' || (item_id % 9) AS file, CAST(item_id AS VARCHAR) AS rule_id FROM benchmark),
+files AS (SELECT DISTINCT file, item_id % 9 <> 0 AS verified, CASE item_id % 9 WHEN 1 THEN NULL WHEN 2 THEN 'nowhere' ELSE 'd' || (item_id % 9) END AS source FROM b),
+sources AS (SELECT 'd' || (item_id % 9) AS source, string_agg(text, chr(10) ORDER BY item_id) AS text FROM b GROUP BY 1),
+reqs AS (SELECT file, rule_id, CASE WHEN item_id % 5 = 0 THEN 'organizational' END AS check_type, CASE item_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN text || ' never' ELSE text END AS exact_quote FROM b),
+fields AS (SELECT rule_id, 'x' AS field_path, item_id % 2 = 0 AS required, CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'structural' ELSE 'direct' END AS legal_basis, CASE item_id % 6 WHEN 2 THEN NULL WHEN 3 THEN 'not a clause' ELSE left(text, 30) END AS source_quote FROM b),
+f AS (SELECT files.file, files.source, sources.text AS st FROM files LEFT JOIN sources ON files.source = sources.source WHERE verified),
+r AS (SELECT f.file, f.st, rule_id, check_type, exact_quote FROM f JOIN reqs ON f.file = reqs.file WHERE st IS NOT NULL),
+e AS (SELECT r.file, r.st, fields.* FROM r JOIN fields ON r.rule_id = fields.rule_id WHERE coalesce(check_type, '') <> 'organizational')"""
+
+
+@query(
+    f"""{_PROVENANCE} SELECT file, NULL AS rule_id, NULL AS field_path, 'verified-without-source' AS code, 'error' AS severity FROM f WHERE coalesce(source, '') = '' UNION ALL SELECT file, NULL, NULL, 'unknown-source', 'error' FROM f WHERE source <> '' AND st IS NULL
+UNION ALL SELECT file, rule_id, NULL, 'missing-exact-quote', 'error' FROM r WHERE coalesce(exact_quote, '') = '' UNION ALL SELECT file, rule_id, NULL, 'empty-exact-quote', 'error' FROM r WHERE trim(exact_quote) = '' UNION ALL SELECT file, rule_id, NULL, 'exact-quote-not-in-source', 'error' FROM r WHERE trim(exact_quote) <> '' AND NOT contains(st, exact_quote)
+UNION ALL SELECT file, rule_id, field_path, 'missing-legal-basis', 'warning' FROM e WHERE legal_basis IS NULL AND required UNION ALL SELECT file, rule_id, field_path, 'required-without-direct-basis', 'error' FROM e WHERE legal_basis <> 'direct' AND required
+UNION ALL SELECT file, rule_id, field_path, 'direct-basis-missing-source-quote', 'error' FROM e WHERE legal_basis = 'direct' AND source_quote IS NULL UNION ALL SELECT file, rule_id, field_path, 'source-quote-not-in-source', 'error' FROM e WHERE legal_basis = 'direct' AND NOT contains(st, trim(source_quote))"""
+)
+def provenance_findings(spark, sf_dir):
+    """Nine requirement files made of the benchmark's items, whose texts are the files' sources."""
+    b = src.table(spark, sf_dir, "benchmark").withColumns({"k": F.col("item_id") % 9, "rule_id": F.col("item_id").cast("string")}).withColumn("file", F.concat(F.lit("f"), "k"))
+    k, i = F.col("k"), F.col("item_id")
+    files = b.select("file", (k != 0).alias("verified"), F.when(k == 2, "nowhere").when(k != 1, F.concat(F.lit("d"), k)).alias("source")).distinct()
+    sources = b.groupBy(F.concat(F.lit("d"), k).alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    reqs = b.select("file", "rule_id", F.when(i % 5 == 0, "organizational").alias("check_type"), F.when(i % 7 == 1, " ").when(i % 7 == 2, F.concat("text", F.lit(" never"))).when(i % 7 != 0, F.col("text")).alias("exact_quote"))
+    fields = b.select("rule_id", F.lit("x").alias("field_path"), (i % 2 == 0).alias("required"), F.when(i % 4 == 1, "structural").when(i % 4 > 1, "direct").alias("legal_basis"), F.when(i % 6 == 3, "not a clause").when(i % 6 != 2, F.left("text", F.lit(30))).alias("source_quote"))
+    return scan.validate_quotes(files, reqs, fields, sources)
+
+
 @query("SELECT page_id, regexp_extract(url, '^(?:https?://)?([^/:]*)', 1) AS domain FROM pages")
 def page_domains(spark, sf_dir):
     return src.table(spark, sf_dir, "pages").select("page_id", scan.domain(F.col("url")).alias("domain"))

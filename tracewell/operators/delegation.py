@@ -1,15 +1,17 @@
 """Delegation graphs of traces: edges, roots, depths, paths, cycles, and agents' scores with penalties from those they delegate to.
 
-A span has one parent, so a trace's graph is a forest with at most one cycle a component. Depths and paths follow parents level by
-level with a recursive query that ends at a bound far beyond any trace; a trace's rows stay in their partition by trace_id.
+Depths, paths and cycles are found by doubling: in each round the known part of every way up becomes twice as long, so a way of a million spans takes
+twenty rounds, and only ways that go on take part. Rounds are joins keyed by trace and span and are cut. Scores go up the graph of agents
+level by level, as joins and sums keyed by trace and agent. No trace is ever gathered in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import cut, release
+
 PENALTY_WEIGHT, SATISFIED = 0.5, 0.95
 OVERSIGHT = ("human_review", "human_approval", "human_oversight", "approval")
 
@@ -27,25 +29,23 @@ def roots(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("parent_span_id").isNull()).select("trace_id", "span_id").unionByName(orphans.select("trace_id", "span_id"))
 
 
-def depths(spans: DataFrame, most: int = 10_000) -> DataFrame:
-    """trace_id, span_id, depth: the longest way from a root; -1 for spans that none reaches, as in a cycle."""
-    level = roots(spans).select("trace_id", "span_id").distinct()
-    links = edges(spans).select("trace_id", F.col("parent_id").alias("parent"), F.col("child_id").alias("child"))
-    level.createOrReplaceTempView("__roots")
-    links.createOrReplaceTempView("__links")
-    spark = spans.sparkSession
-    reached = spark.sql(
-        f"""WITH RECURSIVE walk(trace_id, span_id, depth) MAX RECURSION LEVEL {most} AS (
-              SELECT trace_id, span_id, 0 FROM __roots
-              UNION ALL SELECT w.trace_id, l.child, w.depth + 1 FROM walk w JOIN __links l ON w.trace_id = l.trace_id AND w.span_id = l.parent)
-            SELECT trace_id, span_id, max(depth) AS depth FROM walk GROUP BY trace_id, span_id"""
-    )
-    return spans.select("trace_id", "span_id").distinct().join(reached, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.coalesce("depth", F.lit(-1)).alias("depth"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, kept in the checkpoint folder where one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def depths(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, depth: the longest way from a root; -1 for spans that none reaches, as in a cycle. Of a repeated span id all parents count."""
+    nodes = spans.select("trace_id", "span_id").distinct()
+    sizes = cut(nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")))
+    best = cut(nodes.join(roots(spans).distinct().withColumn("depth", F.lit(0)), ["trace_id", "span_id"], "left"))
+    # far: y stands `reach` steps above x
+    far, reach = cut(edges(spans).select("trace_id", F.col("child_id").alias("x"), F.col("parent_id").alias("y")).distinct()), 1
+    while far.limit(1).count():
+        above = best.where("depth IS NOT NULL").select("trace_id", F.col("span_id").alias("y"), F.col("depth").alias("of_y"))
+        longer = far.join(above, ["trace_id", "y"]).groupBy("trace_id", F.col("x").alias("span_id")).agg((F.max("of_y") + reach).alias("longer"))
+        better = cut(best.join(longer, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.greatest("depth", "longer").alias("depth")))
+        # a way as long as its trace has spans goes round and round
+        on = far.select("trace_id", F.col("x").alias("y"), F.col("y").alias("z"))
+        farther = cut(far.join(sizes.where(F.col("n") > 2 * reach), "trace_id", "left_semi").join(on, ["trace_id", "y"]).select("trace_id", "x", F.col("z").alias("y")).distinct())
+        release(best, far)
+        best, far, reach = better, farther, 2 * reach
+    return best.select("trace_id", "span_id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
 def paths(spans: DataFrame) -> DataFrame:
@@ -54,12 +54,12 @@ def paths(spans: DataFrame) -> DataFrame:
     The ancestors of a span are gathered by walking up, in joins of which each doubles the known part of the way, until every way has ended. A cycle's way
     comes round to agents that it knows; it is whole when it is as long as its trace has spans. All joins are by trace, on the partitioning of the first."""
     own = spans.select("trace_id", "span_id", F.when(F.col("agent_id") != "", F.col("agent_id")).alias("agent"), "parent_span_id")
-    way = _cut(own.select("trace_id", "span_id", F.filter(F.array("agent"), lambda x: x.isNotNull()).alias("chain"), F.col("parent_span_id").alias("next")))
+    way = cut(own.select("trace_id", "span_id", F.filter(F.array("agent"), lambda x: x.isNotNull()).alias("chain"), F.col("parent_span_id").alias("next")))
     sizes, reach = way.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")), 1
     while way.where("next IS NOT NULL").join(sizes.where(F.col("n") > reach), "trace_id", "left_semi").limit(1).count():
         ahead = way.select("trace_id", F.col("span_id").alias("next"), F.col("chain").alias("more"), F.col("next").alias("then"))
         chain = F.array_distinct(F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))))
-        way = _cut(way.join(ahead, ["trace_id", "next"], "left").select("trace_id", "span_id", chain.alias("chain"), F.col("then").alias("next")))
+        way = cut(way.join(ahead, ["trace_id", "next"], "left").select("trace_id", "span_id", chain.alias("chain"), F.col("then").alias("next")))
         reach *= 2
     return way.select("trace_id", "span_id", F.reverse("chain").alias("delegation_path"))
 
@@ -85,57 +85,70 @@ def agent_edges(spans: DataFrame) -> DataFrame:
     return out.where("from_agent <> to_agent").select("trace_id", "from_agent", "to_agent").distinct()
 
 
-def cycles(spans: DataFrame, most: int = 1000) -> DataFrame:
-    """trace_id, cycle: each cycle of parents once, from its lowest span id on."""
-    e = edges(spans).select("trace_id", F.col("child_id").alias("a"), F.col("parent_id").alias("b")).distinct()
+def cycles(spans: DataFrame) -> DataFrame:
+    """trace_id, cycle: each cycle of parents once, from its lowest span id on. Of a repeated span id the first row's parent counts."""
+    e = edges(spans).groupBy("trace_id", F.col("child_id").alias("a")).agg(F.min_by("parent_id", "child_ord").alias("to"))
     # Only spans that no root reaches can be on a cycle; where there are none, as in sound traces, nothing is walked.
     lost = depths(spans).where("depth = -1").select("trace_id", F.col("span_id").alias("a"))
-    e.join(lost, ["trace_id", "a"], "left_semi").createOrReplaceTempView("__cyclic")
-    found = spans.sparkSession.sql(
-        f"""WITH RECURSIVE walk(trace_id, start, at, way) MAX RECURSION LEVEL {most} AS (
-              SELECT trace_id, a, b, array(a) FROM __cyclic
-              UNION ALL SELECT w.trace_id, w.start, c.b, array_append(w.way, w.at) FROM walk w JOIN __cyclic c ON w.trace_id = c.trace_id AND w.at = c.a
-              WHERE w.at <> w.start AND NOT array_contains(w.way, w.at))
-            SELECT trace_id, way AS cycle FROM walk WHERE at = start AND start = array_min(way)"""
-    )
-    return found.distinct()
+    step = cut(e.join(lost, ["trace_id", "a"], "left_semi"))
+    longest = step.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    # to: `reach` steps up from a; low: the lowest id among a and what lies before `to`. After as many steps as there are spans every way is on its cycle.
+    way, reach = cut(step.withColumn("low", F.col("a"))), 1
+    while reach < longest:
+        on = way.select("trace_id", F.col("a").alias("to"), F.col("to").alias("then"), F.col("low").alias("their"))
+        farther = cut(way.join(on, ["trace_id", "to"]).select("trace_id", "a", F.col("then").alias("to"), F.least("low", "their").alias("low")))
+        release(way)
+        way, reach = farther, 2 * reach
+    ring = way.join(way.select("trace_id", F.col("to").alias("a")).distinct(), ["trace_id", "a"], "left_semi").select("trace_id", "a", "low")
+    # left: steps from a up to the lowest of its cycle, known when `to` is that
+    rank, reach = cut(step.join(ring, ["trace_id", "a"]).select("trace_id", "a", "low", "to", F.lit(1).alias("left"))), 1
+    while reach < longest:
+        on = rank.where("a <> low").select("trace_id", F.col("a").alias("to"), F.col("to").alias("then"), F.col("left").alias("more"))
+        farther = cut(rank.join(on, ["trace_id", "to"], "left").select("trace_id", "a", "low", F.coalesce("then", "to").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        release(rank)
+        rank, reach = farther, 2 * reach
+    # the lowest comes first, its parent next, which has the longest way left
+    place = F.when(F.col("a") == F.col("low"), F.lit(0)).otherwise(F.lit(1))
+    listed = rank.groupBy("trace_id", "low").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), (-F.col("left")).alias("l"), "a"))).alias("c"))
+    return listed.select("trace_id", F.transform("c", lambda x: x["a"]).alias("cycle"))
 
 
 def penalties(agents: DataFrame, delegations: DataFrame) -> DataFrame:
     """agents (trace_id, agent, own_score) with penalty and final_score, from the leaves up.
 
-    For each delegate below 0.95 an agent loses half of what the delegate lacks. In a cycle the order is by level, then agent id. A trace's agents
-    are few; they are solved together in one group."""
-    order = delegations.groupBy("trace_id", F.col("from_agent").alias("agent")).agg(F.array_sort(F.collect_set("to_agent")).alias("delegates"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(pdf["agent"], pdf["own_score"], strict=True))
-        to = {a: [d for d in ds if d in own] if ds is not None else [] for a, ds in zip(pdf["agent"], pdf["delegates"], strict=True)}
-        waiting = {a: 0 for a in own}
-        for ds in to.values():
-            for d in ds:
-                waiting[d] += 1
-        ready, sequence = sorted(a for a, n in waiting.items() if not n), []
-        while ready:
-            sequence += ready
-            after = []
-            for a in ready:
-                for d in to[a]:
-                    waiting[d] -= 1
-                    if not waiting[d]:
-                        after.append(d)
-            ready = sorted(after)
-        sequence += sorted(set(own) - set(sequence))
-        lost = dict.fromkeys(own, 0.0)
-        for a in reversed(sequence):
-            for d in to[a]:
-                final = max(0.0, own[d] - lost[d])
-                if final < SATISFIED:
-                    lost[a] += PENALTY_WEIGHT * (1 - final)
-        return pd.DataFrame({"trace_id": pdf["trace_id"], "agent": pdf["agent"], "own_score": pdf["own_score"], "penalty": [lost[a] for a in pdf["agent"]], "final_score": [min(1.0, max(0.0, own[a] - lost[a])) for a in pdf["agent"]]})
-
-    joined = agents.select("trace_id", "agent", "own_score").join(order, ["trace_id", "agent"], "left")
-    return joined.groupBy("trace_id").applyInPandas(solve, "trace_id string, agent string, own_score double, penalty double, final_score double")
+    For each delegate below 0.95 an agent loses half of what the delegate lacks. An agent is solved once all its delegates are. Agents of which that never
+    comes true are on cycles, or lead to or from one; of those that lie on cycles or between them, the one with the higher id is solved first, and counts for the
+    others with its final score, while they count for it with their own."""
+    key = ["trace_id", "agent"]
+    known = agents.select(*key)
+    edges_left = delegations.select("trace_id", F.col("from_agent").alias("agent"), F.col("to_agent").alias("to")).distinct()
+    graph = cut(edges_left.join(known, key, "left_semi").join(known.withColumnRenamed("agent", "to"), ["trace_id", "to"], "left_semi").withColumn("broken", F.lit(False)))
+    state = cut(agents.select(*key, "own_score", F.lit(None).cast("double").alias("penalty")))
+    waiting = state.count()
+    while waiting:
+        target = state.select("trace_id", F.col("agent").alias("to"), F.col("own_score").alias("o"), F.col("penalty").alias("p"))
+        final = F.when(F.col("broken"), F.greatest(F.lit(0.0), "o")).when(F.col("p").isNotNull(), F.greatest(F.lit(0.0), F.col("o") - F.col("p")))
+        lost = F.when(final < SATISFIED, PENALTY_WEIGHT * (1 - final)).otherwise(0.0)
+        sums = graph.join(target, ["trace_id", "to"]).groupBy(*key).agg(F.bool_or(final.isNull()).alias("open"), F.sum(lost).alias("lost"))
+        solved = cut(state.join(sums, key, "left").select(*key, "own_score", F.coalesce("penalty", F.when(F.col("open").isNull(), 0.0).when(~F.col("open"), F.col("lost"))).alias("penalty")))
+        release(state)
+        state, before = solved, waiting
+        waiting = state.where("penalty IS NULL").count()
+        if waiting == before:  # what is left hangs on cycles: take away from above what leads to them, and break the rest
+            stuck, n = cut(state.where("penalty IS NULL").select(*key)), waiting
+            while True:
+                inside = graph.join(stuck, key, "left_semi").join(stuck.withColumnRenamed("agent", "to"), ["trace_id", "to"], "left_semi")
+                fewer = cut(inside.select("trace_id", F.col("to").alias("agent")).distinct())
+                release(stuck)
+                stuck, n, last = fewer, fewer.count(), n
+                if n == last:
+                    break
+            marks = stuck.withColumn("a", F.lit(True))
+            both = graph.join(marks, key, "left").join(marks.select("trace_id", F.col("agent").alias("to"), F.col("a").alias("b")), ["trace_id", "to"], "left")
+            broken = cut(both.select("trace_id", "to", "agent", (F.col("broken") | F.coalesce(F.col("a") & F.col("b") & (F.col("to") < F.col("agent")), F.lit(False))).alias("broken")))
+            release(graph)
+            graph = broken
+    return state.select(*key, "own_score", "penalty", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("own_score") - F.col("penalty"))).alias("final_score"))
 
 
 def system_score(scores: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import cut
+
 # Module names by library, in order of precedence.
 IMPORTS = {
     "anthropic": ["anthropic"], "openai": ["openai"], "google_genai": ["google.generativeai", "vertexai", "google.cloud.aiplatform"],
@@ -122,8 +124,8 @@ def _has(column: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def lint(each_line: DataFrame) -> DataFrame:
-    """path, line_no, rule_id, severity of the issues of guides, one row each."""
+def lint(each_line: DataFrame, promotion: tuple[str, ...] = ()) -> DataFrame:
+    """path, line_no, rule_id, severity of the issues of guides, one row each. promotion: patterns of the author's own tools, which a guide should not advertise (CG-005)."""
     doc = Window.partitionBy("path").orderBy("line_no")
     so_far = doc.rowsBetween(Window.unboundedPreceding, 0)
     low = F.lower("line")
@@ -146,31 +148,55 @@ def lint(each_line: DataFrame) -> DataFrame:
         issue((F.col("line_no") == 1) & F.col("art12") & ~F.col("scoped"), "CG-003", "error"),
         issue(low.contains("not to") & both, "CG-004", "warning"),
         issue(low.contains("provider") & low.contains("processor") & low.contains("by default"), "CG-004", "error"),
+        issue(F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in promotion)) if promotion else F.lit(False), "CG-005", "error"),
         issue(low.contains("article 50(2)") & low.contains("deployer"), "CG-006", "warning"),
         issue((F.col("in_diagram") == 1) & low.rlike(r"class\s+(\w+)\s+(processor|controller|joint_controller|sub_processor)") & F.col("qualified"), "CG-007", "error"),
     )
     return e.select("path", "line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("path", "line_no", "x.rule_id", "x.severity")
 
 
+# Patterns of the document checks.
+TABLE_ROW, TABLE_RULE = r"(?m)^\|.*\|$", r"(?m)^\|[\s\-:|]+\|$"
+LINK, BARE_URL = r"\[([^\]]+)\]\(([^)]+)\)", r"(?:^|[^(])https?://\S+"
+PLACEHOLDER = r"\[MANUAL INPUT REQUIRED\]"
+STRUCTURE = r"^(#{1,6}\s|[\-*]\s*$|\|[\s\-:|]+\||---+|```|>)"
+TITLE, AFTER_TITLE = r"(?m)^# [^\n]+$", r"(?ms)^# [^\n]+?$(.{0,500})"
+EDGES = r"^\s+|\s+$"
+
+
 def document_checks(docs: DataFrame) -> DataFrame:
-    """path, check_id, status: whether agents can read documents (path, text): size, first content line, headers, fences, long lines."""
+    """path, check_id, status: whether agents can read documents (path, text), by ten checks: size, first content line, headers, fences, tables, links,
+    placeholders, density, long lines, title with a summary."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = F.split(text, "\n", -1)
+    base = docs.select("path", text.alias("__t"), F.split(text, "\n", -1).alias("__l"))
+    text, each = F.col("__t"), F.col("__l")
     content = lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("---")) & ~F.startswith(F.trim(x), F.lit("<!--"))
     first = F.greatest(F.array_position(F.transform(each, content), True) - 1, F.lit(0))
-    count = lambda p: F.size(F.regexp_extract_all(text, F.lit(f"(?m){p}"), 0))
-    h1, h2, h3, fences = count("^# [^#]"), count("^## [^#]"), count("^### [^#]"), count("^```")
-    size = F.length(text)
-    long = F.size(F.filter(each, lambda x: F.length(x) > 500))
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    of_lines = lambda cond: F.size(F.filter(each, cond))
+    bare = lambda x: F.regexp_replace(x, EDGES, "")
+    m = base.select(
+        "path", F.length(text).alias("size"), first.alias("first"), count("(?m)^# [^#]").alias("h1"), count("(?m)^## [^#]").alias("h2"), count("(?m)^### [^#]").alias("h3"), count("(?m)^```").alias("fences"),
+        of_lines(lambda x: F.length(x) > 500).alias("long"), count(TABLE_ROW).alias("table_rows"), count(TABLE_RULE).alias("table_rules"), count(LINK).alias("links"), count(BARE_URL).alias("urls"),
+        of_lines(lambda x: x.rlike(r"\S")).alias("filled"), of_lines(lambda x: x.rlike(PLACEHOLDER)).alias("open"), of_lines(lambda x: x.rlike(r"\S") & ~bare(x).rlike(STRUCTURE)).alias("told"),
+        text.rlike(TITLE).alias("titled"), bare(F.regexp_extract(text, AFTER_TITLE, 1)).alias("after"),
+    )
+    c = F.col
+    share = lambda x: F.try_divide(x * 100.0, c("filled"))
     check = lambda name, status: F.struct(F.lit(name).alias("check_id"), status.alias("status"))
     rows = F.array(
-        check("AF-01", F.when(size <= 50_000, "pass").when(size <= 100_000, "warn").otherwise("fail")),
-        check("AF-02", F.when(first <= 5, "pass").when(first <= 20, "warn").otherwise("fail")),
-        check("AF-03", F.when(h1 + h2 + h3 == 0, "fail").when((h2 >= 5) & (h1 <= 2), "pass").otherwise("warn")),
-        check("AF-04", F.when(fences % 2 != 0, "fail").otherwise("pass")),
-        check("AF-09", F.when(long == 0, "pass").when(long <= 3, "warn").otherwise("fail")),
+        check("AF-01", F.when(c("size") <= 50_000, "pass").when(c("size") <= 100_000, "warn").otherwise("fail")),
+        check("AF-02", F.when(c("first") <= 5, "pass").when(c("first") <= 20, "warn").otherwise("fail")),
+        check("AF-03", F.when(c("h1") + c("h2") + c("h3") == 0, "fail").when((c("h2") >= 5) & (c("h1") <= 2), "pass").otherwise("warn")),
+        check("AF-04", F.when(c("fences") % 2 != 0, "fail").otherwise("pass")),
+        check("AF-05", F.when((c("table_rows") > 0) & (c("table_rules") == 0), "fail").otherwise("pass")),
+        check("AF-06", F.when((c("links") > 0) & (c("urls") > c("links")), "warn").otherwise("pass")),
+        check("AF-07", F.when(c("filled") == 0, "fail").when(share(c("open")) <= 10, "pass").when(share(c("open")) <= 30, "warn").otherwise("fail")),
+        check("AF-08", F.when(c("filled") == 0, "fail").when(share(c("told")) >= 50, "pass").when(share(c("told")) >= 30, "warn").otherwise("fail")),
+        check("AF-09", F.when(c("long") == 0, "pass").when(c("long") <= 3, "warn").otherwise("fail")),
+        check("AF-10", F.when(~c("titled"), "fail").when(c("after").rlike("(?m)^>") | ((c("after") != "") & ~c("after").startswith("#")), "pass").otherwise("warn")),
     )
-    return docs.select("path", F.explode(rows).alias("c")).select("path", "c.check_id", "c.status")
+    return m.select("path", F.explode(rows).alias("c")).select("path", "c.check_id", "c.status")
 
 
 def check_scores(checks: DataFrame) -> DataFrame:
@@ -183,10 +209,16 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
 
 
+# Characters that count as others in quotes; ligatures and spaces are NFKC's own.
+SUBSTITUTED, SUBSTITUTES = "‘’‚“”„«»–—−", "'''\"\"\"\"\"---"
+#: Quotes of one or two words that are looked for at once, and most keys of longer quotes that are broadcast (8 bytes and an id each).
+SHORT_QUOTES, KEYS = 500, 1_000_000
+
+
 def normalized(text: Column) -> Column:
     """For comparing quotes: NFKC (only texts beyond ASCII leave the JVM), words split at line ends joined, white space as one space, trimmed."""
     plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfkc(text))
-    straight = F.translate(plain, "‘’‚“”„–—−", "'''\"\"\"---")
+    straight = F.translate(plain, SUBSTITUTED, SUBSTITUTES)
     joined = F.regexp_replace(straight, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
     return F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
 
@@ -194,19 +226,65 @@ def normalized(text: Column) -> Column:
 def quote_findings(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """quote_id, n_sources, finding: in how many sources a quote stands word for word; `exact-quote-not-in-source` or `missing-exact-quote`.
 
-    Quotes are joined to the sources that share their first six words, which any source that holds the quote does, and then compared whole."""
-    key = lambda t, at: F.array_join(F.slice(t, at, 6), " ")
-    q = quotes.select("quote_id", normalized(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " "))
-    long = q.where(F.size("w") >= 8).withColumn("key", key(F.col("w"), F.lit(2)))  # the first and the last word may be parts of words of the source
+    The first and the last word of a quote may be parts of words of the source; what lies between are whole words. A quote of three words and more is joined to
+    the sources that hold the first of these, up to six, in a row, which any source that holds the quote does, and then compared whole. Quotes of one or two
+    words are looked for in all sources, a block of them at a time."""
+    q = cut(quotes.select("quote_id", normalized(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " ")).withColumn("k", F.least(F.lit(6), F.size("w") - 2)))
     s = sources.select("source_id", normalized(F.col("text")).alias("text"))
-    starts = s.select("source_id", F.split("text", " ").alias("w")).where(F.size("w") >= 6).select("source_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: key(F.col("w"), i)))).alias("key"))
-    pairs = starts.join(long.select("quote_id", "key"), "key").select("source_id", "quote_id").distinct()
-    held = pairs.join(s, "source_id").join(q.select("quote_id", "quote"), "quote_id").where(F.contains("text", F.col("quote")))
-    n = held.groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_sources"))
-    out = q.join(n, "quote_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+    lengths = [r["k"] for r in q.where("k >= 1").select("k").distinct().collect()]  # six at most
+    found = []
+    if lengths:
+        hashed = lambda words: F.transform(words, lambda x: F.xxhash64(x))
+        # the hash of a run of k words is that of the run without its last word, and this
+        inner = q.where("k >= 1").select("quote_id", hashed(F.slice("w", F.lit(2), F.col("k"))).alias("h"))
+        long = inner.select("quote_id", F.aggregate(F.slice("h", F.lit(2), F.size("h")), F.get("h", 0), lambda a, x: F.xxhash64(a, x)).alias("key"))
+        w = s.select("source_id", hashed(F.split("text", " ")).alias("h")).withColumn("run1", F.col("h"))
+        for k in range(2, max(lengths) + 1):
+            left = F.greatest(F.size("h") - (k - 1), F.lit(0))
+            w = w.withColumn(f"run{k}", F.zip_with(F.slice(f"run{k - 1}", F.lit(1), left), F.slice("h", F.lit(k), left), lambda a, x: F.xxhash64(a, x)))
+        few = long.limit(KEYS + 1).count() <= KEYS
+        keys = w.select("source_id", F.explode(F.array_distinct(F.concat(*(f"run{k}" for k in sorted(lengths))))).alias("key"))
+        found.append(keys.join(F.broadcast(long) if few else long, "key").select("source_id", "quote_id").distinct())
+    pairs = found[0].join(s, "source_id").join(q.select("quote_id", "quote"), "quote_id").where(F.contains("text", F.col("quote"))).select("quote_id", "source_id") if found else None
+    short = q.where("k < 1 AND quote <> ''").select("quote_id", "quote")
+    block = F.pmod(F.xxhash64("quote_id"), F.lit(max(1, -(-short.count() // (SHORT_QUOTES // 2)))))
+    blocks = short.withColumn("block", block)
+    for b in [r["block"] for r in blocks.select("block").distinct().collect()]:
+        one = blocks.where(F.col("block") == b).agg(F.collect_list(F.struct("quote_id", "quote")).alias("block"))
+        held = s.join(F.broadcast(one)).select("source_id", F.explode(F.filter("block", lambda x: F.contains(F.col("text"), x["quote"]))).alias("x")).select("x.quote_id", "source_id")
+        pairs = held if pairs is None else pairs.unionByName(held)
+    if pairs is None:
+        return q.select("quote_id", F.lit(0).cast("long").alias("n_sources"), F.lit("missing-exact-quote").alias("finding"))
+    out = q.join(pairs.groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_sources")), "quote_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
     return out.select("quote_id", "n_sources", F.when(F.coalesce("quote", F.lit("")) == "", "missing-exact-quote").when(F.col("n_sources") == 0, "exact-quote-not-in-source").otherwise("ok").alias("finding"))
 
 
+def validate_quotes(files: DataFrame, requirements: DataFrame, fields: DataFrame, sources: DataFrame) -> DataFrame:
+    """file, rule_id, field_path, code, severity: what is wrong with the provenance of requirement files, in nine codes.
+
+    files: file, verified, source; requirements: file, rule_id, check_type, exact_quote; fields: rule_id, field_path, required, legal_basis, source_quote; sources:
+    source, text. Files that do not claim verification have no findings. A file's quotes are compared with its one source alone."""
+    issue = lambda cond, code, severity="error": F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    listed = lambda *issues: F.explode(F.filter(F.array(*issues), lambda x: x.isNotNull())).alias("x")
+    named = sources.select("source", normalized(F.col("text")).alias("source_text"))
+    f = files.where("verified").join(named, "source", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    blank = lambda c: ~F.col(c).rlike(r"(?U)\S")
+    inside = lambda c: F.contains(F.col("source_text"), normalized(F.col(c)))
+    of_files = f.select("file", F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("field_path"), listed(issue(empty("source"), "verified-without-source"), issue(~empty("source") & F.col("source_text").isNull(), "unknown-source")))
+    r = f.where("source_text IS NOT NULL").join(requirements, "file")
+    quote = F.col("exact_quote")
+    of_rules = r.select("file", "rule_id", F.lit(None).cast("string").alias("field_path"), listed(issue(empty("exact_quote"), "missing-exact-quote"), issue(quote.isNotNull() & blank("exact_quote"), "empty-exact-quote"), issue(quote.isNotNull() & ~blank("exact_quote") & ~inside("exact_quote"), "exact-quote-not-in-source")))
+    e = r.where(F.coalesce("check_type", F.lit("")) != "organizational").select("file", "rule_id", "source_text").join(fields, "rule_id")
+    basis, required = F.col("legal_basis"), F.coalesce("required", F.lit(False))
+    direct = F.coalesce(basis == "direct", F.lit(False))
+    of_fields = e.select("file", "rule_id", "field_path", listed(
+        issue(basis.isNull() & required, "missing-legal-basis", "warning"), issue(basis.isNotNull() & ~direct & required, "required-without-direct-basis"),
+        issue(direct & empty("source_quote"), "direct-basis-missing-source-quote"), issue(direct & ~empty("source_quote") & ~inside("source_quote"), "source-quote-not-in-source"),
+    ))
+    return of_files.unionByName(of_rules).unionByName(of_fields).select("file", "rule_id", "field_path", "x.code", "x.severity")
+
+
 # Lines that count as a step of a plan.
 STEP = r"^\s*(?:\d+[.)]\s+|[-*]\s+\[[ xX]\]\s+|#{2,4}\s+(?:Step|Phase)\b|(?i:step)\s+\d+|(?i:phase)\s+\d+|[-*]\s+\*\*)"
 

@@ -48,9 +48,10 @@ def cost_breakdown(calls: DataFrame) -> DataFrame:
 
 
 def counter(calls: DataFrame, column: str, most: int) -> DataFrame:
-    """value, n, pct of the most frequent values; of equals the first seen. Only sums a value reach the single task that ranks them."""
+    """value, n, pct of the most frequent values; of equals the first seen. No task sees more than its part of them."""
     counts = calls.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
-    return counts.withColumn("pct", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100, 6)).orderBy(F.desc("n"), "first_ord").limit(most).select("value", "n", "pct")
+    whole = counts.agg(F.sum("n").alias("all"))  # one row
+    return counts.join(F.broadcast(whole)).withColumn("pct", F.round(F.col("n") / F.col("all") * 100, 6)).orderBy(F.desc("n"), "first_ord").limit(most).select("value", "n", "pct")
 
 
 def file_hotspots(calls: DataFrame, most: int = 15) -> DataFrame:
@@ -160,8 +161,8 @@ def optimal_length(buckets: DataFrame) -> DataFrame:
 
 
 def project_rollup(calls: DataFrame) -> DataFrame:
-    """Usage by project with a total row; projects are the last digit of the session id."""
-    out = calls.withColumn("project", F.concat(F.lit("p"), (F.col("session_id") % 10).cast("string"))).rollup("project").agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("ai_calls"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_create")), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    """Usage by project (a column of calls) with a total row."""
+    out = calls.rollup("project").agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("ai_calls"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_create")), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     return out.select(F.coalesce("project", F.lit("total")).alias("project"), "sessions", "ai_calls", "input_tokens", "output_tokens", "first_day", "last_day", F.round(cost_columns()["cost_with_cache"], 6).alias("est_cost"))
 
 
@@ -191,7 +192,7 @@ def workflow_patterns(calls: DataFrame) -> DataFrame:
     hour = F.hour("ts")
     by_hour = calls.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("h", F.struct(-F.col("n"), F.col("h"))).alias("peak"), (F.sum(F.when(F.col("h") < 6, F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("night"))
     by_session = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("heaviest"), F.count(F.lit(1)).alias("sessions"))
-    by_file = file_hotspots(calls, 1_000_000).agg(F.max("edits").alias("edits"), F.min_by("file", F.struct(-F.col("edits"), F.col("file"))).alias("edited"))
+    by_file = calls.where(F.col("file").isNotNull()).groupBy("file").agg(F.count_if(F.col("tool") == "Edit").alias("edits")).agg(F.max("edits").alias("edits"), F.min_by("file", F.struct(-F.col("edits"), F.col("file"))).alias("edited"))
     by_tool = counter(calls, "tool", 1).select(F.col("value").alias("tool"))
     sums = calls.agg(F.count(F.lit(1)).alias("calls"), F.count("tool").alias("tools"), F.sum("input_tokens").alias("i"), F.sum("cache_read").alias("r"), F.count_if(F.col("tool") == "Read").alias("reads"), F.count_if(F.col("tool") == "Edit").alias("edit_calls"))
     # Each of the five is one row; laid under each other and folded, they are one.
