@@ -168,3 +168,21 @@ m = ["gpt-4o", 'claude-3-opus', "gpt-4o"]  # or o3-mini"""
 def test_flows_have_one_row_a_service(spark):
     found = spark.createDataFrame([("b", 1, "openai"), ("a", 9, "openai"), ("c", 1, "faiss")], "path string, line_no int, library string").withColumn("module", F.col("library"))
     assert [tuple(r) for r in scan.service_flows(found).collect()] == [("a", "OpenAI API", "openai", "processor")]
+
+
+def test_files_of_a_code_base(spark):
+    """Kinds of files by name and folder, dependencies of packages, routes by path, and an empty code base."""
+    from tracewell.operators import codescan
+
+    names = ["a/App.test.tsx", "conftest.py", "src/Settings.PY", "pkg/contrib/x.py", "examples/x.py", "x.egg-info/y.py", "k8s/d.yml", "k8s/in/d.yml", "compose.dev.yaml", "setup.py", "package.json", "README"]
+    text = {"setup.py": "# openai\ninstall = ['cohere', 'pinecone']\n", "package.json": '{"ai": "1",\n"left": "2"}'}
+    files = spark.createDataFrame([(n, n, text.get(n, "")) for n in names] + [("null.py", "null.py", None)], "path string, inside string, text string")
+    kinds = {r["path"]: (r["is_script"], r["is_test"], r["is_config"], r["usage_type"]) for r in codescan.classified(codescan.source_files(files)).collect()}
+    plain, supported = (False, False, False, "uses"), (False, False, False, "supports")
+    assert kinds == {"a/App.test.tsx": (True, True, False, "supports"), "conftest.py": (False, True, False, "supports"), "src/Settings.PY": (False, False, True, "uses"), "pkg/contrib/x.py": supported, "setup.py": plain, "null.py": plain}
+    assert sorted((r["path"], r["line_no"], r["library"]) for r in codescan.dependencies(files).collect()) == [("package.json", 1, "vercel_ai"), ("setup.py", 2, "cohere")]
+    assert sorted((r["path"], r["config_type"]) for r in codescan.deployments(files).collect()) == [("compose.dev.yaml", "compose"), ("k8s/d.yml", "kubernetes"), ("package.json", "package_json"), ("setup.py", "setup")]
+    routes = spark.createDataFrame([("src/app/api/chat/route.ts",), ("api/index.ts",), ("a/api/b/api/c/d.ts",)], "p string").select(codescan.next_route(F.col("p"))).collect()
+    assert [r[0] for r in routes] == ["/api/chat", "/api/[unknown]", "/api/c/d.ts"]
+    for run in (codescan.ai_imports, codescan.endpoints, codescan.deployments, codescan.used_models):
+        assert run(files.limit(0)).count() == 0

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import codescan as code
 from .operators import coverage as cov
 from .operators import delegation as dag
-from .operators import logs, scan
+from .operators import flows, logs, scan
 from .operators import sessions as ses
 from .plans import rules
 from .sources import adapters as src
@@ -782,3 +783,176 @@ def conversation_ingest(spark, sf_dir):
     entry = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), F.col("conv_id")).alias("sessionId"), F.concat(F.lit("u"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("uuid"), message.alias("message")))
     entries = c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").cast("int").alias("ord"), entry.alias("entry"))
     return traces.conversations(entries).select("trace_id", "span_id", F.length("input_messages").alias("n_input"), "input_tokens", "total_tokens")
+
+
+# --- code bases ------------------------------------------------------------------------------------------------------------
+
+# One file a part, said once for both engines: ~ is a quote, | a new line.
+_CODE = (
+    "CASE p_partkey % 3 WHEN 0 THEN 'import openai|' WHEN 1 THEN 'from anthropic import x|' ELSE 'import os|' END, '@app.post(|    ~/chat', p_partkey, '~)|@app.route(~/x~)|f1_score(evaluate (x), accuracy_score)|', "
+    "CASE WHEN p_partkey % 5 = 0 THEN 'u = ~https://api.cohere.ai/v1~|' ELSE 'accuracy_score + perplexity|' END, 'm = ~gpt-4~', repeat('|m = ~gpt-4o-mini~', CAST(p_partkey % 16 AS INT))"
+)
+_SCRIPT = "CASE p_partkey % 3 WHEN 0 THEN 'import ~@langchain/core/runs~|' WHEN 1 THEN 'import a from ~openai~; const b = require(~chromadb~)|' ELSE 'import z from ~left~|' END, 'app.get(~/r', p_partkey, '~, f)', CASE WHEN p_partkey % 5 = 0 THEN '|fetch(~https://api.anthropic.com/v1~)' ELSE '' END"
+_INSIDE = "CASE p_partkey % 8 WHEN 0 THEN 'src/app/api/chat/route.ts' WHEN 1 THEN 'src/mod.py' WHEN 2 THEN 'tests/test_mod.py' WHEN 3 THEN 'plugins/mod.py' WHEN 4 THEN 'config.py' WHEN 5 THEN 'requirements.txt' WHEN 6 THEN 'Dockerfile' ELSE 'node_modules/x/index.js' END"
+_CONTENT = f"CASE WHEN p_partkey % 8 IN (0, 7) THEN concat({_SCRIPT}) WHEN p_partkey % 8 = 5 THEN concat('# openai|openai==1.', p_partkey, '|langchain-openai>=1|numpy|pinecone') WHEN p_partkey % 8 = 6 THEN concat('FROM x|RUN pip install ', CASE WHEN p_partkey % 3 = 0 THEN 'anthropic' ELSE 'numpy' END) ELSE concat({_CODE}) END"
+_REPO_COLUMNS = (f"concat('r', p_partkey, '/', {_INSIDE}) AS path", f"{_INSIDE} AS inside", f"translate({_CONTENT}, '~|', concat(chr(39), chr(10))) AS text")
+
+
+def _code_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.table(spark, sf_dir, "part").selectExpr(*_REPO_COLUMNS)
+
+
+_REPO = f"""WITH files AS (SELECT {', '.join(_REPO_COLUMNS)} FROM part),
+sources AS (SELECT *, inside LIKE '%.ts' AS is_script, inside IN ('tests/test_mod.py') AS is_test, inside = 'config.py' AS is_config, CASE WHEN inside LIKE 'tests/%' OR inside LIKE 'plugins/%' THEN 'supports' ELSE 'uses' END AS usage_type
+  FROM files WHERE regexp_matches(inside, '\\.(py|ts)$')),
+cut_up AS (SELECT *, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM sources),
+lines AS (SELECT *, lead(line) OVER (PARTITION BY path ORDER BY line_no) AS following FROM cut_up),
+mods AS (SELECT path, line_no, coalesce(nullif(regexp_extract(line, '^from (\\w+) import', 1), ''), regexp_extract(line, '^import (\\w+)$', 1)) AS library FROM lines WHERE NOT is_script),
+modules AS (SELECT * FROM mods WHERE library IN ('openai', 'anthropic')),
+hosts(library, host) AS (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in code.HOSTS.items())}),
+addresses AS (SELECT path, library, min(line_no) AS line_no, any_value(is_script) AS is_script FROM lines, hosts WHERE regexp_matches(line, host) GROUP BY path, library),
+packs(rank, known, library, is_store) AS (VALUES {", ".join(f"({i}, {_q(p)}, {_q(lib)}, {store})" for i, (p, lib, store) in enumerate([(p, lib, 'false') for lib, ps in code.SCRIPT_PACKAGES.items() for p in ps] + [(p, lib, 'true') for lib, ps in code.SCRIPT_STORES.items() for p in ps]))}),
+named AS (SELECT path, line_no, unnest({" || ".join(f"regexp_extract_all(line, {_q(p)}, 1)" for p in code.SCRIPT_IMPORTS)}) AS package FROM lines WHERE is_script),
+packages AS (SELECT n.path, n.line_no, n.package, arg_min(p.library, (p.known <> n.package, p.rank)) AS library, arg_min(p.is_store, (p.known <> n.package, p.rank)) AS is_store FROM named n JOIN packs p ON n.package = p.known OR starts_with(n.package, p.known || '/') GROUP BY n.path, n.line_no, n.package),
+declared AS (SELECT path, line_no, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM files WHERE inside = 'requirements.txt') WHERE line NOT LIKE '#%'),
+dependencies AS (SELECT path, line_no, 'openai' AS library, 'openai' AS package FROM declared WHERE contains(line, 'openai')),
+metrics(i, name, pattern) AS (VALUES {", ".join(f"({i}, {_q(k)}, {_q(v)})" for i, (k, v) in enumerate(code.METRICS.items()))})"""
+
+
+@query(f"{_REPO} SELECT path, inside, is_script, is_test, is_config, usage_type FROM sources")
+def source_kinds(spark, sf_dir):
+    return code.classified(code.source_files(_code_base(spark, sf_dir))).drop("text")
+
+
+@query(f"{_REPO}, seen AS (SELECT path, name, min((line_no, i)) AS first_at FROM lines, metrics WHERE regexp_matches(line, pattern) GROUP BY path, name) SELECT path, string_agg(name, ',' ORDER BY first_at) AS metrics FROM seen GROUP BY path")
+def code_metrics(spark, sf_dir):
+    return code.metrics(code.lines(code.source_files(_code_base(spark, sf_dir)))).withColumn("metrics", F.array_join("metrics", ","))
+
+
+@query(f"{_REPO} SELECT path, library, line_no FROM addresses")
+def provider_addresses(spark, sf_dir):
+    return code.provider_addresses(code.lines(code.source_files(_code_base(spark, sf_dir))))
+
+
+@query(f"{_REPO} SELECT path, line_no, package, library, is_store FROM packages")
+def script_imports(spark, sf_dir):
+    return code.script_imports(code.lines(code.source_files(_code_base(spark, sf_dir)).where("is_script")))
+
+
+@query(
+    f"""{_REPO}, found AS (SELECT path, library, line_no FROM modules UNION ALL SELECT path, library, line_no FROM addresses UNION ALL SELECT path, library, line_no FROM packages WHERE NOT is_store),
+firsts AS (SELECT f.path, f.library, min(f.line_no) AS line_no, s.usage_type FROM found f JOIN sources s ON f.path = s.path GROUP BY f.path, f.library, s.usage_type)
+SELECT * FROM firsts UNION ALL SELECT path, library, min(line_no), 'uses' FROM dependencies GROUP BY path, library"""
+)
+def code_imports(spark, sf_dir):
+    return code.ai_imports(_code_base(spark, sf_dir))
+
+
+_ROUTE_SQL = f"nullif(regexp_extract({{}}, {_q(code.ROUTE)}, 1), '')"
+
+
+@query(
+    f"""{_REPO}, scripts AS (SELECT path FROM packages WHERE NOT is_store UNION SELECT path FROM addresses WHERE is_script)
+SELECT path, CASE WHEN contains(line, 'route') THEN 'flask' ELSE 'fastapi' END AS framework, coalesce({_ROUTE_SQL.format('line')}, {_ROUTE_SQL.format('following')}, '[unknown]') AS route, line_no FROM lines WHERE starts_with(line, '@app') AND path IN (SELECT path FROM modules)
+UNION ALL SELECT path, 'express', {_ROUTE_SQL.format('line')}, line_no FROM lines WHERE is_script AND starts_with(line, 'app.get') AND path IN (SELECT path FROM scripts)
+UNION ALL SELECT path, 'nextjs', '/api/chat', 1 FROM sources WHERE is_script AND path IN (SELECT path FROM scripts)"""
+)
+def code_endpoints(spark, sf_dir):
+    return code.endpoints(_code_base(spark, sf_dir))
+
+
+@query(f"{_REPO} SELECT path, CASE inside WHEN 'Dockerfile' THEN 'dockerfile' ELSE 'requirements' END AS config_type, contains(text, 'anthropic') OR contains(text, 'openai') AS contains_ai FROM files WHERE inside IN ('Dockerfile', 'requirements.txt')")
+def deployment_files(spark, sf_dir):
+    return code.deployments(_code_base(spark, sf_dir))
+
+
+@query(f"{_REPO} SELECT * FROM dependencies")
+def declared_dependencies(spark, sf_dir):
+    return code.dependencies(_code_base(spark, sf_dir))
+
+
+@query(
+    f"""{_REPO}, hits AS (SELECT path, line_no, nullif(regexp_extract(line, '~(gpt-[^~]*)~', 1), '') AS model, count(nullif(regexp_extract(line, '~(gpt-[^~]*)~', 1), '')) OVER (PARTITION BY path) AS m FROM (SELECT * REPLACE (replace(line, chr(39), '~') AS line) FROM lines) WHERE NOT is_test AND NOT is_config)
+SELECT model, arg_min(path, (path, line_no)) AS path, arg_min(line_no, (path, line_no)) AS line_no, count(*) AS n FROM hits WHERE model IS NOT NULL AND m <= 10 GROUP BY model"""
+)
+def used_models(spark, sf_dir):
+    return code.used_models(_code_base(spark, sf_dir))
+
+
+# --- flows, filters, paths -------------------------------------------------------------------------------------------------
+
+_FLOWS = (
+    "o_orderkey AS flow_ord", "concat('svc', o_custkey % 40) AS destination",
+    "CASE o_orderkey % 6 WHEN 0 THEN 'inference' WHEN 1 THEN 'storage' WHEN 2 THEN 'training' WHEN 3 THEN 'monitoring' WHEN 4 THEN 'api_call' ELSE 'archive' END AS purpose",
+    "CASE o_custkey % 7 WHEN 0 THEN 'prompts' WHEN 1 THEN 'embeddings' WHEN 2 THEN 'user_data' WHEN 3 THEN 'model_responses' WHEN 4 THEN 'model_data' WHEN 5 THEN 'logs' ELSE 'sounds' END AS data_type",
+    "CASE WHEN o_custkey % 3 = 0 THEN 'controller' ELSE 'processor' END AS role", "CASE WHEN o_orderkey % 5 = 0 THEN 'see contract' WHEN o_orderkey % 5 = 1 THEN '' END AS note",
+    "CASE WHEN o_orderkey % 4 = 0 THEN 'US' END AS jurisdiction", "o_orderkey % 2 = 0 AS needs_safeguards",
+)
+_FLOWS_SQL = f"WITH flows AS (SELECT {', '.join(_FLOWS)} FROM orders)"
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.table(spark, sf_dir, "orders").selectExpr(*_FLOWS)
+
+
+def _told_sql(column: str, texts: dict[str, str], other: str) -> str:
+    fill = lambda t: _q(t).replace("{data_type}", "' || data_type || '").replace("{destination}", "' || destination || '")
+    return f"CASE {column} " + " ".join(f"WHEN {_q(k)} THEN {fill(v)}" for k, v in texts.items()) + f" ELSE {fill(other) if '{' in other else other} END"
+
+
+@query(
+    f"""{_FLOWS_SQL}, firsts AS (SELECT * FROM flows QUALIFY row_number() OVER (PARTITION BY destination, purpose ORDER BY flow_ord) = 1)
+SELECT destination AS recipient, {_told_sql('purpose', flows.ACTIVITIES, flows.OTHER_ACTIVITY)} AS activity, {_told_sql('purpose', flows.PURPOSES, 'purpose')} AS purpose, {_told_sql('data_type', flows.CATEGORIES, 'data_type')} AS data_categories,
+  CASE WHEN role = 'controller' THEN {_q(flows.INTERNAL)} ELSE 'Transfer to ' || destination || '; ' || CASE WHEN note <> '' THEN note ELSE replace({_q(flows.USUAL_ROLE)}, '{{role}}', role) END || CASE WHEN needs_safeguards THEN '; ' || replace({_q(flows.SAFEGUARDS)}, '{{jurisdiction}}', coalesce(jurisdiction, 'non-EEA')) ELSE '' END END AS transfers FROM firsts"""
+)
+def records_of_processing(spark, sf_dir):
+    return flows.records_of_processing(_flows(spark, sf_dir))
+
+
+@query(f"{_FLOWS_SQL}, services AS (SELECT DISTINCT concat('svc', c_custkey % 45) AS service FROM customer) SELECT service, min_by(role, flow_ord) AS first_role, max_by(purpose, flow_ord) AS last_purpose FROM services LEFT JOIN flows ON service = destination GROUP BY service")
+def service_roles(spark, sf_dir):
+    services = src.table(spark, sf_dir, "customer").selectExpr("concat('svc', c_custkey % 45) AS service").distinct()
+    return flows.service_roles(services, _flows(spark, sf_dir))
+
+
+_SINCE, _UNTIL = "2024-01-05", "2024-01-20"
+
+
+@query(f"{_CALLS} SELECT session_id, strftime(min(ts), '%Y-%m-%d') AS day, count(*) AS ai_calls FROM calls GROUP BY session_id, date_trunc('day', ts) HAVING strftime(min(ts), '%Y-%m-%d') >= '{_SINCE}' AND strftime(min(ts), '%Y-%m-%d') < '{_UNTIL}'")
+def sessions_within(spark, sf_dir):
+    days = src.log_calls(spark, sf_dir).groupBy("session_id", "day").agg(F.count(F.lit(1)).alias("ai_calls"))
+    return ses.within(days, ses.first_day(since=_SINCE), ses.first_day(since=_UNTIL))
+
+
+@query(
+    f"""{_LOGS}, newest AS (SELECT max_by(session_id, (t, session_id)) AS session_id FROM (SELECT session_id, max(ts) AS t FROM found GROUP BY session_id)), total AS (SELECT session_id, CAST(sum(amount) AS BIGINT) AS total_rules, count(*) AS sources FROM lasts WHERE kind = 'permission' AND session_id = (SELECT session_id FROM newest) GROUP BY session_id)
+SELECT *, CASE WHEN total_rules > 100 THEN 'many' WHEN total_rules > 50 THEN 'moderate' ELSE 'lean' END AS size FROM total WHERE total_rules > 0"""
+)
+def permission_insight(spark, sf_dir):
+    return logs.permission_insight(_log_events(spark, sf_dir))
+
+
+@query(f"{_SPANS}{_PENALTY} SELECT agent, round(max_by(final_score, trace_id), 6) AS final_score FROM solved GROUP BY agent")
+def merged_agent_scores(spark, sf_dir):
+    return dag.merged(_agent_scores(spark, sf_dir)).withColumn("final_score", F.round("final_score", 6))
+
+
+_PATHS = [("props.k", "non_null"), ("props.none", "non_null"), ("props.k.deep", "non_null"), ("other.k", "non_null"), ("event_type", "non_empty")]
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n, count(json_extract_string(props, '$.k')) AS k, count(nullif(event_type, '')) AS e FROM events), r AS (SELECT 'props.k' AS field, 'non_null' AS check_type, n AS population, k AS present_count FROM n UNION ALL SELECT 'props.none', 'non_null', n, 0 FROM n
+UNION ALL SELECT 'props.k.deep', 'non_null', n, 0 FROM n UNION ALL SELECT 'other.k', 'non_null', 0, 0 UNION ALL SELECT 'event_type', 'non_empty', n, e FROM n) SELECT *, CASE WHEN population > 0 THEN round(present_count / population, 9) ELSE 0.0::DOUBLE END AS coverage FROM r"""
+)
+def nested_coverage(spark, sf_dir):
+    return cov.path_coverage(src.table(spark, sf_dir, "events"), _PATHS).withColumn("coverage", F.round("coverage", 9))
+
+
+@query(
+    f"""WITH {src.EVENT_SPANS_SQL}, t AS (SELECT trace_id, min(CASE WHEN user_id % 3 > 0 THEN agent_framework END) AS framework FROM spans GROUP BY trace_id), n AS (SELECT count(*) AS n, count(framework) AS f FROM t),
+r AS (SELECT 'trace_id' AS field, 'non_empty' AS check_type, n AS population, n AS present_count FROM n UNION ALL SELECT 'metadata.framework', 'non_null', n, f FROM n UNION ALL SELECT 'metadata.none', 'non_null', n, 0 FROM n) SELECT *, round(present_count / population, 9) AS coverage FROM r"""
+)
+def trace_coverage(spark, sf_dir):
+    one = src.event_spans(spark, sf_dir).groupBy("trace_id").agg(F.min(F.when(F.col("user_id") % 3 > 0, F.col("agent_framework"))).alias("framework"))
+    traced = one.select("trace_id", F.create_map(F.lit("framework"), F.col("framework")).alias("metadata"))
+    return cov.path_coverage(traced, [("trace_id", "non_empty"), ("metadata.framework", "non_null"), ("metadata.none", "non_null")]).withColumn("coverage", F.round("coverage", 9))

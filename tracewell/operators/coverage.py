@@ -109,3 +109,35 @@ def trace_totals(spans: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.coalesce("model_used", "model_requested", F.lit("unknown")))), ",").alias("models"),
         F.min("start_time").alias("first_time"), F.max("start_time").alias("last_time"),
     ).withColumn("is_multi_agent", F.col("n_agents") > 1)
+
+
+def nested_column(rows: DataFrame, path: str) -> Column | None:
+    """What a dotted path names: the first part is a column, and what follows is in its struct or map, or in its JSON text."""
+    first, *rest = path.split(".")
+    if first not in rows.columns:
+        return None
+    column, kind = F.col(first), rows.schema[first].dataType
+    while rest:
+        if isinstance(kind, T.StringType):
+            return F.get_json_object(column, "$." + ".".join(rest))
+        part = rest.pop(0)
+        if isinstance(kind, T.StructType):
+            if part not in kind.names:
+                return None
+            column, kind = column.getField(part), kind[part].dataType
+        elif isinstance(kind, T.MapType):
+            column, kind = F.try_element_at(column, F.lit(part)), kind.valueType
+        else:
+            return None
+    return column
+
+
+def path_coverage(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """As coverage, for paths into spans (`a.b.c`) or, over a table of traces, for their own fields and `metadata.f`. A path that names nothing has no population."""
+    named = [(p, c, nested_column(rows, p)) for p, c in sorted(set(pairs))]
+    kinds = {f.name: f.dataType for f in rows.select(*(col.alias(f"c{i}") for i, (_, _, col) in enumerate(named) if col is not None)).schema.fields}
+    counts = [F.count_if(is_present(col, kinds.get(f"c{i}"), c)).alias(f"c{i}") for i, (_, c, col) in enumerate(named)]
+    one = rows.agg(F.count(F.lit(1)).alias("n"), *counts)
+    each = [F.struct(F.lit(p).alias("field"), F.lit(c).alias("check_type"), (F.lit(0).cast("long") if col is None else F.col("n")).alias("population"), (F.lit(0).cast("long") if col is None else F.col(f"c{i}")).alias("present_count")) for i, (p, c, col) in enumerate(named)]
+    out = one.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    return out.withColumn("coverage", F.when(F.col("population") > 0, F.col("present_count") / F.col("population")).otherwise(F.lit(0.0)))

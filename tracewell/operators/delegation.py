@@ -162,3 +162,8 @@ def liability_shifts(spans: DataFrame) -> DataFrame:
     frameworks = F.array_sort(F.collect_set(F.nullif(F.col("agent_framework"), F.lit(""))))
     out = spans.groupBy("trace_id").agg(models.alias("m"), frameworks.alias("f"))
     return out.where((F.size("m") > 1) | (F.size("f") > 1)).select("trace_id", F.array_join("m", ", ").alias("models"), F.array_join("f", ", ").alias("frameworks"), (F.size("m") > 1).alias("several_models"), (F.size("f") > 1).alias("several_frameworks"))
+
+
+def merged(scores: DataFrame) -> DataFrame:
+    """agent, final_score over all traces: that of the last trace counts."""
+    return scores.groupBy("agent").agg(F.max_by("final_score", "trace_id").alias("final_score"))

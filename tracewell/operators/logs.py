@@ -91,3 +91,12 @@ def friction(found: DataFrame, summary: DataFrame) -> DataFrame:
 def rollup(scores: DataFrame) -> DataFrame:
     grades = [F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"]
     return scores.agg(F.count(F.lit(1)).alias("sessions"), F.bround(F.avg("score"), 1).alias("avg_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), *grades, F.sum("tool_errors").alias("tool_errors"), F.sum("api_errors").alias("api_errors"), F.round(F.sum("stall_seconds"), 6).alias("stall_seconds"))
+
+
+def permission_insight(found: DataFrame) -> DataFrame:
+    """session_id, total_rules, sources, size of the newest log with permission rules: the last count of each source; over 100 rules are many, over 50 moderate."""
+    newest = found.groupBy("session_id").agg(F.max("ts").alias("last_ts")).agg(F.max_by("session_id", F.struct("last_ts", "session_id")).alias("session_id"))  # one row
+    rules = found.where("kind = 'permission'").join(F.broadcast(newest), "session_id")
+    by_source = rules.groupBy("session_id", "name").agg(F.max_by("amount", "line_no").cast("long").alias("n"))
+    one = by_source.groupBy("session_id").agg(F.sum("n").alias("total_rules"), F.count(F.lit(1)).alias("sources")).where("total_rules > 0")
+    return one.withColumn("size", F.when(F.col("total_rules") > 100, "many").when(F.col("total_rules") > 50, "moderate").otherwise("lean"))

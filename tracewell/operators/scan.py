@@ -70,14 +70,23 @@ def match_modules(found: DataFrame, dim: DataFrame) -> DataFrame:
     return hits.groupBy("path", "line_no", "module").agg(F.min_by("library", "rank").alias("library"))
 
 
-def model_refs(each_line: DataFrame) -> DataFrame:
-    """Distinct model names (without trailing dots and dashes, and not names of files) with their first place. Each quoted text of a line names a model, and so does what is not quoted."""
+def model_hits(each_line: DataFrame) -> DataFrame:
+    """path, line_no, hit: each quoted text of a line names a model, and so does what is not quoted."""
     parts = F.concat(F.array(F.regexp_replace("line", QUOTED, " ")), F.regexp_extract_all("line", F.lit(QUOTED), 0))
     hit = lambda part: F.coalesce(*(F.nullif(F.regexp_extract(part, f"({p})", 1), F.lit("")) for p in MODELS))
-    named = each_line.select("path", "line_no", F.explode(F.transform(parts, hit)).alias("hit")).withColumn("model", F.regexp_replace("hit", r"[.\-_]+$", "")).where(F.col("model").isNotNull() & ~F.col("model").rlike(r"\.(py|js|ts|json|yaml|yml|md|txt|toml)"))
+    return each_line.select("path", "line_no", F.explode(F.transform(parts, hit)).alias("hit")).where(F.col("hit").isNotNull())
+
+
+def distinct_models(hits: DataFrame) -> DataFrame:
+    """Distinct model names (without trailing dots and dashes, and not names of files) with their first place."""
+    named = hits.withColumn("model", F.regexp_replace("hit", r"[.\-_]+$", "")).where(~F.col("model").rlike(r"\.(py|js|ts|json|yaml|yml|md|txt|toml)"))
     return named.groupBy("model").agg(F.min(F.struct("path", "line_no")).alias("at"), F.count(F.lit(1)).alias("n")).select("model", "at.path", "at.line_no", "n")
 
 
+def model_refs(each_line: DataFrame) -> DataFrame:
+    return distinct_models(model_hits(each_line))
+
+
 def code_calls(each_line: DataFrame) -> DataFrame:
     """path, line_no, kind, what: data loading, file writes and reads (one of each a line), each service with a client and each quoted address of another host."""
     every = lambda p: F.regexp_extract_all("line", F.lit(p), 1)

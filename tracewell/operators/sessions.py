@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,3 +220,25 @@ def inboxes(messages: DataFrame) -> DataFrame:
     """Of each inbox: messages, senders, the most frequent sender (of equals the first), first and last time in order."""
     sent = messages.groupBy("inbox", "sender").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.min_by("ts", "ord").alias("a"), F.max_by("ts", "ord").alias("b"), F.max("ord").alias("last_ord"))
     return sent.groupBy("inbox").agg(F.sum("n").alias("messages"), F.count(F.lit(1)).alias("senders"), F.min_by("sender", F.struct(-F.col("n"), F.col("first_ord"))).alias("top_sender"), F.min_by("a", "first_ord").alias("first_time"), F.max_by("b", "last_ord").alias("last_time"))
+
+
+def first_day(last: str | None = None, since: str | None = None, now: dt.datetime | None = None) -> dt.date | None:
+    """The day from which sessions count: `last` as 7d, 2w or 3m (months of 30 days) before now, else the day `since`; None without one or for an unreadable day."""
+    if last:
+        last = last.lower().strip()
+        days = {"d": 1, "w": 7, "m": 30}.get(last[-1:])
+        return None if days is None else ((now or dt.datetime.now(dt.UTC)) - dt.timedelta(days=days * int(last[:-1]))).date()
+    try:
+        return dt.datetime.strptime(since, "%Y-%m-%d").date() if since else None
+    except ValueError:
+        return None
+
+
+def within(sessions: DataFrame, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+    """Sessions whose first day is since or later and before until; those of the unknown day `?` stay."""
+    kept = F.lit(True)
+    if since:
+        kept = kept & (F.col("day") >= F.lit(since.isoformat()))
+    if until:
+        kept = kept & (F.col("day") < F.lit(until.isoformat()))
+    return sessions.where(kept | (F.col("day") == "?"))
