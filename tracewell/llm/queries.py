@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, decontam, htmltext, linededup, lm, neardup, outliers, packing, secrets, trietokens
+from . import bytecnn, decontam, htmltext, linededup, lm, neardup, outliers, packing, piecetable, secrets, termshards, trietokens, variants
 from .shared import table, vocabulary
 
 
@@ -51,11 +51,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecetable.round_trip(table(spark, sf_dir, "documents"), vocabulary(piecetable.VOCABULARY))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termshards.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_line_dedup,
         op6_lm_scoring, op7_quality_rules, op8_benchmark_decontamination, op9_secret_scans, op10_packing,
+        op11_sentencepiece, op12_spelling_variants, op13_source_divergence,
     )
 }
-SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op8_benchmark_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op8_benchmark_decontamination": decontam.SQL, "op13_source_divergence": termshards.SQL}

@@ -34,8 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def own_place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. All paths of an application lie in one folder, which goes when its driver ends."""
-    folder = f"{shared_folder(spark)}/tracewell-{spark.sparkContext.applicationId}"
+    """A new path in the shared folder, with the scheme of the file system that Spark finds it in, so that Python reads it there too. All paths of an application
+    lie in one folder, which goes when its driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tracewell-{spark.sparkContext.applicationId}")
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     if folder not in _own_folder.values():
         _own_folder[folder] = folder
         atexit.register(_remove, spark, folder, os.getpid())
