@@ -26,7 +26,7 @@ VOCABULARY = "piece_bpe_32k.model"
 #: What the model writes for a space.
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers, words that it takes at a time, text of a batch in bytes, and the longest word worth remembering.
-WORDS, PAIRS, BLOCK, SLICE, LONG = 500_000, 500_000, 50_000, 1 << 20, 64
+WORDS, PAIRS, BLOCK, SLICE, LONG = 300_000, 300_000, 50_000, 1 << 20, 64
 
 
 def merged(text: str, ranks: dict[str, float]) -> list[str]:
@@ -234,8 +234,8 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, end: bool = True) -> DataFrame:
-    """doc_id, ids: one row for each row of docs, in tasks of their own without a shuffle.
+def encode(docs: DataFrame, vocabulary: str, end: bool = True, decoded: bool = False) -> DataFrame:
+    """doc_id, ids, and with `decoded` the text that these ids decode to: one row for each row of docs, in tasks of their own without a shuffle.
 
     Null and empty texts have the end id only. Repeated rows and null doc_ids are rows like others; columns beyond doc_id and text are not read. A text is taken
     whole, BLOCK words at a time; an empty table gives an empty one."""
@@ -246,9 +246,11 @@ def encode(docs: DataFrame, vocabulary: str, end: bool = True) -> DataFrame:
         for batch in of_bytes(batches, "text", SLICE):
             each = [np.concatenate([x, tail]) for x in coder.encode(text_of(batch).to_pylist())]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(each)))], ["doc_id", "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(each)))
+            texts = [pa.array(map(coder.decode, each), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *texts], ["doc_id", "ids", "text"][: 2 + decoded])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -266,6 +268,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 of each row of docs, through encode and decode."""
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 of each row of docs, which encoding and decoding give."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decode(encode(docs, vocabulary), vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return encode(docs, vocabulary, decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
