@@ -1,10 +1,14 @@
 """Operators on small tables made by hand: the cases that tables of the driver do not hold."""
 
 import random
+import time
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracewell.operators import coverage, delegation, logs, scan, sessions
+from tracewell.operators import coverage, delegation, logs, penalties, scan, sessions
 
 SPANS = "trace_id string, span_ord long, span_id string, parent_span_id string, agent_id string, agent_name string, model_used string, agent_framework string, operation string, span_kind string, finish_reason string"
 
@@ -71,22 +75,61 @@ def brute_penalties(own, to):
     return lost
 
 
-def test_penalties_go_up(spark):
+@pytest.mark.parametrize("small", [penalties.SMALL, 6, 0])
+def test_penalties_go_up(spark, small):
     rng = random.Random(5)
     agents, edges, want = [], [], {}
-    for t in range(25):
+    for t in range(25 if small else 12):
         names = [f"g{i}" for i in range(rng.randrange(1, 8))]
         own = {a: rng.choice((0.0, 0.3, 0.6, 0.9, 0.97, 1.0)) for a in names}
         to = {a: {d for d in names if d != a and rng.random() < 0.3} for a in names}
         agents += [(f"t{t}", a, v) for a, v in own.items()]
         edges += [(f"t{t}", a, d) for a, ds in to.items() for d in ds] + [(f"t{t}", names[0], "unknown")]
         want |= {(f"t{t}", a): v for a, v in brute_penalties(own, to).items()}
-    got = delegation.penalties(spark.createDataFrame(agents, "trace_id string, agent string, own_score double"), spark.createDataFrame(edges, "trace_id string, from_agent string, to_agent string")).collect()
+    got = penalties.penalties(spark.createDataFrame(agents, "trace_id string, agent string, own_score double"), spark.createDataFrame(edges, "trace_id string, from_agent string, to_agent string"), small).collect()
     assert len(got) == len(want)
     for r in got:
         assert abs(r["penalty"] - want[r["trace_id"], r["agent"]]) < 1e-9 and abs(r["final_score"] - min(1, max(0, r["own_score"] - r["penalty"]))) < 1e-9
 
 
+def test_penalties_of_no_agents(spark):
+    none = spark.createDataFrame([], "trace_id string, agent string, own_score double")
+    assert penalties.penalties(none, spark.createDataFrame([("t", "a", "b")], "trace_id string, from_agent string, to_agent string")).collect() == []
+
+
+@pytest.mark.parametrize(("small", "length"), [(penalties.SMALL, 1000), (50, 1000)])
+def test_penalties_of_a_long_chain_take_no_round_a_level(spark, small, length):
+    """Two chains of single delegates below one agent with both, and a chain above it, against a plain pass from the end."""
+    rng = random.Random(7)
+    own = {f"{c}{i:05d}": rng.choice((0.2, 0.5, 0.96, 0.99, 1.0, 0.981)) for c in "abz" for i in range(length)} | {"m": 1.0}
+    to = {f"{c}{i:05d}": [f"{c}{i + 1:05d}"] for c in "abz" for i in range(length - 1)} | {"m": ["a00000", "b00000"], f"z{length - 1:05d}": ["m"]}
+    want = {}
+    for a in [f"{c}{i:05d}" for c in "ab" for i in reversed(range(length))] + ["m"] + [f"z{i:05d}" for i in reversed(range(length))]:
+        want[a] = sum(penalties.lost(max(0.0, own[d] - want[d])) for d in to.get(a, ()))
+    began = time.time()
+    agents = spark.createDataFrame([("t", a, v) for a, v in own.items()], "trace_id string, agent string, own_score double")
+    edges = spark.createDataFrame([("t", a, d) for a, ds in to.items() for d in ds], "trace_id string, from_agent string, to_agent string")
+    got = {r["agent"]: r["penalty"] for r in penalties.penalties(agents, edges, small).collect()}
+    assert got.keys() == want.keys() and max(abs(got[a] - want[a]) for a in want) < 1e-9
+    assert time.time() - began < (30 if small > 1000 else 120)
+
+
+@given(st.lists(st.sampled_from([0.0, 0.3, 0.49, 0.5, 0.7, 0.951, 0.96, 0.98, 0.99, 1.0]), min_size=1, max_size=12), st.floats(0, 1))
+@settings(max_examples=300, deadline=None)
+def test_folded_functions_are_those_of_their_parts(owns, x):
+    folded = penalties.single(owns[0])
+    for own in owns[1:]:
+        folded = penalties.chained(folded, penalties.single(own))
+    y = x
+    for own in reversed(owns):
+        y = max(0.0, own - penalties.lost(y))
+        if abs(y - penalties.SATISFIED) < 1e-9:
+            return  # too near the step for either to be right
+    start, slope, base = [p for p in folded if p[0] <= x][-1]
+    if all(abs(x - p[0]) > 1e-9 for p in folded[1:]):
+        assert abs(slope * x + base - y) < 1e-9
+
+
 def test_log_lines(spark):
     head = "2024-01-01T00:00:0{}.000Z [{}] "
     lines = [

@@ -11,6 +11,7 @@ from .operators import codescan as code
 from .operators import coverage as cov
 from .operators import delegation as dag
 from .operators import flows, logs, scan
+from .operators import penalties as pen
 from .operators import sessions as ses
 from .plans import rules
 from .sources import adapters as src
@@ -195,7 +196,7 @@ def _agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own scores are an agent's share of spans without error in its trace; penalties go up all delegations."""
     spans = src.event_spans(spark, sf_dir)
     own = spans.groupBy("trace_id", F.col("agent_id").alias("agent")).agg((F.count_if(F.col("error_type").isNull()) / F.count(F.lit(1))).alias("own_score"), F.count(F.lit(1)).alias("n_spans"))
-    solved = dag.penalties(own, dag.agent_edges(spans))
+    solved = pen.penalties(own, dag.agent_edges(spans))
     return solved.join(own.select("trace_id", "agent", "n_spans"), ["trace_id", "agent"])
 
 

@@ -1,8 +1,8 @@
-"""Delegation graphs of traces: edges, roots, depths, paths, cycles, and agents' scores with penalties from those they delegate to.
+"""Delegation graphs of traces: edges, roots, depths, paths, cycles, summaries of agents and what is made of their scores.
 
 Depths, paths and cycles are found by doubling: in each round the known part of every way up becomes twice as long, so a way of a million spans takes
-twenty rounds, and only ways that go on take part. Rounds are joins keyed by trace and span and are cut. Scores go up the graph of agents
-level by level, as joins and sums keyed by trace and agent. No trace is ever gathered in one task.
+twenty rounds, and only ways that go on take part. Rounds are joins keyed by trace and span and are cut. No trace is gathered in one task.
+Penalties are in `penalties.py`.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..staging import cut, release
 
-PENALTY_WEIGHT, SATISFIED = 0.5, 0.95
 OVERSIGHT = ("human_review", "human_approval", "human_oversight", "approval")
 
 
@@ -113,44 +112,6 @@ def cycles(spans: DataFrame) -> DataFrame:
     return listed.select("trace_id", F.transform("c", lambda x: x["a"]).alias("cycle"))
 
 
-def penalties(agents: DataFrame, delegations: DataFrame) -> DataFrame:
-    """agents (trace_id, agent, own_score) with penalty and final_score, from the leaves up.
-
-    For each delegate below 0.95 an agent loses half of what the delegate lacks. An agent is solved once all its delegates are. Agents of which that never
-    comes true are on cycles, or lead to or from one; of those that lie on cycles or between them, the one with the higher id is solved first, and counts for the
-    others with its final score, while they count for it with their own."""
-    key = ["trace_id", "agent"]
-    known = agents.select(*key)
-    edges_left = delegations.select("trace_id", F.col("from_agent").alias("agent"), F.col("to_agent").alias("to")).distinct()
-    graph = cut(edges_left.join(known, key, "left_semi").join(known.withColumnRenamed("agent", "to"), ["trace_id", "to"], "left_semi").withColumn("broken", F.lit(False)))
-    state = cut(agents.select(*key, "own_score", F.lit(None).cast("double").alias("penalty")))
-    waiting = state.count()
-    while waiting:
-        target = state.select("trace_id", F.col("agent").alias("to"), F.col("own_score").alias("o"), F.col("penalty").alias("p"))
-        final = F.when(F.col("broken"), F.greatest(F.lit(0.0), "o")).when(F.col("p").isNotNull(), F.greatest(F.lit(0.0), F.col("o") - F.col("p")))
-        lost = F.when(final < SATISFIED, PENALTY_WEIGHT * (1 - final)).otherwise(0.0)
-        sums = graph.join(target, ["trace_id", "to"]).groupBy(*key).agg(F.bool_or(final.isNull()).alias("open"), F.sum(lost).alias("lost"))
-        solved = cut(state.join(sums, key, "left").select(*key, "own_score", F.coalesce("penalty", F.when(F.col("open").isNull(), 0.0).when(~F.col("open"), F.col("lost"))).alias("penalty")))
-        release(state)
-        state, before = solved, waiting
-        waiting = state.where("penalty IS NULL").count()
-        if waiting == before:  # what is left hangs on cycles: take away from above what leads to them, and break the rest
-            stuck, n = cut(state.where("penalty IS NULL").select(*key)), waiting
-            while True:
-                inside = graph.join(stuck, key, "left_semi").join(stuck.withColumnRenamed("agent", "to"), ["trace_id", "to"], "left_semi")
-                fewer = cut(inside.select("trace_id", F.col("to").alias("agent")).distinct())
-                release(stuck)
-                stuck, n, last = fewer, fewer.count(), n
-                if n == last:
-                    break
-            marks = stuck.withColumn("a", F.lit(True))
-            both = graph.join(marks, key, "left").join(marks.select("trace_id", F.col("agent").alias("to"), F.col("a").alias("b")), ["trace_id", "to"], "left")
-            broken = cut(both.select("trace_id", "to", "agent", (F.col("broken") | F.coalesce(F.col("a") & F.col("b") & (F.col("to") < F.col("agent")), F.lit(False))).alias("broken")))
-            release(graph)
-            graph = broken
-    return state.select(*key, "own_score", "penalty", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("own_score") - F.col("penalty"))).alias("final_score"))
-
-
 def system_score(scores: DataFrame) -> DataFrame:
     """trace_id, system_score: final scores weighted by spans, to four places, half to even."""
     return scores.groupBy("trace_id").agg(F.bround(F.sum(F.col("final_score") * F.col("n_spans")) / F.sum("n_spans"), 4).alias("system_score"))
