@@ -170,6 +170,28 @@ def test_short_quotes_in_sources(spark):
     assert scan.quote_findings(quotes.limit(0), sources).count() == 0
 
 
+def test_many_short_quotes_take_about_as_long_as_few(spark, monkeypatch):
+    """The same findings as a plain search, in one block and in many, and 10,000 quotes within twice the time of 250."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 6)))
+    texts = [(i, " ".join(word() for _ in range(400))) for i in range(60)]
+    quotes = [(i, " ".join(word() for _ in range(rng.randrange(1, 3)))) for i in range(10_000)]
+    sources = spark.createDataFrame(texts, "source_id int, text string").cache()
+    want = {i: sum(q in t for _, t in texts) for i, q in quotes}
+
+    def took(n):
+        few, began = spark.createDataFrame(quotes[:n], "quote_id int, quote string"), time.time()
+        got = {r["quote_id"]: r["n_sources"] for r in scan.quote_findings(few, sources).collect()}
+        assert got == {i: want[i] for i in range(n)}
+        return time.time() - began
+
+    took(250)
+    few, many = min(took(250) for _ in range(2)), took(10_000)
+    assert many < 2 * few + 1
+    monkeypatch.setattr(scan, "BLOCK", 100)
+    took(450)
+
+
 def test_provenance_codes(spark):
     files = spark.createDataFrame([("a", True, "law"), ("b", True, None), ("c", True, "gone"), ("d", False, "law")], "file string, verified boolean, source string")
     sources = spark.createDataFrame([("law", "Providers shall keep the logs.")], "source string, text string")

@@ -7,8 +7,12 @@ and inlined or broadcast.
 from __future__ import annotations
 
 import unicodedata
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,8 +224,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 # Characters that count as others in quotes; ligatures and spaces are NFKC's own.
 SUBSTITUTED, SUBSTITUTES = "‘’‚“”„«»–—−", "'''\"\"\"\"\"---"
-#: Quotes of one or two words that are looked for at once, and most keys of longer quotes that are broadcast (8 bytes and an id each).
-SHORT_QUOTES, KEYS = 500, 1_000_000
+#: Quotes of one or two words that are looked for at once, about, and their bytes, and most keys of longer quotes that are broadcast (8 bytes and an id each).
+BLOCK, BLOCK_BYTES, KEYS = 50_000, 8 << 20, 1_000_000
 
 
 def normalized(text: Column) -> Column:
@@ -232,12 +236,55 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
 
 
+_built: dict[str, object] = {}
+
+
+def _automaton(name: str, block: Broadcast):
+    """The numbers of the quotes of a block, by the quotes' text; a worker keeps the one it used last."""
+    import ahocorasick
+
+    if name in _built:
+        return _built[name]
+    _built.clear()
+    numbers: dict[str, list[int]] = {}
+    for i, quote in enumerate(block.value):
+        numbers.setdefault(quote, []).append(i)
+    automaton = ahocorasick.Automaton()
+    for quote, mine in numbers.items():
+        automaton.add_word(quote, mine)
+    automaton.make_automaton()
+    _built[name] = automaton
+    return automaton
+
+
+def short_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """quote_id, source_id: which of a block of quotes (quote_id, quote) stand in which sources (source_id, text), whatever stands beside them.
+
+    The quotes, a block of at most some BLOCK of them and BLOCK_BYTES bytes, go to all tasks, which look for all of them at once: each source is read once, and the
+    time does not depend on how many quotes there are but on how often they are found."""
+    rows = quotes.toArrow()
+    name, ids, block = uuid.uuid4().hex, rows["quote_id"].combine_chunks(), quotes.sparkSession.sparkContext.broadcast(rows["quote"].to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, block)
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                mine = {n for _, numbers in automaton.iter(text or "") for n in numbers}
+                at += [i] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found, pa.int64())), batch.column(0).take(pa.array(at, pa.int64()))], ["quote_id", "source_id"])
+
+    kinds = quotes.schema["quote_id"].dataType.simpleString(), sources.schema["source_id"].dataType.simpleString()
+    return sources.select("source_id", "text").mapInArrow(run, f"quote_id {kinds[0]}, source_id {kinds[1]}")
+
+
 def quote_findings(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """quote_id, n_sources, finding: in how many sources a quote stands word for word; `exact-quote-not-in-source` or `missing-exact-quote`.
 
     The first and the last word of a quote may be parts of words of the source; what lies between are whole words. A quote of three words and more is joined to
     the sources that hold the first of these, up to six, in a row, which any source that holds the quote does, and then compared whole. Quotes of one or two
-    words are looked for in all sources, a block of them at a time."""
+    words are looked for in all sources by one automaton, a block of them at a time."""
     q = cut(quotes.select("quote_id", normalized(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " ")).withColumn("k", F.least(F.lit(6), F.size("w") - 2)))
     s = sources.select("source_id", normalized(F.col("text")).alias("text"))
     lengths = [r["k"] for r in q.where("k >= 1").select("k").distinct().collect()]  # six at most
@@ -255,12 +302,11 @@ def quote_findings(quotes: DataFrame, sources: DataFrame) -> DataFrame:
         keys = w.select("source_id", F.explode(F.array_distinct(F.concat(*(f"run{k}" for k in sorted(lengths))))).alias("key"))
         found.append(keys.join(F.broadcast(long) if few else long, "key").select("source_id", "quote_id").distinct())
     pairs = found[0].join(s, "source_id").join(q.select("quote_id", "quote"), "quote_id").where(F.contains("text", F.col("quote"))).select("quote_id", "source_id") if found else None
-    short = q.where("k < 1 AND quote <> ''").select("quote_id", "quote")
-    block = F.pmod(F.xxhash64("quote_id"), F.lit(max(1, -(-short.count() // (SHORT_QUOTES // 2)))))
-    blocks = short.withColumn("block", block)
-    for b in [r["block"] for r in blocks.select("block").distinct().collect()]:
-        one = blocks.where(F.col("block") == b).agg(F.collect_list(F.struct("quote_id", "quote")).alias("block"))
-        held = s.join(F.broadcast(one)).select("source_id", F.explode(F.filter("block", lambda x: F.contains(F.col("text"), x["quote"]))).alias("x")).select("x.quote_id", "source_id")
+    short = cut(q.where("k < 1 AND quote <> ''").select("quote_id", "quote"))
+    size = short.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size["n"] // BLOCK), -(-size["bytes"] // BLOCK_BYTES))
+    for b in range(blocks):
+        held = short_quotes(short.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == b), s)
         pairs = held if pairs is None else pairs.unionByName(held)
     if pairs is None:
         return q.select("quote_id", F.lit(0).cast("long").alias("n_sources"), F.lit("missing-exact-quote").alias("finding"))
