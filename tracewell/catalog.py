@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from .operators import penalties as pen
 from .operators import sessions as ses
 from .plans import rules
 from .sources import adapters as src
-from .sources import traces
+from .sources import files, traces
+from .staging import own_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -786,6 +788,67 @@ def conversation_ingest(spark, sf_dir):
     return traces.conversations(entries).select("trace_id", "span_id", F.length("input_messages").alias("n_input"), "input_tokens", "total_tokens")
 
 
+# --- files ---------------------------------------------------------------------------------------------------------------------
+
+
+def _conversation_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Four folders with a file of lines each, an entry for each turn of the conversations of a quarter; every seventh turn is no JSON and every fifth line blank."""
+    c = src.table(spark, sf_dir, "conversations")
+    entry = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), F.col("conv_id")).alias("sessionId"), F.concat(F.lit("u"), F.col("turn")).alias("uuid"), F.substring("text", 1, 40).alias("said")))
+    line = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, "no entry {").when((F.col("conv_id") + F.col("turn")) % 5 == 0, "").otherwise(entry)
+    root = own_path(spark, "conversation-files")
+    sorted_lines = c.select("conv_id", "turn", (F.col("conv_id") % 4).alias("part"), line.alias("line")).repartition(4, "part").sortWithinPartitions("part", "conv_id", "turn")
+    sorted_lines.select("part", "line").write.partitionBy("part").option("compression", "none").text(root)
+    return [f"{root}/part={i}" for i in range(4)]
+
+
+_FILE_LINES = """WITH l AS (SELECT *, conv_id % 4 AS part, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS line_no, (conv_id + turn) % 7 = 0 AS bad, (conv_id + turn) % 5 = 0 AND (conv_id + turn) % 7 <> 0 AS blank FROM conversations)"""
+
+
+@query(f"{_FILE_LINES} SELECT part, line_no, 'invalid' AS problem FROM l WHERE bad")
+def file_problems(spark, sf_dir):
+    """Files are cut into pieces of 20 KB, so most numbers of lines are sums over pieces."""
+    found = [files.problems(files.trace_lines(spark, x, suffixes=".txt", split=20_000)).withColumn("part", F.lit(i).cast("long")) for i, x in enumerate(_conversation_files(spark, sf_dir))]
+    return reduce(DataFrame.unionByName, found).select("part", "line_no", "problem")
+
+
+@query(f"{_FILE_LINES} SELECT part, 'c' || conv_id AS session_id, count(*) AS n_entries, min_by('u' || turn, line_no) AS first_uuid, max_by('u' || turn, line_no) AS last_uuid FROM l WHERE NOT bad AND NOT blank GROUP BY part, conv_id")
+def file_entries(spark, sf_dir):
+    """Entries of files of lines in their order, and the format that they are found to have."""
+    found = [traces.load(spark, x, suffixes=".txt", split=20_000).withColumn("part", F.lit(i).cast("long")) for i, x in enumerate(_conversation_files(spark, sf_dir))]
+    entries = reduce(DataFrame.unionByName, found)
+    known = entries.where("entry IS NOT NULL").join(traces.detect(entries).where("source_format = 'claudecode'"), "file")
+    of = lambda x: F.get_json_object("entry", x)
+    return known.groupBy("part", of("$.sessionId").alias("session_id")).agg(F.count(F.lit(1)).alias("n_entries"), F.min_by(of("$.uuid"), "ord").alias("first_uuid"), F.max_by(of("$.uuid"), "ord").alias("last_uuid"))
+
+
+@query(
+    """WITH f AS (SELECT ['app', 'app/node_modules/x', 'lib', 'x.egg-info'][1 + p_partkey % 4] AS folder, p_name FROM part)
+SELECT split_part(folder, '/', 1) AS folder, count(*) AS n_lines, sum(length(p_name) + 1)::BIGINT AS n_chars FROM f WHERE folder IN ('app', 'lib') GROUP BY folder"""
+)
+def tree_walk(spark, sf_dir):
+    """A code base of written files: folders that are skipped are not entered, at any depth."""
+    root, parts = own_path(spark, "tree"), src.table(spark, sf_dir, "part")
+    for i, folder in enumerate(("app", "app/node_modules/x", "lib", "x.egg-info")):
+        parts.where(F.col("p_partkey") % 4 == i).select("p_name").write.option("compression", "none").mode("append").text(f"{root}/{folder}")
+    found = files.source_tree(spark, root, suffixes=".txt")
+    return found.groupBy(F.get(F.split("inside", "/"), 0).alias("folder")).agg(F.sum(F.size(F.split("text", "\n", -1)) - 1).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(
+    """WITH p AS (SELECT ['-home-ann-shop', '-Users-bo-Downloads-web', 'plain', '-'][1 + conv_id % 4] AS raw_name, CASE WHEN conv_id % 4 = 0 THEN strlen('{"cwd":"/srv/ann/store/","turn":' || turn || '}') ELSE strlen('{"turn":' || turn || '}') END + 1 AS size FROM conversations)
+SELECT raw_name, CASE raw_name WHEN '-home-ann-shop' THEN 'store' WHEN '-Users-bo-Downloads-web' THEN 'web' ELSE raw_name END AS display_name, CASE raw_name WHEN '-home-ann-shop' THEN '/srv/ann/store/' WHEN '-Users-bo-Downloads-web' THEN '/Users/bo/Downloads/web' WHEN '-' THEN '/' ELSE 'plain' END AS cwd,
+  CASE raw_name WHEN '-home-ann-shop' THEN '/srv/ann/store/' WHEN '-Users-bo-Downloads-web' THEN '/Users/bo/Downloads/web/' WHEN '-' THEN '' ELSE 'plain/' END AS prefix, sum(size)::BIGINT AS n_bytes FROM p GROUP BY raw_name"""
+)
+def project_list(spark, sf_dir):
+    """Folders of written session logs: one says where it was run, the others' names tell."""
+    root, c = own_path(spark, "projects"), src.table(spark, sf_dir, "conversations")
+    for i, folder in enumerate(("-home-ann-shop", "-Users-bo-Downloads-web", "plain", "-")):
+        entry = F.to_json(F.struct(*([F.lit("/srv/ann/store/").alias("cwd")] if i == 0 else []), "turn"))
+        c.where(F.col("conv_id") % 4 == i).select(entry).write.option("compression", "none").text(f"{root}/{folder}")
+    return files.projects(spark, root, suffixes=".txt").drop("n_sessions")
+
+
 # --- code bases ------------------------------------------------------------------------------------------------------------
 
 # One file a part, said once for both engines: ~ is a quote, | a new line.

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import files
+
 COLUMNS = (
     "trace_id", "span_ord", "source_format", "session_id", "span_id", "parent_span_id", "operation", "provider", "model_requested", "model_used", "start_time", "end_time", "duration_ms",
     "input_tokens", "output_tokens", "total_tokens", "finish_reasons", "error_type", "error_message", "agent_id", "agent_name", "agent_framework", "span_kind", "tool_name", "mcp_server_uri", "input_messages", "output_messages",
@@ -19,22 +21,21 @@ _SPAN = f"struct<traceId: string, trace_id: string, spanId: string, span_id: str
 OTLP = f"struct<resourceSpans: array<struct<resource: struct<attributes: {_ATTRIBUTES}>, scopeSpans: array<struct<spans: array<{_SPAN}>>>>>>"
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """file, ord, entry: a file that is one JSON value gives that value, or the elements of its list; any other file, or one of several lines of which the
+def load(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, ord, entry, file_ord: a file that is one JSON value gives that value, or the elements of its list; any other file, or one of several lines of which the
     first is a JSON value by itself, gives a value for each line that is not blank.
 
-    A line that is no JSON has a null entry. Files are read whole, as one value may take all of a file."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=False).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("text"))
-    filled = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    by_line = (F.size(filled) > 1) & F.try_parse_json(F.get(filled, 0)).isNotNull()
-    whole = F.when(~by_line, F.try_parse_json("text"))
-    items = F.from_json("text", "array<string>")
-    single = files.where(whole.isNotNull())
-    lists = single.where(F.col("text").startswith("[")).select("file", F.posexplode(items).alias("ord", "entry"))
-    values = single.where(~F.col("text").startswith("[")).select("file", F.lit(0).alias("ord"), F.col("text").alias("entry"))
-    each = files.where(whole.isNull()).select("file", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line")).where(F.trim("line") != "")
-    lines = each.select("file", "ord", F.when(F.try_parse_json("line").isNotNull(), F.trim("line")).alias("entry"))
-    return lists.unionByName(values).unionByName(lines)
+    A line that is no JSON has a null entry; `files.problems` tells its number. ord orders the entries of a file: it counts from 0 in the first piece of a file and
+    goes on with byte offsets, file_ord orders files. A file of lines is read by many tasks, one that is a single value by one."""
+    found = files.trace_lines(spark, path, **options).where("text IS NOT NULL")
+    whole = F.col("whole") & F.try_parse_json("text").isNotNull()
+    listed = F.ltrim("text").startswith("[")
+    lists = found.where(whole & listed).select("file", F.posexplode(F.from_json("text", "array<string>")).alias("ord", "entry"), "file_ord")
+    values = found.where(whole & ~listed).select("file", F.lit(0).alias("ord"), F.trim("text").alias("entry"), "file_ord")
+    parsed = lambda c: F.when(F.try_parse_json(c).isNotNull(), F.trim(c)).alias("entry")
+    each = found.where(F.col("whole") & F.try_parse_json("text").isNull()).select("file", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"), "file_ord").where(F.trim("line") != "")
+    lines = found.where(~F.col("whole")).select("file", F.when(F.col("start") == 0, F.col("filled")).otherwise(F.col("at")).alias("ord"), parsed("text"), "file_ord")
+    return lists.unionByName(values).unionByName(each.select("file", "ord", parsed("line"), "file_ord")).unionByName(lines).withColumn("ord", F.col("ord").cast("long"))
 
 
 def _get(path: str) -> Column:
@@ -54,9 +55,20 @@ def detect(entries: DataFrame) -> DataFrame:
     return flags.select("file", F.when(F.col("o"), "otel").when(F.col("l"), "langfuse").when(F.col("c"), "claudecode").when(F.col("r"), "rawapi").otherwise("unknown").alias("source_format"))
 
 
-def normalize(entries: DataFrame) -> DataFrame:
-    """Spans of all files, each by its format; files of unknown format have none."""
-    kinds = entries.join(detect(entries), "file")
+# Names by which a caller says the format of all files.
+HINTS = {"otel": "otel", "langfuse": "langfuse", "claude_code": "claudecode", "raw": "rawapi"}
+
+
+def unknown_files(entries: DataFrame) -> DataFrame:
+    """file: those whose format is none of the four, which `normalize` gives no spans of."""
+    return detect(entries).where("source_format = 'unknown'").select("file")
+
+
+def normalize(entries: DataFrame, hint: str = "auto") -> DataFrame:
+    """Spans of all files, each by its format, or by the one that hint names; files of unknown format have none (`unknown_files`)."""
+    if hint not in ("auto", *HINTS):
+        raise ValueError(f"no such format: {hint}; there are auto, {', '.join(HINTS)}")
+    kinds = entries.join(detect(entries), "file") if hint == "auto" else entries.withColumn("source_format", F.lit(HINTS[hint]))
     of = lambda k: kinds.where(F.col("source_format") == k).drop("source_format")
     return otel(of("otel")).unionByName(observations(of("langfuse"))).unionByName(conversations(of("claudecode"))).unionByName(api_log(of("rawapi")))
 

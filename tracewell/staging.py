@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
 
@@ -20,9 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault("path", "file://" + tempfile.mkdtemp(prefix="tracewell-"))
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, with the scheme of the file system that Spark finds it in. All paths of an application lie in one folder, which goes when
+    its driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tracewell-library-{spark.sparkContext.applicationId}")
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    if folder not in _own_folder.values():
+        _own_folder[folder] = folder
+        atexit.register(_remove, spark, folder, os.getpid())
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str, owner: int | None = None) -> None:
+    """Removes a path of the shared folder; does nothing in a process that only descends from the driver, or once the session is stopped."""
+    if spark.sparkContext._jsc is None or owner not in (None, os.getpid()):
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns the table read back: later rounds do not repeat its work."""
-    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, "round")
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.__dict__["_cut_at"] = path
@@ -33,6 +54,4 @@ def release(*tables: DataFrame) -> None:
     """Removes what `cut` wrote for these tables, once nothing that is still to run reads them."""
     for t in tables:
         if path := t.__dict__.get("_cut_at"):
-            spark = t.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _remove(t.sparkSession, path)
