@@ -14,6 +14,7 @@ from .operators import delegation as dag
 from .operators import flows, logs, scan
 from .operators import penalties as pen
 from .operators import sessions as ses
+from .operators import syntax
 from .plans import rules
 from .sources import adapters as src
 from .sources import files, traces
@@ -849,6 +850,58 @@ def project_list(spark, sf_dir):
     return files.projects(spark, root, suffixes=".txt").drop("n_sessions")
 
 
+# --- syntax trees ---------------------------------------------------------------------------------------------------------------
+
+# Texts of Python files by kind, and what each imports: line, module, whether the file parses.
+_TREES = (
+    ("from openai import (\n    x,\n    y,\n)\n", [(1, "openai", True)]),
+    ("def f():\n    import os, \\\n        psycopg2.extras\n    return \"gpt-4o \" \"x\"\n", [(2, "os", True), (2, "psycopg2.extras", True)]),
+    ("if 1:\n    import google.cloud.bigquery as b; import redis\n", [(2, "google.cloud.bigquery", True), (2, "redis", True)]),
+    ("x = '''\nimport faiss\n'''\nimport pinecone\n", [(4, "pinecone", True)]),
+    ("import (broken\nimport cohere\n", [(2, "cohere", False)]),
+    ("# import anthropic\nimport boto3; boto3.client('s3')\n", [(2, "boto3", True)]),
+    ("class A:\n  def f(self):\n    try:\n      from pymongo . collection import (C)\n    except ImportError: import sqlite3\n", [(4, "pymongo.collection", True), (5, "sqlite3", True)]),
+)
+_TREE_FLOWS = [("ai_provider", "OpenAI API", 0, 1), ("vector_db", "Pinecone", 3, 4), ("database", "Postgresql (psycopg2)", 1, 2), ("database", "Redis (redis)", 2, 2), ("database", "Mongodb (pymongo)", 6, 4), ("database", "Sqlite (sqlite3)", 6, 5), ("cloud", "AZURE openai", 0, 1), ("cloud", "GCP bigquery", 2, 2), ("cloud", "AWS lambda", 5, 2), ("cloud", "AWS s3", 5, 2)]
+
+
+def _tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(_TREES)], "kind long, start string")
+    parts = src.table(spark, sf_dir, "part").withColumn("kind", (F.col("p_partkey") + F.length("p_name")) % len(_TREES))
+    return parts.join(F.broadcast(kinds), "kind").select(F.concat(F.lit("f"), "p_partkey", F.lit(".py")).alias("path"), F.concat("start", F.lit("# "), "p_name").alias("text"))
+
+
+_TREE_SQL = f"WITH f AS (SELECT 'f' || p_partkey || '.py' AS path, (p_partkey + length(p_name)) % {len(_TREES)} AS kind FROM part)"
+_TREE_ROWS = ", ".join(f"({i}, {line}, '{module}', {parsed})" for i, (_, found) in enumerate(_TREES) for line, module, parsed in found)
+
+
+@query(f"{_TREE_SQL} SELECT path, line_no, module, parsed FROM f JOIN (VALUES {_TREE_ROWS}) v (kind, line_no, module, parsed) USING (kind)")
+def syntax_imports(spark, sf_dir):
+    """Imports that stand in functions, over several lines, beside others and in texts and comments that are none."""
+    return syntax.imports(_tree_files(spark, sf_dir)).select("path", "line_no", "module", "parsed")
+
+
+@query(f"{_TREE_SQL} SELECT path, 4 AS line_no, 'gpt-4o' AS model FROM f WHERE kind = 1")
+def syntax_models(spark, sf_dir):
+    """A name that only the joined text holds."""
+    return syntax.model_refs(_tree_files(spark, sf_dir))
+
+
+@query(f"{_TREE_SQL} SELECT category, destination, min(path) AS path, any_value(line_no) AS line_no FROM f JOIN (VALUES {', '.join(f"('{c}', '{d}', {k}, {n})" for c, d, k, n in _TREE_FLOWS)}) v (category, destination, kind, line_no) USING (kind) GROUP BY category, destination")
+def syntax_flows(spark, sf_dir):
+    return syntax.data_flows(syntax.usages(_tree_files(spark, sf_dir))).select("category", "destination", "path", "line_no")
+
+
+@query(
+    f"""{_TREE_SQL}, d AS (SELECT DISTINCT category, destination, kind FROM (VALUES {', '.join(f"('{c}', '{d}', {k})" for c, d, k, _ in _TREE_FLOWS)}) v (category, destination, kind) WHERE kind IN (SELECT kind FROM f))
+SELECT destination AS recipient, CASE WHEN category = 'ai_provider' THEN 'AI-powered content generation and analysis' ELSE 'Data persistence and retrieval' END AS purpose, category = 'database' AS own, destination IN ('OpenAI API', 'Pinecone') AS leaves FROM d"""
+)
+def syntax_records(spark, sf_dir):
+    """The record of processing of the flows that a code base's imports mean."""
+    found = flows.records_of_processing(syntax.data_flows(syntax.usages(_tree_files(spark, sf_dir))))
+    return found.select("recipient", "purpose", F.col("transfers").startswith("Internal").alias("own"), F.col("transfers").contains("Cross-border transfer (US)").alias("leaves"))
+
+
 # --- code bases ------------------------------------------------------------------------------------------------------------
 
 # One file a part, said once for both engines: ~ is a quote, | a new line.
