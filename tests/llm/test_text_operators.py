@@ -229,15 +229,24 @@ def test_held_out_pages(names):
     assert both / got > 0.95 and both / want > 0.9
 
 
+def naive_unshown(page, comments=False):
+    """Of each element, whether it or one around it is not shown, or named as comments and without a title, if anything else is text."""
+    def one(e):
+        titled = "h1" in page.names[e.begin : e.end]
+        return e.name in htmltext.UNSHOWN or (not comments and not titled and htmltext.named_comments(e))
+
+    out = [one(e) for e in page.elements]
+    for i, e in enumerate(page.elements[1:], 1):
+        out[i] |= out[e.parent]
+    if not comments and not any(t.split() and not n and not k and not out[o] for t, n, k, o in zip(page.texts, page.names, page.linked, page.of, strict=True)):
+        return naive_unshown(page, comments=True)
+    return out
+
+
 def naive_features(page, i):
     """An element's features by walking through its tokens."""
-    def unshown(of):
-        while of > 0:
-            if page.elements[of].name in htmltext.UNSHOWN:
-                return True
-            of = page.elements[of].parent
-        return False
-
+    hidden = naive_unshown(page)
+    unshown = hidden.__getitem__
     words = [0 if name or unshown(of) else len(t.split()) for t, name, of in zip(page.texts, page.names, page.of, strict=True)]
     linked = [n if link else 0 for n, link in zip(words, page.linked, strict=True)]
     e = page.elements[i]
@@ -255,6 +264,13 @@ def naive_features(page, i):
         out.add(f"small={e.name}")
     if any(page.names[t] in ("input", "button", "select", "textarea") for t in own):
         out.add("controls")
+    if "h1" in (page.names[t] for t in own):
+        out.add("titled")
+    told = lambda ts: [page.texts[t].strip().lower() for t in ts if page.linked[t] and page.texts[t].strip() and not unshown(page.of[t])]
+    every_link = Counter(told(range(len(page.texts))))
+    often = max(every_link, key=lambda x: (every_link[x], x), default="")
+    if 1 < (same := told(own).count(often)) > 0.6 * len(told(own)):
+        out.add("repeated_link")
     up = e.parent
     while up > 0:
         if page.elements[up].name in ("article", "main"):
@@ -274,14 +290,14 @@ def naive_features(page, i):
 
 def test_extraction_is_that_of_a_plain_version():
     known = htmltext.weights()
-    for text in htmlpages.pages(12, seed=5) + ["<p>x<div class=ad>buy <b>this</b></div>y", "<a href=1>a</a> b <ul><li>c"]:
+    for text in htmlpages.pages(16, seed=5) + ["<p>x<div class=ad>buy <b>this</b></div>y", "<a href=1>a</a> b <ul><li>c", "<div id=comments>only <a>these</a></div>"]:
         text = re.sub(f"[{htmlpages.IN}{htmlpages.OUT}]", "", text)
         page = htmltext.parse(text)
         judged = htmltext.Judged(page, known.lexicon)
         telling = lambda fs: {f for f in fs if f in known.features}
-        gone = [False] * len(page.elements)
+        hidden, gone = naive_unshown(page), [False] * len(page.elements)
         for i, e in enumerate(page.elements[1:], 1):
-            gone[i] = gone[e.parent] or e.name in htmltext.UNSHOWN
+            gone[i] = gone[e.parent] or hidden[i]
             if not gone[i] and i in set(judged.candidates()):
                 fs = naive_features(page, i)
                 assert telling(fs) == telling(judged.features(i))
@@ -290,13 +306,68 @@ def test_extraction_is_that_of_a_plain_version():
                     continue
                 if not plain or ("in_article" not in fs and any(f.startswith(("word=", "linkword=")) for f in telling(fs))):
                     gone[i] = known.features[""] + sum(known.features[f] for f in telling(fs)) > 0
-        scores = [0.0 if gone[of] else known.tokens.get(htmltext._kind(page, t), -0.05) * (1 if page.names[t] else len(page.texts[t].split())) for t, of in enumerate(page.of)]
+        def link_list(i):
+            words = [(len(page.texts[t].split()), page.linked[t]) for t in range(page.elements[i].begin, page.elements[i].end) if not page.names[t] and not hidden[page.of[t]]]
+            return 2 * sum(n for n, k in words if k) > sum(n for n, _ in words)
+
+        links = {i for i in set(page.listed) if i and link_list(i)}
+        scores = [0.0 if gone[of] else known.tokens.get(htmltext._kind(page, t, links), -0.05) * (1 if page.names[t] else len(page.texts[t].split())) for t, of in enumerate(page.of)]
         sums = np.concatenate([[0], np.cumsum(scores)])
-        out, begin, end = htmltext.region(page, known)
+        out, begin, end = htmltext.region(judged, known)
         assert out == [gone[of] for of in page.of]
         assert math.isclose(sums[end] - sums[begin], max(0.0, (sums[None, :] - sums[:, None])[np.triu_indices(len(sums))].max()), abs_tol=1e-6)
 
 
+SAID = [htmlpages.Maker(1000 + i).sentence(8, 14) for i in range(40)]
+ITEMS = [" ".join(x.split()[:3]).strip(",") for x in SAID]
+
+
+def by_hand(tag, name):
+    """(page, its main text) of pages of another make than those that are learnt from: what an article may hold, and how short it may be beside other text."""
+    def page(body):
+        menu = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "About us", "Contact"))
+        return f'<html><head><title>t</title></head><body><header class="site-header"><a href="/">The Daily</a></header><nav class="menu"><ul>{menu}</ul></nav>{body}<footer class="footer">© 2024 All rights reserved <a href=/p>Privacy</a></footer></body></html>'
+
+    begin, end = f'<{tag}{name}>', f"</{tag}>"
+    p, t = (lambda i: f"<p>{SAID[i]} {SAID[i + 1]}</p>"), (lambda i: f"{SAID[i]} {SAID[i + 1]}")
+    listed = lambda of, items: f"<{of}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{of}>"
+    said = " ".join(" ".join(SAID).replace(",", "").replace(".", "").lower().split()[:300]).split()
+    some = lambda n, at=0: " ".join(said[at : at + n])
+
+    def comments(n, of, name="comment"):
+        return f'<section{of}><h3>{n} Comments</h3>' + "".join(f'<div class="{name}"><b>Ann{i}</b> says <p>{some(24, 9 * i)}.</p> <a href=#r>Reply</a></div>' for i in range(n)) + "</section>"
+
+    story, text = p(0) + p(2) + p(4), [t(0), t(2), t(4)]
+    return [(page(body), "\n".join(want)) for body, want in (
+        (f"{begin}<h1>A title here</h1>{p(0)}{listed('ul', ITEMS[:10])}{p(2)}{end}", ["A title here", t(0), *ITEMS[:10], t(2)]),
+        (f"{begin}<h1>A title here</h1>{p(0)}{listed('ol', SAID[10:20])}{p(2)}{end}", ["A title here", t(0), *SAID[10:20], t(2)]),
+        (f"{begin}<h1>A title here</h1>{p(0)}<dl>{''.join(f'<dt>{ITEMS[i]}</dt><dd>{SAID[20 + i]}</dd>' for i in range(10))}</dl>{p(2)}{end}", ["A title here", t(0), *(x for i in range(10) for x in (ITEMS[i], SAID[20 + i])), t(2)]),
+        (f"{begin}<h1>A title here</h1>{p(0)}{''.join(f'<div>{x}</div>' for x in ITEMS[:30])}{p(2)}{end}", ["A title here", t(0), *ITEMS[:30], t(2)]),
+        (f"{begin}<h1>A title here</h1><p>{some(25)}</p>{listed('ul', ITEMS)}{end}", ["A title here", some(25), *ITEMS]),
+        (f"{begin}<h1>Steps to take</h1>{listed('ol', SAID[:8])}{end}", ["Steps to take", *SAID[:8]]),
+        (f"{begin}<p>{some(12)}.</p>{end}{comments(2, ' class=comments')}", [some(12) + "."]),
+        (f"{begin}<h1>A title</h1><p>{some(24)}.</p><p>{some(24, 30)}.</p>{end}{comments(6, ' id=comments')}", ["A title", some(24) + ".", some(24, 30) + "."]),
+        (f"{begin}<h1>A title</h1>{p(0)}{p(2)}{comments(6, ' class=comment-list')}{end}", ["A title", t(0), t(2)]),
+        (f"{begin}<h1>A title</h1>{p(0)}{end}{comments(9, ' class=discussion', 'item')}", ["A title", t(0)]),
+        (f'{begin}<h1>A title</h1>{story}{end}<aside class="sidebar"><h3>About</h3><p>{SAID[30]} {SAID[31]} {SAID[32]}</p></aside>', ["A title", *text]),
+        (f'<aside class="sidebar"><p>{SAID[30]} {SAID[31]}</p></aside>{begin}<h1>A title</h1>{story}{end}', ["A title", *text]),
+        (f'{begin}<header><h1>A title of it</h1><p class="byline">By Ann Other</p></header>{story}{end}', ["A title of it", "By Ann Other", *text]),
+        (f"{begin}<h1>A title</h1>{p(0)}<table>{''.join(f'<tr><td>{ITEMS[i]}</td><td>{i}</td></tr>' for i in range(10))}</table><pre>x = 1</pre>{p(2)}{end}", ["A title", t(0), *(f"{ITEMS[i]} {i}" for i in range(10)), "x = 1", t(2)]),
+        (f"{begin}<p>{SAID[0]}</p>{end}", [SAID[0]]),
+        (f'<div class="post comments-open has-comments">{begin}<h1>A title</h1>{story}{end}</div>', ["A title", *text]),
+    )]
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+@pytest.mark.parametrize("name", ["", ' class="post"', ' id="story-body"'])
+def test_pages_written_by_hand(tag, name):
+    got = [(htmltext.main_text(page), want) for page, want in by_hand(tag, name)]
+    counts = [(Counter(a.split()), Counter(b.split())) for a, b in got]
+    both, found, wanted = (sum(x.total() for x in c) for c in ([a & b for a, b in counts], [a for a, _ in counts], [b for _, b in counts]))
+    print(tag, name, f"exact {sum(a == b for a, b in got)} of {len(got)}, precision {both / found:.3f}, recall {both / wanted:.3f}")
+    assert both / found > 0.97 and both / wanted > 0.97
+
+
 STORY = [" ".join(htmlpages.Maker(i).sentence() for _ in range(4)) for i in range(10)]
 
 

@@ -53,7 +53,8 @@ class Maker:
         return " ".join(w) + self.r.choice("....?!")
 
     def prose(self, most: int = 6) -> str:
-        return " ".join(self.sentence() for _ in range(self.r.randint(1, most)))
+        longest = self.r.choice((12, 22, 22, 45))
+        return " ".join(self.sentence(4, longest) for _ in range(self.r.randint(1, most)))
 
     def marked(self, text: str) -> str:
         """The text with some of its words in inline elements."""
@@ -65,11 +66,11 @@ class Maker:
 
     def attributes(self, kind: str) -> str:
         out = ""
-        if self.names and self.r.random() < 0.75:
+        if self.names and self.r.random() < 0.9:
             name = self.r.choice(PARTS[kind][1].split())
             extra = self.r.choice(("", "", " clearfix", " box", " block", " col-3", " inner"))
             out = f' {self.r.choice(("class", "class", "id"))}="{name}{extra}"'
-        if kind in ROLES and self.r.random() < 0.3:
+        if kind in ROLES and self.r.random() < 0.5:
             out += f' role="{ROLES[kind]}"'
         return out
 
@@ -89,6 +90,8 @@ class Maker:
             body = listed([(lambda x: x if plain else self.link(x))(said() if r.random() < 0.7 else self.word()) for _ in range(r.randint(1, 9))])
         elif kind == "head":
             body = f"<div>{self.link(said())}</div>" + r.choice(("", f"<p>{self.sentence(2, 6)}</p>", listed(titles(3))))
+        elif kind == "side" and self.names and r.random() < 0.2:  # prose, which only a name tells
+            return f'<{tag} class="{r.choice(PARTS[kind][1].split())}">{heading}' + "".join(f"<p>{self.prose(4)}</p>" for _ in range(r.randint(1, 3))) + f"</{tag}>"
         elif kind in ("side", "related"):
             body = heading + listed(titles(r.randint(2, 9)) if r.random() < 0.7 else [f"{x} {self.sentence(3, 9)}" for x in titles(r.randint(2, 5))])
         elif kind == "foot":
@@ -102,9 +105,28 @@ class Maker:
         else:
             each = lambda: f"<b>{self.word().capitalize()}</b> {said()} <p>{self.prose(3)}</p> {self.link(r.choice(('Reply', 'Antworten', 'Report', 'Like')))}"
             item = "li" if tag == "ol" else r.choice(("div", "article", "div"))
-            body = (f"<h3>{r.randint(1, 40)} {said()}</h3>" if tag != "ol" else "") + "".join(f"<{item}>{each()}</{item}>" for _ in range(r.randint(1, 6)))
+            body = (f"<h3>{r.randint(1, 40)} {said()}</h3>" if tag != "ol" else "") + "".join(f"<{item}>{each()}</{item}>" for _ in range(r.choice((1, 2, 3, 4, 5, 6, 12 if self.names else 3))))
         return f"<{tag}{self.attributes(kind)}>{body}</{tag}>"
 
+    def listed(self) -> str:
+        """Running text in the form of a list, or of lines."""
+        r = self.r
+        n = r.choice((2, 3, 4, 6, 10, 20, 40))
+        item = lambda: self.sentence(2, 14) if n < 20 and r.random() < 0.6 else self.sentence(1, 4)[:-1]
+        form = r.random()
+        if form < 0.6:
+            tag = r.choice(("ul", "ol"))
+            return f"<{tag}>" + "".join(f"<li>{item()}</li>" for _ in range(n)) + f"</{tag}>"
+        if form < 0.8:
+            return "<dl>" + "".join(f"<dt>{self.sentence(1, 3)[:-1]}</dt><dd>{item()}</dd>" for _ in range(n)) + "</dl>"
+        return "".join(f"<div>{item()}</div>" for _ in range(n))
+
+    def opening(self) -> str:
+        """The article's own header."""
+        r = self.r
+        byline = r.choice(("", f"<p class={r.choice(('byline', 'author', 'meta', 'date', 'dek'))}>{self.sentence(2, 6)[:-1]}</p>", f"<p>{self.sentence()}</p>", f"<time>{r.randint(1, 28)}.{r.randint(1, 12)}.2023</time>"))
+        return f"<header{r.choice(('', ' class=entry-header', ' class=post-header', ' class=article-header'))}><h1>{self.sentence(2, 9)[:-1]}</h1>{byline}</header>"
+
     def block(self) -> str:
         r = self.r
         x = r.random()
@@ -118,8 +140,7 @@ class Maker:
         if x < 0.7:
             return f"<h{r.randint(2, 3)}>{' '.join(self.word() for _ in range(r.randint(1, 7)))}</h3>"
         if x < 0.8:
-            tag = r.choice(("ul", "ol"))
-            return f"<{tag}>" + "".join(f"<li>{self.sentence(2, 14)}</li>" for _ in range(r.randint(2, 6))) + f"</{tag}>"
+            return self.listed()
         if x < 0.85:
             return f"<blockquote>{self.prose(2)}</blockquote>"
         if x < 0.9:
@@ -131,7 +152,8 @@ class Maker:
 
     def page(self) -> str:
         r = self.r
-        blocks = [f"<h1>{self.sentence(2, 9)[:-1]}</h1>" if r.random() < 0.85 else ""] + [self.block() for _ in range(r.choice((1, 1, 2, 4, 7, 12, 20)))]
+        title = self.opening() if r.random() < 0.15 else f"<h1>{self.sentence(2, 9)[:-1]}</h1>" if r.random() < 0.85 else ""
+        blocks = [title] + [self.block() for _ in range(r.choice((1, 1, 2, 4, 7, 12, 20)))]
         inner = [f"{IN}{b}{OUT}" for b in blocks]
         for kind, chance in (("advert", 0.25), ("share", 0.25), ("related", 0.15), ("form", 0.1), ("side", 0.1), ("menu", 0.15), ("comments", 0.1), ("notice", 0.1)):
             if r.random() < chance:
@@ -141,7 +163,7 @@ class Maker:
         wrapper = lambda: f' {r.choice(("class", "id"))}="{r.choice(WRAPPERS.split("|"))}"' if r.random() < 0.8 else ""
         tag = r.choice(("article", "article", "main", "div", "div", "section"))
         story = f"<{tag}{wrapper()}>{''.join(inner)}</{tag}>"
-        after = [self.part(k) for k, chance in (("share", 0.2), ("pager", 0.15), ("related", 0.4), ("comments", 0.45), ("advert", 0.2), ("form", 0.15)) if r.random() < chance]
+        after = [self.part(k) for k, chance in (("share", 0.2), ("pager", 0.15), ("related", 0.4), ("comments", 0.9 if self.names and len(blocks) == 2 else 0.45), ("advert", 0.2), ("form", 0.15)) if r.random() < chance]
         beside = [self.part("side") for _ in range(r.choice((0, 0, 1, 1, 2)))]
         column = story + "".join(after)
         if r.random() < 0.5:

@@ -1,13 +1,15 @@
 """Main text of HTML pages as the maximum-scoring run of their tokens.
 
-A page is a sequence of words and tags. Words score positive and tags negative, words of links and lists less than those of running
-text; how much, is counted over labelled pages: the logarithm of how much more often a kind stands in the main text than outside. One
+A page is a sequence of words and tags. Words score positive and tags negative, words of links and of lists of links less than those of running
+text and of lists of text; how much, is counted over labelled pages: the logarithm of how much more often a kind stands in the main text than outside, among
+what the parts that go leave over. Of what tags would weigh by that, the share counts that keeps most of the labelled pages' text and least else. One
 linear scan finds the run of tokens with the highest sum, the content region.
 
 Parts that are no article (menus, adverts, notices, comments, ...) may stand in the region or between its halves. Each element is
 judged by a logistic model learnt from the same pages: its name, the parts of its classes, ids and roles, its share of the page's words, its size,
 its share of links, its punctuation, its place, and some of its words. No feature decides alone: an element that holds most of
-the page's words that are no links (ALWAYS of them) stays whatever it is called. A part that goes gives no text and weighs nothing in the scan.
+the page's words that are no links (ALWAYS of them) stays whatever it is called, unless it is named as readers' comments and leaves other text. A part that
+goes gives no text and weighs nothing in the scan.
 
 What is not shown as text (scripts, styles, templates, controls) is left out by its element. All steps take time in
 proportion to the page.
@@ -33,11 +35,11 @@ from .shared import of_bytes, text_of
 
 SLICE = 2 << 20
 #: Labelled pages that are learnt from, and parts that a word has to stand in to tell them.
-LABELLED, TELLING = 600, 20
+LABELLED, TELLING = 900, 12
 #: Share of a page's words outside links from which an element is never a part.
 ALWAYS = 0.75
 #: How much dearer it is to lose an element of the article than to keep another part, and the decay of features' weights.
-DEAR, DECAY = 4.0, 2e-5
+DEAR, DECAY = 4.0, 5e-7
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -50,6 +52,14 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CELLS = frozenset(("td", "th"))
+LISTS = ("ul", "ol", "dl", "menu")
+#: Names by which an element is told as readers' comments.
+COMMENTS = frozenset("comment comments commentlist respond replies disqus discussion reactions".split())
+#: Elements whose own name tells, and features of names and place.
+TELLTALE, NAMES = frozenset("nav aside footer form header".split()), ("tag=", "part=", "role=", "hidden", "in_article", "titled")
+QUALIFIERS, STATES = frozenset("no has with without".split()), frozenset("open closed on off enabled disabled link count".split())
+#: Shares of tags' weights that are tried, and labelled pages that they are tried on.
+SHARES, TRIED = (1.0, 0.5, 0.25, 0.1, 0.05, 0.02), 200
 #: Elements of running text. Without attributes they are parts of their own only where a telling word stands in them, and never in an article element.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th blockquote pre figcaption figure caption center hr address".split())
 #: An open p ends where a block begins, unless one of these is more inner; and each of the keys ends the open one of its own kind.
@@ -77,7 +87,7 @@ class Page:
     names: list[str] = field(default_factory=list)
     of: list[int] = field(default_factory=list)
     linked: list[bool] = field(default_factory=list)
-    listed: list[bool] = field(default_factory=list)
+    listed: list[int] = field(default_factory=list)  # the outermost list around a token, 0 for none
     elements: list[Element] = field(default_factory=lambda: [Element("", "", -1, 0)])
 
 
@@ -93,7 +103,7 @@ def parse(page: str) -> Page:
         out.names.append(name)
         out.of.append(of)
         out.linked.append(bool(open_at.get("a")))
-        out.listed.append(bool(open_at.get("li") or open_at.get("dd") or open_at.get("dt")))
+        out.listed.append(min((stack[open_at[x][0]] for x in LISTS if open_at.get(x)), default=0))
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
@@ -195,7 +205,9 @@ def _labels(name: str, attributes: str) -> list[str]:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                out += {f"part={p.lower()}" for p in _PART.findall(value)}
+                parts = [p.lower() for p in _PART.findall(value)]
+                # what a name says that there is or is not, it is not itself
+                out += {f"part={before}-{p}" if before in QUALIFIERS else f"part={p}-{after}" if after in STATES else f"part={p}" for before, p, after in zip(["", *parts], parts, [*parts[1:], ""])}
             elif key == "role":
                 out.append(f"role={value.lower()}")
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
@@ -203,16 +215,25 @@ def _labels(name: str, attributes: str) -> list[str]:
     return out
 
 
+def named_comments(e: Element) -> bool:
+    """Whether an element's name says that it holds readers' comments."""
+    return bool(e.attributes) and any(f.removeprefix("part=") in COMMENTS for f in _labels(e.name, e.attributes))
+
+
 class Judged:
     """Counts over a page's tokens, from which an element's features follow by differences."""
 
-    def __init__(self, page: Page, lexicon: frozenset[str] | None):
-        """lexicon: the words that count as features; None: all."""
+    def __init__(self, page: Page, lexicon: frozenset[str] | None, comments: bool = False):
+        """lexicon: the words that count as features; None: all. comments: whether elements named as readers' comments count; they do where they have all the
+        words outside links, and else are taken as not shown, so shares are those of the rest."""
         self.page = page
+        titles = np.cumsum([0, *(x == "h1" for x in page.names)]).tolist()
         unshown = np.zeros(len(page.elements), dtype=bool)
         for i, e in enumerate(page.elements):
-            unshown[i] = e.name in UNSHOWN or (e.parent >= 0 and unshown[e.parent])
-        self.unshown = unshown
+            unshown[i] = e.name in UNSHOWN or (e.parent >= 0 and unshown[e.parent]) or (not comments and titles[e.begin] == titles[e.end] and named_comments(e))
+        if not comments and not any(not unshown[o] and not n and not k and t.strip() for o, n, k, t in zip(page.of, page.names, page.linked, page.texts, strict=True)):
+            return self.__init__(page, lexicon, comments=True)
+        self.unshown, self.titles = unshown, titles
         self.in_article = [False] * len(page.elements)
         for i, e in enumerate(page.elements[1:], 1):
             self.in_article[i] = self.in_article[e.parent] or page.elements[e.parent].name in ("article", "main")
@@ -235,6 +256,9 @@ class Judged:
                         for w in _LEXICAL.findall(entities.unescape(text).lower() if "&" in text else text.lower()):
                             if lexicon is None or w in lexicon:
                                 held.setdefault(w, []).append(i)
+        links = [(i, t.strip().lower()) for i, (t, link) in enumerate(zip(page.texts, page.linked, strict=True)) if link and t.strip() and not unshown[page.of[i]]]
+        often = max(Counter(t for _, t in links).items(), key=lambda x: (x[1], x[0]), default=("", 0))[0]
+        self.links, self.repeated = [i for i, _ in links], [i for i, t in links if t == often]
         self.all_words = self.words
         self.words, self.link_words, self.stops, self.controls = (np.cumsum(x).tolist() for x in (self.words, self.link_words, stops, controls))
 
@@ -268,6 +292,11 @@ class Judged:
             out.append("controls")
         if self.in_article[i]:
             out.append("in_article")
+        if self.titles[e.end] > self.titles[e.begin]:
+            out.append("titled")
+        same, links = (bisect_left(x, e.end) - bisect_left(x, e.begin) for x in (self.repeated, self.links))
+        if same > 1 and same > 0.6 * links:  # the page's most frequent link, as under each comment
+            out.append("repeated_link")
         within = lambda held: [w for w, at in held.items() if (k := bisect_left(at, e.begin)) < len(at) and at[k] < e.end]
         out += [f"linkword={w}" for w in within(self.links_said)]
         first = bisect_left(self.words, self.words[e.begin] + 1, e.begin, e.end + 1)  # its first text with a word
@@ -286,24 +315,30 @@ class Weights:
     lexicon: frozenset[str]
 
 
-def _kind(page: Page, i: int) -> str:
+def _link_lists(judged: Judged) -> set[int]:
+    """Lists most of whose words are links."""
+    e = judged.page.elements
+    return {i for i in set(judged.page.listed) if i and 2 * (judged.link_words[e[i].end] - judged.link_words[e[i].begin]) > judged.words[e[i].end] - judged.words[e[i].begin]}
+
+
+def _kind(page: Page, i: int, link_lists: set[int]) -> str:
     """The kind of a token, which its score follows from."""
+    listed = ":links" if page.listed[i] in link_lists else ":text"
     if name := page.names[i]:
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             return "tag:heading"
         if name in ("ul", "ol", "li", "dl", "dt", "dd", "menu"):
-            return "tag:list"
+            return f"tag:list{listed}"
         if name in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
             return "tag:table"
         return f"tag:{name}" if name in ("a", "p", "br", "blockquote") else "tag:block" if name in BLOCKS else "tag:inline"
-    return "word:link" if page.linked[i] else "word:list" if page.listed[i] else "word:text"
+    return "word:link" if page.linked[i] else f"word:list{listed}" if page.listed[i] else "word:text"
 
 
-def learn(labelled: list[str], rounds: int = 400, least: int = 4) -> Weights:
+def learn(labelled: list[str], rounds: int = 800, least: int = 4) -> Weights:
     """Weights from pages with their main text between IN and OUT: of tokens, by counting; of features, by logistic regression. A feature of fewer than `least`
     elements does not count, nor a word of fewer than TELLING parts, or of which one in twenty elements is no part."""
-    inside, out = Counter(), Counter()
-    rows, marks = [], []
+    rows, marks, read = [], [], []
     for text in labelled:
         marked = parse(text)
         main, within = [], False
@@ -314,19 +349,20 @@ def learn(labelled: list[str], rounds: int = 400, least: int = 4) -> Weights:
                     within = part == IN
                 else:
                     kept.append(part)
-                    if not marked.names[i] and part.strip():
-                        (inside if within else out)[_kind(marked, i)] += len(part.split())
             main.append(within or IN in t)
             marked.texts[i] = "".join(kept)
-            if marked.names[i]:
-                (inside if within else out)[_kind(marked, i)] += 1
         judged = Judged(marked, None)
+        read.append((judged, main))
         words = np.diff(judged.words)
         good = np.concatenate([[0], np.cumsum(words * np.array(main, dtype=bool))])
         for i in judged.candidates():
             e = marked.elements[i]
-            rows.append(judged.features(i))
+            fs = judged.features(i)
+            rows.append(fs)
             marks.append(good[e.end] == good[e.begin])
+            if e.attributes or e.name in TELLTALE:  # twice more by its name alone, which then tells where no word and no link does
+                rows += [[f for f in fs if f.startswith(NAMES)]] * 2
+                marks += [marks[-1]] * 2
     seen = Counter(f for r in rows for f in r)
     parts = Counter(f for r, mark in zip(rows, marks, strict=True) if mark for f in r)
     told = lambda f, n: n >= least if not f.startswith(("word=", "linkword=")) else n >= TELLING and parts[f] >= 0.95 * n
@@ -344,17 +380,39 @@ def learn(labelled: list[str], rounds: int = 400, least: int = 4) -> Weights:
         g = x.T @ (cost * (1 / (1 + np.exp(-(x @ w))) - y)) + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    lexicon = frozenset(f.split("=", 1)[1] for f in listed if f.startswith(("word=", "linkword=")))
+    known = Weights({f: float(w[k]) for f, k in number.items()} | {"": float(w[-1])}, {}, lexicon)
+    inside, out = Counter(), Counter()
+    gones = [left_out(judged, known) for judged, _ in read]
+    for (judged, main), gone in zip(read, gones, strict=True):
+        page, links = judged.page, _link_lists(judged)
+        for i, of in enumerate(page.of):
+            if not gone[of]:
+                (inside if main[i] else out)[_kind(page, i, links)] += 1 if page.names[i] else len(page.texts[i].split())
     kinds = inside.keys() | out.keys()
     total_in, total_out = sum(inside.values()) + len(kinds) / 2, sum(out.values()) + len(kinds) / 2
     raw = {k: math.log((inside[k] + 0.5) / total_in) - math.log((out[k] + 0.5) / total_out) for k in kinds}
-    tokens = {k: max(s, 0.05) if k == "word:text" else min(s, -0.05) if k.startswith("tag") else s for k, s in raw.items()}
-    lexicon = frozenset(f.split("=", 1)[1] for f in listed if f.startswith(("word=", "linkword=")))
-    return Weights({f: float(w[k]) for f, k in number.items()} | {"": float(w[-1])}, tokens, lexicon)
+
+    def scored(share: float) -> Weights:
+        return Weights(known.features, {k: max(x, 0.05) if k in ("word:text", "word:list:text") else x if k.startswith("word") else min(share * x, -0.01) for k, x in raw.items()}, lexicon)
+
+    def right(share: float) -> float:
+        """Twice the words that are rightly kept, by the words that are kept and those that should be."""
+        both = every = 0
+        for (judged, main), gone in zip(read[:TRIED], gones[:TRIED], strict=True):
+            gone, begin, end = region(judged, scored(share), gone)
+            words = np.diff(judged.words)
+            kept = np.array([begin <= i < end and not g for i, g in enumerate(gone)])
+            both += int(words[kept & np.array(main)].sum())
+            every += int(words[kept].sum() + words[np.array(main)].sum())
+        return 2 * both / max(every, 1)
+
+    return scored(max(SHARES, key=right))
 
 
 @cache
 def weights() -> Weights:
-    return learn(pages(LABELLED))
+    return learn([p for pair in zip(pages(LABELLED // 2), pages(LABELLED // 2, seed=1, names=False), strict=True) for p in pair])
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -369,8 +427,9 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
-def left_out(judged: Judged, known: Weights) -> list[bool]:
-    """Of each element, whether it or one around it is a part that is no article, or not shown."""
+def left_out(judged: Judged, known: Weights, sure: bool = True) -> list[bool]:
+    """Of each element, whether it or one around it is a part that is no article, or not shown. Where that leaves no text, elements named article or main are
+    no parts (not `sure`)."""
     page = judged.page
     gone = judged.unshown.tolist()
     bias, of = known.features[""], known.features.get
@@ -379,21 +438,22 @@ def left_out(judged: Judged, known: Weights) -> list[bool]:
         if gone[e.parent]:
             gone[i] = True
         elif i in judge:
-            if judged.share(i) > ALWAYS:
+            if judged.share(i) > ALWAYS or (not sure and e.name in ("article", "main")):
                 continue
             fs = judged.features(i)
             if e.name not in TEXTUAL or e.attributes or (not judged.in_article[i] and any(f in known.features for f in fs if f.startswith(("word=", "linkword=")))):
                 gone[i] = bias + sum(of(f, 0.0) for f in fs) > 0
+    if sure and not any(not gone[o] and not n and not k and t.strip() for o, n, k, t in zip(page.of, page.names, page.linked, page.texts, strict=True)):
+        return left_out(judged, known, sure=False)
     return gone
 
 
-def region(page: Page, known: Weights) -> tuple[list[bool], int, int]:
-    """(of each token, whether it is left out; first and one past the last token of the content region)."""
-    judged = Judged(page, known.lexicon)
-    gone = left_out(judged, known)
+def region(judged: Judged, known: Weights, gone: list[bool] | None = None) -> tuple[list[bool], int, int]:
+    """(of each token, whether it is left out; first and one past the last token of the content region). gone: what left_out says, if it is known."""
+    page, gone, links = judged.page, gone or left_out(judged, known), _link_lists(judged)
     out = [gone[of] for of in page.of]
     words = judged.all_words[1:].tolist()
-    scores = [0.0 if o else known.tokens.get(_kind(page, i), -0.05) * (1 if page.names[i] else words[i]) for i, o in enumerate(out)]
+    scores = [0.0 if o else known.tokens.get(_kind(page, i, links), -0.05) * (1 if page.names[i] else words[i]) for i, o in enumerate(out)]
     return out, *best_run(scores)
 
 
@@ -401,8 +461,8 @@ def main_text(text: str | None, known: Weights | None = None) -> str:
     """The blocks of the content region, white space inside a block as one space, joined by line ends."""
     if not text:
         return ""
-    page = parse(text)
-    out, begin, end = region(page, known or weights())
+    page, known = parse(text), known or weights()
+    out, begin, end = region(Judged(page, known.lexicon), known)
     blocks, now = [], []
     for i in range(begin, end):
         name = page.names[i]
