@@ -4,6 +4,7 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -597,6 +598,19 @@ def test_model_is_kneser_ney(spark, monkeypatch, frequent, order):
         assert math.isclose(r["score"], sum(math.log10(p(tuple(padded[j : j + order]))) for j in range(len(w))), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_a_model_without_one_of_its_files_does_not_score(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(40)], "doc_id long, text string")
+    model = lm.fit(docs)
+    folder = model.files.uri.removeprefix("file:").replace("///", "/")
+    assert model.written == {x for x in os.listdir(folder) if not x.startswith(".")}
+    assert lm.score(docs, model).count() == 40
+    gone = sorted(model.written)[0]
+    os.remove(f"{folder}/{gone}")
+    with pytest.raises(Exception, match="a shard that was written is not there"):
+        lm.score(docs, lm.Model(**{**model.__dict__, "files": Files(model.files.uri)})).collect()
+
+
 def test_more_shards_than_files_may_be_open(tmp_path):
     """1500 shards in a process that may have 256 files open."""
     import resource
@@ -607,7 +621,7 @@ def test_more_shards_than_files_may_be_open(tmp_path):
     for s in range(1500):
         mine = keys[shard == s]
         lm._write(files, f"known-{s}", mine, np.concatenate([(mine % W.U(1000)).astype(np.uint32), np.zeros(5 * len(mine), np.uint32)]))
-    model = lm.Model(files, 2, 1500, np.zeros(1, W.U), 1, 1, 1, {2: (0.5, 0.5, 0.5)}, (0.5, 0.5, 0.5), 1.0)
+    model = lm.Model(files, 2, 1500, np.zeros(1, W.U), 1, 1, 1, {2: (0.5, 0.5, 0.5)}, (0.5, 0.5, 0.5), 1.0, frozenset(f"{kind}-{s}" for kind in ("known", "grams2") for s in range(1500)))
     before = resource.getrlimit(resource.RLIMIT_NOFILE)
     resource.setrlimit(resource.RLIMIT_NOFILE, (256, before[1]))
     try:

@@ -110,10 +110,10 @@ def _write(files: Files, name: str, *arrays: np.ndarray) -> None:
     files.write(name, parts)
 
 
-def _read(files: Files, name: str) -> list[np.ndarray] | None:
+def _read(files: Files, name: str) -> list[np.ndarray]:
     data = files.read(name)
     if data is None:
-        return None
+        raise FileNotFoundError(f"{files.uri}/{name}: a shard that was written is not there")
     number = int(np.frombuffer(data, np.int64, 1)[0])
     heads = np.frombuffer(data, np.int64, 3 * number, 8).reshape(-1, 3)
     at, out = 8 + 24 * number, []
@@ -143,12 +143,13 @@ class Model:
     discounts: dict[int, tuple[float, float, float]]  # of n-grams of two words and more
     word_discounts: tuple[float, float, float]
     word_mass: float  # of the discounts, for the uniform distribution
+    written: frozenset[str]  # names of all files; a shard without n-grams has none
 
     def known(self, keys: np.ndarray) -> np.ndarray:
         """COLUMNS of each of the words or contexts; zeros for those that the training texts do not have."""
         out = np.zeros((len(COLUMNS), len(keys)), dtype=np.int64)
         for s, (at,) in _by_shard((mix(keys) % U(self.shards)).astype(np.int64), self.shards, [np.arange(len(keys))]):
-            held = _read(self.files, f"known-{s}")
+            held = _read(self.files, f"known-{s}") if f"known-{s}" in self.written else None
             if held is not None and len(held[0]):
                 place, hit = _places(held[0], keys[at])
                 out[:, at[hit]] = held[1].reshape(len(COLUMNS), -1)[:, place[hit]]
@@ -159,7 +160,8 @@ class Model:
         out = np.zeros(len(columns[0]), dtype=np.int64)
         key = gram_hash(columns)
         for s, (at,) in _by_shard(_shard(columns, self.frequent, self.shards), self.shards, [np.arange(len(key))]):
-            held = _read(self.files, f"grams{len(columns)}-{s}")
+            name = f"grams{len(columns)}-{s}"
+            held = _read(self.files, name) if name in self.written else None
             if held is not None and len(held[0]):
                 place, hit = _places(held[0], key[at])
                 count = held[1][place[hit]].astype(np.int64)
@@ -274,7 +276,7 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
             begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
             of_context = [np.add.reduceat(x, begin) for x in (n, (n == 1) * one, (n == 2) * one, (n > 2) * one)]
             zero = np.zeros(len(begin), dtype=np.int64)
-            seen = [k, *(int((n == i).sum()) for i in (1, 2, 3, 4))]
+            seen = [k, *(int((n == i).sum()) for i in (1, 2, 3, 4)), shard]
             if k == 2:
                 followers, before = _sums([columns[1]], [one])
                 none = np.zeros(len(followers), dtype=np.int64)
@@ -305,6 +307,7 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
         row = {"tokens": int(table[0].sum()), "words": int((table[0] > 0).sum()), "pairs": int(table[1].sum())}
         row |= {f"w{i}": int((table[1] == i).sum()) for i in (1, 2, 3, 4)} | {"w5": int((table[1] > 2).sum())}
         row |= {f"n{k}_{i}": sum(x[i] for x in seen if x[0] == k) for k in levels for i in (1, 2, 3, 4)}
+        row["written"] = [f"known-{shard}", *(f"grams{x[0]}-{x[5]}" for x in seen)]
         return pa.Table.from_pylist([row])
 
     level = texts.select("text").mapInArrow(gram_rows, ROWS)
@@ -314,11 +317,11 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
         if k > 2:
             level = cut(level, "grams")
         known = known.unionByName(level.where("kind = 0"))
-    whole = known.groupBy("shard").applyInArrow(sum_known, ", ".join(f"{c} long" for c in names)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    whole = known.groupBy("shard").applyInArrow(sum_known, ", ".join([*(f"{c} long" for c in names), "written array<string>"])).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), F.flatten(F.collect_list("written")).alias("written")).first()
     word_discounts = discounts([whole[f"w{i}"] for i in (1, 2, 3, 4)])
     mass = word_discounts[0] * whole["w1"] + word_discounts[1] * whole["w2"] + word_discounts[2] * whole["w5"]
     by_order = {k: discounts([whole[f"n{k}_{i}"] for i in (1, 2, 3, 4)]) for k in levels}
-    return Model(files, order, shards, frequent, whole["tokens"], whole["words"], whole["pairs"], by_order, word_discounts, mass / whole["pairs"] if whole["pairs"] else 1.0)
+    return Model(files, order, shards, frequent, whole["tokens"], whole["words"], whole["pairs"], by_order, word_discounts, mass / whole["pairs"] if whole["pairs"] else 1.0, frozenset(whole["written"]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
