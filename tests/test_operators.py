@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tracewell import catalog
 from tracewell.operators import coverage, delegation, logs, penalties, scan, sessions
 
 SPANS = "trace_id string, span_ord long, span_id string, parent_span_id string, agent_id string, agent_name string, model_used string, agent_framework string, operation string, span_kind string, finish_reason string"
@@ -145,6 +146,18 @@ def test_log_lines(spark):
     assert (score["tool_reliability"], score["startup_speed"], score["mcp_health"], score["grade"]) == (92, 50, 80, "A" if score["score"] >= 90 else "B")
 
 
+@pytest.mark.parametrize("name", ["session_health", "friction", "log_summary", "health_rollup", "permission_insight"])
+def test_log_queries_are_compiled(spark, name):
+    """Generated code that the compiler refuses is an error here, not a silent change to interpreted expressions."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")
+
+
 def test_prompts_and_pairing(spark):
     prompts = spark.createDataFrame([("fix it",), ("no, instead do that?",), ("x" * 60,), ("y" * 250,)], "prompt string")
     one = sessions.prompt_stats(prompts).first()

@@ -29,12 +29,16 @@ def events(lines: DataFrame) -> DataFrame:
     part = lambda p, i: F.regexp_extract("message", p, i)
     of = lambda p: F.col("message").rlike(p)
     base = lines.where(F.col("line").rlike(LINE)).select("session_id", "line_no", *(F.regexp_extract("line", LINE, i).alias(n) for i, n in ((1, "ts"), (2, "level"), (3, "message"))))
-    kind = F.when(of(TOOL_ERROR), "tool_error").when(of(STALL), "stall").when(of(API_ERROR), "api_error").when(of(MCP), "mcp").when(of(PERMISSION), "permission").when(of(STARTUP), "startup").when(of(MCP_LOADED), "mcp_loaded").otherwise("other")
+    event = lambda kind, name=None, amount=None: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (F.lit(None) if name is None else name).cast("string").alias("name"), (F.lit(None) if amount is None else amount).cast("string").alias("amount"))
     mcp = F.when(F.col("level") == "ERROR", "mcp_error").when(part(MCP, 2).rlike(MCP_FAILED), "mcp_failed").when(part(MCP, 2).rlike(MCP_CONNECTED), "mcp_connected").otherwise("mcp_info")
-    name = F.when(kind == "tool_error", part(TOOL_ERROR, 1)).when(kind == "api_error", F.substring(part(API_ERROR, 3), 1, 80)).when(kind == "mcp", part(MCP, 1)).when(kind == "permission", part(PERMISSION, 2)).when(kind == "startup", part(STARTUP, 1)).when(kind == "mcp_loaded", F.lit("mcp_load"))
-    amount = F.when(kind == "tool_error", part(TOOL_ERROR, 2)).when(kind == "stall", part(STALL, 1)).when(kind == "permission", part(PERMISSION, 1)).when(kind == "startup", part(STARTUP, 2)).when(kind == "mcp_loaded", part(MCP_LOADED, 1))
-    out = base.select("session_id", "line_no", "ts", "level", F.when(kind == "mcp", mcp).otherwise(F.when(kind == "mcp_loaded", "startup").otherwise(kind)).alias("kind"), name.alias("name"), amount.try_cast("double").alias("amount"))
-    return out.withColumn("ts", F.try_to_timestamp("ts"))
+    classes = (
+        (TOOL_ERROR, event("tool_error", part(TOOL_ERROR, 1), part(TOOL_ERROR, 2))), (STALL, event("stall", amount=part(STALL, 1))), (API_ERROR, event("api_error", F.substring(part(API_ERROR, 3), 1, 80))), (MCP, event(mcp, part(MCP, 1))),
+        (PERMISSION, event("permission", part(PERMISSION, 2), part(PERMISSION, 1))), (STARTUP, event("startup", part(STARTUP, 1), part(STARTUP, 2))), (MCP_LOADED, event("startup", F.lit("mcp_load"), part(MCP_LOADED, 1))),
+    )
+    first = F.coalesce(*(F.when(of(p), e) for p, e in classes), event("other"))
+    # a generator's columns are made once, however often what follows reads them
+    out = base.select("session_id", "line_no", "ts", "level", F.inline(F.array(first)))
+    return out.withColumns({"ts": F.try_to_timestamp("ts"), "amount": F.col("amount").try_cast("double")})
 
 
 def log_summary(found: DataFrame) -> DataFrame:
