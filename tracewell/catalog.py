@@ -17,7 +17,7 @@ from .operators import sessions as ses
 from .operators import syntax
 from .plans import rules
 from .sources import adapters as src
-from .sources import files, traces
+from .sources import files, packs, traces
 from .staging import own_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -850,6 +850,60 @@ def project_list(spark, sf_dir):
     return files.projects(spark, root, suffixes=".txt").drop("n_sessions")
 
 
+# --- packs of rules -------------------------------------------------------------------------------------------------------------
+
+
+def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of YAML for each fifty parts, a rule for each part; faults and what a rule says itself follow from its key. Every ninth file is no YAML."""
+    k = F.col("p_partkey")
+    at = lambda n, yes, no="": F.when(k % n == 0, yes).otherwise(no)
+    entry = F.concat(
+        F.lit("- id: P"), k.cast("string"), F.lit("\n  description: |\n    of a\n    part\n"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit('  title: "'), "p_name", F.lit('"\n'))), at(5, "  severity: urgent\n", "  severity: recommended\n"), at(4, "  article: own\n"),
+        at(3, "  applies_to: [all, multi_agent_only]\n", "  applies_to: [high_risk]\n"), F.lit("  evidence_fields:\n  - {field_path: model_used, description: a}\n"), at(11, "  - {description: b}\n", "  - {field_path: operation, description: b, required: false}\n"),
+    )
+    n = F.col("file")
+    head = F.when(n % 9 == 8, "requirements: [\n").otherwise(F.concat(F.lit("regulation: R"), n % 3, F.lit("\narticle: A"), n, F.when(n % 2 == 0, "\nverified_against_primary: true").otherwise(""), F.lit("\nrequirements:\n")))
+    texts = src.table(spark, sf_dir, "part").groupBy((k / 50).cast("int").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e")))), lambda x: x["e"]), "").alias("body"))
+    return packs.parsed(texts.select(F.concat(F.lit("f"), n).alias("path"), F.concat(head, F.col("body")).alias("text")))
+
+
+_PACK_SQL = "WITH p AS (SELECT p_partkey AS k, p_partkey // 50 AS file, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS ord, p_name FROM part)"
+_PACK_SOUND = "file % 9 <> 8 AND k % 7 <> 0 AND k % 5 <> 0 AND k % 11 <> 0"
+
+
+@query(
+    f"""{_PACK_SQL} SELECT 'f' || file AS file, ord AS rule_ord, 'P' || k AS rule_id, 'R' || (file % 3) AS regulation, CASE WHEN k % 4 = 0 THEN 'own' ELSE 'A' || file END AS article, p_name AS title, 'recommended' AS severity, file % 2 = 0 AS verified
+FROM p WHERE {_PACK_SOUND}"""
+)
+def pack_rules(spark, sf_dir):
+    """Rules of YAML files with what they take from their files."""
+    return packs.requirements(_pack(spark, sf_dir)).select("file", "rule_ord", "rule_id", "regulation", "article", "title", "severity", "verified")
+
+
+@query(f"{_PACK_SQL} SELECT 'P' || k AS rule_id, o AS field_ord, CASE o WHEN 0 THEN 'model_used' ELSE 'operation' END AS field_path, o = 0 AS required, 'non_null' AS check_type FROM p, (VALUES (0), (1)) v (o) WHERE {_PACK_SOUND}")
+def pack_fields(spark, sf_dir):
+    return packs.evidence_fields(_pack(spark, sf_dir)).select("rule_id", "field_ord", "field_path", "required", "check_type")
+
+
+@query(
+    f"""{_PACK_SQL}, f AS (SELECT file, ord, k, unnest([CASE WHEN k % 7 = 0 THEN 'missing required field ''title''' END, CASE WHEN k % 11 = 0 THEN 'evidence_field missing ''field_path''' END, CASE WHEN k % 5 = 0 THEN 'invalid severity ''urgent''' END]) AS fault FROM p WHERE file % 9 <> 8)
+SELECT 'f' || file AS file, ord AS rule_ord, 'P' || k AS rule_id, fault FROM f WHERE fault IS NOT NULL UNION ALL SELECT DISTINCT 'f' || file, NULL, NULL, 'YAML parse error' FROM p WHERE file % 9 = 8"""
+)
+def pack_findings(spark, sf_dir):
+    """One finding for each broken field."""
+    return packs.findings(_pack(spark, sf_dir))
+
+
+@query(
+    f"""{_PACK_SQL}, kinds AS (SELECT DISTINCT n > 4 AS is_multi_agent FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id))
+SELECT is_multi_agent, 'P' || k AS rule_id FROM p, kinds WHERE {_PACK_SOUND} AND (is_multi_agent OR k % 3 <> 0)"""
+)
+def pack_applicable(spark, sf_dir):
+    """Rules about several agents apply only where traces have them; here long conversations stand for those."""
+    kinds = src.table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.count(F.lit(1)) > 4).alias("is_multi_agent"))
+    return packs.applicable_to(packs.requirements(_pack(spark, sf_dir)), kinds).select("is_multi_agent", "rule_id")
+
+
 # --- syntax trees ---------------------------------------------------------------------------------------------------------------
 
 # Texts of Python files by kind, and what each imports: line, module, whether the file parses.
