@@ -337,17 +337,24 @@ def pressure_rollup(spark, sf_dir):
     return ses.pressure_rollup(ses.context_pressure(src.log_calls(spark, sf_dir)))
 
 
-_EFFICIENCY = f"""{_CALLS}, e AS (SELECT session_id, file, count(*) AS n FROM calls WHERE tool = 'Edit' AND file IS NOT NULL GROUP BY session_id, file),
+_CORRECTS = f"regexp_matches(prompt, '{ses.CORRECTION.replace(chr(39), chr(39) * 2)}')"
+_EFFICIENCY = f"""{_CALLS},{src.USER_TURNS_SQL}, e AS (SELECT session_id, file, count(*) AS n FROM calls WHERE tool = 'Edit' AND file IS NOT NULL GROUP BY session_id, file),
 p AS (SELECT session_id, count(*) AS files_edited, avg(n) AS avg_edits, count(*) FILTER (WHERE n >= 5) AS churn_files FROM e GROUP BY session_id),
+said AS (SELECT session_id, count(*) FILTER (WHERE trim(prompt) <> '') AS turns, count(*) FILTER (WHERE {_CORRECTS}) AS corrections, min(ts) AS a, max(ts) AS b FROM turns GROUP BY session_id),
 eff AS (SELECT c.session_id, round(CASE WHEN sum(input_tokens) > 0 THEN sum(output_tokens) / sum(input_tokens) ELSE 0.0 END, 9) AS token_ratio, 1.0::DOUBLE AS tool_success, coalesce(any_value(files_edited), 0) AS files_edited,
-  round(coalesce(any_value(avg_edits), 0.0), 6) AS avg_edits_per_file, coalesce(any_value(churn_files), 0) AS churn_files, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS duration_hours FROM calls c LEFT JOIN p ON c.session_id = p.session_id GROUP BY c.session_id)"""
+  round(coalesce(any_value(avg_edits), 0.0), 6) AS avg_edits_per_file, coalesce(any_value(churn_files), 0) AS churn_files, round((epoch_us(greatest(max(ts), any_value(b))) - epoch_us(least(min(ts), any_value(a)))) / 3.6e9, 6) AS duration_hours,
+  coalesce(any_value(corrections), 0) AS corrections, round(CASE WHEN any_value(turns) > 0 THEN any_value(corrections) / any_value(turns) ELSE 0.0 END, 6) AS correction_rate
+  FROM calls c LEFT JOIN p ON c.session_id = p.session_id LEFT JOIN said s ON c.session_id = s.session_id GROUP BY c.session_id)"""
 _BUCKETS = """, lab AS (SELECT *, CASE WHEN duration_hours < 0.5 THEN 0 WHEN duration_hours < 1 THEN 1 WHEN duration_hours < 2 THEN 2 WHEN duration_hours < 4 THEN 3 WHEN duration_hours < 8 THEN 4 WHEN duration_hours < 999 THEN 5 END AS bucket FROM eff),
-buckets AS (SELECT bucket, ['< 30min', '30min-1h', '1-2h', '2-4h', '4-8h', '8h+'][bucket + 1] AS label, count(*) AS sessions, round(avg(token_ratio), 9) AS avg_token_ratio, round(avg(tool_success), 6) AS avg_tool_success, round(avg(avg_edits_per_file), 6) AS avg_edits_per_file FROM lab WHERE bucket IS NOT NULL GROUP BY bucket)"""
+buckets AS (SELECT bucket, ['< 30min', '30min-1h', '1-2h', '2-4h', '4-8h', '8h+'][bucket + 1] AS label, count(*) AS sessions, round(avg(token_ratio), 9) AS avg_token_ratio, round(avg(tool_success), 6) AS avg_tool_success, round(avg(avg_edits_per_file), 6) AS avg_edits_per_file,
+  round(avg(corrections), 6) AS avg_corrections FROM lab WHERE bucket IS NOT NULL GROUP BY bucket),
+worth AS (SELECT *, avg_token_ratio * 1000 + avg_tool_success - avg_corrections * 0.1 AS value FROM buckets),
+best AS (SELECT coalesce((SELECT label FROM worth WHERE sessions >= 2 AND value > 0 ORDER BY value DESC, bucket LIMIT 1), (SELECT label FROM buckets ORDER BY bucket LIMIT 1), 'Not enough data') AS optimal_length)"""
 
 
 @query(f"{_EFFICIENCY} SELECT * FROM eff")
 def conversation_efficiency(spark, sf_dir):
-    return ses.efficiency(src.log_calls(spark, sf_dir))
+    return ses.efficiency(src.log_calls(spark, sf_dir), src.user_turns(spark, sf_dir))
 
 
 def _by_day(calls: DataFrame) -> DataFrame:
@@ -355,17 +362,33 @@ def _by_day(calls: DataFrame) -> DataFrame:
     return calls.withColumn("session_id", F.concat(F.col("session_id").cast("string"), F.lit("-"), "day"))
 
 
+def _day_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ses.efficiency(_by_day(src.log_calls(spark, sf_dir)), _by_day(src.user_turns(spark, sf_dir)))
+
+
 _DAY_EFFICIENCY = _EFFICIENCY.replace("SELECT user_id AS session_id,", "SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,")
 
 
-@query(f"{_DAY_EFFICIENCY}{_BUCKETS} SELECT label, sessions, avg_token_ratio, avg_tool_success, avg_edits_per_file FROM buckets")
+@query(f"{_DAY_EFFICIENCY}{_BUCKETS} SELECT label, sessions, avg_token_ratio, avg_tool_success, avg_edits_per_file, avg_corrections FROM buckets")
 def length_buckets(spark, sf_dir):
-    return ses.length_buckets(ses.efficiency(_by_day(src.log_calls(spark, sf_dir)))).drop("bucket")
+    return ses.length_buckets(_day_efficiency(spark, sf_dir)).drop("bucket")
 
 
-@query(f"{_DAY_EFFICIENCY}{_BUCKETS} SELECT coalesce((SELECT label FROM buckets WHERE sessions >= 2 AND avg_token_ratio * 1000 + avg_tool_success > 0 ORDER BY avg_token_ratio * 1000 + avg_tool_success DESC, bucket LIMIT 1), (SELECT label FROM buckets ORDER BY bucket LIMIT 1), 'Not enough data') AS optimal_length")
+@query(f"{_DAY_EFFICIENCY}{_BUCKETS} SELECT optimal_length FROM best")
 def optimal_length(spark, sf_dir):
-    return ses.optimal_length(ses.length_buckets(ses.efficiency(_by_day(src.log_calls(spark, sf_dir)))))
+    return ses.optimal_length(ses.length_buckets(_day_efficiency(spark, sf_dir)))
+
+
+@query(
+    f"""{_DAY_EFFICIENCY}{_BUCKETS}, means AS (SELECT avg(token_ratio) AS ratio, avg(avg_edits_per_file) AS edits FROM eff), churn AS (SELECT file, count(*) AS n FROM calls WHERE tool = 'Edit' AND file IS NOT NULL GROUP BY file HAVING count(*) >= 5 ORDER BY n DESC, file LIMIT 1),
+words AS (SELECT avg(length(prompt)) AS length, count(*) FILTER (WHERE {_CORRECTS}) / count(*) AS corrected FROM turns WHERE trim(prompt) <> '')
+SELECT 'low_token_efficiency' AS advice, NULL AS subject, round(ratio, 6) AS value FROM means WHERE ratio < 0.002 UNION ALL SELECT 'many_edits_per_file', NULL, round(edits, 6) FROM means WHERE edits > 4 UNION ALL SELECT 'split_file', file, n FROM churn WHERE n > 20
+UNION ALL SELECT 'many_corrections', NULL, round(corrected, 6) FROM words WHERE round(corrected, 6) > 0.1 UNION ALL SELECT 'short_prompts', NULL, round(length, 6) FROM words WHERE length < 30 UNION ALL SELECT 'session_length', optimal_length, NULL FROM best"""
+)
+def workflow_advice(spark, sf_dir):
+    calls, sessions = src.log_calls(spark, sf_dir), _day_efficiency(spark, sf_dir)
+    said = ses.prompt_stats(src.user_turns(spark, sf_dir).where(F.trim("prompt") != ""))
+    return ses.workflow_advice(sessions, ses.file_churn(calls), said, ses.optimal_length(ses.length_buckets(sessions)))
 
 
 @query(f"{_CALLS}, p AS (SELECT file, session_id, count(*) FILTER (WHERE tool = 'Edit') AS e, count(*) FILTER (WHERE tool = 'Read') AS r FROM calls WHERE tool IN ('Edit', 'Read') GROUP BY file, session_id), f AS (SELECT file, CAST(sum(e) AS BIGINT) AS total_edits, count(*) FILTER (WHERE e > 0) AS sessions, max(e) AS max_edits, CAST(sum(r) AS BIGINT) AS total_reads FROM p GROUP BY file HAVING sum(e) >= 5) SELECT file, total_edits, sessions, round(total_edits / sessions, 6) AS avg_edits, max_edits, total_reads, round(total_reads / total_edits, 6) AS read_edit_ratio FROM f ORDER BY total_edits DESC, file LIMIT 15")
@@ -677,12 +700,24 @@ def plan_steps(spark, sf_dir):
 # --- more of sessions ----------------------------------------------------------------------------------------------------
 
 
-@query(
-    f"""{_CALLS}, p AS (SELECT session_id, count(*) AS n, bool_or(coalesce(tool = 'Read' AND file = 'f5', false)) AS reads_it, sum(input_tokens) AS i, sum(output_tokens) AS o, count(*) FILTER (WHERE tool = 'Edit') AS edits, count(DISTINCT CASE WHEN tool = 'Edit' THEN file END) AS files FROM calls GROUP BY session_id HAVING count(*) >= 3)
-SELECT reads_it, count(*) AS sessions, round(avg(CASE WHEN i > 0 THEN o / i ELSE 0.0 END), 9) AS token_ratio, round(avg(CASE WHEN files > 0 THEN edits / files ELSE 0.0 END), 6) AS edits_per_file FROM p GROUP BY reads_it"""
-)
+_EFFECT = f"""{_CALLS},{src.USER_TURNS_SQL}, said AS (SELECT session_id, count(*) AS turns, count(*) FILTER (WHERE regexp_matches(prompt, '{ses.DOUBT}')) AS doubts FROM turns GROUP BY session_id),
+p AS (SELECT session_id, count(*) AS n, bool_or(coalesce(tool = 'Read' AND file = 'f5', false)) AS reads_it, sum(input_tokens) AS i, sum(output_tokens) AS o, count(*) FILTER (WHERE tool = 'Edit') AS edits, count(DISTINCT CASE WHEN tool = 'Edit' THEN file END) AS files FROM calls GROUP BY session_id HAVING count(*) >= 3),
+effect AS (SELECT reads_it, count(*) AS sessions, round(avg(CASE WHEN i > 0 THEN o / i ELSE 0.0 END), 9) AS token_ratio, round(avg(CASE WHEN files > 0 THEN edits / files ELSE 0.0 END), 6) AS edits_per_file,
+  round(avg(CASE WHEN turns > 0 THEN doubts / turns ELSE 0.0 END), 6) AS correction_rate FROM p LEFT JOIN said ON p.session_id = said.session_id GROUP BY reads_it)"""
+
+
+@query(f"{_EFFECT} SELECT * FROM effect")
 def doc_read_effect(spark, sf_dir):
-    return ses.document_effect(src.log_calls(spark, sf_dir), "f5")
+    return ses.document_effect(src.log_calls(spark, sf_dir), "f5", turns=src.user_turns(spark, sf_dir))
+
+
+@query(
+    _EFFECT
+    + ", m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, (SELECT {c} FROM effect WHERE reads_it) AS with_reads, (SELECT {c} FROM effect WHERE NOT reads_it) AS without_reads" for c in ("correction_rate", "token_ratio", "edits_per_file"))
+    + ") SELECT *, round((with_reads - without_reads) / without_reads * 100, 4) AS delta_pct FROM m WHERE with_reads IS NOT NULL AND without_reads > 0"
+)
+def document_insight(spark, sf_dir):
+    return ses.document_insight(ses.document_effect(src.log_calls(spark, sf_dir), "f5", turns=src.user_turns(spark, sf_dir)))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 PRICE_INPUT, PRICE_OUTPUT, PRICE_CACHE_READ, PRICE_CACHE_CREATE = 15.0, 75.0, 1.5, 18.75
 # Patterns of prompts.
 CORRECTION = r"(?i)\b(no[,.]?\s+(not that|I meant|don'?t|instead)|that'?s wrong|undo that|revert|go back|actually[,.]?\s+(I want|let'?s|do)|wait[,.]?\s+no|never\s*mind|scratch that|stop[,.]?\s+(don'?t|no)|wrong approach)\b"
+DOUBT = r"(?i)\b(no[,.]|wrong|undo|revert|actually[,.])\b"  # the looser one of the comparison of sessions by a document
 COMMAND = r"(?i)^(create|build|write|add|remove|delete|fix|update|change|move|rename|install|run|deploy|push|commit|implement|refactor|make|set up|configure)\b"
 # Session lengths in hours.
 LENGTHS = (("< 30min", 0.0, 0.5), ("30min-1h", 0.5, 1.0), ("1-2h", 1.0, 2.0), ("2-4h", 2.0, 4.0), ("4-8h", 4.0, 8.0), ("8h+", 8.0, 999.0))
@@ -118,12 +119,23 @@ def pressure_rollup(pressure: DataFrame) -> DataFrame:
     return pressure.agg(F.count(F.lit(1)).alias("sessions"), F.count_if("likely_compressed").alias("compressed"), F.round(F.count_if("likely_compressed") / F.count(F.lit(1)), 6).alias("rate"), F.round(F.avg("cumulative_input"), 6).alias("avg_cumulative"), F.max("cumulative_input").alias("max_cumulative"))
 
 
-def efficiency(calls: DataFrame) -> DataFrame:
-    """Of each session: output over input, tool success (failures are not logged: 1.0), files edited, edits a file, churned files."""
+def beside(calls: DataFrame, turns: DataFrame) -> DataFrame:
+    """Calls and user turns (session_id, ts, prompt) of sessions as one stream: is_call tells them apart, a turn has no tokens and no tool, a call no prompt."""
+    said = turns.select("session_id", "ts", F.col("prompt").cast("string").alias("prompt"), F.lit(False).alias("is_call"))
+    return calls.drop("prompt").withColumn("is_call", F.lit(True)).unionByName(said, allowMissingColumns=True)
+
+
+def efficiency(calls: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """Of each session with calls: output over input, tool success (failures are not logged: 1.0), files edited, edits a file, churned files.
+
+    With turns, hours span these too, and corrections counts the turns that correct, correction_rate their share of all that say something; null text says nothing."""
     edits = calls.where((F.col("tool") == "Edit") & F.col("file").isNotNull()).groupBy("session_id", "file").agg(F.count(F.lit(1)).alias("n"))
     per = edits.groupBy("session_id").agg(F.count(F.lit(1)).alias("files_edited"), F.avg("n").alias("avg_edits"), F.count_if(F.col("n") >= 5).alias("churn_files"))
-    sums = calls.groupBy("session_id").agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return sums.join(per, "session_id", "left").select("session_id", F.round(F.when(F.col("i") > 0, F.col("o") / F.col("i")).otherwise(F.lit(0.0)), 9).alias("token_ratio"), F.lit(1.0).alias("tool_success"), F.coalesce("files_edited", F.lit(0)).alias("files_edited"), F.round(F.coalesce("avg_edits", F.lit(0.0)), 6).alias("avg_edits_per_file"), F.coalesce("churn_files", F.lit(0)).alias("churn_files"), F.round(hours(F.col("a"), F.col("b")), 6).alias("duration_hours"))
+    stream = calls.withColumn("is_call", F.lit(True)) if turns is None else beside(calls, turns)
+    said = [] if turns is None else [F.count_if(F.trim("prompt") != "").alias("turns"), F.count_if(F.col("prompt").rlike(CORRECTION)).alias("corrections")]
+    sums = stream.groupBy("session_id").agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.count_if("is_call").alias("calls"), *said).where("calls > 0")
+    rate = [] if turns is None else ["corrections", F.round(F.when(F.col("turns") > 0, F.col("corrections") / F.col("turns")).otherwise(F.lit(0.0)), 6).alias("correction_rate")]
+    return sums.join(per, "session_id", "left").select("session_id", F.round(F.when(F.col("i") > 0, F.col("o") / F.col("i")).otherwise(F.lit(0.0)), 9).alias("token_ratio"), F.lit(1.0).alias("tool_success"), F.coalesce("files_edited", F.lit(0)).alias("files_edited"), F.round(F.coalesce("avg_edits", F.lit(0.0)), 6).alias("avg_edits_per_file"), F.coalesce("churn_files", F.lit(0)).alias("churn_files"), F.round(hours(F.col("a"), F.col("b")), 6).alias("duration_hours"), *rate)
 
 
 def file_churn(calls: DataFrame, least: int = 5, most: int = 15) -> DataFrame:
@@ -148,20 +160,44 @@ def prompt_stats(prompts: DataFrame) -> DataFrame:
 
 
 def length_buckets(sessions: DataFrame) -> DataFrame:
+    """Sessions by their length: number and means, of corrections too where sessions have them."""
     label, order = F.lit(None).cast("string"), F.lit(None).cast("int")
     for i, (name, low, high) in enumerate(LENGTHS):
         inside = (F.col("duration_hours") >= low) & (F.col("duration_hours") < high)
         label, order = F.when(inside, F.lit(name)).otherwise(label), F.when(inside, F.lit(i)).otherwise(order)
-    return sessions.withColumn("label", label).withColumn("bucket", order).where(F.col("label").isNotNull()).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("token_ratio"), 9).alias("avg_token_ratio"), F.round(F.avg("tool_success"), 6).alias("avg_tool_success"), F.round(F.avg("avg_edits_per_file"), 6).alias("avg_edits_per_file"))
+    means = (("token_ratio", 9), ("tool_success", 6), ("avg_edits_per_file", 6)) + ((("corrections", 6),) if "corrections" in sessions.columns else ())
+    return sessions.withColumn("label", label).withColumn("bucket", order).where(F.col("label").isNotNull()).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("sessions"), *(F.round(F.avg(c), places).alias("avg_" + c.removeprefix("avg_")) for c, places in means))
 
 
 def optimal_length(buckets: DataFrame) -> DataFrame:
-    """The bucket of at least two sessions with the highest ratio * 1000 + success above 0; of equals the shortest; else the first bucket."""
-    value = F.col("avg_token_ratio") * 1000 + F.col("avg_tool_success")
+    """The bucket of at least two sessions with the highest ratio * 1000 + success - corrections / 10 above 0; of equals the shortest; else the first bucket."""
+    value = F.col("avg_token_ratio") * 1000 + F.col("avg_tool_success") - (F.col("avg_corrections") * 0.1 if "avg_corrections" in buckets.columns else F.lit(0.0))
     good = F.max_by("label", F.when((F.col("sessions") >= 2) & (value > 0), F.struct(value, -F.col("bucket"))))
     return buckets.agg(F.coalesce(good, F.min_by("label", "bucket"), F.lit("Not enough data")).alias("optimal_length"))
 
 
+# What is advised, with the limits beyond which it is.
+LOW_RATIO, MANY_EDITS, WORST_EDITS, MANY_CORRECTIONS, SHORT_PROMPT = 0.002, 4, 20, 0.1, 30
+
+
+def workflow_advice(sessions: DataFrame, churn: DataFrame, said: DataFrame, optimal: DataFrame) -> DataFrame:
+    """advice, subject, value: each rule that holds of efficiency() with turns, file_churn(), prompt_stats() and optimal_length(). The last is always given.
+
+    subject is the file most edited, or the length advised; value is the figure that the rule looked at. All inputs but sessions are a few rows."""
+    means = sessions.agg(F.avg("token_ratio").alias("ratio"), F.avg("avg_edits_per_file").alias("edits"))
+    worst = churn.agg(F.min_by(F.struct("file", "total_edits"), F.struct(-F.col("total_edits"), F.col("file"))).alias("worst"))
+    parts = means.unionByName(worst, True).unionByName(said.select(F.col("correction_ratio").alias("corrected"), F.col("avg_length").alias("length")), True).unionByName(optimal, True)
+    one = parts.agg(*(F.max(c).alias(c) for c in parts.columns))  # each part is one row with nulls for what the others hold
+    rule = lambda name, cond, subject, value: F.when(cond, F.struct(F.lit(name).alias("advice"), subject.cast("string").alias("subject"), F.round(value.cast("double"), 6).alias("value")))
+    none = F.lit(None)
+    found = F.array(
+        rule("low_token_efficiency", F.col("ratio") < LOW_RATIO, none, F.col("ratio")), rule("many_edits_per_file", F.col("edits") > MANY_EDITS, none, F.col("edits")),
+        rule("split_file", F.col("worst.total_edits") > WORST_EDITS, F.col("worst.file"), F.col("worst.total_edits")), rule("many_corrections", F.col("corrected") > MANY_CORRECTIONS, none, F.col("corrected")),
+        rule("short_prompts", F.col("length") < SHORT_PROMPT, none, F.col("length")), rule("session_length", F.lit(True), F.col("optimal_length"), none),
+    )
+    return one.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
 def project_rollup(calls: DataFrame) -> DataFrame:
     """Usage by project (a column of calls) with a total row."""
     out = calls.rollup("project").agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("ai_calls"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_create")), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
@@ -178,15 +214,27 @@ def turn_pairing(turns: DataFrame) -> DataFrame:
     return grouped.withColumn("nth", nth).withColumn("u", user).where("role = 'assistant'").select("conv_id", "turn", F.when(F.col("nth") == 1, F.col("u")).alias("user_turn"))
 
 
-def document_effect(calls: DataFrame, document: str, least_calls: int = 3) -> DataFrame:
-    """Sessions of at least three calls, split by whether they read the document: number, mean output over input, mean edits a file."""
-    per = calls.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce((F.col("tool") == "Read") & (F.col("file") == document), F.lit(False))).alias("reads_it"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"),
-        F.count_if(F.col("tool") == "Edit").alias("edits"), F.countDistinct(F.when(F.col("tool") == "Edit", F.col("file"))).alias("files"),
+def document_effect(calls: DataFrame, document: str, least_calls: int = 3, turns: DataFrame | None = None) -> DataFrame:
+    """Sessions of at least three calls, split by whether they read the document: number, mean output over input, mean edits a file; with turns, the mean share of turns that doubt."""
+    stream = calls.withColumn("is_call", F.lit(True)) if turns is None else beside(calls, turns)
+    said = [] if turns is None else [F.count_if(~F.col("is_call")).alias("turns"), F.count_if(F.col("prompt").rlike(DOUBT)).alias("doubts")]
+    per = stream.groupBy("session_id").agg(
+        F.count_if("is_call").alias("n"), F.bool_or(F.coalesce((F.col("tool") == "Read") & (F.col("file") == document), F.lit(False))).alias("reads_it"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"),
+        F.count_if(F.col("tool") == "Edit").alias("edits"), F.countDistinct(F.when(F.col("tool") == "Edit", F.col("file"))).alias("files"), *said,
     ).where(F.col("n") >= least_calls)
     ratio = F.when(F.col("i") > 0, F.col("o") / F.col("i")).otherwise(F.lit(0.0))
     edits = F.when(F.col("files") > 0, F.col("edits") / F.col("files")).otherwise(F.lit(0.0))
-    return per.groupBy("reads_it").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg(ratio), 9).alias("token_ratio"), F.round(F.avg(edits), 6).alias("edits_per_file"))
+    rate = [] if turns is None else [F.round(F.avg(F.when(F.col("turns") > 0, F.col("doubts") / F.col("turns")).otherwise(F.lit(0.0))), 6).alias("correction_rate")]
+    return per.groupBy("reads_it").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg(ratio), 9).alias("token_ratio"), F.round(F.avg(edits), 6).alias("edits_per_file"), *rate)
+
+
+def document_insight(effect: DataFrame) -> DataFrame:
+    """metric, with_reads, without_reads, delta_pct of document_effect() with turns: those metrics whose mean without the document is above 0; no row unless there are sessions of both kinds."""
+    of = lambda c, reads: F.max(F.when(F.col("reads_it") == reads, F.col(c)))
+    metrics = ("correction_rate", "token_ratio", "edits_per_file")
+    one = effect.agg(*(of(c, r).alias(f"{c}_{int(r)}") for c in metrics for r in (True, False)))
+    rows = one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"{c}_1").alias("with_reads"), F.col(f"{c}_0").alias("without_reads")) for c in metrics))))
+    return rows.where("with_reads IS NOT NULL AND without_reads > 0").withColumn("delta_pct", F.round((F.col("with_reads") - F.col("without_reads")) / F.col("without_reads") * 100, 4))
 
 
 def workflow_patterns(calls: DataFrame) -> DataFrame:

@@ -89,6 +89,21 @@ prompts AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'actually, let''s
   FROM conversations WHERE role = 'user')"""
 
 
+def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user said half a minute before a call: every second event has such a turn; of these some correct, some only doubt, some are blank or null."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.where("event_type in ('click', 'view') or k % 4 = 0").selectExpr(
+        "user_id as session_id", "ts - make_interval(0, 0, 0, 0, 0, 0, 30) as ts", "date_format(ts, 'yyyy-MM-dd') as day",
+        "case when k % 10 = 0 then concat('No, not that: take ', event_id) when k % 10 = 1 then 'this is wrong.' when k % 10 = 2 then 'Actually, let''s do the other' "
+        "when k % 10 = 3 then '  ' when k % 10 = 4 then cast(null as string) when k % 10 = 5 then 'undo' else concat('add step ', k) end as prompt",
+    )
+
+
+USER_TURNS_SQL = """
+turns AS (SELECT user_id AS session_id, ts - INTERVAL 30 SECOND AS ts, CASE WHEN k % 10 = 0 THEN 'No, not that: take ' || event_id WHEN k % 10 = 1 THEN 'this is wrong.' WHEN k % 10 = 2 THEN 'Actually, let''s do the other'
+  WHEN k % 10 = 3 THEN '  ' WHEN k % 10 = 4 THEN NULL WHEN k % 10 = 5 THEN 'undo' ELSE 'add step ' || k END AS prompt FROM ev WHERE event_type IN ('click', 'view') OR k % 4 = 0)"""
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debug-log lines of sessions (users), one for each event."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
