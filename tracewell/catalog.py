@@ -472,6 +472,24 @@ def session_health(spark, sf_dir):
     return logs.health(logs.log_summary(_log_events(spark, sf_dir)))
 
 
+_DAY_LOGS = _LOGS.replace("lines AS (SELECT user_id AS session_id,", "all_lines AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,").replace("AS line FROM ev)", "AS line FROM ev), lines AS (SELECT * FROM all_lines WHERE regexp_matches(line, '\\[(WARN|ERROR)\\]'))", 1)
+
+
+@query(
+    f"""{_DAY_LOGS}, talk AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, count(*) AS ai_calls, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS talk_hours FROM ev WHERE k % 9 <> 0 GROUP BY 1)
+SELECT coalesce(t.session_id, h.session_id) AS session_id, t.session_id IS NOT NULL AS has_conversation, h.session_id IS NOT NULL AS has_log, coalesce(ai_calls, 0) AS ai_calls, coalesce(talk_hours, duration_hours, 0.0) AS hours,
+  coalesce(tool_reliability, 100) AS tool_reliability, coalesce(streaming_stability, 100) AS streaming_stability, coalesce(api_reliability, 100) AS api_reliability, coalesce(startup_speed, 100) AS startup_speed, coalesce(mcp_health, 100) AS mcp_health,
+  coalesce(h.tool_errors, 0) AS tool_errors, coalesce(h.api_errors, 0) AS api_errors, coalesce(h.stalls, 0) AS stalls, coalesce(h.stall_seconds, 0.0) AS stall_seconds, coalesce(h.boot_ms, 0.0) AS boot_ms, coalesce(score, 100) AS score, coalesce(grade, 'A') AS grade
+  FROM talk t FULL JOIN (SELECT health.*, duration_hours FROM health JOIN summary ON health.session_id = summary.session_id) h ON t.session_id = h.session_id"""
+)
+def joined_health(spark, sf_dir):
+    """A day of a user: its conversation where a call was answered, its log where a line is of level WARN or ERROR, so each side lacks some."""
+    talk = ses.session_summary(_by_day(src.log_calls(spark, sf_dir).where("stop_reason <> 'none'")))
+    lines = src.log_lines(spark, sf_dir).where(F.col("line").rlike(r"\[(WARN|ERROR)\]"))
+    by_day = lines.withColumn("session_id", F.concat(F.col("session_id").cast("string"), F.lit("-"), F.substring("line", 1, 10)))
+    return logs.joined_health(talk, logs.log_summary(logs.events(by_day)))
+
+
 @query(
     f"""{_LOGS} SELECT session_id, 'tool_error' AS category, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n, name AS what FROM found WHERE kind = 'tool_error' GROUP BY session_id, name
 UNION ALL SELECT session_id, 'api_error', 'high', count(*), name FROM found WHERE kind = 'api_error' GROUP BY session_id, name

@@ -65,14 +65,14 @@ def stall_points(seconds: Column) -> Column:
     return out
 
 
-def health(summary: DataFrame) -> DataFrame:
-    """Component scores of each session, their weighted mean rounded half to even, and its grade."""
+def health(summary: DataFrame, *beside: str) -> DataFrame:
+    """Component scores of each session, their weighted mean rounded half to even, and its grade; the columns named beside are kept."""
     floor0 = lambda c: F.greatest(F.lit(0), c)
     parts = {
         "tool_reliability": floor0(100 - PER_TOOL_ERROR * F.col("tool_errors")), "streaming_stability": floor0(100 - F.col("stall_points")), "api_reliability": floor0(100 - PER_API_ERROR * F.col("api_errors")),
         "startup_speed": F.when(F.col("boot_ms") > 5000, 50).when(F.col("boot_ms") > 2000, 75).when(F.col("boot_ms") > 1000, 90).otherwise(100), "mcp_health": floor0(100 - PER_MCP_FAILURE * F.col("mcp_failures")),
     }
-    out = summary.select("session_id", *(v.cast("long").alias(k) for k, v in parts.items()), "tool_errors", "api_errors", "stalls", "stall_seconds", "boot_ms")
+    out = summary.select("session_id", *(v.cast("long").alias(k) for k, v in parts.items()), "tool_errors", "api_errors", "stalls", "stall_seconds", "boot_ms", *beside)
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0))
     out = out.withColumn("score", F.bround(total / sum(WEIGHTS.values()), 0).cast("long"))
     grade = F.lit("F")
@@ -81,6 +81,19 @@ def health(summary: DataFrame) -> DataFrame:
     return out.withColumn("grade", grade)
 
 
+def joined_health(sessions: DataFrame, summary: DataFrame) -> DataFrame:
+    """health() of all sessions that a conversation, a debug log or both are there for: session_id, has_conversation, has_log, the columns of health(), ai_calls and hours.
+
+    The log's components have no ground where there is no log, so all of them are whole and the score is that of the conversation's side alone: 100, grade A.
+    hours are the conversation's, else the log's. Sessions of a null id are kept apart from each other, as nothing says that they are the same."""
+    left = sessions.select("session_id", F.lit(True).alias("has_conversation"), "ai_calls", F.col("duration_hours").alias("talk_hours"))
+    right = summary.withColumn("has_log", F.lit(True)).withColumnRenamed("duration_hours", "log_hours")
+    both = left.join(right, "session_id", "full_outer")
+    counts = ("tool_errors", "api_errors", "stalls", "stall_points", "mcp_failures", "stall_seconds", "boot_ms", "ai_calls")
+    filled = both.na.fill(0, list(counts)).na.fill(False, ["has_conversation", "has_log"]).withColumn("hours", F.coalesce("talk_hours", "log_hours", F.lit(0.0)))
+    return health(filled, "has_conversation", "has_log", "ai_calls", "hours")
+
+
 def friction(found: DataFrame, summary: DataFrame) -> DataFrame:
     """session_id, category, severity, n, what: one row for each tool, for stalls, for each API message, for a slow start, for each failing server."""
     by = lambda kinds, category, severity: found.where(F.col("kind").isin(*kinds)).groupBy("session_id", F.col("name").alias("what")).agg(F.count(F.lit(1)).alias("n")).select("session_id", F.lit(category).alias("category"), severity.alias("severity"), "n", "what")
