@@ -89,6 +89,18 @@ def gap_list(spark, sf_dir):
     return cov.gaps(scored, fields, covered).drop("field_ord")
 
 
+_ADVICE_SQL = "CASE split_part(field_path, '.', -1) " + " ".join(f"WHEN '{f}' THEN '{t.replace(chr(39), chr(39) * 2)}'" for f, t in cov.ADVICE.items()) + " ELSE 'Add `' || field_path || '` to your trace exports. Currently ' || present_count || '/' || population || ' spans include this field.' END"
+
+
+@query(
+    f"""{_AUDIT} SELECT rule_id, field_path, regulation || ' ' || rule_id || ' — ' || CASE WHEN present_count = 0 THEN 'your traces contain zero values for `' || field_path || '`.' ELSE 'only ' || present_count || '/' || population || ' spans have `' || field_path || '`.' END AS impact,
+  {_ADVICE_SQL} AS recommendation FROM gaps"""
+)
+def gap_advice(spark, sf_dir):
+    _, scored, fields, covered = _measured(spark, sf_dir)
+    return cov.gap_advice(cov.gaps(scored, fields, covered))
+
+
 @query(f"{_AUDIT} SELECT rule_id, field_path, description, round(score, 6) AS score FROM gaps ORDER BY gaps.score, description DESC, rule_id, field_ord LIMIT 5")
 def top_gaps(spark, sf_dir):
     _, scored, fields, covered = _measured(spark, sf_dir)
@@ -121,6 +133,20 @@ def coverage_samples(spark, sf_dir):
     return cov.samples(src.event_spans(spark, sf_dir), "model_used")
 
 
+_SAMPLED = ["agent_framework", "error_type", "model_used", "provider", "span_id", "span_kind", "temperature"]
+
+
+@query(
+    f"WITH {src.EVENT_SPANS_SQL}, seen AS ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({'NULL' if f == 'temperature' else f} AS VARCHAR) AS sample, trace_id, span_ord FROM spans" for f in _SAMPLED)
+    + "), firsts AS (SELECT field, sample, min((trace_id, span_ord)) AS first_at FROM seen WHERE sample IS NOT NULL GROUP BY field, sample), best AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY first_at) AS n FROM firsts QUALIFY n <= 5), "
+    "each AS (SELECT DISTINCT field FROM seen) SELECT e.field, coalesce(string_agg(sample, '|' ORDER BY n), '') AS samples FROM each e LEFT JOIN best b ON e.field = b.field GROUP BY e.field"
+)
+def field_samples(spark, sf_dir):
+    """Ids of spans are all distinct, so each task holds only its five."""
+    return cov.coverage_samples(src.event_spans(spark, sf_dir), _SAMPLED).withColumn("samples", F.array_join("samples", "|"))
+
+
 @query(
     f"WITH {src.EVENT_SPANS_SQL} SELECT trace_id, count(*) AS n_spans, count(DISTINCT nullif(agent_id, '')) AS n_agents, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, "
     "string_agg(DISTINCT coalesce(model_used, model_requested, 'unknown'), ',' ORDER BY coalesce(model_used, model_requested, 'unknown')) AS models, min(start_time) AS first_time, max(start_time) AS last_time, count(DISTINCT nullif(agent_id, '')) > 1 AS is_multi_agent FROM spans GROUP BY trace_id"
@@ -1161,22 +1187,29 @@ def merged_agent_scores(spark, sf_dir):
     return dag.merged(_agent_scores(spark, sf_dir)).withColumn("final_score", F.round("final_score", 6))
 
 
+def _shown(covered: DataFrame) -> DataFrame:
+    return covered.withColumns({"coverage": F.round("coverage", 9), "samples": F.array_join("samples", "|")})
+
+
 _PATHS = [("props.k", "non_null"), ("props.none", "non_null"), ("props.k.deep", "non_null"), ("other.k", "non_null"), ("event_type", "non_empty")]
 
 
 @query(
     """WITH n AS (SELECT count(*) AS n, count(json_extract_string(props, '$.k')) AS k, count(nullif(event_type, '')) AS e FROM events), r AS (SELECT 'props.k' AS field, 'non_null' AS check_type, n AS population, k AS present_count FROM n UNION ALL SELECT 'props.none', 'non_null', n, 0 FROM n
-UNION ALL SELECT 'props.k.deep', 'non_null', n, 0 FROM n UNION ALL SELECT 'other.k', 'non_null', 0, 0 UNION ALL SELECT 'event_type', 'non_empty', n, e FROM n) SELECT *, CASE WHEN population > 0 THEN round(present_count / population, 9) ELSE 0.0::DOUBLE END AS coverage FROM r"""
+UNION ALL SELECT 'props.k.deep', 'non_null', n, 0 FROM n UNION ALL SELECT 'other.k', 'non_null', 0, 0 UNION ALL SELECT 'event_type', 'non_empty', n, e FROM n), s AS (SELECT 'props.k' AS field, string_agg(v, '|' ORDER BY event_id) AS samples FROM (SELECT event_id, json_extract_string(props, '$.k') AS v FROM events WHERE v IS NOT NULL ORDER BY event_id LIMIT 5)
+UNION ALL SELECT 'event_type', string_agg(event_type, '|' ORDER BY event_id) FROM (SELECT event_id, event_type FROM events WHERE event_type <> '' ORDER BY event_id LIMIT 5)) SELECT r.*, CASE WHEN population > 0 THEN round(present_count / population, 9) ELSE 0.0::DOUBLE END AS coverage, coalesce(samples, '') AS samples FROM r LEFT JOIN s ON r.field = s.field"""
 )
 def nested_coverage(spark, sf_dir):
-    return cov.path_coverage(src.table(spark, sf_dir, "events"), _PATHS).withColumn("coverage", F.round("coverage", 9))
+    return _shown(cov.path_samples(src.table(spark, sf_dir, "events"), _PATHS, ["event_id"]))
 
 
 @query(
     f"""WITH {src.EVENT_SPANS_SQL}, t AS (SELECT trace_id, min(CASE WHEN user_id % 3 > 0 THEN agent_framework END) AS framework FROM spans GROUP BY trace_id), n AS (SELECT count(*) AS n, count(framework) AS f FROM t),
-r AS (SELECT 'trace_id' AS field, 'non_empty' AS check_type, n AS population, n AS present_count FROM n UNION ALL SELECT 'metadata.framework', 'non_null', n, f FROM n UNION ALL SELECT 'metadata.none', 'non_null', n, 0 FROM n) SELECT *, round(present_count / population, 9) AS coverage FROM r"""
+r AS (SELECT 'trace_id' AS field, 'non_empty' AS check_type, n AS population, n AS present_count FROM n UNION ALL SELECT 'metadata.framework', 'non_null', n, f FROM n UNION ALL SELECT 'metadata.none', 'non_null', n, 0 FROM n),
+s AS (SELECT 'trace_id' AS field, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT trace_id AS v FROM t ORDER BY v LIMIT 5) UNION ALL SELECT 'metadata.framework', string_agg(framework, '|' ORDER BY v) FROM (SELECT trace_id AS v, framework FROM t WHERE framework IS NOT NULL ORDER BY v LIMIT 5))
+SELECT r.*, round(present_count / population, 9) AS coverage, coalesce(samples, '') AS samples FROM r LEFT JOIN s ON r.field = s.field"""
 )
 def trace_coverage(spark, sf_dir):
     one = src.event_spans(spark, sf_dir).groupBy("trace_id").agg(F.min(F.when(F.col("user_id") % 3 > 0, F.col("agent_framework"))).alias("framework"))
     traced = one.select("trace_id", F.create_map(F.lit("framework"), F.col("framework")).alias("metadata"))
-    return cov.path_coverage(traced, [("trace_id", "non_empty"), ("metadata.framework", "non_null"), ("metadata.none", "non_null")]).withColumn("coverage", F.round("coverage", 9))
+    return _shown(cov.path_samples(traced, [("trace_id", "non_empty"), ("metadata.framework", "non_null"), ("metadata.none", "non_null")], ["trace_id"]))

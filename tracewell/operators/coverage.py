@@ -6,6 +6,7 @@ row for each pair, and everything after it is small.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,110 @@ def samples(spans: DataFrame, field: str, most: int = SAMPLES) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy("at")).alias("sample_ord"), "sample")
 
 
+def sample_text(column: Column, kind: T.DataType) -> Column:
+    """A value as a short text: text beyond 80 characters is cut, of a list its first three, of a map or struct beyond 80 characters its first three keys."""
+    if isinstance(kind, T.ArrayType):
+        return F.to_json(F.slice(column, 1, 3))
+    if isinstance(kind, T.MapType | T.StructType):
+        whole = F.to_json(column)
+        keys = F.slice(F.map_keys(column), 1, 3) if isinstance(kind, T.MapType) else F.array(*(F.lit(n) for n in kind.names[:3]))
+        return F.when(F.length(whole) > SAMPLE_CHARS, F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda _: F.lit("..."))))).otherwise(whole)
+    text = column.cast("string")
+    return F.when(F.length(text) > SAMPLE_CHARS, F.concat(F.substring(text, 1, SAMPLE_CHARS), F.lit("..."))).otherwise(text)
+
+
+def first_samples(rows: DataFrame, paths: list[tuple[str, Column | None, T.DataType | None, Column]], order: list[str], most: int = SAMPLES, distinct: bool = False) -> DataFrame:
+    """field, samples: of each path (name, column, type, whether present) the first values that are present and not null, at most five, by the columns of order; rows of the same place by their text.
+
+    distinct: of equal samples only the first counts. All paths are taken in one pass: a task keeps five rows for each path, and only these are shuffled, so
+    nothing is sorted but what is kept. A path that names nothing, or has no value, has an empty list."""
+    names = [p for p, column, *_ in paths if column is not None]
+    taken = [F.when(present, sample_text(column, kind)).alias(f"s{i}") for i, (_, column, kind, present) in enumerate(x for x in paths if x[1] is not None)]
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) if rows.schema[c].dataType == T.StringType() else F.coalesce(F.unix_micros(F.col(c).cast("timestamp")) if isinstance(rows.schema[c].dataType, T.TimestampType | T.TimestampNTZType) else F.col(c).cast("long"), F.lit(0)) for c in order]
+    placed = rows.select(*(k.alias(f"k{i}") for i, k in enumerate(keys)), *taken)
+
+    width = len(keys)
+
+    def run(batches):
+        kept = [{} for _ in names]  # sample -> key where distinct, else key and sample -> key
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(width)]
+            places = list(zip(*columns, strict=True))
+            for n, held in enumerate(kept):
+                worst = max(held.values()) if len(held) == most else None
+                for place, sample in zip(places, batch.column(width + n).to_pylist(), strict=True):
+                    if sample is None or (worst is not None and (place, sample) >= worst):
+                        continue
+                    at, name = (place, sample), sample if distinct else (place, sample, len(held))
+                    if name in held:
+                        held[name] = min(held[name], at)
+                    else:
+                        if len(held) == most:
+                            del held[max(held, key=held.get)]
+                        while not distinct and name in held:  # repeated rows are rows of their own
+                            name = (*name[:2], name[2] + 1)
+                        held[name] = at
+                    worst = max(held.values()) if len(held) == most else None
+        out = [(names[n], *place, sample) for n, held in enumerate(kept) for place, sample in held.values()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names=["field", *(f"k{i}" for i in range(width)), "sample"])
+
+    kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(placed.schema.fields[: width]))
+    key = F.struct(*(F.col(f"k{i}") for i in range(width)), F.col("sample"))
+    firsts = placed.mapInArrow(run, f"field string, {kinds}, sample string").select("field", key.alias("at"))
+    if distinct:
+        firsts = firsts.groupBy("field", "at.sample").agg(F.min("at").alias("at"))
+    best = firsts.withColumn("__n", F.row_number().over(Window.partitionBy("field").orderBy("at"))).where(F.col("__n") <= most)
+    lists = best.groupBy("field").agg(F.array_sort(F.collect_list("at")).alias("best")).select("field", F.transform("best", lambda x: x["sample"]).alias("samples"))  # at most five each
+    every = rows.sparkSession.createDataFrame([(p,) for p in sorted({p for p, *_ in paths})], "field string")
+    return every.join(lists, "field", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+
+
+def coverage_samples(spans: DataFrame, fields: list[str], order: tuple[str, str] = ("trace_id", "span_ord")) -> DataFrame:
+    """field, samples of span fields: the first five distinct values of each, by trace and span."""
+    named = [(f, field_column(spans, f)) for f in sorted(set(fields))]
+    kinds = {f.name: f.dataType for f in spans.select(*(c.alias(f) for f, c in named if c is not None)).schema.fields}
+    return first_samples(spans, [(f, c, kinds.get(f), F.lit(True) if c is None else c.isNotNull()) for f, c in named], list(order), distinct=True)
+
+
+def path_samples(rows: DataFrame, pairs: list[tuple[str, str]], order: list[str]) -> DataFrame:
+    """path_coverage() with samples: the first five values of each path by the columns of order, repeats and all; the check says which values are present."""
+    named = [(p, c, nested_column(rows, p)) for p, c in sorted(set(pairs))]
+    kinds = {f.name: f.dataType for f in rows.select(*(col.alias(f"c{i}") for i, (_, _, col) in enumerate(named) if col is not None)).schema.fields}
+    each = [(f"{p}\x1f{c}", col, kinds.get(f"c{i}"), is_present(col, kinds.get(f"c{i}"), c)) for i, (p, c, col) in enumerate(named)]
+    found = first_samples(rows, each, order).select(F.split_part("field", F.lit("\x1f"), F.lit(1)).alias("field"), F.split_part("field", F.lit("\x1f"), F.lit(2)).alias("check_type"), "samples")
+    return path_coverage(rows, pairs).join(found, ["field", "check_type"])
+
+
+# What to do about a field that is not logged.
+ADVICE = {
+    "start_time": "Ensure your trace exporter includes span timestamps. OTel exporters do this by default; check your export configuration.",
+    "end_time": "Ensure span end timestamps are recorded. This requires proper span.end() calls in your instrumentation.",
+    "model_used": "Log the actual model version returned in the API response, not just the requested model. OTel: set gen_ai.response.model. Langfuse: set internalModel.",
+    "model_requested": "Log the model name specified in the API request. OTel: set gen_ai.request.model.",
+    "input_tokens": "Enable token usage logging. Most LLM APIs return token counts in the response. OTel: set gen_ai.usage.input_tokens.",
+    "output_tokens": "Enable token usage logging. OTel: set gen_ai.usage.output_tokens.",
+    "error_type": "Log error types when API calls fail. OTel: set error.type on the span and mark span status as ERROR.",
+    "finish_reasons": "Log the finish/stop reason from the API response. OTel: set gen_ai.response.finish_reasons.",
+    "input_messages": "Enable content logging (opt-in for privacy). OTel: emit gen_ai.client.inference.operation.details events with gen_ai.input.messages. Note: this may contain sensitive data.",
+    "output_messages": "Enable content logging (opt-in for privacy). OTel: emit gen_ai.client.inference.operation.details events with gen_ai.output.messages.",
+    "tool_calls": "Log tool/function calls made by the model. OTel: use gen_ai.tool.name, gen_ai.tool.call.id attributes.",
+    "provider": "Include the AI provider name in your traces. OTel: set gen_ai.provider.name (e.g., 'openai', 'anthropic').",
+}
+
+
+def gap_advice(all_gaps: DataFrame) -> DataFrame:
+    """rule_id, field_path, impact, recommendation of gaps(): why a gap matters, cited by regulation and rule, and what to do about its field; of fields without a text of their own, to add them."""
+    counts = F.concat(F.col("present_count").cast("string"), F.lit("/"), F.col("population").cast("string"))
+    path = F.concat(F.lit("`"), "field_path", F.lit("`"))
+    zero = F.concat(F.lit("your traces contain zero values for "), path, F.lit("."))
+    some = F.concat(F.lit("only "), counts, F.lit(" spans have "), path, F.lit("."))
+    known = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
+    other = F.concat(F.lit("Add "), path, F.lit(" to your trace exports. Currently "), counts, F.lit(" spans include this field."))
+    impact = F.concat("regulation", F.lit(" "), "rule_id", F.lit(" — "), F.when(F.col("present_count") == 0, zero).otherwise(some))
+    return all_gaps.select("rule_id", "field_path", impact.alias("impact"), F.coalesce(F.try_element_at(known, F.element_at(F.split("field_path", r"\."), -1)), other).alias("recommendation"))
+
+
 def scored(rules: DataFrame, fields: DataFrame, covered: DataFrame) -> DataFrame:
     """rules with score and status: the weighted mean coverage of their fields; 1.0 without fields."""
     each = fields.join(covered, ["field", "check_type"], "left")
