@@ -14,7 +14,14 @@ from . import files
 COLUMNS = (
     "trace_id", "span_ord", "source_format", "session_id", "span_id", "parent_span_id", "operation", "provider", "model_requested", "model_used", "start_time", "end_time", "duration_ms",
     "input_tokens", "output_tokens", "total_tokens", "finish_reasons", "error_type", "error_message", "agent_id", "agent_name", "agent_framework", "span_kind", "tool_name", "mcp_server_uri", "input_messages", "output_messages",
+    "response_id", "temperature", "max_tokens", "input_cost", "output_cost", "total_cost", "messages_in", "messages_out", "tool_calls", "evaluations", "metadata",
 )
+# What a span holds of nested content. input_messages and output_messages are the texts as they stand; messages_in and messages_out are read from them.
+_MESSAGES = "array<struct<role: string, content: string>>"
+_NESTED = {
+    "messages_in": _MESSAGES, "messages_out": _MESSAGES, "tool_calls": "array<struct<id: string, name: string, type: string, arguments: string>>",
+    "evaluations": "array<struct<name: string, score_value: double, score_label: string, explanation: string>>", "metadata": "map<string, string>",
+}
 _VALUE = "stringValue string, intValue string, doubleValue string, boolValue string"
 _ATTRIBUTES = f"array<struct<key: string, value: struct<{_VALUE.replace(' string', ': string')}, arrayValue: struct<values: array<struct<{_VALUE.replace(' string', ': string')}>>>>>>"
 _SPAN = f"struct<traceId: string, trace_id: string, spanId: string, span_id: string, parentSpanId: string, parent_span_id: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: string, statusCode: string, message: string>, attributes: {_ATTRIBUTES}, events: array<struct<attributes: {_ATTRIBUTES}>>>"
@@ -74,11 +81,37 @@ def normalize(entries: DataFrame, hint: str = "auto") -> DataFrame:
 
 
 def _spans(df: DataFrame, source_format: str, **columns: Column) -> DataFrame:
-    kinds = {"span_ord": "long", "start_time": "timestamp", "end_time": "timestamp", "duration_ms": "double", "input_tokens": "long", "output_tokens": "long", "total_tokens": "long", "finish_reasons": "array<string>"}
+    kinds = {"span_ord": "long", "start_time": "timestamp", "end_time": "timestamp", "duration_ms": "double", "input_tokens": "long", "output_tokens": "long", "total_tokens": "long", "finish_reasons": "array<string>", "temperature": "double", "max_tokens": "long", "input_cost": "double", "output_cost": "double", "total_cost": "double"} | _NESTED
     columns |= {"source_format": F.lit(source_format)}
     return df.select(*(columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS))
 
 
+def _some(items: Column) -> Column:
+    """A list, or null if it is empty."""
+    return F.when(F.size(items) > 0, items)
+
+
+def _call(id: Column, name: Column, kind: Column, arguments: Column) -> Column:
+    return F.struct(id.cast("string").alias("id"), F.coalesce(name, F.lit("unknown")).alias("name"), kind.cast("string").alias("type"), arguments.cast("string").alias("arguments"))
+
+
+def _message(role: Column, content: Column) -> Column:
+    return F.struct(role.cast("string").alias("role"), content.alias("content"))
+
+
+def _known(**values: Column) -> Column:
+    """A map of those values that are not null."""
+    return F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string")))), lambda _, v: v.isNotNull())
+
+
+def _said(texts: Column) -> Column:
+    """Messages of a list of texts: a JSON object is a message, other JSON none, any other text is the content of one."""
+    read = lambda t: F.from_json(t, "role string, content string")
+    value = lambda t: F.try_parse_json(t)
+    known = F.filter(texts, lambda t: value(t).isNull() | F.startswith(F.schema_of_variant(value(t)), F.lit("OBJECT")))
+    return _some(F.transform(known, lambda t: F.when(value(t).isNull(), _message(F.lit(None), t)).otherwise(_message(read(t)["role"], read(t)["content"]))))
+
+
 def _filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
@@ -135,17 +168,32 @@ def otel(entries: DataFrame) -> DataFrame:
         finish_reasons=F.split(value("gen_ai.response.finish_reasons"), "\x1f"), error_type=F.coalesce(own("error.type"), F.when(failed, "otel_error")), error_message=F.when(own("error.type").isNotNull(), F.coalesce(own("error.message"), own("exception.message"), F.lit(""))).when(failed, F.coalesce("x.status.message", F.lit("Unknown error"))),
         agent_id=value("gen_ai.agent.id", "graph.node.id"), agent_name=value("gen_ai.agent.name"), agent_framework=F.coalesce(framework, F.lower(value("gen_ai.agent.framework")), F.when(F.exists(keys, lambda k: k == "graph.node.id"), "langgraph")),
         span_kind=kind, tool_name=value("gen_ai.tool.name"), mcp_server_uri=value("gen_ai.mcp.server_uri", "mcp.server.uri"), input_messages=value("gen_ai.input.messages"), output_messages=value("gen_ai.output.messages"),
+        response_id=value("gen_ai.response.id"), temperature=value("gen_ai.request.temperature").try_cast("double"), max_tokens=_whole(value("gen_ai.request.max_tokens")),
+        messages_in=_said(F.split(value("gen_ai.input.messages"), "\x1f")), messages_out=_said(F.split(value("gen_ai.output.messages"), "\x1f")),
+        tool_calls=F.when(value("gen_ai.tool.name").isNotNull() | value("gen_ai.tool.call.id").isNotNull(), F.array(_call(value("gen_ai.tool.call.id"), value("gen_ai.tool.name"), value("gen_ai.tool.type"), F.lit(None)))),
     )
 
 
-_OBSERVATION = "id string, type string, name string, parentObservationId string, startTime string, endTime string, completionStartTime string, providedModelName string, model string, internalModel string, inputTokens string, promptTokens string, outputTokens string, completionTokens string, totalTokens string, latency string, level string, statusMessage string, input string, output string, metadata struct<agent_id: string, agent_name: string, framework: string>"
+_OBSERVATION = (
+    "array<struct<" + ", ".join(f"{n}: string" for n in "id type name parentObservationId startTime endTime completionStartTime providedModelName model internalModel inputTokens promptTokens outputTokens completionTokens totalTokens latency level statusMessage input output inputCost outputCost totalCost".split())
+    + ", metadata: struct<agent_id: string, agent_name: string, framework: string>, scores: array<struct<name: string, value: string, label: string, comment: string>>>>"
+)
+_EXPORT = ("id", "traceId", "sessionId", "name", "userId", "tags", "version", "release")
+_TOOLS = "tool_calls array<struct<id: string, name: string, function: struct<name: string, arguments: string>>>"
 
 
 def observations(entries: DataFrame) -> DataFrame:
-    """Observation exports: a trace for each entry that has observations. Token counts of 0 are read as the other name's, or null."""
-    fields = ", ".join(f"{a}: {b}" for a, b in (x.split(" ", 1) for x in _OBSERVATION.split(", ") if not x.startswith("agent_name") and not x.startswith("framework") and "metadata" not in x)) + ", metadata: struct<agent_id: string, agent_name: string, framework: string>"
-    e = entries.withColumn("o", F.from_json("entry", f"id string, sessionId string, observations array<struct<{fields}>>"))
-    x = e.select("file", "ord", F.col("o.id").alias("trace"), F.col("o.sessionId").alias("session"), F.posexplode("o.observations").alias("i", "x"))
+    """Observation exports: a trace for each entry that has observations, or for each element of its list `data`. Token counts of 0 are read as the other name's, or null.
+
+    tool_calls are those of an output that is an object, evaluations the scores; a score that is no number has a null score_value."""
+    trace = "struct<" + ", ".join(f"{n}: string" for n in _EXPORT) + f", observations: {_OBSERVATION}>"
+    e = entries.withColumn("o", F.from_json("entry", f"{trace[7:-1].replace(': ', ' ', len(_EXPORT)).replace('observations: ', 'observations ', 1)}, data array<{trace}>"))
+    one = F.struct(*(F.col(f"o.{n}").alias(n) for n in (*_EXPORT, "observations")))
+    traces = e.select("file", "ord", F.explode(F.coalesce("o.data", F.array(one))).alias("t"))
+    x = traces.select("file", "ord", F.coalesce(_filled(F.col("t.id"), F.col("t.traceId")), F.lit("unknown")).alias("trace"), F.col("t.sessionId").alias("session"), _known(**{n: F.col(f"t.{n}") for n in _EXPORT[2:]}).alias("about"), F.posexplode("t.observations").alias("i", "x"))
+    calls = F.transform(F.from_json("x.output", _TOOLS)["tool_calls"], lambda c: _call(c["id"], F.coalesce(c["function"]["name"], c["name"]), F.lit("function"), c["function"]["arguments"]))
+    scores = F.transform("x.scores", lambda v: F.struct(F.coalesce(v["name"], F.lit("unnamed")).alias("name"), v["value"].try_cast("double").alias("score_value"), v["label"].alias("score_label"), v["comment"].alias("explanation")))
+    whole = lambda c: F.when(_filled(c).isNotNull(), F.array(_message(F.lit(None), c)))
     kind = F.upper(F.coalesce("x.type", F.lit("SPAN")))
     model = _filled(F.col("x.providedModelName"), F.col("x.model"))
     low = F.lower(model)
@@ -159,6 +207,7 @@ def observations(entries: DataFrame) -> DataFrame:
         duration_ms=F.coalesce(F.col("x.latency").try_cast("double") * 1000, _between(start, end)), input_tokens=tokens("inputTokens", "promptTokens"), output_tokens=tokens("outputTokens", "completionTokens"), total_tokens=_whole(F.col("x.totalTokens")),
         error_type=F.when(F.col("x.level") == "ERROR", "error"), error_message=F.col("x.statusMessage"), agent_id=F.col("x.metadata.agent_id"), agent_name=F.coalesce(_filled(F.col("x.metadata.agent_name")), F.when(kind == "SPAN", F.col("x.name"))), agent_framework=F.col("x.metadata.framework"),
         span_kind=F.when(kind == "GENERATION", "llm_generation").when((kind == "SPAN") & handoff, "agent_handoff"), input_messages=_filled(F.col("x.input")), output_messages=_filled(F.col("x.output")),
+        input_cost=F.col("x.inputCost").try_cast("double"), output_cost=F.col("x.outputCost").try_cast("double"), total_cost=F.col("x.totalCost").try_cast("double"), messages_in=whole(F.col("x.input")), messages_out=whole(F.col("x.output")), tool_calls=_some(calls), evaluations=_some(scores), metadata=F.col("about"),
     )
 
 
@@ -174,7 +223,7 @@ def api_log(entries: DataFrame) -> DataFrame:
         entries.where(F.col("entry").isNotNull()), "rawapi", trace_id=F.coalesce(_get("$.trace_id"), own), span_ord=F.lit(1), span_id=F.coalesce(_filled(_get("$.id"), _get("$.response.id")), own), operation=F.coalesce(_get("$.operation"), F.lit("chat")), provider=_get("$.provider"),
         model_requested=F.coalesce(_filled(_get("$.request.model")), model), model_used=F.coalesce(_get("$.response.model"), model), start_time=F.try_to_timestamp(_get("$.timestamp")), end_time=F.try_to_timestamp(_get("$.end_timestamp")), duration_ms=F.coalesce(_get("$.latency_ms"), _get("$.duration_ms")).try_cast("double"),
         input_tokens=tokens("input", "prompt_tokens"), output_tokens=tokens("output", "completion_tokens"), total_tokens=tokens("total", "total_tokens"), finish_reasons=reasons,
-        error_type=F.when(error.isNotNull(), F.coalesce(_get("$.error.type"), _get("$.response.error.type"), F.lit("api_error"))), error_message=F.coalesce(_get("$.error.message"), _get("$.response.error.message"), error), input_messages=_get("$.request.messages"),
+        error_type=F.when(error.isNotNull(), F.coalesce(_get("$.error.type"), _get("$.response.error.type"), F.lit("api_error"))), error_message=F.coalesce(_get("$.error.message"), _get("$.response.error.message"), error), input_messages=_get("$.request.messages"), response_id=_get("$.response.id"), temperature=_get("$.request.temperature").try_cast("double"), max_tokens=_whole(_get("$.request.max_tokens")), messages_in=_some(F.from_json(_get("$.request.messages"), _MESSAGES)),
     )
 
 
@@ -182,12 +231,22 @@ def conversations(entries: DataFrame) -> DataFrame:
     """Conversation logs: a trace for each session, a span for each assistant message; its input is the latest user entry that no earlier message took."""
     kind = F.coalesce(_get("$.type"), F.lit(""))
     e = entries.where(_get("$.sessionId").isNotNull()).select("*", _get("$.sessionId").alias("session"), kind.alias("kind"), _get("$.message.type").alias("message_type"), _get("$.message.content").alias("content"))
-    e = e.where((F.col("kind") == "user") | ((F.col("kind") == "assistant") & (F.col("message_type") == "message")))
+    talks = (F.col("kind") == "user") | ((F.col("kind") == "assistant") & (F.col("message_type") == "message"))
     w = Window.partitionBy("file", "session").orderBy("ord")
+    is_list = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(F.try_parse_json("entry"), "$.message.content", "variant")), F.lit("ARRAY")), F.lit(False))
+    about = _known(**{n: _get(f"$.{n}") for n in ("version", "gitBranch", "cwd", "permissionMode")})
+    # what other kinds of entries say is not needed but for the first entry's settings, so it is not shuffled
+    e = e.select("file", "ord", "session", "kind", talks.alias("talks"), "content", is_list.alias("is_list"), about.alias("about"), F.when(F.col("kind") == "assistant", F.col("entry")).alias("entry"))
+    e = e.withColumn("about", F.first("about").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("talks")
     e = e.withColumn("g", F.sum(F.when(F.col("kind") == "user", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     in_group = Window.partitionBy("file", "session", "g").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("nth", F.sum(F.when(F.col("kind") == "assistant", 1).otherwise(0)).over(in_group)).withColumn("said", F.first(F.when(F.col("kind") == "user", F.col("content")), ignorenulls=True).over(in_group))
-    blocks = F.from_json("content", "array<struct<type: string, text: string, name: string>>")
+    e = e.withColumn("said_list", F.first(F.when((F.col("kind") == "user") & F.col("content").isNotNull(), F.col("is_list")), ignorenulls=True).over(in_group))
+    block = "array<struct<type: string, text: string, name: string, id: string, input: string>>"
+    blocks = F.when(F.col("is_list"), F.from_json("content", block))
+    asked = F.transform(F.filter(F.from_json("said", block), lambda b: b["type"] == "text"), lambda b: _message(F.lit("user"), F.coalesce(b["text"], F.lit(""))))
+    asked = F.when(F.col("said_list"), _some(asked)).when(F.col("said").isNotNull(), F.array(_message(F.lit("user"), F.col("said"))))
+    uses = F.transform(F.filter(blocks, lambda b: b["type"] == "tool_use"), lambda b: _call(b["id"], b["name"], F.lit("function"), b["input"]))
     texts = F.filter(blocks, lambda b: (b["type"] == "text") & (b["text"] != ""))
     e = e.where("kind = 'assistant'").withColumn("n", F.row_number().over(w))
     usage = lambda name: _whole(_get(f"$.message.usage.{name}"))
@@ -197,5 +256,6 @@ def conversations(entries: DataFrame) -> DataFrame:
     return _spans(
         e, "claudecode", trace_id=F.col("session"), span_ord=F.col("n"), session_id=F.col("session"), span_id=_get("$.uuid"), parent_span_id=_get("$.parentUuid"), operation=F.lit("chat"), provider=F.lit("anthropic"), model_requested=_get("$.message.model"), model_used=_get("$.message.model"),
         start_time=F.try_to_timestamp(_get("$.timestamp")), input_tokens=taken, output_tokens=usage("output_tokens"), total_tokens=taken + usage("output_tokens"), finish_reasons=F.when(_get("$.message.stop_reason").isNotNull(), F.array(_get("$.message.stop_reason"))),
-        span_kind=F.lit("llm_generation"), tool_name=tool, input_messages=F.when(F.col("nth") == 1, F.col("said")), output_messages=F.when(F.size(texts) > 0, F.to_json(texts)),
+        span_kind=F.lit("llm_generation"), tool_name=tool, input_messages=F.when(F.col("nth") == 1, F.col("said")), output_messages=F.when(F.size(texts) > 0, F.to_json(F.transform(texts, lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text"), b["name"].alias("name"))))),
+        end_time=F.try_to_timestamp(_get("$.timestamp")), response_id=_get("$.message.id"), messages_in=F.when(F.col("nth") == 1, asked), messages_out=_some(F.transform(texts, lambda b: _message(F.lit("assistant"), b["text"]))), tool_calls=_some(uses), metadata=F.col("about"),
     )
