@@ -1,10 +1,12 @@
 """Nested content of the four formats, on files written here."""
 
+import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracewell.sources import traces
+from tracewell.sources import traces, written
 
 
 def entries(spark, *values):
@@ -58,3 +60,36 @@ def test_messages_and_tools_of_the_others(spark):
 def test_no_entries(spark, read):
     assert read(spark.createDataFrame([], "file string, ord long, entry string")).count() == 0
     assert read(spark.createDataFrame([("f", 0, None)], "file string, ord long, entry string")).count() == 0
+
+
+def spans_of(rows):
+    kinds = "trace_id string, span_ord long, session_id string, metadata map<string, string>, start_time timestamp, input_tokens long, finish_reasons array<string>, tool_calls array<struct<id: string, name: string>>"
+    return rows, kinds
+
+
+def test_traces_are_written_nested_and_read_back(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 1, 2, 3, 456789)
+    rows, kinds = spans_of([("t", n, "s", {"a": "b"}, at, n, ["stop"], [("i", "n")]) for n in range(1, 26)] + [("u", 1, None, None, None, None, None, None), ("u", 1, None, None, None, None, [], None), ("v", None, None, None, None, 5, None, None)])
+    spans = spark.createDataFrame(rows, kinds).repartition(5)
+    written.write(spans, str(tmp_path / "out"), part=10)
+    found = traces.load(spark, str(tmp_path / "out"), suffixes=".json")
+    back = written.read(found, spans.schema)
+    assert back.columns == spans.columns
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, spans.collect()))
+    objects = [json.loads(r.entry) for r in found.collect()]
+    assert sorted((o["trace_id"], o["part"], len(o["spans"])) for o in objects) == [("t", 0, 10), ("t", 1, 10), ("t", 2, 5), ("u", 0, 2), ("v", 0, 1)]
+    assert all([s["span_ord"] for s in o["spans"]] == sorted(s["span_ord"] for s in o["spans"]) and o["session_id"] == "s" and "session_id" not in o["spans"][0] for o in objects if o["trace_id"] == "t")
+
+
+def test_no_spans_and_other_entries(spark, tmp_path):
+    empty = spark.createDataFrame(*spans_of([]))
+    written.write(empty, str(tmp_path / "none"))
+    assert traces.load(spark, str(tmp_path / "none"), suffixes=".json").count() == 0
+    assert written.read(entries(spark, {"what": 1}, [1], {"trace_id": "t", "spans": []}), empty.schema).count() == 0
+
+
+def test_a_trace_of_a_million_spans(spark, tmp_path):
+    spans = spark.range(1, 1_000_001).select(F.lit("t").alias("trace_id"), F.col("id").alias("span_ord"), F.concat(F.lit("s"), "id").alias("span_id"))
+    written.write(spans, str(tmp_path / "big"))
+    back = written.read(traces.load(spark, str(tmp_path / "big"), suffixes=".json"), spans.schema)
+    assert back.agg(F.count("*"), F.countDistinct("span_ord"), F.sum("span_ord"), F.count_if(F.col("span_id") == F.concat(F.lit("s"), "span_ord"))).first() == (1_000_000, 1_000_000, 500_000_500_000, 1_000_000)

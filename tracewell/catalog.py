@@ -17,7 +17,7 @@ from .operators import sessions as ses
 from .operators import syntax
 from .plans import rules
 from .sources import adapters as src
-from .sources import files, packs, traces
+from .sources import files, packs, traces, written
 from .staging import own_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -868,6 +868,60 @@ def conversation_ingest(spark, sf_dir):
     return traces.conversations(entries).select("trace_id", "span_id", F.length("input_messages").alias("n_input"), "input_tokens", "total_tokens")
 
 
+_LINE_TOOLS = "list_transform(range(l_linenumber % 4), lambda i: 'tool' || (l_partkey % 5 + i))"
+
+
+@query(
+    f"""SELECT 'o' || l_orderkey AS trace_id, 'o' || l_orderkey || '-' || l_linenumber AS span_id, array_to_string({_LINE_TOOLS}, ',') AS tools, CASE WHEN l_linenumber % 4 > 0 THEN 'part ' || l_partkey END AS first_arguments, CASE WHEN l_returnflag = 'R' THEN 2 WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS n_evaluations,
+  CASE WHEN l_returnflag = 'R' THEN l_quantity END AS score, CASE WHEN l_returnflag = 'R' THEN 'late' WHEN l_returnflag = 'A' THEN 'as told' END AS label, 'supplier ' || l_suppkey AS asked, l_discount AS total_cost FROM lineitem"""
+)
+def observation_content(spark, sf_dir):
+    """An export for each item of an order, wrapped in data, with several tools and scores."""
+    li = src.table(spark, sf_dir, "lineitem")
+    tool = lambda i: F.struct(F.struct(F.concat(F.lit("tool"), F.col("l_partkey") % 5 + i).alias("name"), F.concat(F.lit("part "), "l_partkey").alias("arguments")).alias("function"))
+    tools = F.transform(F.slice(F.array(*(F.lit(i) for i in range(3))), 1, F.col("l_linenumber") % 4), tool)
+    score = lambda name, value, label: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(label).alias("label"))
+    scores = F.when(F.col("l_returnflag") == "R", F.array(score("quantity", F.col("l_quantity"), "late"), score("word", F.lit("none"), "as told"))).when(F.col("l_returnflag") == "A", F.array(score("word", F.lit("none"), "as told")))
+    one = F.struct(F.concat(F.lit("o"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), F.concat(F.lit("supplier "), "l_suppkey").alias("input"), F.struct(tools.alias("tool_calls")).alias("output"), scores.alias("scores"), F.col("l_discount").alias("totalCost"))
+    entry = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("o"), "l_orderkey").alias("traceId"), F.array(one).alias("observations"))).alias("data")))
+    spans = traces.observations(li.select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").cast("long").alias("ord"), entry.alias("entry")))
+    first = F.get("evaluations", 0)
+    return spans.select(
+        "trace_id", "span_id", F.coalesce(F.array_join(F.transform("tool_calls", lambda t: t["name"]), ","), F.lit("")).alias("tools"), F.get("tool_calls", 0)["arguments"].alias("first_arguments"), F.coalesce(F.size("evaluations"), F.lit(0)).alias("n_evaluations"),
+        first["score_value"].alias("score"), first["score_label"].alias("label"), F.get("messages_in", 0)["content"].alias("asked"), "total_cost",
+    )
+
+
+@query(
+    """WITH t AS (SELECT *, lag(role) OVER w AS before_role, lag(text) OVER w AS before_text, lag(turn) OVER w AS before_turn, first_value(turn) OVER w AS first_turn FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 'c' || conv_id AS trace_id, 'u' || conv_id || '-' || turn AS span_id, CASE WHEN text <> '' THEN length(text) END AS n_said, CASE WHEN before_role = 'user' THEN CASE WHEN before_turn % 3 = 1 THEN NULL ELSE length(before_text) END END AS n_asked,
+  array_to_string(list_transform(range(turn % 3), lambda i: 'tool' || i), ',') AS tools, CASE WHEN turn % 3 > 0 THEN '{"file_path":"f' || turn || '"}' END AS arguments, 'branch' || (first_turn + conv_id % 2) AS branch FROM t WHERE role = 'assistant'"""
+)
+def conversation_content(spark, sf_dir):
+    """A conversation log for each conversation: answers with text and several tools; of what users say, some is a list of blocks, some of these without text."""
+    c, turn = src.table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')"), F.col("turn")
+    block = lambda kind, text=None, name=None, value=None: F.struct(F.lit(kind).alias("type"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if name is None else name).cast("string").alias("name"), (F.struct(F.lit(None).cast("string").alias("file_path")) if value is None else F.struct(value.alias("file_path"))).alias("input"))
+    uses = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), 1, (turn % 3).cast("int")), lambda i: block("tool_use", name=F.concat(F.lit("tool"), i), value=F.concat(F.lit("f"), turn)))
+    blocks = F.when(F.col("role") == "assistant", F.concat(F.array(block("text", F.col("text"))), uses)).when(turn % 3 == 1, F.array(block("tool_result"))).when(turn % 3 == 2, F.array(block("text", F.col("text"))))
+    base = (F.col("role").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId"), F.concat(F.lit("u"), "conv_id", F.lit("-"), "turn").alias("uuid"), F.concat(F.lit("branch"), turn + F.col("conv_id") % 2).alias("gitBranch"))
+    kind = F.when(F.col("role") == "assistant", "message").alias("type")
+    entry = F.when(blocks.isNull(), F.to_json(F.struct(*base, F.struct(kind, F.col("text").alias("content")).alias("message")))).otherwise(F.to_json(F.struct(*base, F.struct(kind, blocks.alias("content")).alias("message"))))
+    spans = traces.conversations(c.select(F.col("conv_id").cast("string").alias("file"), turn.alias("ord"), entry.alias("entry")))
+    said = lambda m: F.length(F.get(m, 0)["content"])
+    return spans.select("trace_id", "span_id", said("messages_out").alias("n_said"), said("messages_in").alias("n_asked"), F.coalesce(F.array_join(F.transform("tool_calls", lambda t: t["name"]), ","), F.lit("")).alias("tools"), F.get("tool_calls", 0)["arguments"].alias("arguments"), F.element_at("metadata", "gitBranch").alias("branch"))
+
+
+_WRITTEN = ["trace_id", "span_ord", "span_id", "parent_span_id", "operation", "start_time", "duration_ms", "input_tokens", "agent_id"]
+
+
+@query(f"WITH {src.EVENT_SPANS_SQL} SELECT {', '.join(_WRITTEN)} FROM spans")
+def written_traces(spark, sf_dir):
+    """All spans, written as nested JSON, an object for each trace of at most three spans or part of a larger one, and read back out of the files."""
+    spans, path = src.event_spans(spark, sf_dir).select(*_WRITTEN), own_path(spark, "traces")
+    written.write(spans, path, part=3)
+    return written.read(traces.load(spark, path, suffixes=".json"), spans.schema)
+
+
 # --- files ---------------------------------------------------------------------------------------------------------------------
 
 
