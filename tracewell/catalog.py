@@ -187,6 +187,22 @@ def delegation_paths(spark, sf_dir):
     return dag.paths(src.event_spans(spark, sf_dir)).withColumn("delegation_path", F.array_join("delegation_path", ">"))
 
 
+@query(
+    f"""{_SPANS}, multi AS (SELECT trace_id FROM spans GROUP BY trace_id HAVING count(DISTINCT agent_id) > 1) SELECT p.trace_id, p.span_id AS parent_id, (s.span_ord - 1) // 2 AS part, string_agg(s.span_id, ',' ORDER BY s.span_ord) AS children
+FROM spans s JOIN spans p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE s.trace_id IN (SELECT trace_id FROM multi) GROUP BY ALL"""
+)
+def span_adjacency(spark, sf_dir):
+    """Children of spans in traces of several agents, in lists of two places."""
+    spans = src.event_spans(spark, sf_dir)
+    return dag.adjacency(spans.join(dag.several_agents(spans), "trace_id", "left_semi"), part=2).withColumn("children", F.array_join("children", ","))
+
+
+@query(f"{_SPANS}{_WALK}, multi AS (SELECT trace_id FROM spans GROUP BY trace_id HAVING count(DISTINCT agent_id) > 1) SELECT w.trace_id, span_id, CASE WHEN m.trace_id IS NOT NULL THEN array_to_string(chain, '>') END AS delegation_path FROM walk w LEFT JOIN multi m ON w.trace_id = m.trace_id")
+def enriched_spans(spark, sf_dir):
+    """Spans of all traces; those of traces of one agent have no path."""
+    return dag.enriched(src.event_spans(spark, sf_dir)).select("trace_id", "span_id", F.array_join("delegation_path", ">").alias("delegation_path"))
+
+
 @query(f"{_SPANS}{_WALK}{_AGENTS} SELECT * FROM agents")
 def agent_summary(spark, sf_dir):
     return dag.agent_summary(src.event_spans(spark, sf_dir))

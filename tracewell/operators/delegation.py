@@ -63,6 +63,28 @@ def paths(spans: DataFrame) -> DataFrame:
     return way.select("trace_id", "span_id", F.reverse("chain").alias("delegation_path"))
 
 
+def several_agents(spans: DataFrame) -> DataFrame:
+    """trace_id of the traces in which more than one agent is named; '' and null name none."""
+    named = F.nullif(F.col("agent_id"), F.lit(""))
+    return spans.groupBy("trace_id").agg(F.min(named).alias("a"), F.max(named).alias("b")).where("a < b").select("trace_id")
+
+
+def adjacency(spans: DataFrame, part: int = 10_000) -> DataFrame:
+    """trace_id, parent_id, part, children: of each span its children in the order of span_ord, in lists of at most `part` places each, so that a span with very many children is several rows.
+
+    A child of a repeated place is in the same list, by its id; a child whose parent is not in its trace is in none."""
+    e = edges(spans).withColumn("part", F.expr(f"(coalesce(child_ord, 1) - 1) div {part}").cast("long"))
+    lists = e.groupBy("trace_id", "parent_id", "part").agg(F.array_sort(F.collect_list(F.struct("child_ord", "child_id"))).alias("x"))
+    return lists.select("trace_id", "parent_id", "part", F.transform("x", lambda c: c["child_id"]).alias("children"))
+
+
+def enriched(spans: DataFrame) -> DataFrame:
+    """spans with delegation_path, the agents from the root down, in traces of several agents; null in others, of which nothing is walked. All rows stay, of repeated span ids too."""
+    multi = several_agents(spans)
+    walked = paths(spans.join(multi, "trace_id", "left_semi")).dropDuplicates(["trace_id", "span_id"])
+    return spans.join(walked, ["trace_id", "span_id"], "left")
+
+
 def agent_summary(spans: DataFrame) -> DataFrame:
     """Of each agent of a trace ('' and null: _unknown): spans, first name, oversight, deepest span."""
     named = spans.withColumn("agent", F.coalesce(F.nullif(F.col("agent_id"), F.lit("")), F.lit("_unknown")))
