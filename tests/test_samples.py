@@ -36,3 +36,13 @@ def test_texts_of_gaps(spark):
     one, two = sorted(cov.gap_advice(gaps).collect(), key=lambda r: r.rule_id)
     assert one.impact == "Rules R-1 — your traces contain zero values for `spans[].provider`." and one.recommendation == cov.ADVICE["provider"]
     assert two.impact == "Rules R-2 — only 3/9 spans have `spans[].seed`." and two.recommendation == "Add `spans[].seed` to your trace exports. Currently 3/9 spans include this field."
+
+
+def test_report_of_rules_with_and_without_gaps(spark):
+    scored = spark.createDataFrame([("R-2", "Rules", "mandatory", 0.5, "partial"), ("R-1", "Rules", "mandatory", 1.0, "satisfied"), ("S-1", "Others", "mandatory", 0.0, "missing")], "rule_id string, regulation string, severity string, score double, status string")
+    rows = [("R-2", "Rules", 1, "spans[].seed", "d", 0.0, 0, 9), ("R-2", "Rules", 0, "spans[].provider", "d", 33.3, 3, 9)]
+    gaps = spark.createDataFrame(rows, "rule_id string, regulation string, field_ord int, field_path string, description string, coverage_pct double, present_count long, population long")
+    got = {r.regulation: r for r in cov.report(scored, gaps).collect()}
+    assert (got["Rules"].overall_score, got["Rules"].n_satisfied, got["Rules"].n_partial, got["Rules"].n_missing, got["Others"].n_missing) == (0.75, 1, 1, 0, 1)
+    assert [(q.rule_id, [g.field_path for g in q.gaps]) for q in got["Rules"].requirements] == [("R-1", []), ("R-2", ["spans[].provider", "spans[].seed"])]
+    assert cov.report(scored.limit(0), gaps.limit(0)).count() == 0

@@ -101,6 +101,21 @@ def gap_advice(spark, sf_dir):
     return cov.gap_advice(cov.gaps(scored, fields, covered))
 
 
+@query(
+    f"""{_AUDIT}, per AS (SELECT rule_id, count(*) AS n, string_agg(field_path, ',' ORDER BY field_ord) AS paths FROM gaps GROUP BY rule_id)
+SELECT regulation, round(avg(score), 6) AS overall_score, count(*) FILTER (WHERE status = 'satisfied') AS n_satisfied, count(*) FILTER (WHERE status = 'partial') AS n_partial, count(*) FILTER (WHERE status = 'missing') AS n_missing,
+  string_agg(a.rule_id || ' ' || status || ' ' || coalesce(paths, ''), '; ' ORDER BY a.rule_id) AS requirements FROM audited a LEFT JOIN per p ON a.rule_id = p.rule_id GROUP BY regulation"""
+)
+def gap_report(spark, sf_dir):
+    """The nested report, written as JSON and read back."""
+    _, scored, fields, covered = _measured(spark, sf_dir)
+    path, told = own_path(spark, "report"), cov.report(scored, cov.gaps(scored, fields, covered))
+    told.write.json(path)
+    back = spark.read.schema(told.schema).json(path)
+    line = F.transform("requirements", lambda r: F.concat_ws(" ", r["rule_id"], r["status"], F.array_join(F.transform(r["gaps"], lambda g: g["field_path"]), ",")))
+    return back.select("regulation", F.round("overall_score", 6).alias("overall_score"), "n_satisfied", "n_partial", "n_missing", F.array_join(line, "; ").alias("requirements"))
+
+
 @query(f"{_AUDIT} SELECT rule_id, field_path, description, round(score, 6) AS score FROM gaps ORDER BY gaps.score, description DESC, rule_id, field_ord LIMIT 5")
 def top_gaps(spark, sf_dir):
     _, scored, fields, covered = _measured(spark, sf_dir)

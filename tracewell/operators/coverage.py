@@ -190,6 +190,19 @@ def gaps(rules: DataFrame, fields: DataFrame, covered: DataFrame) -> DataFrame:
     return each.select("rule_id", "regulation", "field_ord", F.concat(F.lit("spans[]."), "field").alias("field_path"), text.alias("description"), pct.alias("coverage_pct"), "present_count", "population")
 
 
+def report(rules_scored: DataFrame, all_gaps: DataFrame) -> DataFrame:
+    """regulation, overall_score, n_satisfied, n_partial, n_missing, requirements: a nested row for each regulation, to be written as JSON.
+
+    requirements are structs of rule, severity, score, status and gaps, by rule; gaps are in the order of the rule's fields, with impact and recommendation.
+    Its size is that of the catalogue of rules, however many spans were measured. Equal rule ids are one rule."""
+    told = all_gaps.join(gap_advice(all_gaps), ["rule_id", "field_path"])
+    gap = F.struct("field_ord", "field_path", "description", "coverage_pct", "impact", "recommendation")
+    of_rule = told.groupBy("rule_id").agg(F.array_sort(F.collect_set(gap)).alias("gaps"))
+    each = rules_scored.join(of_rule, "rule_id", "left").withColumn("gaps", F.coalesce("gaps", F.array().cast(of_rule.schema["gaps"].dataType)))
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    return each.groupBy("regulation").agg(F.avg("score").alias("overall_score"), n("satisfied"), n("partial"), n("missing"), F.array_sort(F.collect_set(F.struct("rule_id", "severity", "score", "status", "gaps"))).alias("requirements"))
+
+
 def top_gaps(rules_scored: DataFrame, all_gaps: DataFrame, most: int = 5) -> DataFrame:
     """The gaps of the lowest-scored rules, by score and then description, both from the far end."""
     ranked = all_gaps.join(rules_scored.select("rule_id", "score"), "rule_id")
