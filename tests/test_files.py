@@ -95,3 +95,13 @@ def test_projects_are_named_by_their_sessions_or_their_folder(spark, tmp_path):
     assert got == {
         "-Users-x-Downloads-shop": ("shop", "/Users/x/Downloads/shop", "/Users/x/Downloads/shop/", 2, 25), "-home-y-app": ("my-tool", "/home/y/my-tool", "/home/y/my-tool/", 1, 37), "-Users-z": ("z", "/Users/z", "/Users/z/", 1, 20), "-home-.hidden": ("-home-.hidden", "/home/.hidden", "/home/.hidden/", 1, 3),
     }
+
+
+def test_a_project_is_named_though_the_first_task_has_none_of_its_rows(spark, tmp_path):
+    """The larger file is read first and has turns of one project alone; of two projects there are none."""
+    from tracewell import catalog
+
+    for ids, text in (([1] * 50, "x" * 1000), ([4, 5, 8], "y")):
+        spark.createDataFrame([(c, i, "user", f"{text}{i}") for i, c in enumerate(ids)], "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["raw_name"]: (r["display_name"], r["cwd"], r["n_bytes"]) for r in catalog.project_list(spark, str(tmp_path)).collect()}
+    assert got == {"-home-ann-shop": ("store", "/srv/ann/store/", 2 * 35), "-Users-bo-Downloads-web": ("web", "/Users/bo/Downloads/web", 10 * 11 + 40 * 12 + 11)}

@@ -1006,12 +1006,14 @@ SELECT raw_name, CASE raw_name WHEN '-home-ann-shop' THEN 'store' WHEN '-Users-b
   CASE raw_name WHEN '-home-ann-shop' THEN '/srv/ann/store/' WHEN '-Users-bo-Downloads-web' THEN '/Users/bo/Downloads/web/' WHEN '-' THEN '' ELSE 'plain/' END AS prefix, sum(size)::BIGINT AS n_bytes FROM p GROUP BY raw_name"""
 )
 def project_list(spark, sf_dir):
-    """Folders of written session logs: one says where it was run, the others' names tell."""
+    """Folders of written session logs: one says where it was run, the others' names tell.
+
+    Only a folder's first log is asked, and Spark's first task writes a file even without a row, so rows are ordered: then the first file has the first of them."""
     root, c = own_path(spark, "projects"), src.table(spark, sf_dir, "conversations")
     for i, folder in enumerate(("-home-ann-shop", "-Users-bo-Downloads-web", "plain", "-")):
         entry = F.to_json(F.struct(*([F.lit("/srv/ann/store/").alias("cwd")] if i == 0 else []), "turn"))
-        c.where(F.col("conv_id") % 4 == i).select(entry).write.option("compression", "none").text(f"{root}/{folder}")
-    return files.projects(spark, root, suffixes=".txt").drop("n_sessions")
+        c.where(F.col("conv_id") % 4 == i).orderBy("conv_id", "turn").select(entry).write.option("compression", "none").text(f"{root}/{folder}")
+    return files.projects(spark, root, suffixes=".txt").where("n_bytes > 0").drop("n_sessions")
 
 
 # --- packs of rules -------------------------------------------------------------------------------------------------------------
