@@ -1,5 +1,7 @@
 """Rule packs of YAML files: inheritance, one finding for each broken field, rules about several agents."""
 
+import pyarrow as pa
+
 from tracewell.sources import packs
 
 PACK = """
@@ -39,3 +41,13 @@ def test_a_folder_of_packs(spark, tmp_path):
     both = spark.createDataFrame([(True,), (False,), (False,)], "is_multi_agent boolean")
     got = lambda traces: sorted((r["is_multi_agent"], r["rule_id"]) for r in packs.applicable_to(packs.requirements(pack), traces).collect())
     assert got(both) == [(False, "A"), (False, "F"), (True, "A"), (True, "B"), (True, "F")] and got(both.where("false")) == []
+
+
+def test_rules_go_on_by_some_files_at_a_time():
+    """A task never holds the rules of all files of a batch, whose text is more than it parses at once; none is lost."""
+    text = "requirements:\n" + "".join(f"- {{id: I{i}, title: t, description: d}}\n" for i in range(400))
+    files = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(200)]), pa.array([text, None] * 100)], ["path", "text"])
+    out = list(packs._parsed(iter([files])))
+    assert max(b.num_rows for b in out) <= 400 * (packs.AT_ONCE // len(text) + 1) + 200 and len(out) > 1
+    assert [r["file"] for b in out for r in b.to_pylist()] == [f for i in range(200) for f in [f"f{i}"] * (1 if i % 2 else 400)]
+    assert list(packs._parsed(iter([files.slice(0, 0)]))) == []

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .files import source_tree
 
+#: Bytes of files that a task has parsed at once; a file beyond that is alone.
+AT_ONCE = 1 << 20
 SEVERITIES = ("mandatory", "recommended", "best_practice")
 #: Tag of rules that say something about several agents only.
 MULTI_AGENT_ONLY = "multi_agent_only"
@@ -44,31 +46,44 @@ def faults(entry) -> list[str]:
     return out + ([f"invalid severity '{severity}'"] if severity not in SEVERITIES else [])
 
 
+def _rows(text: str) -> Iterator[tuple]:
+    import yaml
+
+    try:
+        file = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except (yaml.YAMLError, ValueError, RecursionError):
+        yield None, None, ["YAML parse error"]
+        return
+    if not isinstance(file, dict) or not isinstance(file.get("requirements"), list):
+        yield None, None, ["no 'requirements' key found"]
+        return
+    for i, entry in enumerate(file["requirements"]):
+        yield i, json.dumps(inherited(entry, file), default=str) if isinstance(entry, dict) else None, faults(entry)
+
+
+def _told(found: list[tuple]) -> pa.RecordBatch:
+    path, ord_, rule, wrong = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(ord_, pa.int32()), pa.array(rule, pa.string()), pa.array(wrong, pa.list_(pa.string()))], ["file", "rule_ord", "rule", "faults"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch has thousands of files, of which the rules take many times the files' size, so rows go on by some files at a time."""
+    for batch in batches:
+        found, size = [], 0
+        for path, text in ((p.as_py(), t.as_py() or "") for p, t in zip(*batch.columns, strict=True)):
+            found += [(path, *r) for r in _rows(text)]
+            size += len(text)
+            if size >= AT_ONCE:
+                yield _told(found)
+                found, size = [], 0
+        if found:
+            yield _told(found)
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """file, rule_ord, rule (null if it is no mapping), faults of files (path, text): a row for each rule, and one with rule_ord null for a file that is no YAML or has no
     requirements, with what is wrong. A null text is an empty file."""
-
-    def rows(text: str) -> Iterator[tuple]:
-        import yaml
-
-        try:
-            file = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-        except (yaml.YAMLError, ValueError, RecursionError):
-            yield None, None, ["YAML parse error"]
-            return
-        if not isinstance(file, dict) or not isinstance(file.get("requirements"), list):
-            yield None, None, ["no 'requirements' key found"]
-            return
-        for i, entry in enumerate(file["requirements"]):
-            yield i, json.dumps(inherited(entry, file), default=str) if isinstance(entry, dict) else None, faults(entry)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(path, *r) for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows(text or "")]
-            path, ord_, rule, wrong = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(ord_, pa.int32()), pa.array(rule, pa.string()), pa.array(wrong, pa.list_(pa.string()))], ["file", "rule_ord", "rule", "faults"])
-
-    found = files.select("path", "text").mapInArrow(run, "file string, rule_ord int, rule string, faults array<string>")
+    found = files.select("path", "text").mapInArrow(_parsed, "file string, rule_ord int, rule string, faults array<string>")
     return found.withColumn("rule", F.from_json("rule", _RULE))
 
 
