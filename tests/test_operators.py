@@ -264,3 +264,15 @@ def test_files_of_a_code_base(spark):
     assert [r[0] for r in routes] == ["/api/chat", "/api/[unknown]", "/api/c/d.ts"]
     for run in (codescan.ai_imports, codescan.endpoints, codescan.deployments, codescan.used_models):
         assert run(files.limit(0)).count() == 0
+
+
+def test_only_traces_that_can_have_a_cycle_are_walked(spark, monkeypatch):
+    """Parents that stand before their spans make none; spans without a place, at their own place or of several rows may."""
+    rows = [("sound", i, f"s{i}", f"s{i // 2}" if i > 1 else None) for i in range(1, 40)] + [("orphan", 1, "a", "gone")]
+    rows += [("ring", 1, "a", "c"), ("ring", 2, "b", "a"), ("ring", 3, "c", "b"), ("ring", 4, "d", "c"), ("self", 1, "a", "a"), ("none", None, "a", "b"), ("none", None, "b", "a")]
+    rows += [("twice", 1, "a", "b"), ("twice", 2, "b", "a"), ("twice", 3, "a", "b"), ("back", 1, "a", "b"), ("back", 2, "b", None)]
+    walked, depths = [], delegation.depths
+    monkeypatch.setattr(delegation, "depths", lambda spans: walked.extend(r[0] for r in spans.select("trace_id").distinct().collect()) or depths(spans))
+    got = delegation.cycles(spark.createDataFrame(rows, "trace_id string, span_ord long, span_id string, parent_span_id string")).collect()
+    assert sorted((r["trace_id"], r["cycle"]) for r in got) == [("none", ["a", "b"]), ("ring", ["a", "c", "b"]), ("self", ["a"]), ("twice", ["a", "b"])]
+    assert sorted(walked) == ["back", "none", "ring", "self", "twice"]

@@ -106,9 +106,23 @@ def agent_edges(spans: DataFrame) -> DataFrame:
     return out.where("from_agent <> to_agent").select("trace_id", "from_agent", "to_agent").distinct()
 
 
+def turning_back(spans: DataFrame) -> DataFrame:
+    """trace_id of the traces in which a span's parent does not stand before it by span_ord; a cycle cannot go back in every step. A parent of several rows stands where its last
+    one does, and one without a place after all."""
+    own = spans.select("trace_id", "span_id", F.coalesce("span_ord", F.lit(2**63 - 1)).alias("at"), F.lit(None).cast("long").alias("child_at"))
+    asked = spans.where(F.col("parent_span_id").isNotNull()).select("trace_id", F.col("parent_span_id").alias("span_id"), F.lit(None).cast("long").alias("at"), F.coalesce("span_ord", F.lit(-(2**63))).alias("child_at"))
+    each = own.unionByName(asked).groupBy("trace_id", "span_id").agg(F.max("at").alias("at"), F.min("child_at").alias("child_at"))
+    return each.where("at >= child_at").select("trace_id").distinct()
+
+
 def cycles(spans: DataFrame) -> DataFrame:
-    """trace_id, cycle: each cycle of parents once, from its lowest span id on. Of a repeated span id the first row's parent counts."""
-    e = edges(spans).groupBy("trace_id", F.col("child_id").alias("a")).agg(F.min_by("parent_id", "child_ord").alias("to"))
+    """trace_id, cycle: each cycle of parents once, from its lowest span id on. Of a repeated span id the first row's parent counts.
+
+    What spans is made of is computed once, and only traces that can have a cycle are walked."""
+    whole = cut(spans.select("trace_id", "span_id", "parent_span_id", "span_ord"))
+    spans = cut(whole.join(turning_back(whole), "trace_id", "left_semi"))
+    release(whole)
+    e = edges(spans).groupBy("trace_id", F.col("child_id").alias("a")).agg(F.min_by("parent_id", F.struct(F.coalesce("child_ord", F.lit(2**63 - 1)), "parent_id")).alias("to"))
     # Only spans that no root reaches can be on a cycle; where there are none, as in sound traces, nothing is walked.
     lost = depths(spans).where("depth = -1").select("trace_id", F.col("span_id").alias("a"))
     step = cut(e.join(lost, ["trace_id", "a"], "left_semi"))
