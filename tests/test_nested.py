@@ -93,3 +93,11 @@ def test_a_trace_of_a_million_spans(spark, tmp_path):
     written.write(spans, str(tmp_path / "big"))
     back = written.read(traces.load(spark, str(tmp_path / "big"), suffixes=".json"), spans.schema)
     assert back.agg(F.count("*"), F.countDistinct("span_ord"), F.sum("span_ord"), F.count_if(F.col("span_id") == F.concat(F.lit("s"), "span_ord"))).first() == (1_000_000, 1_000_000, 500_000_500_000, 1_000_000)
+
+
+def test_a_trace_of_many_observations(spark):
+    """Rows of observations carry none of their trace's others, which a trace of some thousands did not survive, and outputs are parsed once."""
+    one = lambda i: {"id": str(i), "input": "words " * 20, "output": {"tool_calls": [{"name": f"n{i}"}]}, "scores": [{"value": i}]}
+    got = traces.observations(entries(spark, {"id": "t", "name": "n", "observations": [one(i) for i in range(8000)]})).select("trace_id", "span_ord", "span_id", "tool_calls.name", "evaluations.score_value", "metadata")
+    assert sorted(map(tuple, got.collect())) == sorted(("t", i + 1, str(i), [f"n{i}"], [float(i)], {"name": "n"}) for i in range(8000))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(".output, ") == 1

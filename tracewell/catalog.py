@@ -909,16 +909,20 @@ _LINE_TOOLS = "list_transform(range(l_linenumber % 4), lambda i: 'tool' || (l_pa
 def observation_content(spark, sf_dir):
     """An export for each item of an order, wrapped in data, with several tools and scores."""
     li = src.table(spark, sf_dir, "lineitem")
-    tool = lambda i: F.struct(F.struct(F.concat(F.lit("tool"), F.col("l_partkey") % 5 + i).alias("name"), F.concat(F.lit("part "), "l_partkey").alias("arguments")).alias("function"))
-    tools = F.transform(F.slice(F.array(*(F.lit(i) for i in range(3))), 1, F.col("l_linenumber") % 4), tool)
-    score = lambda name, value, label: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(label).alias("label"))
-    scores = F.when(F.col("l_returnflag") == "R", F.array(score("quantity", F.col("l_quantity"), "late"), score("word", F.lit("none"), "as told"))).when(F.col("l_returnflag") == "A", F.array(score("word", F.lit("none"), "as told")))
-    one = F.struct(F.concat(F.lit("o"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), F.concat(F.lit("supplier "), "l_suppkey").alias("input"), F.struct(tools.alias("tool_calls")).alias("output"), scores.alias("scores"), F.col("l_discount").alias("totalCost"))
-    entry = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("o"), "l_orderkey").alias("traceId"), F.array(one).alias("observations"))).alias("data")))
+    # text of an entry: what holds a null is null, and concat_ws leaves it out
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    order, number, part, flag, cost = (F.col(f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "returnflag", "discount"))
+    tools = F.concat_ws(",", *(F.when(number % 4 > i, text('{"function":{"name":"tool', part % 5 + i, '","arguments":"part ', part, '"}}')) for i in range(3)))
+    word = '{"name":"word","value":"none","label":"as told"}'
+    quantity = F.concat_ws(",", F.lit('{"name":"quantity"'), text('"value":"', F.col("l_quantity"), '"'), F.lit('"label":"late"}'))
+    scores = F.when(flag == "R", text('"scores":[', quantity, f",{word}]")).when(flag == "A", f'"scores":[{word}]')
+    number_or_text = F.when(F.abs(cost) < float("inf"), cost.cast("string")).otherwise(text('"', cost, '"'))
+    one = F.concat_ws(",", text('"id":"o', order, "-", number, '"'), text('"input":"supplier ', F.col("l_suppkey"), '"'), text('"output":{"tool_calls":[', tools, "]}"), scores, text('"totalCost":', number_or_text))
+    entry = text('{"data":[{', F.concat_ws(",", text('"traceId":"o', order, '"'), text('"observations":[{', one, "}]")), "}]}")
     spans = traces.observations(li.select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").cast("long").alias("ord"), entry.alias("entry")))
     first = F.get("evaluations", 0)
     return spans.select(
-        "trace_id", "span_id", F.coalesce(F.array_join(F.transform("tool_calls", lambda t: t["name"]), ","), F.lit("")).alias("tools"), F.get("tool_calls", 0)["arguments"].alias("first_arguments"), F.coalesce(F.size("evaluations"), F.lit(0)).alias("n_evaluations"),
+        "trace_id", "span_id", F.coalesce(F.array_join("tool_calls.name", ","), F.lit("")).alias("tools"), F.get("tool_calls", 0)["arguments"].alias("first_arguments"), F.coalesce(F.size("evaluations"), F.lit(0)).alias("n_evaluations"),
         first["score_value"].alias("score"), first["score_label"].alias("label"), F.get("messages_in", 0)["content"].alias("asked"), "total_cost",
     )
 

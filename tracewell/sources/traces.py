@@ -83,12 +83,13 @@ def normalize(entries: DataFrame, hint: str = "auto") -> DataFrame:
 def _spans(df: DataFrame, source_format: str, **columns: Column) -> DataFrame:
     kinds = {"span_ord": "long", "start_time": "timestamp", "end_time": "timestamp", "duration_ms": "double", "input_tokens": "long", "output_tokens": "long", "total_tokens": "long", "finish_reasons": "array<string>", "temperature": "double", "max_tokens": "long", "input_cost": "double", "output_cost": "double", "total_cost": "double"} | _NESTED
     columns |= {"source_format": F.lit(source_format)}
-    return df.select(*(columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS))
+    # nested columns have their kind already; a cast would copy every element only to call its fields nullable
+    return df.select(*((columns[c] if c in _NESTED and c in columns else columns.get(c, F.lit(None)).cast(kinds.get(c, "string"))).alias(c) for c in COLUMNS))
 
 
-def _some(items: Column) -> Column:
-    """A list, or null if it is empty."""
-    return F.when(F.size(items) > 0, items)
+def _some(items: Column, of: Column | None = None) -> Column:
+    """A list, or null if it is empty. of: the list that items are made of, one for one, so that they are not made twice, for their number and for themselves."""
+    return F.when(F.size(items if of is None else of) > 0, items)
 
 
 def _call(id: Column, name: Column, kind: Column, arguments: Column) -> Column:
@@ -190,8 +191,11 @@ def observations(entries: DataFrame) -> DataFrame:
     e = entries.withColumn("o", F.from_json("entry", f"{trace[7:-1].replace(': ', ' ', len(_EXPORT)).replace('observations: ', 'observations ', 1)}, data array<{trace}>"))
     one = F.struct(*(F.col(f"o.{n}").alias(n) for n in (*_EXPORT, "observations")))
     traces = e.select("file", "ord", F.explode(F.coalesce("o.data", F.array(one))).alias("t"))
-    x = traces.select("file", "ord", F.coalesce(_filled(F.col("t.id"), F.col("t.traceId")), F.lit("unknown")).alias("trace"), F.col("t.sessionId").alias("session"), _known(**{n: F.col(f"t.{n}") for n in _EXPORT[2:]}).alias("about"), F.posexplode("t.observations").alias("i", "x"))
-    calls = F.transform(F.from_json("x.output", _TOOLS)["tool_calls"], lambda c: _call(c["id"], F.coalesce(c["function"]["name"], c["name"]), F.lit("function"), c["function"]["arguments"]))
+    # a trace's own columns are taken out before its observations are, of which each row would carry all others; outputs are parsed once, by a step of their own
+    about = _known(**{n: F.col(f"t.{n}") for n in _EXPORT[2:]})
+    traces = traces.select("file", "ord", F.coalesce(_filled(F.col("t.id"), F.col("t.traceId")), F.lit("unknown")).alias("trace"), F.col("t.sessionId").alias("session"), about.alias("about"), "t.observations")
+    x = traces.select("trace", "session", "about", F.posexplode("observations").alias("i", "x")).select("*", F.from_json("x.output", _TOOLS)["tool_calls"].alias("tools"))
+    calls = F.transform("tools", lambda c: _call(c["id"], F.coalesce(c["function"]["name"], c["name"]), F.lit("function"), c["function"]["arguments"]))
     scores = F.transform("x.scores", lambda v: F.struct(F.coalesce(v["name"], F.lit("unnamed")).alias("name"), v["value"].try_cast("double").alias("score_value"), v["label"].alias("score_label"), v["comment"].alias("explanation")))
     whole = lambda c: F.when(_filled(c).isNotNull(), F.array(_message(F.lit(None), c)))
     kind = F.upper(F.coalesce("x.type", F.lit("SPAN")))
@@ -207,7 +211,7 @@ def observations(entries: DataFrame) -> DataFrame:
         duration_ms=F.coalesce(F.col("x.latency").try_cast("double") * 1000, _between(start, end)), input_tokens=tokens("inputTokens", "promptTokens"), output_tokens=tokens("outputTokens", "completionTokens"), total_tokens=_whole(F.col("x.totalTokens")),
         error_type=F.when(F.col("x.level") == "ERROR", "error"), error_message=F.col("x.statusMessage"), agent_id=F.col("x.metadata.agent_id"), agent_name=F.coalesce(_filled(F.col("x.metadata.agent_name")), F.when(kind == "SPAN", F.col("x.name"))), agent_framework=F.col("x.metadata.framework"),
         span_kind=F.when(kind == "GENERATION", "llm_generation").when((kind == "SPAN") & handoff, "agent_handoff"), input_messages=_filled(F.col("x.input")), output_messages=_filled(F.col("x.output")),
-        input_cost=F.col("x.inputCost").try_cast("double"), output_cost=F.col("x.outputCost").try_cast("double"), total_cost=F.col("x.totalCost").try_cast("double"), messages_in=whole(F.col("x.input")), messages_out=whole(F.col("x.output")), tool_calls=_some(calls), evaluations=_some(scores), metadata=F.col("about"),
+        input_cost=F.col("x.inputCost").try_cast("double"), output_cost=F.col("x.outputCost").try_cast("double"), total_cost=F.col("x.totalCost").try_cast("double"), messages_in=whole(F.col("x.input")), messages_out=whole(F.col("x.output")), tool_calls=_some(calls, F.col("tools")), evaluations=_some(scores, F.col("x.scores")), metadata=F.col("about"),
     )
 
 
