@@ -205,6 +205,36 @@ def test_many_short_quotes_take_about_as_long_as_few(spark, monkeypatch):
     took(450)
 
 
+def test_quotes_of_all_lengths_in_one_pass_in_blocks_and_joined(spark, monkeypatch):
+    """The same findings as a plain search by each way; as long as the quotes are few enough, sources are normalized and read once."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 4)))
+    texts = [(i, " ".join(word() for _ in range(300))) for i in range(40)]
+
+    def quote(i):
+        if i % 3 == 0:
+            return " ".join(word() for _ in range(rng.randrange(0, 5)))
+        text = rng.choice(texts)[1]
+        start = rng.randrange(len(text) - 90)
+        return text[start : start + rng.randrange(1, 90)].strip()  # ends may be parts of words
+
+    quotes = [(i, quote(i)) for i in range(400)]
+    sources, asked = spark.createDataFrame(texts, "source_id int, text string"), spark.createDataFrame(quotes, "quote_id int, quote string")
+    want = {i: sum(q in t for _, t in texts) if q else 0 for i, q in quotes}
+    assert 0 in want.values() and max(want.values()) > 1
+
+    def plan_of_right_findings():
+        found = scan.quote_findings(asked, sources)
+        assert {r["quote_id"]: r["n_sources"] for r in found.collect()} == want
+        return found._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan_of_right_findings().count("_nfkc(") == 1
+    monkeypatch.setattr(scan, "BLOCK", 60)
+    assert plan_of_right_findings().count("MapInArrow") == 7
+    monkeypatch.setattr(scan, "PASSES", 3)
+    assert "explode(" in plan_of_right_findings()
+
+
 def test_provenance_codes(spark):
     files = spark.createDataFrame([("a", True, "law"), ("b", True, None), ("c", True, "gone"), ("d", False, "law")], "file string, verified boolean, source string")
     sources = spark.createDataFrame([("law", "Providers shall keep the logs.")], "source string, text string")
